@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_digests
 from .near_dedup import near_groups
+from .packing import pack
 from .shared import table
 
 
@@ -14,8 +16,16 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=4096, end=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_near_dedup,)}
+    return {f.__name__: f for f in (op7_near_dedup, op8_bpe_encoding, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
