@@ -288,3 +288,14 @@ def near_groups(
     out = save(out, "groups")
     drop(signed, reps, rep_rows, met, near, sets, links, first, member, open_, more, second)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one_each(docs: DataFrame, broadcast_ids: int = 1_000_000, **settings) -> DataFrame:
+    """docs, with all its columns, with one document of each group of near_groups: that of the smallest doc_id. Of rows
+    that share a doc_id one stays. Rows with a null doc_id stay."""
+    stay = near_groups(docs, **settings).where("kept and doc_id is not null").select("doc_id")
+    n, ids = stay.count(), stay.distinct()
+    found = docs.join(F.broadcast(ids) if n <= broadcast_ids else ids, "doc_id", "left_semi")  # a checked size
+    if n > ids.count():
+        found = found.dropDuplicates(["doc_id"])
+    return found.unionByName(docs.where("doc_id is null"))
