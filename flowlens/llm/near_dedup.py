@@ -3,7 +3,7 @@
 A document is its set of word shingles. Two small collections of half-keys are computed from the minhashes, `bands`
 left ones and `bands` right ones of `rows` minhashes each; every pair (left i, right j) is one table key. That gives
 bands * bands tables from 2 * bands * rows minhashes, where plain banding needs bands * bands * 2 * rows. A pair of
-similarity s meets in some table with probability (1 - (1 - s^rows)^bands)^2; with the defaults 0.99993 at s = 0.8.
+similarity s meets in some table with probability (1 - (1 - s^rows)^bands)^2; with the defaults 0.9999 at s = 0.8.
 
 No candidate counts before the full sets confirm it:
 
@@ -105,7 +105,7 @@ def _set_maker(width: int):
 
 
 def _alike(least: float):
-    """Drops candidates whose sketches agree so little that they are no links but for one pair in 30,000."""
+    """Drops candidates whose sketches agree so little that they are no links but for one link in 50,000."""
 
     def run(batches):
         for batch in batches:
@@ -195,11 +195,12 @@ def near_groups(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    bands: int = 10,
-    rows: int = 2,
+    bands: int = 14,
+    rows: int = 3,
     bucket: int = 8,
     best: int = 3,
     block: int = 256,
+    broadcast_ids: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -212,9 +213,14 @@ def near_groups(
     rep_rows = named.join(reps.select(F.col("id").alias("doc_id"), F.col("set_hash").alias("own")), "doc_id").where("own = set_hash")
     rep_rows = save(rep_rows.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "lefts", "rights").dropDuplicates(["id"]), "rep-rows")
 
-    keys = rep_rows.select("id", F.posexplode("lefts").alias("i", "l"), "rights").select(
-        "id", "i", "l", F.posexplode("rights").alias("j", "r")
-    ).select("id", F.xxhash64("i", "l", "j", "r").alias("key"))
+    # a table key is worth forming only from two half-keys that others have too
+    halves = rep_rows.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lefts").alias("k")), F.struct(F.lit(1).alias("side"), F.col("rights").alias("k")))).alias("x"))
+    halves = halves.select("id", "x.side", F.posexplode("x.k").alias("at", "k")).select("id", "side", F.xxhash64("side", "at", "k").alias("half"))
+    shared = halves.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("half"))).where("n > 1")
+    lists = shared.groupBy("id").agg(
+        F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("l"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("r")
+    )
+    keys = lists.select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r")).select("id", F.xxhash64("l", "r").alias("key"))
     at = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
     held = keys.select(
         "id",
@@ -234,7 +240,7 @@ def near_groups(
     side = lambda s: sizes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     near = met.join(side("a"), "a").where("n_a is not null").join(side("b"), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = near.select("a", "b", "hot", "sketch_a", "sketch_b").mapInArrow(_alike(0.5), "a long, b long, hot boolean, alike double")
+    near = near.select("a", "b", "hot", "sketch_a", "sketch_b").mapInArrow(_alike(0.6), "a long, b long, hot boolean, alike double")
     top = Window.partitionBy("a", "hot").orderBy(F.col("alike").desc(), "b")
     near = near.withColumn("rank", F.row_number().over(top)).where(f"not hot or rank <= {best}")
     near = save(near.select("a", "b"), "near")
@@ -242,7 +248,9 @@ def near_groups(
     hot_ids = components(met.where("hot").select("a", "b"))
     hot_ids = hot_ids.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     wanted = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).unionAll(hot_ids.select("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    wanted = save(wanted, "wanted")
+    chosen = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted  # a checked size: 8 bytes each
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id", "left_semi")
     sets = save(texts.mapInArrow(_set_maker(width), "id long, shingles binary"), "sets")
     links = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     links = links.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -286,7 +294,7 @@ def near_groups(
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
     out = save(out, "groups")
-    drop(signed, reps, rep_rows, met, near, sets, links, first, member, open_, more, second)
+    drop(signed, reps, rep_rows, met, near, wanted, sets, links, first, member, open_, more, second)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
