@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +21,27 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         _ORACLES[name] = oracle
 
 
+#: Modules that register queries when they are imported.
+MODULES = ("cleaning_queries", "aggregate_queries", "graph_queries")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"flowlens.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All metrics, hints and rules of every learner."""
+    from .graph_queries import qualification_report
+
+    return qualification_report(spark, sf_dir)
