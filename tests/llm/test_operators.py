@@ -1,0 +1,309 @@
+"""The operators against brute force, round trips, the libraries and held-out accuracy."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from flowlens.llm import bpe, fertility, html_text, kd_shards, lt_hash, near_dedup, packing, queries, suffix_tree, toxicity, url_filter
+
+
+@pytest.fixture(scope="module")
+def table(spark, sf_dir):
+    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shingles(text, width):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def brute_groups(rows, width, percent=80):
+    sets = {i: shingles(t, width) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def copies(seed, families=4, members=40):
+    """Families of near copies around the limit, some exact copies, and a passage that many share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, out = [word() for _ in range(30)], []
+    for _ in range(families):
+        base = [word() for _ in range(80)] + passage
+        for _ in range(members):
+            text = list(base)
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(len(text))] = word()
+            out.append(" ".join(text))
+    out += [" ".join([word() for _ in range(60)] + passage) for _ in range(40)] + out[:7]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(8, 256), (2, 4)])
+def test_near_groups_are_those_of_all_pairs(spark, bucket, block):
+    rows = copies(bucket)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_groups(df, width=4, bucket=bucket, block=block).collect()
+    expected = brute_groups(rows, 4)
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+    assert all(r["n_shingles"] == len(shingles(dict(rows)[r["doc_id"]], 4)) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_groups_of_the_table(spark, table):
+    rows = [(r["doc_id"], r["text"]) for r in table("documents").collect()]
+    got = queries.op7_near_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(rows, 4)
+
+
+def test_bpe_is_the_library(spark, table):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    got = {r["doc_id"]: r for r in bpe.encode_texts(table("documents")).collect()}
+    for r in table("documents").collect():
+        ids = lib.encode(r["text"], add_special_tokens=False).ids
+        assert np.frombuffer(got[r["doc_id"]]["ids"], "<u4").tolist() == ids
+        assert got[r["doc_id"]]["decoded"] == lib.decode(ids, skip_special_tokens=False)
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(0x250), 0x300, 0x301, 0x3A3, 0x2019, 0x20AC, 0x4E2D, 0x1F600, 0x200B]]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(400)] + ["it's we'LL <|endoftext|>x", "a" * 3000]
+    for by_library in (False, True):
+        for text, ids in zip(odd, bpe.encoder(bpe.default_path(), by_library).encode(odd), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_pair_index_goes_back_to_a_lower_rank():
+    class Small(bpe.PairIndexBpe):
+        def __init__(self):
+            names = list("abcd") + ["ab", "cd", "abc", "bc", "abcd"]
+            vocab = {x: i for i, x in enumerate(names)}
+            order = [("ab", "c"), ("bc", "d"), ("a", "b"), ("c", "d"), ("b", "c")]
+            self.merges = {vocab[a] << 20 | vocab[b]: (rank, vocab.get(a + b, 4)) for rank, (a, b) in enumerate(order) if a in vocab and b in vocab}
+            self.first = self.last = {ord(x): i for x, i in vocab.items() if len(x) == 1}
+
+    def plain(bpe_, word):
+        s = [bpe_.first[c] for c in word]
+        while True:
+            found = [(bpe_.merges[s[i] << 20 | s[i + 1]][0], i) for i in range(len(s) - 1) if s[i] << 20 | s[i + 1] in bpe_.merges]
+            if not found:
+                return s
+            _, i = min(found)
+            s[i : i + 2] = [bpe_.merges[s[i] << 20 | s[i + 1]][1]]
+
+    small, rng = Small(), random.Random(2)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))).encode() for _ in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.merge_words(words)] == [plain(small, w) for w in words]
+
+
+def test_packing_plan():
+    rng = random.Random(1)
+    for _ in range(30):
+        counts = Counter(rng.randint(1, 50) for _ in range(rng.randint(1, 200)))
+        used, bins = Counter(), 0
+        for n, kinds in packing.plan_packing(counts, 50):
+            assert sum(x * k for x, k in kinds) <= 50
+            bins += n
+            for x, k in kinds:
+                used[x] += n * k
+        assert used == counts
+        total = sum(x * n for x, n in counts.items())
+        assert bins <= max(math.ceil(total / 50) * 1.15 + 2, sum(n for x, n in counts.items() if x > 25))
+    assert packing.plan_packing({30: 4, 20: 4}, 50) == [(4, ((30, 1), (20, 1)))]
+
+
+def test_packing_of_the_table(spark, table):
+    rows = queries.op10_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
+    enc, pieces = bpe.encoder(bpe.default_path()), {}
+    for r in table("documents").collect():
+        ids = next(enc.encode([r["text"]])) + (1).to_bytes(4, "little")
+        for k in range(0, len(ids), 4 * 4096):
+            part = ids[k : k + 4 * 4096]
+            pieces[r["doc_id"], k // 4 // 4096] = (k // 4, len(part) // 4, zlib.crc32(part))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == pieces
+    ends = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096 and len(ends) <= math.ceil(sum(r["length"] for r in rows) / 4096) + 2
+
+
+def test_shards(spark, table):
+    rows = kd_shards.document_shards(table("documents"), 24).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    largest, mean = max(r["size"] for r in rows), sum(sizes.values()) / 24
+    assert set(sizes) == set(range(24)) and all(abs(n - mean) <= 2 * largest for n in sizes.values())
+    for k in range(24):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+    texts = {r["doc_id"]: r["text"] for r in table("documents").collect()}
+    assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 8 for r in rows)
+
+
+def test_shards_split_a_single_value(spark):
+    df = spark.range(4800).selectExpr("id as doc_id", "'same text' as text", "'one' as source", "'en' as lang", "9L as n_chars")
+    n = Counter(r["shard"] for r in kd_shards.document_shards(df, 24).collect())
+    assert len(n) == 24 and max(n.values()) - min(n.values()) <= 10
+
+
+def test_fingerprints_are_homomorphic():
+    a, b, c = "one two three four", "five six seven", "eight nine ten eleven"
+    assert lt_hash.Fingerprint(f"{a}\n{b}\n{c}") == lt_hash.Fingerprint(f"{c}\n\n{a}\n{b}")
+    assert lt_hash.Fingerprint(f"{a}\n{b}").add(c) == lt_hash.Fingerprint(f"{a}\n{b}\n{c}")
+    assert lt_hash.Fingerprint(f"{a}\n{b}\n{c}").remove(b) == lt_hash.Fingerprint(f"{a}\n{c}")
+    assert lt_hash.Fingerprint(a) + lt_hash.Fingerprint(b) - lt_hash.Fingerprint(a) == lt_hash.Fingerprint(b)
+    assert lt_hash.Fingerprint(f"{a}\n{a}") != lt_hash.Fingerprint(a) and lt_hash.Fingerprint("") == lt_hash.Fingerprint(None)
+    assert lt_hash.Fingerprint(a).likeness(lt_hash.Fingerprint(a)) == 1.0
+
+
+def test_fingerprints_of_edits(spark, table):
+    docs = sorted((r["doc_id"], r["text"]) for r in table("documents").collect())
+    got = {r["doc_id"]: r for r in lt_hash.compare_with_edits(table("documents"), rows_per_range=17).collect()}
+    for k, (i, text) in enumerate(docs):
+        new = lt_hash.edited(text, docs[(k + 1) % len(docs)][1])
+        assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert got[i]["fingerprint"] == lt_hash.Fingerprint(text).text() and got[i]["edited_fingerprint"] == lt_hash.Fingerprint(new).text()
+    assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
+
+
+def test_scores(spark, table):
+    docs = [(r["doc_id"], r["text"]) for r in table("documents").collect()]
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    c = Counter()
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 10:
+            c.update(tokens(t))
+    n, v = sum(c.values()), len(c)
+    got = {r["doc_id"]: r for r in suffix_tree.score_texts(table("documents")).collect()}
+    for i, t in docs:
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
+        assert got[i]["base_score"] == pytest.approx(base) and got[i]["n_known"] == sum(c[w] > 0 for w in tokens(t)) and got[i]["train_tokens"] == n
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_states_sum_to_one():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}".encode() for i in range(40)]
+    p = rng.dirichlet(np.ones(40)) * 0.97
+    tree = suffix_tree.Tree(words, 12, np.log10(p))
+    pairs = [(a, b) for a in range(12) for b in range(12) if rng.random() < 0.6]
+    owner, word = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
+    n = rng.integers(3, 40, len(pairs))
+    totals = np.bincount(owner, n, 12) + 50
+    tree.grow(np.arange(12), totals, owner, word, n, 0.0, 0.7)
+    for a in range(12):
+        numbers = np.array([[a, b] for b in range(40)])
+        total = sum(10 ** tree.logs(row)[0][1] for row in numbers)
+        unseen, open_ = tree.logs(np.array([a, -1]))
+        assert open_[1] and total + 10 ** unseen[1] * (1 - p.sum()) == pytest.approx(1, abs=1e-6)
+
+
+def test_html(spark, table):
+    page = (
+        "<html><head><title>t</title><style>p{}</style></head><body class='has-sidebar'><nav><ul><li>Home<li>News</ul></nav><div class=ad>Buy</div><header>Site</header>"
+        "<article><h1>A  &amp;&nbsp;B</h1><p>One<br>two <b>three</b><p>Four<script>x='</p>'</script><ul><li>five</ul><aside>no</aside><div class='comments'><p>reader</p></div></article><footer>f</footer>"
+    )
+    assert [t for r, t in html_text.blocks_of(page) if r == html_text.ARTICLE] == ["A & B", "One two three", "Four", "five"]
+    plain = [f"<div>Welcome to our site please read the terms of use</div><p>Page {k} says this.</p>" for k in "abcd"]
+    assert html_text.main_texts([html_text.blocks_of(x) for x in plain])[1].endswith("b says this.")
+    assert "Welcome" not in html_text.main_texts([html_text.blocks_of(x) for x in plain])[1]
+    rng = np.random.default_rng(1)
+    tokens, page_of = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
+    tokens[49::50] = -1 - np.arange(8)
+    at = {}
+    for i in range(len(tokens) - 4):
+        at.setdefault(tuple(tokens[i : i + 5]), []).append(i)
+    expected = np.zeros(400, bool)
+    for places in at.values():
+        if len({page_of[i] for i in places}) > 1:
+            for i in places:
+                expected[i : i + 5] = True
+    assert (html_text.covered(tokens, page_of, 5) == expected).all()
+
+
+def test_articles_of_the_table(spark, table):
+    import html
+    import re
+
+    got = {r["page_id"]: r["text"] for r in queries.op2_html_extraction(spark, "/root/testdata/sf0.001").collect()}
+    for r in table("pages").collect():
+        article = r["html"].split("<article>")[1].split("</article>")[0].replace("<br>", " ").replace("<b>", "").replace("</b>", "")
+        blocks = [" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        assert got[r["page_id"]] == "\n\n".join(x for x in blocks if x)
+
+
+def test_url_model_holds_out():
+    seeds, hits = url_filter.SEEDS, 0
+    for fold in range(4):
+        w, b = url_filter.train(tuple(s for i, s in enumerate(seeds) if i % 4 != fold))
+        for i, (url, bad) in enumerate(seeds):
+            if i % 4 == fold:
+                has = url_filter.grams(*url_filter.split_url(url))
+                hits += (b + w[has].sum() / len(has) ** 0.5 > 0) == bool(bad)
+    assert hits / len(seeds) >= 0.75
+
+
+def test_base_counts():
+    memo = fertility.Memo(fertility.hash_word)
+    text = "a b c d e x a b c d e\n# $\n\n# $\n"
+    assert fertility.base_counts(text, fertility.word_bytes(text), memo) == (15, 15, 4, 1, 10)
+    rng = random.Random(4)
+    for _ in range(50):
+        words = [rng.choice("ab") for _ in range(rng.randint(0, 40))]
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        covered = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+        text = " ".join(words)
+        assert fertility.base_counts(text, fertility.word_bytes(text), memo)[4] == len(covered)
+
+
+def test_fertility_keeps_sound_texts(spark, table):
+    rows = fertility.fertility_rules(table("documents")).join(table("labels"), "doc_id").where("quality = 1 and not base_failed")
+    assert rows.where("not kept").count() <= 0.01 * rows.count()
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = toxicity.fit_chain(docs, toxicity.chain_labels(labels.where("doc_id % 4 <> 0")), toxicity.CATEGORIES)
+    got = toxicity.judge_toxicity(docs, chain).withColumnRenamed("toxic", "said").join(labels.where("doc_id % 4 = 0 and quality = 1"), "doc_id").collect()
+    bad, good = [r for r in got if r["toxic"] == 1], [r for r in got if r["toxic"] == 0]
+    assert sum(r["said"] for r in bad) >= 0.7 * len(bad) and sum(r["said"] for r in good) <= 0.02 * len(good)
+    assert len(chain.weights[2]) == len(chain.features) + 2
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, left, sf_dir).cache()
+        assert after.columns == docs.columns, name
+        assert after.join(left, "doc_id", "left_anti").count() == 0
+        if name == "near_dedup":
+            groups = brute_groups([(r["doc_id"], r["text"]) for r in left.collect()], 5)
+            assert {r["doc_id"] for r in after.collect()} == {i for i, g in groups.items() if i == g}
+        left = after
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left.collect()}
