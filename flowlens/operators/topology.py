@@ -23,21 +23,20 @@ PRIVATE_BLOCKS = [
 
 def ip_number(ip: Column) -> Column:
     """A dotted IPv4 address as a number; null for anything else."""
-    octets = [F.split_part(F.trim(ip), F.lit("."), F.lit(k)) for k in range(1, 5)]
-    ok = F.trim(ip).rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    number = F.lit(0).cast("long")
-    for o in octets:
-        number = number * 256 + F.when(ok, o).otherwise("0").cast("long")
-    return F.when(ok, number)
+    text = F.trim(ip)
+    ok = text.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+    return F.when(ok, F.aggregate(F.split(text, r"\."), F.lit(0).cast("long"), lambda sum_, octet: sum_ * 256 + octet.cast("long")))
 
 
 def is_private(ip: Column) -> Column:
     """By the blocks above; what is no address counts if it starts like a private one."""
-    number, hit = ip_number(ip), F.lit(False)
+    spans = []
     for first, bits in PRIVATE_BLOCKS:
         low = sum(int(x) << (8 * (3 - k)) for k, x in enumerate(first.split(".")))
-        hit = hit | number.between(low, low + 2 ** (32 - bits) - 1)
-    return F.when(number.isNull(), F.coalesce(F.startswith(F.trim(ip), F.lit("192.168.")) | F.startswith(F.trim(ip), F.lit("10.")), F.lit(False))).otherwise(hit)
+        spans.append(F.struct(F.lit(low).cast("long").alias("low"), F.lit(low + 2 ** (32 - bits) - 1).cast("long").alias("high")))
+    hit = F.exists(F.array(ip_number(ip)), lambda n: F.exists(F.array(*spans), lambda s: n.between(s["low"], s["high"])))  # the number is worked out once
+    like = F.startswith(F.trim(ip), F.lit("192.168.")) | F.startswith(F.trim(ip), F.lit("10."))
+    return F.coalesce(hit, like, F.lit(False))
 
 
 def edges(df: DataFrame, key: list[str], source: Column, target: Column) -> DataFrame:

@@ -13,7 +13,11 @@ from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, events, flows, loss
 from .registry import register
 
 W = f"WITH {FLOWS_SQL} "
-_N = F.count(F.lit(1))
+
+
+def _n():
+    """Rows, as an aggregate; made when it is used, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 def rounded(df, places=6, keep=()):
@@ -66,15 +70,15 @@ register("ag19_gini", lambda s, d: rounded(A.gini(flows(s, d), "learner", "l_qua
     SELECT learner, round(2 * sum(i*v) / (max(n) * sum(v)) - (max(n) + 1) / max(n), 6) AS gini FROM r GROUP BY learner""")
 register("ag20_column_stats", lambda s, d: rounded(A.column_stats(flows(s, d).select("l_quantity", "bwd", F.when(F.col("l_linenumber") == 3, None).otherwise(F.col("l_tax")).alias("tax")), ["l_quantity", "bwd", "tax"]), 5), W + """, u AS (SELECT unnest(['l_quantity', 'bwd', 'tax']) AS feature, unnest([l_quantity, bwd, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END]) AS x FROM base)
     SELECT feature, count(x) AS n, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(min(x), 5) AS low, round(max(x), 5) AS high, round(avg((x = 0)::INT), 5) AS zero_ratio, CAST(sum((x IS NULL)::INT) AS BIGINT) AS missing FROM u GROUP BY feature""")
-register("ag22_histogram", lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_orderkey").agg(_N.alias("lines")).groupBy("lines").agg(_N.alias("orders"))), "SELECT lines, count(*) AS orders FROM (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) GROUP BY 1")
+register("ag22_histogram", lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_orderkey").agg(_n().alias("lines")).groupBy("lines").agg(_n().alias("orders"))), "SELECT lines, count(*) AS orders FROM (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) GROUP BY 1")
 register("ag23_exact_quantiles", lambda s, d: rounded(events(s, d).groupBy("label").agg(*[F.expr(f"percentile(value, {q}D)").alias(f"q{int(q * 100)}") for q in (0.05, 0.5, 0.95)])),
          "SELECT event_type AS label, round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1")
-register("ag24_grouping_sets", lambda s, d: rounded(flows(s, d).select(base_label(F.col("label")).alias("base"), label_year(F.col("label")).alias("year"), "bwd").groupingSets([["base"], ["year"], ["base", "year"]], "base", "year").agg(_N.alias("n"), F.avg("bwd").alias("mean"))),
+register("ag24_grouping_sets", lambda s, d: rounded(flows(s, d).select(base_label(F.col("label")).alias("base"), label_year(F.col("label")).alias("year"), "bwd").groupingSets([["base"], ["year"], ["base", "year"]], "base", "year").agg(_n().alias("n"), F.avg("bwd").alias("mean"))),
          W + "SELECT base_label AS base, year_tag AS year, count(*) AS n, round(avg(bwd), 6) AS mean FROM base GROUP BY GROUPING SETS ((base_label), (year_tag), (base_label, year_tag))")
-register("ag25_crosstab", lambda s, d: flows(s, d).groupBy("learner").pivot("l_returnflag", ["A", "N", "R"]).agg(_N).na.fill(0), W + "SELECT learner, count(*) FILTER (l_returnflag = 'A') AS A, count(*) FILTER (l_returnflag = 'N') AS N, count(*) FILTER (l_returnflag = 'R') AS R FROM base GROUP BY learner")
-register("ag26_attack_ratio_by_day", lambda s, d: rounded(events(s, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_N.alias("n"), F.sum((F.col("label") == "error").cast("long")).alias("attacks"), F.avg((F.col("label") == "error").cast("double")).alias("ratio"))),
+register("ag25_crosstab", lambda s, d: flows(s, d).groupBy("learner").pivot("l_returnflag", ["A", "N", "R"]).agg(_n()).na.fill(0), W + "SELECT learner, count(*) FILTER (l_returnflag = 'A') AS A, count(*) FILTER (l_returnflag = 'N') AS N, count(*) FILTER (l_returnflag = 'R') AS R FROM base GROUP BY learner")
+register("ag26_attack_ratio_by_day", lambda s, d: rounded(events(s, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_n().alias("n"), F.sum((F.col("label") == "error").cast("long")).alias("attacks"), F.avg((F.col("label") == "error").cast("double")).alias("ratio"))),
          "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum((event_type = 'error')::INT) AS BIGINT) AS attacks, round(avg((event_type = 'error')::INT), 6) AS ratio FROM events GROUP BY 1")
-register("ag27_hourly_traffic", lambda s, d: events(s, d).groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour"), "label").agg(_N.alias("n")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2")
+register("ag27_hourly_traffic", lambda s, d: events(s, d).groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour"), "label").agg(_n().alias("n")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2")
 register("ag28_feature_drift", lambda s, d: rounded(flows(s, d).groupBy(label_year(F.col("label")).alias("year")).agg(F.avg("l_quantity").alias("m")).join(F.broadcast(flows(s, d).agg(F.avg("l_quantity").alias("g"), F.stddev_samp("l_quantity").alias("sd"))), how="cross").select("year", F.when(F.col("sd") == 0, 0.0).otherwise((F.col("m") - F.col("g")) / F.col("sd")).alias("z"))),
          W + "SELECT year_tag AS year, round((avg(l_quantity) - (SELECT avg(l_quantity) FROM base)) / (SELECT stddev_samp(l_quantity) FROM base), 6) AS z FROM base GROUP BY 1")
 register("ag29_top_variance", lambda s, d: rounded(A.column_stats(flows(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "bwd"]).orderBy(F.col("std").desc(), "feature").limit(2).select("feature", "std"), 3),
@@ -89,7 +93,7 @@ register("ag33_weighted_mean", lambda s, d: rounded(flows(s, d).groupBy(base_lab
 
 def _stability(s, d, size=5000):
     rows = flows(s, d).select("learner", F.floor(F.col("row_index") / size).alias("w"))
-    n = rows.groupBy("learner", "w").agg(_N.alias("n"))
+    n = rows.groupBy("learner", "w").agg(_n().alias("n"))
     grid = n.select("learner").distinct().crossJoin(n.select("w").distinct())  # learners x windows, no rows of data
     full = grid.join(n, ["learner", "w"], "left").na.fill(0, ["n"])
     m = full.groupBy("learner").agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"), F.expr("percentile(n, 0.95D)").alias("p"))
@@ -116,16 +120,16 @@ register("ag41_class_report", lambda s, d: rounded(V.class_report(benign_flows(s
     SELECT class, round(CASE WHEN guessed > 0 THEN hit/guessed ELSE 0 END, 6) AS "precision", round(CASE WHEN support > 0 THEN hit/support ELSE 0 END, 6) AS recall, round(CASE WHEN hit > 0 THEN 2*hit/(guessed+support) ELSE 0 END, 6) AS f1, support FROM s""")
 register("ag42_separability", lambda s, d: rounded(V.auc(benign_flows(s, d).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), (1 - F.col("benign")).alias("y")) for c in ("l_quantity", "bwd", "l_tax")])).alias("p")).select("p.*"), ["feature"], "x", "y")), W + """, u AS (SELECT 1 - benign AS y, unnest(['l_quantity', 'bwd', 'l_tax']) AS feature, unnest([l_quantity, bwd, l_tax]) AS x FROM base),
     r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rk FROM u), a AS (SELECT feature, (sum(rk*y) - sum(y)*(sum(y)+1)/2) / (sum(y)*sum(1-y)) AS auc FROM r GROUP BY 1) SELECT feature, round(auc, 6) AS auc, round(greatest(auc, 1-auc), 6) AS oriented_auc FROM a""")
-register("ag44_retrain_count", lambda s, d: flows(s, d).withColumn("stage", F.when(F.col("row_index") % 4 == 0, "increment").otherwise("init")).where("stage = 'increment'").groupBy("learner").agg(_N.alias("retrains")), W + "SELECT learner, count(*) AS retrains FROM base WHERE row_index % 4 = 0 GROUP BY learner")
+register("ag44_retrain_count", lambda s, d: flows(s, d).withColumn("stage", F.when(F.col("row_index") % 4 == 0, "increment").otherwise("init")).where("stage = 'increment'").groupBy("learner").agg(_n().alias("retrains")), W + "SELECT learner, count(*) AS retrains FROM base WHERE row_index % 4 = 0 GROUP BY learner")
 register("ag46_totals_by_year", lambda s, d: flows(s, d).select(F.coalesce(label_year(F.col("label")), F.lit("unknown")).alias("year"), is_benign(F.col("label")).alias("b")).rollup("year").agg(F.sum(F.col("b").cast("long")).alias("benign"), F.sum((~F.col("b")).cast("long")).alias("attack")), W + "SELECT year_tag AS year, CAST(sum(benign) AS BIGINT) AS benign, CAST(sum(1 - benign) AS BIGINT) AS attack FROM base GROUP BY ROLLUP (year_tag)")
 register("ag50_distinct_counts", lambda s, d: flows(s, d).groupBy("label").agg(*[F.count_distinct(c).alias(c) for c in ("src_ip", "dst_ip", "dst_port")]), W + "SELECT label, count(DISTINCT src_ip) AS src_ip, count(DISTINCT dst_ip) AS dst_ip, count(DISTINCT dst_port) AS dst_port FROM base GROUP BY label")
-register("wn2_count_windows", lambda s, d: rounded(benign_flows(s, d).groupBy(F.floor(F.col("row_index") / 5000).alias("window_id")).agg(_N.alias("n"), F.min("row_index").alias("left"), (F.max("row_index") + 1).alias("right"), F.sum(1 - F.col("benign")).alias("attacks"))),
+register("wn2_count_windows", lambda s, d: rounded(benign_flows(s, d).groupBy(F.floor(F.col("row_index") / 5000).alias("window_id")).agg(_n().alias("n"), F.min("row_index").alias("left"), (F.max("row_index") + 1).alias("right"), F.sum(1 - F.col("benign")).alias("attacks"))),
          W + "SELECT CAST(floor(row_index / 5000) AS BIGINT) AS window_id, count(*) AS n, min(row_index) AS left, max(row_index) + 1 AS right, CAST(sum(1 - benign) AS BIGINT) AS attacks FROM base GROUP BY 1".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
 register("wn8_previews", lambda s, d: rounded(flows(s, d).withColumn("r", F.row_number().over(Window.partitionBy("learner").orderBy("row_index"))).where("r <= 10").select("learner", "row_index", "src_ip", "dst_ip", "dst_port", "label")), W + "SELECT learner, row_index, src_ip, dst_ip, CAST(dst_port AS BIGINT) AS dst_port, label FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY row_index) AS r FROM base) WHERE r <= 10")
-register("wn13_fifo_buffer", lambda s, d: flows(s, d).where("learner = 'UNKNOWN'").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.col("row_index").desc()))).groupBy("label", (F.col("r") <= 50).alias("kept")).agg(_N.alias("n"), F.min("row_index").cast("long").alias("first")), W + "SELECT label, r <= 50 AS kept, count(*) AS n, min(row_index) AS first FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_index DESC) AS r FROM base WHERE learner = 'UNKNOWN') GROUP BY 1, 2")
+register("wn13_fifo_buffer", lambda s, d: flows(s, d).where("learner = 'UNKNOWN'").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.col("row_index").desc()))).groupBy("label", (F.col("r") <= 50).alias("kept")).agg(_n().alias("n"), F.min("row_index").cast("long").alias("first")), W + "SELECT label, r <= 50 AS kept, count(*) AS n, min(row_index) AS first FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_index DESC) AS r FROM base WHERE learner = 'UNKNOWN') GROUP BY 1, 2")
 register("wn15_quantile_bands", lambda s, d: table(s, d, "supplier").join(F.broadcast(table(s, d, "supplier").agg(F.expr("percentile(s_acctbal, array(0.5D, 0.8D))").alias("q"))), how="cross").select("s_suppkey", F.when(F.col("s_acctbal") >= F.col("q")[1], "HIGH").when(F.col("s_acctbal") >= F.col("q")[0], "MEDIUM").otherwise("LOW").alias("band")),
          "SELECT s_suppkey, CASE WHEN s_acctbal >= (SELECT quantile_cont(s_acctbal, 0.8) FROM supplier) THEN 'HIGH' WHEN s_acctbal >= (SELECT quantile_cont(s_acctbal, 0.5) FROM supplier) THEN 'MEDIUM' ELSE 'LOW' END AS band FROM supplier")
-register("wn22_low_loss_keep", lambda s, d: losses(s, d).join(losses(s, d).groupBy("learner").agg(F.expr("percentile(loss, 0.25D)").alias("q")), "learner").where("loss <= q").groupBy("learner").agg(_N.alias("n")), f"WITH {LOSSES_SQL}, q AS (SELECT learner, quantile_cont(loss, 0.25) AS q FROM losses GROUP BY 1) SELECT learner, count(*) AS n FROM losses JOIN q USING (learner) WHERE loss <= q GROUP BY 1")
+register("wn22_low_loss_keep", lambda s, d: losses(s, d).join(losses(s, d).groupBy("learner").agg(F.expr("percentile(loss, 0.25D)").alias("q")), "learner").where("loss <= q").groupBy("learner").agg(_n().alias("n")), f"WITH {LOSSES_SQL}, q AS (SELECT learner, quantile_cont(loss, 0.25) AS q FROM losses GROUP BY 1) SELECT learner, count(*) AS n FROM losses JOIN q USING (learner) WHERE loss <= q GROUP BY 1")
 register("ml31_roc_curve", lambda s, d: rounded(V.curve(events(s, d).select(F.round("value", 1).alias("score"), (F.col("label") == "error").cast("int").alias("y")), "score", "y")), """WITH e AS (SELECT round(value, 1) AS threshold, (event_type = 'error')::INT AS y FROM events), c AS (SELECT threshold, sum(y) AS p, sum(1-y) AS q FROM e GROUP BY 1), k AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(q) OVER (ORDER BY threshold DESC) AS fp FROM c)
     SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / (SELECT sum(y) FROM e), 6) AS tpr, round(fp / (SELECT sum(1-y) FROM e), 6) AS fpr, round(tp/(tp+fp), 6) AS "precision" FROM k""")
 register("ml26_fpr_thresholds", lambda s, d: rounded(V.threshold_for_fpr(V.curve(events(s, d).select("value", (F.col("label") == "error").cast("int").alias("y")), "value", "y"), [0.01, 0.05, 0.1])), """WITH e AS (SELECT value AS threshold, (event_type = 'error')::INT AS y FROM events), c AS (SELECT threshold, sum(y) AS p, sum(1-y) AS q FROM e GROUP BY 1), k AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(q) OVER (ORDER BY threshold DESC) AS fp FROM c),

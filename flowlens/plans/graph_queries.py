@@ -18,7 +18,11 @@ from .aggregate_queries import benign_flows, rounded
 from .registry import register
 
 W, X = f"WITH {FLOWS_SQL} ", f"WITH {LOSSES_SQL} "
-_N = F.count(F.lit(1))
+
+
+def _n():
+    """Rows, as an aggregate; made when it is used, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 def _hosts(s, d, key="learner"):
@@ -36,13 +40,13 @@ _STATS = _DEG + """, rv AS (SELECT a.*, coalesce(b.n, 0) AS back FROM e a LEFT J
   st AS (SELECT learner, nodes, edges, CASE WHEN nodes > 1 THEN edges / (nodes*(nodes-1)) ELSE 0 END AS density, o / greatest(1, nodes-1) AS max_out_ratio, i / greatest(1, nodes-1) AS max_in_ratio, leaf / nodes AS leaf_ratio, edges / nodes AS edge_per_node, two / edges AS reciprocity, CASE WHEN sm > 0 THEN mn / sm ELSE 0 END AS weighted_reciprocity FROM s1 JOIN s2 USING (learner))"""
 _STAT_COLS = "learner, nodes, edges, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("density", "max_out_ratio", "max_in_ratio", "leaf_ratio", "edge_per_node", "reciprocity", "weighted_reciprocity"))
 
-register("gr1_endpoint_keys", lambda s, d: flows(s, d).groupBy(T.endpoint(F.col("dst_ip"), F.col("dst_port")).alias("endpoint")).agg(_N.alias("n")).where("n >= 5"), W + "SELECT concat(trim(dst_ip), ':', dst_port) AS endpoint, count(*) AS n FROM base GROUP BY 1 HAVING count(*) >= 5")
+register("gr1_endpoint_keys", lambda s, d: flows(s, d).groupBy(T.endpoint(F.col("dst_ip"), F.col("dst_port")).alias("endpoint")).agg(_n().alias("n")).where("n >= 5"), W + "SELECT concat(trim(dst_ip), ':', dst_port) AS endpoint, count(*) AS n FROM base GROUP BY 1 HAVING count(*) >= 5")
 register("gr2_edges", lambda s, d: _hosts(s, d).where("n > 1"), W + _E + " SELECT * FROM e WHERE n > 1")
 register("gr3_compact_links", lambda s, d: T.compact(_hosts(s, d), "learner", 40, 20)[0], W + _E + """, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY n DESC, src, dst) AS r FROM e) WHERE r <= 40),
   k AS (SELECT * FROM (SELECT learner, node, row_number() OVER (PARTITION BY learner ORDER BY sum(n) DESC, node) AS r FROM (SELECT learner, src AS node, n FROM t UNION ALL SELECT learner, dst, n FROM t) GROUP BY learner, node) WHERE r <= 20)
   SELECT learner, src, dst, n FROM t WHERE (learner, src) IN (SELECT learner, node FROM k) AND (learner, dst) IN (SELECT learner, node FROM k)""")
 register("gr3_compact_nodes", lambda s, d: T.compact(_hosts(s, d), "learner", 0, 15)[1], W + _E + " SELECT learner, node, CAST(f AS BIGINT) AS flows FROM (SELECT learner, node, sum(n) AS f, row_number() OVER (PARTITION BY learner ORDER BY sum(n) DESC, node) AS r FROM (SELECT learner, src AS node, n FROM e UNION ALL SELECT learner, dst, n FROM e) GROUP BY learner, node) WHERE r <= 15")
-register("gr4_private_addresses", lambda s, d: flows(s, d).groupBy(T.is_private(F.col("src_ip")).alias("src"), T.is_private(F.col("dst_ip")).alias("dst")).agg(_N.alias("n")), W + "SELECT true AS src, dst_ip LIKE '10.%' AS dst, count(*) AS n FROM base GROUP BY 2")
+register("gr4_private_addresses", lambda s, d: flows(s, d).groupBy(T.is_private(F.col("src_ip")).alias("src"), T.is_private(F.col("dst_ip")).alias("dst")).agg(_n().alias("n")), W + "SELECT true AS src, dst_ip LIKE '10.%' AS dst, count(*) AS n FROM base GROUP BY 2")
 register("gr5_endpoint_stats", lambda s, d: rounded(flows(s, d).groupBy("learner").agg(F.count_distinct("src_ip").alias("sources"), F.count_distinct("dst_ip").alias("targets"), F.count_distinct("dst_port").alias("ports"), F.avg(T.is_private(F.col("dst_ip")).cast("double")).alias("internal"))), W + "SELECT learner, count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS ports, round(avg((dst_ip LIKE '10.%')::INT), 6) AS internal FROM base GROUP BY 1")
 register("gr6_label_views", lambda s, d: _views(s, d), W + """, v AS (SELECT label AS view, src_ip, dst_ip FROM base UNION ALL SELECT CASE WHEN benign = 1 THEN '__benign__' ELSE '__attack__' END, src_ip, dst_ip FROM base UNION ALL SELECT '__combined__', src_ip, dst_ip FROM base),
   e AS (SELECT view, src_ip AS src, dst_ip AS dst, count(*) AS n FROM v GROUP BY ALL) SELECT view, src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY n DESC, src, dst) AS r FROM e) WHERE r <= 10""")
@@ -65,7 +69,7 @@ def _trade(s, d):
     """Customers and suppliers of small orders: a sparse graph with many components, keyed by the order's month."""
     lines = table(s, d, "lineitem").where("l_quantity = 1").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.date_format("o_orderdate", "MM").alias("month"))
-    return lines.join(orders, "l_orderkey").groupBy("month", "src", "dst").agg(_N.alias("n"))
+    return lines.join(orders, "l_orderkey").groupBy("month", "src", "dst").agg(_n().alias("n"))
 
 
 _CC = """WITH RECURSIVE e AS (SELECT DISTINCT strftime(o_orderdate, '%m') AS month, concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity = 1),
@@ -93,10 +97,10 @@ register("qm_key_statistics", lambda s, d: rounded(_key_stats(s, d)), W + _KEYS
 
 def _key_stats(s, d):
     c = Q.key_counts(flows(s, d), "learner").withColumn("total", F.sum("n").over(Window.partitionBy("learner", "kind")))
-    return c.groupBy("learner", "kind").agg(normal_entropy(F.col("n"), F.col("total")).alias("h"), F.max(F.col("n") / F.col("total")).alias("top"), _N.alias("u"), concentration(F.col("n"), F.col("total")).alias("hhi"), F.max("total").alias("flows"))
+    return c.groupBy("learner", "kind").agg(normal_entropy(F.col("n"), F.col("total")).alias("h"), F.max(F.col("n") / F.col("total")).alias("top"), _n().alias("u"), concentration(F.col("n"), F.col("total")).alias("hhi"), F.max("total").alias("flows"))
 
 
-register("qm2_richness", lambda s, d: rounded(flows(s, d).groupBy("learner").agg(richness(F.count_distinct("dst_port"), _N, 65536).alias("richness"))), W + "SELECT learner, round(least(100, 100 * ln(1 + count(DISTINCT dst_port)) / ln(1 + least(count(*), 65536))), 6) AS richness FROM base GROUP BY 1")
+register("qm2_richness", lambda s, d: rounded(flows(s, d).groupBy("learner").agg(richness(F.count_distinct("dst_port"), _n(), 65536).alias("richness"))), W + "SELECT learner, round(least(100, 100 * ln(1 + count(DISTINCT dst_port)) / ln(1 + least(count(*), 65536))), 6) AS richness FROM base GROUP BY 1")
 register("qm7_edge_reuse", lambda s, d: rounded(_key_stats(s, d).where("kind = 'endpoint_edge'").select("learner", (F.col("flows") / F.col("u")).alias("raw"), log_score(F.col("flows") / F.col("u"), 100).alias("score"))), W + _KEYS + " SELECT learner, round(flows/u, 6) AS raw, round(least(100, 100 * ln(1 + flows/u) / ln(101)), 6) AS score FROM ks WHERE kind = 'endpoint_edge'")
 register("qm19_low_reciprocity", lambda s, d: rounded(flows(s, d).groupBy("learner").agg((1 - F.sum(F.least("fwd", "bwd")) / F.sum(F.col("fwd") + F.col("bwd"))).alias("low_reciprocity"))), W + "SELECT learner, round(1 - sum(least(fwd, bwd)) / sum(fwd + bwd), 6) AS low_reciprocity FROM base GROUP BY 1")
 _TEMP = """, te AS (SELECT learner, epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM base GROUP BY 1), tw AS (SELECT min(low) AS w0, max(high) AS w1, greatest(128, least(2048, floor((max(high)-min(low))/1e6/3600))) AS nb FROM te),
@@ -139,7 +143,7 @@ def qualification_report(s, d):
 
 
 register("qr_qualification_report", qualification_report, _QUAL + f" SELECT *, {_HINT_SQL} AS hints, {_RULE_SQL} AS rules FROM qw")
-register("qa1_strength_bands", lambda s, d: Q.long_metrics(Q.metrics(flows(s, d))).groupBy(Q.strength(F.col("score")).alias("band")).agg(_N.alias("n")), _QUAL + ", l AS (SELECT unnest([" + ", ".join(f"{m}__score" for m in Q.METRICS) + "]) AS score FROM qw) SELECT CASE WHEN score < 20 THEN 'very_low' WHEN score < 40 THEN 'low' WHEN score < 60 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very_high' END AS band, count(*) AS n FROM l WHERE score IS NOT NULL GROUP BY 1")
+register("qa1_strength_bands", lambda s, d: Q.long_metrics(Q.metrics(flows(s, d))).groupBy(Q.strength(F.col("score")).alias("band")).agg(_n().alias("n")), _QUAL + ", l AS (SELECT unnest([" + ", ".join(f"{m}__score" for m in Q.METRICS) + "]) AS score FROM qw) SELECT CASE WHEN score < 20 THEN 'very_low' WHEN score < 40 THEN 'low' WHEN score < 60 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very_high' END AS band, count(*) AS n FROM l WHERE score IS NOT NULL GROUP BY 1")
 
 # overlap and routing
 
@@ -147,11 +151,11 @@ _ACC = ", acc AS (SELECT * FROM losses WHERE loss <= threshold)"
 _JAC = _ACC + """, an AS (SELECT learner, count(*) AS n FROM acc GROUP BY 1), pb AS (SELECT a.learner AS learner_a, b.learner AS learner_b, count(*) AS n FROM acc a JOIN acc b ON a.row_index = b.row_index AND a.learner < b.learner GROUP BY ALL),
   jc AS (SELECT a.learner AS learner_a, b.learner AS learner_b, a.n AS count_a, b.n AS count_b, coalesce(p.n, 0) AS both FROM an a JOIN an b ON a.learner < b.learner LEFT JOIN pb p ON p.learner_a = a.learner AND p.learner_b = b.learner),
   jx AS (SELECT learner_a, learner_b, count_a, count_b, "both", count_a + count_b - "both" AS either, CASE WHEN count_a + count_b - "both" > 0 THEN "both" / (count_a + count_b - "both") ELSE 0 END AS jaccard FROM jc)""".replace("AS both", 'AS "both"')
-register("ml5_routing", lambda s, d: O.route(losses(s, d)).groupBy("assigned_learner").agg(_N.alias("n"), F.sum("n_accepted").alias("accepted")), X + _ACC + ", w AS (SELECT row_index, learner, row_number() OVER (PARTITION BY row_index ORDER BY is_benign, loss, learner) AS r, count(*) OVER (PARTITION BY row_index) AS k FROM acc), a AS (SELECT v.vec_id, coalesce(w.learner, 'UNKNOWN') AS assigned_learner, coalesce(k, 0) AS k FROM embeddings v LEFT JOIN w ON w.row_index = v.vec_id AND r = 1) SELECT assigned_learner, count(*) AS n, CAST(sum(k) AS BIGINT) AS accepted FROM a GROUP BY 1")
-register("ag35_acceptance_counts", lambda s, d: O.accepted(losses(s, d), 0.8).groupBy("learner").agg(_N.alias("n")), X + "SELECT learner, count(*) AS n FROM losses WHERE loss <= threshold * CASE WHEN is_benign THEN 0.8 ELSE 1 END GROUP BY 1")
+register("ml5_routing", lambda s, d: O.route(losses(s, d)).groupBy("assigned_learner").agg(_n().alias("n"), F.sum("n_accepted").alias("accepted")), X + _ACC + ", w AS (SELECT row_index, learner, row_number() OVER (PARTITION BY row_index ORDER BY is_benign, loss, learner) AS r, count(*) OVER (PARTITION BY row_index) AS k FROM acc), a AS (SELECT v.vec_id, coalesce(w.learner, 'UNKNOWN') AS assigned_learner, coalesce(k, 0) AS k FROM embeddings v LEFT JOIN w ON w.row_index = v.vec_id AND r = 1) SELECT assigned_learner, count(*) AS n, CAST(sum(k) AS BIGINT) AS accepted FROM a GROUP BY 1")
+register("ag35_acceptance_counts", lambda s, d: O.accepted(losses(s, d), 0.8).groupBy("learner").agg(_n().alias("n")), X + "SELECT learner, count(*) AS n FROM losses WHERE loss <= threshold * CASE WHEN is_benign THEN 0.8 ELSE 1 END GROUP BY 1")
 register("ag36_jaccard", lambda s, d: rounded(O.jaccard(O.accepted(losses(s, d)))), X + _JAC + ' SELECT learner_a, learner_b, count_a, count_b, "both", either, round(jaccard, 6) AS jaccard, round("both"/count_a, 6) AS a_to_b, round("both"/count_b, 6) AS b_to_a FROM jx')
 register("ag37_overlap_risk", lambda s, d: rounded(O.overlap_risk(O.jaccard(O.accepted(losses(s, d))))), X + _JAC + ", b AS (SELECT learner_a AS learner, learner_b AS other, jaccard FROM jx WHERE jaccard > 0 UNION ALL SELECT learner_b, learner_a, jaccard FROM jx WHERE jaccard > 0), r AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY jaccard DESC, other) AS r FROM b) SELECT learner, round(0.7 * avg(jaccard) FILTER (r <= 3) + 0.3 * avg((jaccard >= 0.1)::INT), 6) AS overlap_risk FROM r GROUP BY 1")
-register("ag38_label_similarity", lambda s, d: rounded(O.label_similarity(flows(s, d).groupBy("learner", "label").agg(_N.alias("n")))), W + """, c AS (SELECT learner, label, count(*) AS n FROM base GROUP BY ALL), g AS (SELECT learner, label, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY learner) AS p FROM (SELECT DISTINCT learner FROM c) CROSS JOIN (SELECT DISTINCT label FROM c) LEFT JOIN c USING (learner, label)),
+register("ag38_label_similarity", lambda s, d: rounded(O.label_similarity(flows(s, d).groupBy("learner", "label").agg(_n().alias("n")))), W + """, c AS (SELECT learner, label, count(*) AS n FROM base GROUP BY ALL), g AS (SELECT learner, label, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY learner) AS p FROM (SELECT DISTINCT learner FROM c) CROSS JOIN (SELECT DISTINCT label FROM c) LEFT JOIN c USING (learner, label)),
   q AS (SELECT a.learner AS learner_a, b.learner AS learner_b, a.p AS p0, b.p AS q0, greatest(a.p, 1e-12) AS p, greatest(b.p, 1e-12) AS q FROM g a JOIN g b ON a.label = b.label AND a.learner < b.learner)
   SELECT learner_a, learner_b, round(1 - (0.5*sum(p*ln(p/((p+q)/2))) + 0.5*sum(q*ln(q/((p+q)/2)))), 6) AS js_similarity, round(sum(p0*q0)/sqrt(sum(p0*p0)*sum(q0*q0)), 6) AS cosine, round(sum(least(p0, q0)), 6) AS shared FROM q GROUP BY ALL""")
 register("wn9_handoffs", lambda s, d: rounded(O.handoffs(flows(s, d), block=1000)), W + ", l AS (SELECT learner, lag(learner) OVER (ORDER BY row_index) AS prev FROM base), t AS (SELECT learner, count(*) AS n FROM base GROUP BY 1), h AS (SELECT least(prev, learner) AS learner_a, greatest(prev, learner) AS learner_b, count(*) AS handoffs FROM l WHERE prev <> learner GROUP BY ALL) SELECT learner_a, learner_b, handoffs, round(handoffs / least(a.n, b.n), 6) AS rate FROM h JOIN t a ON a.learner = learner_a JOIN t b ON b.learner = learner_b")
@@ -164,13 +168,13 @@ register("ml20_learner_risk", lambda s, d: rounded(V.learner_risk(losses(s, d)),
 # joins, sets, order
 
 register("jn3_profile_star", lambda s, d: rounded(A.group_profile(flows(s, d), "learner").select("learner", "total").join(A.port_stats(flows(s, d).where("dst_port > 1000"), "learner").select("learner", "ports"), "learner", "left").na.fill(0, ["ports"])), W + "SELECT learner, count(*) AS total, count(DISTINCT CASE WHEN dst_port > 1000 THEN dst_port END) AS ports FROM base GROUP BY 1")
-register("jn5_pair_membership", lambda s, d: flows(s, d).join(_hosts(s, d).groupBy("src", "dst").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "src", "dst").limit(5).select(F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip")), ["src_ip", "dst_ip"], "left_semi").groupBy("label").agg(_N.alias("n")), W + ", t AS (SELECT src_ip, dst_ip FROM base GROUP BY ALL ORDER BY count(*) DESC, src_ip, dst_ip LIMIT 5) SELECT label, count(*) AS n FROM base SEMI JOIN t USING (src_ip, dst_ip) GROUP BY 1")
+register("jn5_pair_membership", lambda s, d: flows(s, d).join(_hosts(s, d).groupBy("src", "dst").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "src", "dst").limit(5).select(F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip")), ["src_ip", "dst_ip"], "left_semi").groupBy("label").agg(_n().alias("n")), W + ", t AS (SELECT src_ip, dst_ip FROM base GROUP BY ALL ORDER BY count(*) DESC, src_ip, dst_ip LIMIT 5) SELECT label, count(*) AS n FROM base SEMI JOIN t USING (src_ip, dst_ip) GROUP BY 1")
 register("jn7_skipped", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 register("jn10_reverse_edges", lambda s, d: T.with_reverse(_pairs(s, d), []).where("back > 0"), "WITH p AS (SELECT l_suppkey % 40 AS src, l_partkey % 40 AS dst, count(*) AS n FROM lineitem GROUP BY ALL) SELECT a.src, a.dst, a.n, b.n AS back FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src")
 
 
 def _pairs(s, d):
-    return table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).agg(_N.alias("n"))
+    return table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).agg(_n().alias("n"))
 
 
 register("gr11_reciprocity", lambda s, d: rounded(T.graph_stats(_pairs(s, d).withColumn("g", F.lit("all")), ["g"]).select("g", "reciprocity", "weighted_reciprocity")), "WITH p AS (SELECT l_suppkey % 40 AS src, l_partkey % 40 AS dst, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT a.*, coalesce(b.n, 0) AS back FROM p a LEFT JOIN p b ON a.src = b.dst AND a.dst = b.src) SELECT 'all' AS g, round(sum((back > 0 AND src <> dst)::INT) / count(*), 6) AS reciprocity, round(sum(CASE WHEN back > 0 THEN least(n, back) ELSE 0 END) / sum(CASE WHEN back > 0 THEN n ELSE 0 END), 6) AS weighted_reciprocity FROM r")
@@ -179,12 +183,12 @@ register("jn14_reconcile", lambda s, d: rounded(_reconcile(s, d)), W + ", a AS (
 
 def _reconcile(s, d):
     f = flows(s, d).select("learner", "row_index")
-    a = f.where("row_index % 2 = 0 and learner <> 'NEW_1'").groupBy("learner").agg(_N.alias("x"))
-    b = f.where("row_index % 3 = 0 and learner <> 'NEW_2'").groupBy("learner").agg(_N.alias("y"))
+    a = f.where("row_index % 2 = 0 and learner <> 'NEW_1'").groupBy("learner").agg(_n().alias("x"))
+    b = f.where("row_index % 3 = 0 and learner <> 'NEW_2'").groupBy("learner").agg(_n().alias("y"))
     return a.join(b, "learner", "full").na.fill(0, ["x", "y"]).withColumn("diff", F.col("x") - F.col("y"))
 
 
-register("jn15_owner_precedence", lambda s, d: _owners(s, d).groupBy("owner").agg(_N.alias("n")), W + ", a AS (SELECT row_index, learner FROM base WHERE row_index % 4 <> 0), b AS (SELECT row_index, concat('C_', l_linenumber) AS learner FROM base WHERE row_index % 3 = 0) SELECT coalesce(nullif(a.learner, 'UNKNOWN'), b.learner, a.learner) AS owner, count(*) AS n FROM a FULL JOIN b USING (row_index) GROUP BY 1")
+register("jn15_owner_precedence", lambda s, d: _owners(s, d).groupBy("owner").agg(_n().alias("n")), W + ", a AS (SELECT row_index, learner FROM base WHERE row_index % 4 <> 0), b AS (SELECT row_index, concat('C_', l_linenumber) AS learner FROM base WHERE row_index % 3 = 0) SELECT coalesce(nullif(a.learner, 'UNKNOWN'), b.learner, a.learner) AS owner, count(*) AS n FROM a FULL JOIN b USING (row_index) GROUP BY 1")
 
 
 def _owners(s, d):
@@ -193,7 +197,7 @@ def _owners(s, d):
     return a.join(b, "row_index", "full").select(F.coalesce(F.nullif("learner", F.lit("UNKNOWN")), "made", "learner").alias("owner"))
 
 
-register("jn19_quota_claims", lambda s, d: _claims(s, d).groupBy("claimer", "label").agg(_N.alias("n"), F.min("row_index").cast("long").alias("first")), W + """, u AS (SELECT row_index, label, row_number() OVER (PARTITION BY label ORDER BY row_index) AS r FROM base WHERE learner = 'UNKNOWN'), q AS (SELECT learner, label, CAST(ceil(count(*) / 20) AS BIGINT) AS quota FROM base WHERE learner <> 'UNKNOWN' GROUP BY ALL),
+register("jn19_quota_claims", lambda s, d: _claims(s, d).groupBy("claimer", "label").agg(_n().alias("n"), F.min("row_index").cast("long").alias("first")), W + """, u AS (SELECT row_index, label, row_number() OVER (PARTITION BY label ORDER BY row_index) AS r FROM base WHERE learner = 'UNKNOWN'), q AS (SELECT learner, label, CAST(ceil(count(*) / 20) AS BIGINT) AS quota FROM base WHERE learner <> 'UNKNOWN' GROUP BY ALL),
   c AS (SELECT *, sum(quota) OVER (PARTITION BY label ORDER BY learner) AS hi FROM q) SELECT c.learner AS claimer, u.label, count(*) AS n, min(row_index) AS first FROM u JOIN c ON u.label = c.label AND u.r > hi - quota AND u.r <= hi GROUP BY ALL""".replace("AS first", 'AS "first"'))
 
 
@@ -201,7 +205,7 @@ def _claims(s, d):
     """Each learner in turn claims UNKNOWN rows of a label up to its quota: a running sum of quotas against row numbers."""
     f = flows(s, d)
     unknown = f.where("learner = 'UNKNOWN'").select("row_index", "label", F.row_number().over(Window.partitionBy("label").orderBy("row_index")).alias("r"))
-    quota = f.where("learner <> 'UNKNOWN'").groupBy("learner", "label").agg(F.ceil(_N / 20).alias("quota"))
+    quota = f.where("learner <> 'UNKNOWN'").groupBy("learner", "label").agg(F.ceil(_n() / 20).alias("quota"))
     quota = quota.withColumn("hi", F.sum("quota").over(Window.partitionBy("label").orderBy("learner"))).withColumnRenamed("learner", "claimer")
     return unknown.join(quota, "label").where((F.col("r") > F.col("hi") - F.col("quota")) & (F.col("r") <= F.col("hi")))
 
@@ -216,7 +220,7 @@ def _sets(s, d):
     return named(a.intersect(b), "both").unionByName(named(a.exceptAll(b), "first")).unionByName(named(a.union(b).distinct(), "either"))
 
 
-register("tk2_top_labels", lambda s, d: flows(s, d).groupBy("label").agg(_N.alias("n")).where("n >= 100").orderBy(F.col("n").desc(), "label").limit(5), W + "SELECT label, count(*) AS n FROM base GROUP BY 1 HAVING count(*) >= 100 ORDER BY 2 DESC, 1 LIMIT 5")
+register("tk2_top_labels", lambda s, d: flows(s, d).groupBy("label").agg(_n().alias("n")).where("n >= 100").orderBy(F.col("n").desc(), "label").limit(5), W + "SELECT label, count(*) AS n FROM base GROUP BY 1 HAVING count(*) >= 100 ORDER BY 2 DESC, 1 LIMIT 5")
 register("tk5_learner_order", lambda s, d: _ordered(s, d), W + ", l AS (SELECT DISTINCT learner FROM base UNION ALL SELECT 'BENIGN' UNION ALL SELECT 'NEW_10' UNION ALL SELECT 'zeta') SELECT learner, row_number() OVER (ORDER BY CASE WHEN learner LIKE '%BENIGN%' THEN 0 WHEN regexp_matches(learner, '^NEW_[0-9]+$') THEN 1 WHEN learner = 'UNKNOWN' THEN 3 ELSE 2 END, try_cast(substr(learner, 5) AS BIGINT) NULLS FIRST, learner) AS place FROM l")
 
 

@@ -28,7 +28,11 @@ from .aggregate_queries import benign_flows, rounded
 from .registry import register
 
 W = f"WITH {FLOWS_SQL} "
-_N = F.count(F.lit(1))
+
+
+def _n():
+    """Rows, as an aggregate; made when it is used, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 def work_folder(spark) -> str:
@@ -48,17 +52,17 @@ def _parties(s, d):
     return [S.trim_names(table(s, d, t).withColumnRenamed(f"{t[0]}_name", f" {t[0]}_name "), _RENAMES) for t in ("customer", "supplier")]
 
 
-register("sc1_ordered_union", lambda s, d: rounded(S.in_order(_parties(s, d)).groupBy("file_no", "nation").agg(_N.alias("n"), F.count("c_mktsegment").alias("segments"))), "SELECT 0::BIGINT AS file_no, c_nationkey::BIGINT AS nation, count(*) AS n, count(c_mktsegment) AS segments FROM customer GROUP BY 2 UNION ALL SELECT 1, s_nationkey, count(*), 0 FROM supplier GROUP BY 2")
+register("sc1_ordered_union", lambda s, d: rounded(S.in_order(_parties(s, d)).groupBy("file_no", "nation").agg(_n().alias("n"), F.count("c_mktsegment").alias("segments"))), "SELECT 0::BIGINT AS file_no, c_nationkey::BIGINT AS nation, count(*) AS n, count(c_mktsegment) AS segments FROM customer GROUP BY 2 UNION ALL SELECT 1, s_nationkey, count(*), 0 FROM supplier GROUP BY 2")
 register("sc4_aligned_union", lambda s, d: rounded(_aligned(s, d)), "SELECT nation::BIGINT AS nation, count(*) AS n, round(sum(balance), 2) AS balance FROM (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1")
 
 
 def _aligned(s, d):
     a, b = S.align(_parties(s, d), ["nation"])
-    return a.unionByName(b).groupBy("nation").agg(_N.alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+    return a.unionByName(b).groupBy("nation").agg(_n().alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
 
 
-register("sc12_without_ports", lambda s, d: S.without_ports(flows(s, d)).groupBy("learner", "src_port").agg(_N.alias("n")), W + "SELECT concat('SRC_', replace(src_ip, '.', '_')) AS learner, '0' AS src_port, count(*) AS n FROM base GROUP BY 1")
-register("sc13_counter_rates", lambda s, d: rounded(S.interface_rates(events(s, d).select((F.col("row_index") % 3).cast("string").alias("host"), "ts", (F.col("row_index") * 10).alias("bytes")), "ts", ["bytes"]).groupBy("host").agg(_N.alias("n"), F.avg("bytes_rate").alias("mean")), 4),
+register("sc12_without_ports", lambda s, d: S.without_ports(flows(s, d)).groupBy("learner", "src_port").agg(_n().alias("n")), W + "SELECT concat('SRC_', replace(src_ip, '.', '_')) AS learner, '0' AS src_port, count(*) AS n FROM base GROUP BY 1")
+register("sc13_counter_rates", lambda s, d: rounded(S.interface_rates(events(s, d).select((F.col("row_index") % 3).cast("string").alias("host"), "ts", (F.col("row_index") * 10).alias("bytes")), "ts", ["bytes"]).groupBy("host").agg(_n().alias("n"), F.avg("bytes_rate").alias("mean")), 4),
          "WITH r AS (SELECT (event_id % 3)::VARCHAR AS host, (event_id*10 - lag(event_id*10) OVER w) / ((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6) AS rate, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY event_id % 3 ORDER BY ts)) SELECT host, count(*) AS n, round(avg(rate), 4) AS mean FROM r WHERE gap > 0 GROUP BY 1")
 register("ag47_leaderboard", lambda s, d: rounded(R.leaderboard(_runs(s, d), 5)), "WITH r AS (SELECT concat('20240101_', lpad(c_custkey::VARCHAR, 6, '0')) AS run, round(abs(c_acctbal) / 10000, 6) AS fpr, (c_custkey % 97) / 100 AS fnr FROM customer) SELECT run, fpr, fnr, round(1 - fnr, 6) AS tpr, place FROM (SELECT *, row_number() OVER (ORDER BY fpr + fnr, fnr, run) AS place FROM r) WHERE place <= 5")
 
@@ -84,12 +88,12 @@ def _scored(s, d, backend):
     df = flows(s, d).select("row_index", "learner", *_FEATURES).where("learner <> 'UNKNOWN'")
     params = M.fit_learners(df, "learner", "row_index", _FEATURES, backend, most_rows=500).collect()  # a row for each learner
     out = M.score_learners(df, "row_index", _FEATURES, params)
-    return out.groupBy("learner").agg(_N.alias("rows"), F.avg((F.col("loss") <= F.col("threshold")).cast("double")).alias("accepted"), F.max("threshold").alias("threshold"))
+    return out.groupBy("learner").agg(_n().alias("rows"), F.avg((F.col("loss") <= F.col("threshold")).cast("double")).alias("accepted"), F.max("threshold").alias("threshold"))
 
 
 register("ml3_isolation_forest", lambda s, d: _scored(s, d, "iforest"))
 register("ml2_autoencoder", lambda s, d: _scored(s, d, "ae"))
-register("ml7_new_classes", lambda s, d: M.new_classes(flows(s, d).where("learner = 'UNKNOWN'"), "row_index", ["l_quantity", "bwd"], 0.3, 8, 20, 2000).groupBy("cluster").agg(_N.alias("n")))
+register("ml7_new_classes", lambda s, d: M.new_classes(flows(s, d).where("learner = 'UNKNOWN'"), "row_index", ["l_quantity", "bwd"], 0.3, 8, 20, 2000).groupBy("cluster").agg(_n().alias("n")))
 
 
 def _assembled(s, d):
@@ -117,7 +121,7 @@ def _purity(s, d):
     df = _vectors(s, d).withColumnRenamed("v", "features")
     made = KMeans(k=2, seed=1).fit(df).transform(df)
     apart = ClusteringEvaluator().evaluate(made)
-    return made.groupBy("prediction").agg(_N.alias("n")).withColumn("silhouette", F.lit(round(apart, 6)))
+    return made.groupBy("prediction").agg(_n().alias("n")).withColumn("silhouette", F.lit(round(apart, 6)))
 
 
 register("ml17_purity_split", _purity)
@@ -156,7 +160,7 @@ def _open_set(s, d):
     loop = OpenSet(s, f"{root}/state", _FEATURES, trigger=100, least_class=20, most_buffer=1000, most_rows=500, eps=0.6)
     loop.start(rows.where("row_index < 1500").withColumn("base", base_label(F.col("label"))).where("base <> 'PORTSCAN'"), "base")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    return loop.run(stream).groupBy("assigned_learner").agg(_N.alias("n"))
+    return loop.run(stream).groupBy("assigned_learner").agg(_n().alias("n"))
 
 
 register("ml18_open_set_stream", _open_set)
