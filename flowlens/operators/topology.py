@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import ensure_checkpoints
+
 
 def endpoint(ip: Column, port: Column) -> Column:
     """ip:port; a port that is no number is 0."""
@@ -122,16 +124,9 @@ def components(edge: DataFrame, key: str) -> DataFrame:
     """key, node, component: the smallest node that edges reach in either direction, per key.
 
     Labels spread by minimum and are then followed one step further, so rounds grow with the logarithm of a component's
-    width. Each round is checkpointed where the session has a folder for it (spark.checkpoint.dir), so a lost executor
-    doesn't replay earlier rounds.
+    width. Each round is checkpointed to the shared folder, so a lost executor doesn't replay earlier rounds.
     """
-    spark = edge.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-"))
+    ensure_checkpoints(edge.sparkSession)
     both = edge.select(key, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("p"))
     both = both.select(key, "p.a", "p.b").distinct().checkpoint()
     labels = both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
@@ -17,6 +16,7 @@ from flowlens.functions.labels import base_label
 from flowlens.operators import evaluation as V
 from flowlens.operators import expressions as E
 from flowlens.operators import models as M
+from flowlens.session import shared_folder
 from flowlens.sources import flow_files as S
 from flowlens.sources import run_store as R
 from flowlens.sources.testdata import FLOWS_SQL, events, flows, table
@@ -36,11 +36,8 @@ def _n():
 
 
 def work_folder(spark) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one in a local session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='flowlens-')}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # sources
