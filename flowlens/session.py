@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +42,18 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """checkpoint() writes to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once for each application, so their Python workers can import it
+    wherever the driver runs."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    files = sorted(home.rglob("*.py"))
+    name = "flowlens-" + hashlib.sha256(b"".join(str(f).encode() + f.read_bytes() for f in files)).hexdigest()[:12] + ".zip"
+    if any(x.endswith(name) for x in sc.listFiles):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="flowlens-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(path)
