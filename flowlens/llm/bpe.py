@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -151,18 +152,21 @@ class PairIndexBpe:
     def library_words(self, words: list[bytes]) -> list[bytes]:
         """The same ids from the library's own merging, word by word."""
         cut, spell = self.library.model.tokenize, self.letters.__getitem__
-        return [np.array([x.id for x in cut("".join(map(spell, w)))], "<u4").tobytes() for w in words]
+        return [struct.pack(f"<{len(x)}I", *[t.id for t in x]) for x in (cut("".join(map(spell, w))) for w in words)]
 
 
 class TextEncoder:
-    """Texts to ids, with bounded memories of chunks and words. `merge` gives the ids of words not seen before."""
+    """Texts to ids, with bounded memories of chunks and words. `merge` gives the ids of words not seen before; the pair
+    index gets those of a stretch of texts together, the library one by one."""
 
-    def __init__(self, bpe: PairIndexBpe, merge=None, most: int = 300_000):
-        self.bpe, self.merge = bpe, merge or bpe.merge_words
-        self.words: dict[str, bytes] = {}
+    def __init__(self, bpe: PairIndexBpe, merge=None, most: int = 500_000):
+        self.bpe, self.merge, self.together = bpe, merge or bpe.merge_words, merge is None
+        self.words = Memo(lambda w: self.merge([w.encode("utf-8")])[0], most)
         self.chunks = Memo(self._chunk, most)
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # one word
+            return self.words[chunk]
         return b"".join(map(self.words.__getitem__, self.bpe.pattern.findall(chunk)))
 
     def _learn(self, words) -> None:
@@ -204,17 +208,21 @@ class TextEncoder:
 
     def _stretch(self, texts):
         self.chunks.trim()
-        if len(self.words) > self.chunks.most:
-            self.words.clear()
+        self.words.trim()
         split, new = [], set()
         for text in texts:
             plain = not text or (self._plain(text) and not (self.bpe.specials and self.bpe.specials.search(text)))
             if plain:
                 chunks = (text or "").lower().split()
+                if not self.together:
+                    yield b"".join(map(self.chunks.__getitem__, chunks))
+                    continue
                 split.append(chunks)
-                new.update(c for c in chunks if c not in self.chunks)
-            else:
+                new.update([c for c in set(chunks) if c not in self.chunks])
+            elif self.together:
                 split.append(text)
+            else:
+                yield self._odd(text)
         if new:
             self._learn({w for c in new for w in self.bpe.pattern.findall(c)})
         for chunks in split:

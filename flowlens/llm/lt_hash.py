@@ -193,5 +193,5 @@ def compare_with_edits(docs: DataFrame, rows_per_range: int = 4000, most_ranges:
     same = base.withColumnRenamed("doc_id", "own").join(F.broadcast(firsts), F.col("own").eqNullSafe(F.col("doc_id")))
     carries = same.groupBy("range").agg(F.min_by(F.struct("doc_id", "text"), F.struct(F.col("text").isNotNull(), "text")).alias("x"))
     rows = placed.withColumn("carry", F.lit(False)).unionByName(carries.select("x.doc_id", "x.text", "range", F.lit(True).alias("carry")))
-    dealt = rows.repartition(len(order), "range").sortWithinPartitions("range", "carry", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = rows.repartitionById(len(order), F.col("range")).sortWithinPartitions("range", "carry", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return dealt.select("doc_id", "text", "carry").mapInArrow(_walk, _COMPARED)

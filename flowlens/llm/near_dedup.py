@@ -8,12 +8,13 @@ similarity s meets in some table with probability (1 - (1 - s^rows)^bands)^2; wi
 No candidate counts before the full sets confirm it:
 
 1. Equal sets collapse to their smallest doc_id, so copies never make pairs.
-2. Each key's holders, in order: in a key of up to `bucket` holders all pairs are candidates. In a larger key each
-   holder is a candidate with one pivot of that key only, and its `best` most similar pivots are kept.
+2. In a key of up to `bucket` holders all pairs are candidates. A holder of any larger key is hot: in each of its keys it
+   is tied to one pivot only, besides the pairs with holders that aren't hot, and its `best` most similar pivots are
+   candidates.
 3. Candidates are confirmed on the full sets, and components of the links are formed.
-4. Holders of large keys are joined into clusters. In each cluster everything outside its largest component is
-   compared with the whole cluster, in blocks of bounded size, on full sets. So what step 2 left out loses no link;
-   only pairs that are connected already are never compared.
+4. The ties join the hot ones into clusters. In each cluster everything outside its largest component is compared with
+   the whole cluster, in blocks of bounded size, on full sets. So what step 2 left out loses no link; only pairs that
+   are connected already are never compared.
 
 Skew: copies are counted with partial sums, a key's holders take part in as many tables as there are keys, and blocks
 bound what a task gets. Nothing of all documents reaches the driver.
@@ -221,19 +222,23 @@ def near_groups(
         F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("l"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("r")
     )
     keys = lists.select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r")).select("id", F.xxhash64("l", "r").alias("key"))
-    at = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
-    held = keys.select(
-        "id",
-        F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"),
+    # a holder of a large key is hot; two hot ones are left to the block comparison below, so a key only ties them to one
+    # pivot, the same in as many keys as may be
+    met_on = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    met_on = met_on.withColumn("warm", F.max("n").over(Window.partitionBy("id")) > bucket)
+    at = Window.partitionBy("key").orderBy(F.col("warm").desc(), F.xxhash64("id"), "id")
+    one = F.struct("id", "warm")
+    held = met_on.select(
+        *("id", "n", "warm"),
         F.first("id").over(at).alias("pivot"),
-        F.array(*[F.lag("id", k).over(at) for k in range(1, bucket)]).alias("before"),
-    ).where("n > 1")
-    met = held.select(
-        F.col("id").alias("a"),
-        F.explode(F.when(F.col("n") > bucket, F.array("pivot")).otherwise(F.filter("before", lambda x: x.isNotNull()))).alias("b"),
-        (F.col("n") > bucket).alias("hot"),
-    ).where("a <> b")
-    met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("hot").alias("hot"))
+        F.array(*[F.lag(one, k).over(at) for k in range(1, bucket)]).alias("before"),
+    )
+    tie = F.struct(F.col("pivot").alias("b"), F.lit(True).alias("hot"))
+    each = F.transform(F.filter("before", lambda x: x.isNotNull() & ~(x["warm"] & F.col("warm"))), lambda x: F.struct(x["id"].alias("b"), F.lit(False).alias("hot")))
+    pairs = F.when(F.col("n") > bucket, F.array(tie)).when(F.col("warm"), F.concat(F.array(tie), each)).otherwise(each)
+    met = held.select(F.col("id").alias("a"), F.explode(pairs).alias("p")).select("a", "p.*").where("a <> b")
+    first, second = (F.when(F.col("hot"), F.col(own)).otherwise(of("a", "b")) for own, of in (("a", F.least), ("b", F.greatest)))
+    met = met.select(first.alias("a"), second.alias("b"), "hot").distinct()
     met = save(met, "met")
 
     sizes = rep_rows.select("id", "n_shingles", "sketch")
@@ -255,10 +260,10 @@ def near_groups(
     links = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     links = links.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     links = save(links.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
-    first = components(links)
+    linked = components(links)
 
     # what large keys left out
-    member = hot_ids.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
+    member = hot_ids.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
     member = save(member, "members")
     counted = member.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = counted.groupBy("cluster").agg(
@@ -277,14 +282,14 @@ def near_groups(
     told = open_.select("id", "cluster", "comp", F.lit(False).alias("asks"), steps("lines").alias("x"), spread("columns").alias("y"))
     cells = asks.unionByName(told).join(sets.dropDuplicates(["id"]), "id")
     more = cells.groupBy("cluster", "x", "y").applyInArrow(_block(percent), "a long, b long")
-    more = save(more.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                .join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    more = save(more.join(linked.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+                .join(linked.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
                 .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "more")
-    second = components(more)
-    merged = first.select("node", "component").unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("component"))).unionByName(
+    again = components(more)
+    merged = linked.select("node", "component").unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("component"))).unionByName(
         more.select(F.col("b").alias("node"), F.col("b").alias("component"))
     ).groupBy("node").agg(F.min("component").alias("mid"))
-    final = merged.join(second.select(F.col("node").alias("mid"), F.col("component").alias("end")), "mid", "left")
+    final = merged.join(again.select(F.col("node").alias("mid"), F.col("component").alias("end")), "mid", "left")
     final = final.select(F.col("node").alias("id"), F.coalesce("end", "mid").alias("component"))
 
     found = reps.join(final, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
@@ -294,7 +299,7 @@ def near_groups(
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
     out = save(out, "groups")
-    drop(signed, reps, rep_rows, met, near, wanted, sets, links, first, member, open_, more, second)
+    drop(signed, reps, rep_rows, met, near, wanted, sets, links, linked, member, open_, more, again)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
