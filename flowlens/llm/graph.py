@@ -34,3 +34,22 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             drop(both)
             return labels.select("node", F.col("label").alias("component"))
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """components() of edges where each a has few b's, whereas many a's may share a b.
+
+    Nodes that are nobody's b are leaves: their b's are tied to one of them, and only those ties go through the rounds.
+    A leaf then has the component of its first b. The lists of b's are held whole, so they must be bounded.
+    """
+    pairs = edges.select("a", "b").where("a is not null and b is not null")
+    lists = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("first"), F.collect_set("b").alias("all"))
+    inner = pairs.select(F.col("b").alias("told")).distinct()
+    lists = save(lists.join(inner, lists["a"] == inner["told"], "left").select("a", "first", "all", F.col("told").isNull().alias("leaf")), "stars")
+    ends = F.when(F.col("leaf"), F.col("all")).otherwise(F.concat("all", F.array("a")))
+    core = components(lists.select(F.col("first").alias("a"), F.explode(ends).alias("b")).distinct())
+    least = lists.where("leaf").groupBy(F.col("first").alias("node")).agg(F.min("a").alias("low"))
+    named = core.join(least, "node", "left").groupBy("component").agg(F.least(F.min("component"), F.min("low")).alias("named"))
+    core = save(core.join(named, "component").select("node", F.col("named").alias("component")), "core")
+    leaves = lists.where("leaf").join(core.withColumnRenamed("node", "first"), "first").select(F.col("a").alias("node"), "component")
+    return core.unionByName(leaves)

@@ -9,8 +9,8 @@ No candidate counts before the full sets confirm it:
 
 1. Equal sets collapse to their smallest doc_id, so copies never make pairs.
 2. In a key of up to `bucket` holders all pairs are candidates. A holder of any larger key is hot: in each of its keys it
-   is tied to one pivot only, besides the pairs with holders that aren't hot, and its `best` most similar pivots are
-   candidates.
+   is tied to one pivot only, besides the pairs with holders that aren't hot. Of the pivots that it shares most keys
+   with, the `best` most similar ones are candidates.
 3. Candidates are confirmed on the full sets, and components of the links are formed.
 4. The ties join the hot ones into clusters. In each cluster everything outside its largest component is compared with
    the whole cluster, in blocks of bounded size, on full sets. So what step 2 left out loses no link; only pairs that
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, star_components
 from .shared import drop, save
 from .words import Memo, hash_word, mix, shingle_set, word_bytes
 
@@ -236,22 +236,25 @@ def near_groups(
     tie = F.struct(F.col("pivot").alias("b"), F.lit(True).alias("hot"))
     each = F.transform(F.filter("before", lambda x: x.isNotNull() & ~(x["warm"] & F.col("warm"))), lambda x: F.struct(x["id"].alias("b"), F.lit(False).alias("hot")))
     pairs = F.when(F.col("n") > bucket, F.array(tie)).when(F.col("warm"), F.concat(F.array(tie), each)).otherwise(each)
-    met = held.select(F.col("id").alias("a"), F.explode(pairs).alias("p")).select("a", "p.*").where("a <> b")
+    met = held.select(F.col("id").alias("a"), F.explode(pairs).alias("p")).select("a", "p.*").where("hot or a <> b")
     first, second = (F.when(F.col("hot"), F.col(own)).otherwise(of("a", "b")) for own, of in (("a", F.least), ("b", F.greatest)))
-    met = met.select(first.alias("a"), second.alias("b"), "hot").distinct()
+    met = met.select(first.alias("a"), second.alias("b"), "hot").groupBy("a", "b", "hot").agg(F.count(F.lit(1)).alias("keys"))
     met = save(met, "met")
+    # the pivots that a hot one shares most keys with are the likeliest
+    order = Window.partitionBy("a").orderBy(F.col("hot").desc(), F.col("keys").desc(), "b")
+    tried = met.where("a <> b").withColumn("rank", F.row_number().over(order)).where(f"not hot or rank <= {2 * best}").select("a", "b", "hot")
 
     sizes = rep_rows.select("id", "n_shingles", "sketch")
     side = lambda s: sizes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    near = met.join(side("a"), "a").where("n_a is not null").join(side("b"), "b")
+    near = tried.join(side("a"), "a").where("n_a is not null").join(side("b"), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = near.select("a", "b", "hot", "sketch_a", "sketch_b").mapInArrow(_alike(0.6), "a long, b long, hot boolean, alike double")
     top = Window.partitionBy("a", "hot").orderBy(F.col("alike").desc(), "b")
     near = near.withColumn("rank", F.row_number().over(top)).where(f"not hot or rank <= {best}")
     near = save(near.select("a", "b"), "near")
 
-    hot_ids = components(met.where("hot").select("a", "b"))
-    hot_ids = hot_ids.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    hot_ids = star_components(met.where("hot").select("a", "b"))
+    hot_ids = save(hot_ids.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     wanted = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).unionAll(hot_ids.select("id")).distinct()
     wanted = save(wanted, "wanted")
     chosen = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted  # a checked size: 8 bytes each
@@ -260,7 +263,7 @@ def near_groups(
     links = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     links = links.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     links = save(links.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
-    linked = components(links)
+    linked = save(star_components(links), "linked")
 
     # what large keys left out
     member = hot_ids.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
@@ -299,7 +302,7 @@ def near_groups(
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
     out = save(out, "groups")
-    drop(signed, reps, rep_rows, met, near, wanted, sets, links, linked, member, open_, more, again)
+    drop(signed, reps, rep_rows, met, near, hot_ids, wanted, sets, links, linked, member, open_, more, again)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
