@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import drop, save
 from .words import Memo
 
 _EDGE = re.compile(r"[\W_]+")
@@ -138,6 +139,7 @@ def fit_chain(
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     counted = sample.select("text", *categories).mapInArrow(_count_features(categories), "feature string, n long, " + ", ".join(f"`{c}` long" for c in categories))
     counted = counted.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= least_docs)
+    counted = save(counted, "features")  # each category reads it
     sums = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     chain = Chain(categories)
     for c in categories:
@@ -149,6 +151,7 @@ def fit_chain(
         for row in counted.orderBy(((share - rest) / spread).desc(), "feature").limit(per_category).select("feature").collect():
             chain.features.setdefault(row["feature"], len(chain.features))
     names = dict(chain.features)
+    drop(counted)
 
     def present(batches):
         memo = _memo(names)
