@@ -1,17 +1,18 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Tokens are lower-cased (A-Z) words and one end for each text. The tree's root knows every word of the training texts.
-Deeper states are variable-length contexts of up to `depth` words; a context becomes a state if it is frequent, its
-suffix is a state, and the divergence of its next-word distribution from its suffix's passes a test. A state keeps the
-next words that are frequent after it, discounted; the rest of its mass is shared out as its suffix shares it, so every
+Deeper states are variable-length contexts of up to `depth` words; a context becomes a state if it occurs twice, its
+suffix is a state, and the divergence of its next-word distribution from its suffix's passes a test. A state keeps every
+next word seen twice after it, discounted; the rest of its mass is shared out as its suffix shares it, so every
 state's distribution sums to 1. A token is scored by the longest suffix that is a state. At the root, words seen in
 training are discounted by the share of words seen once, and what that frees goes to the unknown word, one symbol as in
 the base score.
 
-What is counted is everything in the training texts. The root's table has a row for each word and grows with the corpus;
-it stays in Spark, and words that are not frequent meet their counts in a join. "Frequent" is a share of the training
-tokens, so of words there are at most 1 / word_share that tasks hold, of words in contexts at most 1 / context_share, and
-of kept next words at most 1 / next_share for each depth: bounds whatever the corpus.
+Evidence is absolute (`least` occurrences), so the tree grows with the corpus; no table of it is collected, broadcast or
+held by one task. Texts are held in chunks of about `chunk_tokens` tokens. In each round a chunk asks for its distinct
+n-grams (or contexts) with its own part of the count (or of the divergence), dealt over buckets by hash; a bucket adds the
+parts up and answers each chunk. A frequent n-gram is thus one key of each chunk and makes no task large. Of each n-gram
+one chunk is the owner, which brings its term of the divergence. N-grams are told apart by 64-bit hashes.
 
 A null or empty text is the end alone. Rows with a null doc_id train. Without training tokens every token is unknown.
 Repeated rows are scored, and counted, as often as they come.
@@ -19,43 +20,26 @@ Repeated rows are scored, and counted, as often as they come.
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import drop, save
-from .words import word_bytes
+from .words import Memo, hash_word, mix, word_bytes
 
 #: The end of a text among the tokens; no word is empty.
 END = b""
 
 
-def _count_words(most: int = 400_000):
-    def run(batches):
-        counts: Counter[bytes] = Counter()
-
-        def out():
-            rows = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return rows
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(word_bytes(text, lower=True))
-                counts[END] += 1
-                if len(counts) > most:
-                    yield out()
-        yield out()
-
-    return run
-
-
 class Tree:
-    """The states below the root. Words are numbers; 0 to top - 1 occur in contexts.
+    """The same model in memory, for small tables: the tests hold score_texts against it. Words are numbers; 0 to top - 1
+    occur in contexts.
 
     levels[k] has the states of depth k + 1: `states` (sorted codes of contexts), `back` (log10 of what a state's other
     words are multiplied by), and `codes` and `logs` (sorted codes of state number and next word, log10 probability).
@@ -136,132 +120,233 @@ class Tree:
         self.levels.append({"states": contexts[fine], "back": back[fine], "codes": codes[order], "logs": logs[order]})
 
 
-def _count_next(tree, level: int, frequent: np.ndarray):
-    """Per task: how often each top word follows each frequent context of level + 1 words."""
-    shared, most = tree, 3_000_000
+def is_held_out(doc_id):
+    """crc32 of the doc_id as text, modulo 10, is 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
+
+
+def _pack(x: np.ndarray, ordered: bool = False) -> bytes:
+    """The values byte by byte of the same order, compressed; ordered: as differences."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if ordered else x
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    return np.int64(x.size).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: type, ordered: bool = False) -> np.ndarray:
+    size, width = int(np.frombuffer(data, np.int64, 1)[0]), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], size * width, codec="zstd", asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ordered else x
+
+
+_CHUNK = "chunk long, doc_ids array<{kind}>, held array<boolean>, ends binary, words binary, ids binary, n_tokens long"
+
+
+def _chunks(kind: pa.DataType, most: int):
+    """Per task: texts as chunks of word hashes (`words`, sorted, and the number of each token's among them)."""
 
     def run(batches):
-        own, held, size = shared.value, [], 0
+        memo, task, made = Memo(hash_word), TaskContext.get().partitionId(), 0
+        ids, held, ends, tokens = [], [], [], []
 
         def out():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes // own.top), pa.array(codes % own.top), pa.array(n.astype(np.int64))], names=["context", "word", "n"])
+            words, number = np.unique(np.array(tokens, np.uint64), return_inverse=True)
+            row = [
+                pa.array([(task << 32) + made], pa.int64()),
+                pa.array([list(ids)], pa.list_(kind)),
+                pa.array([list(held)], pa.list_(pa.bool_())),
+                pa.array([np.array(ends, np.int64).tobytes()], pa.binary()),
+                pa.array([_pack(words, True)], pa.binary()),
+                pa.array([_pack(number.astype(np.uint32))], pa.binary()),
+                pa.array([len(tokens)], pa.int64()),
+            ]
+            for x in (ids, held, ends, tokens):
+                x.clear()
+            return pa.RecordBatch.from_arrays(row, names=["chunk", "doc_ids", "held", "ends", "words", "ids", "n_tokens"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                numbers = own.numbers([*word_bytes(text, lower=True), END])
-                context = own.contexts(numbers, level + 1)
-                at = np.minimum(np.searchsorted(frequent, context), len(frequent) - 1)
-                ok = (frequent[at] == context) & (numbers >= 0) & (numbers < own.top)
-                found = at[ok] * own.top + numbers[ok]
-                held.append(found)
-                size += len(found)
-                if size > most:
+            for i, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                memo.trim()
+                tokens.extend(map(memo.__getitem__, word_bytes(text, lower=True)))
+                tokens.append(memo[END])
+                ids.append(i)
+                held.append(h)
+                ends.append(len(tokens))
+                if len(tokens) >= most:
                     yield out()
-                    size = 0
-        if size:
+                    made += 1
+        if ends:
             yield out()
 
     return run
 
 
-_SCORED = "doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"
+def _before(x: np.ndarray) -> np.ndarray:
+    """What the token before has; the first token's value is of no use."""
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
+    return out
 
 
-def _score(tree, base: tuple[float, float], counts):
-    def run(batches):
-        own, c = tree.value, counts.value
-        log_base = np.log10((c + 0.1) / base[1])
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                words = word_bytes(text, lower=True)
-                words.append(END)
-                numbers = own.numbers(words)
-                logs, _ = own.logs(numbers)
-                local = numbers >= 0
-                rare = np.flatnonzero(~local)
-                rows.append((len(words), int(local.sum()), float(log_base[numbers[local]].sum()), float(logs.sum()), [words[i] for i in rare.tolist()]))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+def _replay(chunk: dict, answers: dict[int, np.ndarray], root: tuple[float, float, float], depth: int, least: int, discount: float):
+    """Goes through the rounds with the answers there are. The first round without an answer gives (keys, values), sorted
+    by key; after all rounds (tokens of each text, training count of each token, log10 of its probability).
+
+    Round 0 asks for the words' counts, round 2k - 1 for those of n-grams of k + 1 words, round 2k for contexts of k words.
+    """
+    total, cut, unknown = root
+    ends = np.frombuffer(chunk["ends"], np.int64)
+    sizes = np.diff(ends, prepend=0)
+    at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    train = np.repeat(~np.array(chunk["held"], bool), sizes)
+    word = _unpack(chunk["words"], np.uint64, True)[_unpack(chunk["ids"], np.uint32)]
+    keys, shown = np.unique(word, return_inverse=True)
+    if 0 not in answers:
+        return keys, np.bincount(shown, train, len(keys)).astype(np.uint32)
+    n = counts = (answers[0] >> 1)[shown]
+    log = np.where(n > 0, np.log10(np.maximum(n - cut, 1e-300) / max(total, 1)), unknown)
+    key, state = word, np.ones(len(word), bool)
+    for level in range(1, depth + 1):
+        context, of_context = _before(key), _before(n)
+        key = mix(mix(context) + word)
+        holds = state & (at >= level) & (of_context >= least)
+        asked = np.flatnonzero(holds & (n >= least))  # the others can't occur often enough
+        keys, first, shown = np.unique(key[asked], return_index=True, return_inverse=True)
+        if 2 * level - 1 not in answers:
+            return keys, np.bincount(shown, train[asked], len(keys)).astype(np.uint32)
+        found = answers[2 * level - 1]
+        n = np.zeros(len(word), np.int64)
+        n[asked] = (found >> 1)[shown]
+        kept = n >= least
+        share = np.where(kept, n - discount, 1.0) / np.maximum(of_context, 1)
+        contexts, which = np.unique(context[holds], return_inverse=True)
+        if 2 * level not in answers:
+            number = np.zeros(len(word), np.int64)
+            number[holds] = which
+            own = asked[first[(found & 1 == 1) & (found >> 1 >= least)]]
+            under, mine = 10.0 ** log[own], share[own]
+            terms = (mine, under, mine * np.log(mine / under))
+            return contexts, np.column_stack([np.bincount(number[own], x, len(contexts)) for x in terms])
+        back = np.full(len(word), np.nan)
+        back[holds] = answers[2 * level][which]
+        state = ~np.isnan(back)
+        log = np.where(state, np.where(kept, np.log10(share), np.where(state, back, 0.0) + log), log)
+    return sizes, counts, log
+
+
+_ASK = "bucket long, chunk long, keys binary, parts binary"
+_ANSWER = "chunk long, round int, bucket long, answer binary, sums array<long>"
+
+
+def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    names, starts = np.unique(bucket, return_index=True)
+    parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
+    columns = [pa.array(names, pa.int64()), pa.array([chunk] * len(parts), pa.int64())]
+    columns += [pa.array([_pack(x[a:b], x is keys) for a, b in parts], pa.binary()) for x in (keys, values)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys", "parts"])
+
+
+def _answer(number: int, divergence: float):
+    """Adds up what all chunks brought to a bucket: twice the count, plus 1 for the n-gram's owner; or log10 of what a
+    state's other words are multiplied by, NaN for a context that is no state."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        held = [_unpack(x, np.uint64, True) for x in group.column("keys").to_pylist()]
+        keys, which = np.unique(np.concatenate(held), return_inverse=True)
+        parts, sums = group.column("parts").to_pylist(), [0, 0, 0, 0]
+        if number == 0 or number % 2:
+            n = np.concatenate([_unpack(x, np.uint32) for x in parts]).astype(np.int64)
+            total = np.bincount(which, n, len(keys)).astype(np.int64)
+            has = np.flatnonzero(n)
+            answer = 2 * total[which]
+            answer[has[np.unique(which[has], return_index=True)[1]]] += 1
+            sums = [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
+        else:
+            terms = np.concatenate([_unpack(x, np.float64) for x in parts]).reshape(-1, 3)
+            kept, taken, far = (np.bincount(which, terms[:, k], len(keys)) for k in range(3))
+            rest, left = np.maximum(1 - kept, 1e-9), np.maximum(1 - taken, 1e-9)
+            far = far + rest * np.log(rest / left)
+            answer = np.where(far >= divergence, np.log10(rest / left), np.nan)[which]
+        cuts = np.cumsum([len(x) for x in held])[:-1]
+        rows = len(held)
+        return pa.table(
+            {
+                "chunk": group.column("chunk"),
+                "round": pa.array([number] * rows, pa.int32()),
+                "bucket": group.column("bucket"),
+                "answer": pa.array([_pack(x) for x in np.split(answer, cuts)], pa.binary()),
+                "sums": pa.array([sums] + [[0] * 4] * (rows - 1), pa.list_(pa.int64())),
+            }
+        )
 
     return run
 
 
-def is_held_out(doc_id):
-    """crc32 of the doc_id as text, modulo 10, is 0."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
+def _answers(rows: pa.Table, rounds: int) -> dict[int, np.ndarray]:
+    """The answers of each round in the order of the asked keys; a round in which nothing was asked has an empty one."""
+    held: dict[int, list] = {k: [] for k in range(rounds)}
+    for number, _, answer in sorted(zip(*(rows.column(c).to_pylist() for c in ("round", "bucket", "answer")), strict=True)):
+        held[number].append(_unpack(answer, np.float64 if number and number % 2 == 0 else np.int64))
+    return {k: np.concatenate(x) if x else np.zeros(0, np.float64 if k and k % 2 == 0 else np.int64) for k, x in held.items()}
 
 
-def score_texts(
-    docs: DataFrame,
-    depth: int = 2,
-    word_share: float = 1e-6,
-    context_share: float = 2e-5,
-    next_share: float = 2e-7,
-    divergence: float = 0.02,
-    discount: float = 0.7,
-) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 0.02, discount: float = 0.7, chunk_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
-    train = texts.where("not held_out").select("text")
-    counts = save(train.mapInArrow(_count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("ones"), F.sum((F.col("c") == 2).cast("long")).alias("twos")).first()
-    total, kinds = sums["n"] or 0, sums["v"] or 0
-    ones, twos = sums["ones"] or 0, sums["twos"] or 0
-    cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    unknown = float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0
+    chunks = save(texts.mapInArrow(_chunks(to_arrow_type(docs.schema["doc_id"].dataType), chunk_tokens), _CHUNK.format(kind=kind)), "chunks")
+    buckets = max(8, (chunks.agg(F.sum("n_tokens")).first()[0] or 0) // 1_000_000)
+    root = (0.0, 0.5, 0.0)
+
+    def first_ask(batches):
+        for batch in batches:
+            for row in batch.select(["chunk", "held", "ends", "words", "ids"]).to_pylist():
+                yield _ask(row["chunk"], *_replay(row, {}, root, depth, least, discount), buckets)
+
+    def next_ask(number, root):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            return pa.Table.from_batches([_ask(row["chunk"], *_replay(row, _answers(right, number), root, depth, least, discount), buckets)])
+
+        return run
+
+    plain = chunks.select("chunk", "held", "ends", "words", "ids")
+    got: list[DataFrame] = []
+    for number in range(2 * depth + 1):
+        if not number:
+            asked = plain.mapInArrow(first_ask, _ASK)
+        else:
+            so_far = reduce(DataFrame.unionAll, got).drop("sums")
+            asked = plain.groupBy("chunk").cogroup(so_far.groupBy("chunk")).applyInArrow(next_ask(number, root), _ASK)
+        got.append(save(asked.groupBy("bucket").applyInArrow(_answer(number, divergence), _ANSWER), "answers"))
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round, which nothing reads again
+        if not number:
+            total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
+            cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            root = (total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0)
     base_under = total + 0.1 * (kinds + 1)
 
-    frequent = counts.where(F.col("c") >= max(2.0, word_share * total)).orderBy(F.col("c").desc(), "word").toPandas()  # 1 / word_share rows at most
-    c = frequent["c"].to_numpy(np.int64)
-    top = int((c >= max(2.0, context_share * total)).sum())
-    tree = Tree([bytes(w) for w in frequent["word"]], top, np.log10((c - cut) / total) if total else np.zeros(0))
-    sent = []
-    contexts, totals = np.arange(top, dtype=np.int64), c[:top]
-    if top:  # the end is no context
-        end = tree.number.get(END, -1)
-        contexts, totals = contexts[contexts != end], totals[contexts != end]
-    least = max(2.0, next_share * total)
-    for level in range(depth if top else 0):
-        if not len(contexts):
-            break
-        sent.append(spark.sparkContext.broadcast(tree))
-        found = train.mapInArrow(_count_next(sent[-1], level, contexts), "context long, word long, n long")
-        found = found.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()  # 1 / next_share rows at most
-        owner, word, n = (found[x].to_numpy(np.int64) for x in ("context", "word", "n"))
-        tree.grow(contexts, totals, owner, word, n, divergence, discount)
-        # longer contexts: a state and its frequent next word
-        grown = (n >= max(2.0, context_share * total)) & (word != end) & np.isin(contexts[owner], tree.levels[level]["states"])
-        code, n = contexts[owner[grown]] * top + word[grown], n[grown]
-        # their suffix must be a state too
-        fine = tree.state_of(level, code % top ** (level + 1)) >= 0
-        order = np.argsort(code[fine])
-        contexts, totals = code[fine][order], n[fine][order]
-
-    sent += [spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(c)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = texts.mapInArrow(_score(sent[-2], (total, base_under), sent[-1]), _SCORED.format(kind=kind))
-    scored = save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("c") < max(2.0, word_share * total)), "word", "left")
-    seen = F.col("c").isNotNull()
-    rare = rare.groupBy("row").agg(
-        F.sum(seen.cast("long")).alias("rare_known"),
-        F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(base_under)))).alias("rare_base"),
-        F.sum(F.when(seen, F.log10((F.col("c") - F.lit(float(cut))) / F.lit(float(max(total, 1))))).otherwise(F.lit(unknown))).alias("rare_score"),
-    )
-    out = scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
-    )
-    out = save(out, "lm-scores")
-    drop(counts, scored)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["doc_ids"]).to_pylist()[0]
+        sizes, n, log = _replay(row, _answers(right, 2 * depth + 1), root, depth, least, discount)
+        starts = np.cumsum(sizes) - sizes
+        add = lambda x: np.add.reduceat(x, starts)
+        return pa.table(
+            {
+                "doc_id": left.column("doc_ids").combine_chunks().flatten(),
+                "held_out": left.column("held").combine_chunks().flatten(),
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": pa.array(add((n > 0).astype(np.int64)), pa.int64()),
+                "train_tokens": pa.array([total] * len(sizes), pa.int64()),
+                "base_score": pa.array(add(np.log10((n + 0.1) / base_under)), pa.float64()),
+                "score": pa.array(add(log), pa.float64()),
+            }
+        )
+
+    so_far = reduce(DataFrame.unionAll, got).drop("sums")
+    out = chunks.drop("n_tokens").groupBy("chunk").cogroup(so_far.groupBy("chunk"))
+    out = save(out.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    drop(chunks, *got)
     return out

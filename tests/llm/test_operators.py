@@ -307,3 +307,40 @@ def test_pipeline(spark, sf_dir):
         left = after
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left.collect()}
+
+
+def test_scores_know_every_repeated_pair(spark):
+    """Held against the tree in memory over all words; on so large a corpus shares once left out words seen a few times."""
+    rng = np.random.default_rng(5)
+    common = [f"c{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(common, 1500)) for _ in range(120)] + [f"rare{k} pair{k} third{k}" for k in range(40) for _ in range(3)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    train = [t.encode().split() + [b""] for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    words = sorted(w for w in c if c[w] >= 2)
+    total, ones, twos = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    tree, top = suffix_tree.Tree(words, len(words), np.log10((np.array([c[w] for w in words]) - cut) / total)), len(words)
+    contexts = np.array([k for k, w in enumerate(words) if w])
+    totals = np.array([c[words[k]] for k in contexts])
+    for level in range(2):
+        at = {x: k for k, x in enumerate(contexts.tolist())}
+        grams = Counter()
+        for t in train:
+            numbers = tree.numbers(t)
+            grams.update((at[x], w) for x, w in zip(tree.contexts(numbers, level + 1).tolist(), numbers.tolist(), strict=True) if x in at and w >= 0)
+        kept = [(o, w, n) for (o, w), n in grams.items() if n >= 2]
+        owner, word, n = (np.array(x) for x in zip(*kept, strict=True))
+        tree.grow(contexts, totals, owner, word, n, 0.02, 0.7)
+        longer = sorted((int(contexts[o]) * top + w, n) for o, w, n in kept if words[w] and tree.state_of(0, np.array([w]))[0] >= 0)
+        contexts, totals = (np.array(x) for x in zip(*longer, strict=True))
+    unknown = math.log10(max(cut * len(c) / total, 1e-12))
+    once = {w: math.log10((1 - cut) / total) for w in c if c[w] == 1}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), chunk_tokens=20_000).collect()}
+    for i, t in docs:
+        tokens = t.encode().split() + [b""]
+        logs, open_ = tree.logs(tree.numbers(tokens))
+        want = logs.sum() + sum(once.get(w, unknown) for w, o in zip(tokens, open_.tolist(), strict=True) if o)
+        assert got[i] == pytest.approx(want, rel=1e-9), i
+    rare = [got[i] for i, t in docs if t.startswith("rare")]
+    assert len(rare) == 120 and np.mean(rare) > -12
