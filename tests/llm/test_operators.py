@@ -344,3 +344,17 @@ def test_scores_know_every_repeated_pair(spark):
         assert got[i] == pytest.approx(want, rel=1e-9), i
     rare = [got[i] for i, t in docs if t.startswith("rare")]
     assert len(rare) == 120 and np.mean(rare) > -12
+
+
+def test_html_repeats_over_a_whole_host(spark):
+    """A passage on two pages goes however large their host is, and a page given twice is still one page."""
+    passage = "<p>Please read the terms of use of this site before you go on.</p>"
+    filler = [(k, " ".join(f"w{k}x{i}" for i in range(60))) for k in range(60)]
+    rows = [(k, f"http://hot.example.com/{k}", f"{passage if k in (3, 41) else ''}<p>{said}</p>") for k, said in filler]
+    rows += [(900, "http://one.example.com/a", f"{passage}<p>{filler[0][1]}</p>")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [(r["page_id"], r["text"]) for r in html_text.extract_text(pages, chunk_bytes=2_000).collect()]
+    assert len(got) == 62 and all("terms" not in t for i, t in got if i < 900)
+    assert [t.startswith("Please") and "w0x59" in t for i, t in got if i == 900] == [True, True]
+    hot = [html_text.blocks_of(h) for i, _, h in rows if i < 900]
+    assert dict(got[:62])[5] == html_text.main_texts(hot)[5] and {i: t for i, t in got if i < 900} == dict(enumerate(html_text.main_texts(hot)))
