@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import Memo
+from .words import Memo, slices
 
 #: Fixed: the last code point of the direct path and of what its lower-casing gives, and control characters that Python's split() takes for white space.
 _LAST_LATIN, _LAST_LOWER, _NOT_SPACE = 0x17F, 0x2FF, "\x1c-\x1f"
@@ -159,10 +159,10 @@ class TextEncoder:
     """Texts to ids, with bounded memories of chunks and words. `merge` gives the ids of words not seen before; the pair
     index gets those of a stretch of texts together, the library one by one."""
 
-    def __init__(self, bpe: PairIndexBpe, merge=None, most: int = 500_000):
+    def __init__(self, bpe: PairIndexBpe, merge=None):
         self.bpe, self.merge, self.together = bpe, merge or bpe.merge_words, merge is None
-        self.words = Memo(lambda w: self.merge([w.encode("utf-8")])[0], most)
-        self.chunks = Memo(self._chunk, most)
+        self.words = Memo(lambda w: self.merge([w.encode("utf-8")])[0])
+        self.chunks = Memo(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isalpha():  # one word
@@ -172,7 +172,9 @@ class TextEncoder:
     def _learn(self, words) -> None:
         new = [w for w in words if w not in self.words]
         if new:
-            self.words.update(zip(new, self.merge([w.encode("utf-8") for w in new]), strict=True))
+            for word, ids in zip(new, self.merge([w.encode("utf-8") for w in new]), strict=True):
+                self.words[word] = ids
+                self.words.note(word, ids)
 
     def _plain(self, text: str) -> bool:
         try:
@@ -234,9 +236,8 @@ def vocabulary(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, by_library: bool = False) -> TextEncoder:
-    """One for each worker and file; what it remembers serves the worker's next tasks too."""
+    """A new one for each task: the vocabulary is of a fixed size and stays with the worker, what has been encoded goes."""
     bpe = vocabulary(path)
     return TextEncoder(bpe, bpe.library_words if by_library else None)
 
@@ -251,7 +252,7 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe, enc = vocabulary(path or default_path()), encoder(path or default_path())
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2048)):
             ids = list(enc.encode(batch.column("text").to_pylist()))
             for low in range(0, max(1, len(ids)), 256):
                 part = ids[low : low + 256]
@@ -269,7 +270,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe, enc = vocabulary(path or default_path()), encoder(path or default_path())
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2048)):
             n, of_ids, of_text = [], [], []
             for ids in enc.encode(batch.column("text").to_pylist()):
                 n.append(len(ids) // 4)

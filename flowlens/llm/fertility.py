@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import Memo, hash_word, window_hashes, word_bytes
+from .words import Memo, hash_word, slices, window_hashes, word_bytes
 
 #: Fixed: symbols and white space that the base counts name.
 SYMBOLS, WHITE = "#*$%&|<>", "\t\n\x0b\x0c\r "
@@ -95,16 +95,22 @@ def base_counts(text: str | None, words: list[bytes], memo: Memo) -> tuple[int,
     return n, chars, symbols, dup, repeated
 
 
+@functools.lru_cache(maxsize=2)
+def _model(path: str):
+    """The vocabulary, which is of a fixed size, and which of its pieces are bytes."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+
+
 class Speller:
     """Piece ids of words of one sentencepiece file, remembered within a bound."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model = SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.hashes = Memo(hash_word, 200_000)
-        self.pieces = Memo(lambda w: np.array(self.model.encode(w.decode("utf-8", "replace")), "<u4").tobytes(), 200_000)
+        self.model, self.is_byte = _model(path)
+        self.hashes = Memo(hash_word)
+        self.pieces = Memo(lambda w: np.array(self.model.encode(w.decode("utf-8", "replace")), "<u4").tobytes())
 
     def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
         """n_tokens, code points per token, byte-fallback share, entropy in bits."""
@@ -118,11 +124,6 @@ class Speller:
         return n, chars / n, float(self.is_byte[ids].mean()), float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
-@functools.lru_cache(maxsize=2)
-def speller(path: str) -> Speller:
-    return Speller(path)
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -160,8 +161,8 @@ def keep_sound(docs: DataFrame, bands: dict[str, Band] | None = None, path: str
     has_lang = "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string"
 
     def run(batches):
-        own = speller(path or default_path())
-        for batch in batches:
+        own = Speller(path or default_path())
+        for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column("lang").to_pylist() if has_lang else [None] * batch.num_rows
             keep = [_judge(own, bands, text, lang, entropy_cap)[-1] for text, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -178,8 +179,8 @@ def fertility_rules(
     columns = list(dict.fromkeys([*keep, "text", *["lang"] * has_lang]))
 
     def run(batches):
-        own = speller(path or default_path())
-        for batch in batches:
+        own = Speller(path or default_path())
+        for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column("lang").to_pylist() if has_lang else [None] * batch.num_rows
             rows = [_judge(own, bands, text, lang, entropy_cap) for text, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]

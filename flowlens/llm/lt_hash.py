@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import save
-from .words import Memo, hash_word, mix
+from .words import Memo, hash_word, mix, slices
 
 #: Lanes of the two parts, and words in a window.
 DENSE, LIKE, WINDOW = 16, 256, 3
-_MEMO = Memo(hash_word)
 
 
 class Fingerprint:
@@ -36,13 +35,14 @@ class Fingerprint:
 
     __slots__ = ("dense", "like")
 
-    def __init__(self, text: str | None = None):
+    def __init__(self, text: str | None = None, hashes: Memo | None = None):
+        """hashes: the caller's memory of word hashes, if it has one."""
         self.dense = np.zeros(DENSE, np.uint64)
         self.like = np.zeros(LIKE, np.uint16)
         if text:
-            self.add(text)
+            self.add(text, hashes)
 
-    def _vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def _vector(self, text: str, memo: Memo | None) -> tuple[np.ndarray, np.ndarray]:
         dense = np.zeros(DENSE, np.uint64)
         data = text.encode("utf-8", "surrogatepass")
         hashes, owner = [], []
@@ -50,7 +50,7 @@ class Fingerprint:
             words = line.split()
             if words:
                 dense += np.frombuffer(hashlib.shake_128(line.strip()).digest(8 * DENSE), "<u8")
-                hashes += map(_MEMO.__getitem__, words)
+                hashes += map(memo.__getitem__ if memo is not None else hash_word, words)
                 owner.append(len(words))
         like = np.zeros(LIKE, np.int64)
         if hashes:
@@ -68,14 +68,14 @@ class Fingerprint:
             like += np.bincount((made & np.uint64(LIKE - 1)).astype(np.int64), weights=sign, minlength=LIKE).astype(np.int64)
         return dense, like.astype(np.uint16)
 
-    def add(self, text: str) -> Fingerprint:
-        dense, like = self._vector(text)
+    def add(self, text: str, hashes: Memo | None = None) -> Fingerprint:
+        dense, like = self._vector(text, hashes)
         self.dense += dense
         self.like += like
         return self
 
     def remove(self, text: str) -> Fingerprint:
-        dense, like = self._vector(text)
+        dense, like = self._vector(text, None)
         self.dense -= dense
         self.like -= like
         return self
@@ -117,11 +117,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        memo = Memo(hash_word)
+        for batch in (part for whole in batches for part in slices(whole)):
             made = []
             for text in batch.column("text").to_pylist():
-                _MEMO.trim()
-                made.append(Fingerprint(text).text())
+                memo.trim()
+                made.append(Fingerprint(text, memo).text())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
@@ -132,13 +133,14 @@ _COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string
 
 def _walk(batches):
     """Rows of a range of doc_ids in order; the row marked `carry` is the first one after the range."""
+    memo = Memo(hash_word)
     last = None  # (doc_id, text, fingerprint)
     rows: list[tuple] = []
 
     def close(following: str, after: Fingerprint) -> None:
         doc, text, own = last
         new = edited(text, following)
-        made = Fingerprint(new)
+        made = Fingerprint(new, memo)
         digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
         rows.append((doc, len(text), digest, own.text(), made.text(), own.likeness(made), own.likeness(after)))
 
@@ -148,11 +150,11 @@ def _walk(batches):
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _COMPARED.split(", ")])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         for doc, text, carry in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "carry")), strict=True):
-            _MEMO.trim()
+            memo.trim()
             text = text or ""
-            own = Fingerprint(text)
+            own = Fingerprint(text, memo)
             if last is not None:
                 close(text, own)
             last = None if carry else (doc, text, own)

@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 
 from .graph import components, star_components
 from .shared import drop, save
-from .words import Memo, hash_word, mix, shingle_set, word_bytes
+from .words import Memo, hash_word, mix, shingle_set, slices, word_bytes
 
-_MEMO = Memo(hash_word)
 _SIGNED = "doc_id long, n_shingles long, set_hash binary, sketch binary, lefts array<long>, rights array<long>"
 
 
@@ -57,11 +56,12 @@ def _sign(width: int, bands: int, rows: int):
     half = bands * rows
 
     def run(batches):
-        for batch in batches:
+        memo = Memo(hash_word)
+        for batch in (part for whole in batches for part in slices(whole)):
             out = {k: [] for k in ("n", "hash", "sketch", "left", "right")}
             for text in batch.column("text").to_pylist():
-                _MEMO.trim()
-                found = shingle_set(word_bytes(text, lower=True), width, _MEMO)
+                memo.trim()
+                found = shingle_set(word_bytes(text, lower=True), width, memo)
                 out["n"].append(len(found))
                 if not len(found):
                     for k in ("hash", "sketch", "left", "right"):
@@ -95,11 +95,12 @@ def _sign(width: int, bands: int, rows: int):
 
 def _set_maker(width: int):
     def run(batches):
-        for batch in batches:
+        memo = Memo(hash_word)
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = []
             for text in batch.column("text").to_pylist():
-                _MEMO.trim()
-                sets.append(shingle_set(word_bytes(text, lower=True), width, _MEMO).tobytes())
+                memo.trim()
+                sets.append(shingle_set(word_bytes(text, lower=True), width, memo).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return run

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
 from .shared import drop, save
+from .words import slices
 
 Plan = list[tuple[int, tuple[tuple[int, int], ...]]]
 
@@ -146,7 +147,7 @@ def cut_pieces(docs: DataFrame, capacity: int, end: int, path: str | None = None
 
     def run(batches):
         enc = encoder(path or default_path(), by_library=True)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
                 ids += tail

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop, save
-from .words import Memo
+from .words import Memo, slices
 
 _EDGE = re.compile(r"[\W_]+")
 _RUN = re.compile(r"([^\w\s])\1+")
@@ -98,7 +98,7 @@ def _count_features(categories: list[str], most: int = 200_000):
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(table[:, j].astype(np.int64)) for j in range(table.shape[1])]], names=["feature", "n", *categories])
 
         memo = Memo(features_of)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             labels = np.array([batch.column(c).to_pylist() for c in categories], np.int64).T.reshape(batch.num_rows, len(categories))
             for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
                 memo.trim()
@@ -155,7 +155,7 @@ def fit_chain(
 
     def present(batches):
         memo = _memo(names)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             has = [_has(names, x, memo) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int64())), *[batch.column(c) for c in categories]], names=["has", *categories])
 
@@ -183,7 +183,7 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches):
         memo = _memo(chain.features)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [chain.probabilities(_has(chain.features, x, memo)) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[j] for r in found], pa.float64()) for j in range(len(chain.categories))]], names=["doc_id", *[f"p_{c}" for c in chain.categories]])
 
@@ -211,7 +211,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
 
     def run(batches):
         memo = _memo(chain.features)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = [chain.probabilities(_has(chain.features, x, memo))[-1] < threshold for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -13,18 +13,33 @@ _SHIFT = np.uint64(33)
 
 
 class Memo(dict):
-    """Remembers a function of a word. `trim()` between texts keeps it under `most` entries, so memory stays bounded."""
+    """Remembers a function of a word. `trim()` between texts keeps it under about `most` bytes, long words counted by their
+    length. A memo belongs to one call of a task's function and ends with it: workers serve many stages."""
 
-    def __init__(self, function, most: int = 300_000):
-        self.function, self.most = function, most
+    #: What an entry takes besides its letters: two small objects and the table's slot.
+    ENTRY = 200
+
+    def __init__(self, function, most: int = 24_000_000):
+        self.function, self.most, self.held = function, most, 0
 
     def __missing__(self, key):
         value = self[key] = self.function(key)
+        self.note(key, value)
         return value
 
+    def note(self, key, value) -> None:
+        self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, (bytes, str)) else 64 * len(value) if isinstance(value, (list, tuple)) else 0)
+
     def trim(self) -> None:
-        if len(self) > self.most:
+        if self.held > self.most:
             self.clear()
+            self.held = 0
+
+
+def slices(batch, most_rows: int = 256):
+    """A record batch in parts of `most_rows` rows, so that only those are Python objects at a time."""
+    for low in range(0, batch.num_rows, most_rows):
+        yield batch.slice(low, most_rows)
 
 
 def word_bytes(text: str | None, lower: bool = False) -> list[bytes]:
