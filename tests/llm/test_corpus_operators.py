@@ -358,3 +358,24 @@ def test_html_repeats_over_a_whole_host(spark):
     assert [t.startswith("Please") and "w0x59" in t for i, t in got if i == 900] == [True, True]
     hot = [html_text.blocks_of(h) for i, _, h in rows if i < 900]
     assert dict(got[:62])[5] == html_text.main_texts(hot)[5] and {i: t for i, t in got if i < 900} == dict(enumerate(html_text.main_texts(hot)))
+
+
+def test_html_without_article_markup(spark, table):
+    """The pages of the table with their article tags taken out and a notice put in: every block is for the host's repeats to
+    decide, and the result is that of the suffix ranks over each host, whatever the chunks and partitions."""
+    rows = [(r["page_id"], r["url"], r["html"].replace("<article>", "<div>We keep small files on your device so that this site can work.</div><div>").replace("</article>", "</div>")) for r in table("pages").collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts, want = {}, {}
+    for i, url, page in rows:
+        hosts.setdefault(url_filter.split_url(url)[0], []).append((i, html_text.blocks_of(page)))
+    open_blocks = decided = 0
+    for held in hosts.values():
+        want |= dict(zip([i for i, _ in held], html_text.main_texts([b for _, b in held]), strict=True))
+        for i, blocks in held:
+            loose = [t for role, t in blocks if role == html_text.PLAIN]
+            open_blocks, decided = open_blocks + len(loose), decided + len(loose) - (want[i].count("\n\n") + 1 if want[i] else 0)
+    for parts, chunk in ((2, 2_000_000), (5, 3_000)):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages.repartition(parts), chunk_bytes=chunk).collect()}
+        assert got == want
+    assert all("small files" not in want[i] for held in hosts.values() if len(held) > 1 for i, _ in held)
+    assert open_blocks and decided / open_blocks > 0.05
