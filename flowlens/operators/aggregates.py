@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.labels import is_benign
-from flowlens.functions.stats import concentration, normal_entropy, share
+from flowlens.functions.stats import share
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -39,35 +39,73 @@ def protocol_mix(df: DataFrame, group: str, protocol: str = "protocol") -> DataF
     return mix.withColumn("kind", kind)
 
 
-def port_stats(df: DataFrame, group: str, port: str = "dst_port") -> DataFrame:
-    """Distinct ports, normal entropy, concentration, the top port (ties: the smallest) with its share, and a class."""
-    n = df.groupBy(group, port).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(group)
-    n = n.withColumn("total", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("n").desc(), port)))
+def _counts_entropy(n: Column) -> Column:
+    """Aggregate: entropy of counts over ln of how many there are, from sums alone; 0 for one count or none."""
+    kinds, total = F.count(n), F.sum(n)
+    return F.when(kinds > 1, (F.ln(total) - F.sum(n * F.ln(n)) / total) / F.ln(F.greatest(kinds, F.lit(2)))).otherwise(0.0)
+
+
+def port_stats(df: DataFrame, group: str, target: str = "dst_port", source: str = "src_port") -> DataFrame:
+    """Of the target ports their number of rows, distinct ones, normal entropy, concentration (1 - entropy), sum of squared
+    shares, and the top port (ties: the smallest; 0 without ports) with its share; of the source ports entropy and distinct
+    ones; and the class of the group. Ports that are null don't count."""
+    parts = F.array(F.struct(F.lit("t").alias("side"), F.col(target).cast("long").alias("port")), F.struct(F.lit("s").alias("side"), F.col(source).cast("long").alias("port")))
+    n = df.select(group, F.explode(parts).alias("p")).groupBy(group, "p.side", "p.port").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("n", F.when(F.col("port").isNotNull(), F.col("n")))
+    of = lambda side: F.when(F.col("side") == side, F.col("n"))
+    t = of("t")
     out = n.groupBy(group).agg(
-        F.count(F.lit(1)).alias("ports"),
-        normal_entropy(F.col("n"), F.col("total")).alias("entropy"),
-        concentration(F.col("n"), F.col("total")).alias("hhi"),
-        F.max(F.when(F.col("rank") == 1, F.col(port))).alias("top_port"),
-        F.max(F.col("n") / F.col("total")).alias("top_share"),
-    )
-    kind = F.when(F.col("top_share") >= 0.8, "SINGLE_PORT").when(F.col("entropy") >= 0.8, "WIDE_PORTS").otherwise("FEW_PORTS")
-    return out.withColumn("kind", kind)
+        F.coalesce(F.sum(t), F.lit(0)).alias("n"), F.count(t).alias("ports"), _counts_entropy(t).alias("entropy"), F.coalesce(F.sum(t * t) / (F.sum(t) * F.sum(t)), F.lit(0.0)).alias("hhi"),
+        F.max(F.struct(t.alias("n"), (-F.col("port")).alias("port"))).alias("_top"), F.coalesce(F.max(t) / F.sum(t), F.lit(0.0)).alias("top_share"),
+        _counts_entropy(of("s")).alias("source_entropy"), F.count(of("s")).alias("source_ports"),
+    )
+    kind = F.when(F.col("ports") <= 0, "UNKNOWN").when((F.col("top_share") < 0.15) & (F.col("ports") >= 200), "PORT_SCAN_LIKE").when((F.col("top_share") > 0.9) & (F.col("ports") <= 3), "SINGLE_PORT").otherwise("SERVICE_LIKE")
+    top = F.when(F.col("_top.n").isNotNull(), -F.col("_top.port")).otherwise(F.lit(0)).cast("long")
+    return out.select(group, "n", "ports", "entropy", F.when(F.col("n") > 0, 1 - F.col("entropy")).otherwise(0.0).alias("concentration"), "hhi", top.alias("top_port"), "top_share", "source_entropy", "source_ports", kind.alias("kind"))
 
 
 def temporal_stats(df: DataFrame, group: str, time: str = "ts", bins: int = 256) -> DataFrame:
-    """Span, its share of the whole span, concentration and entropy over equal bins of the group's span, and burst."""
+    """Rows with a time, their span and its share of the whole table's span; over `bins` equal bins of the whole span the sum
+    of squared shares, the entropy over the occupied ones and 1 less it; the burst score and the class. Rows without a time
+    don't count; a group of only such rows is EMPTY with zeros. Without any time there are no rows."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    ends = df.groupBy(group).agg(F.min(us).alias("low"), F.max(us).alias("high"))
-    whole = df.agg(F.min(us).alias("w0"), F.max(us).alias("w1"))
-    at = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((us - F.col("low")) * bins / (F.col("high") - F.col("low")))))
-    n = df.select(group, time).join(ends, group).groupBy(group, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("total", F.sum("n").over(Window.partitionBy(group)))
-    stats = n.groupBy(group).agg(concentration(F.col("n"), F.col("total")).alias("hhi"), normal_entropy(F.col("n"), F.col("total")).alias("entropy"))
-    out = stats.join(ends, group).join(F.broadcast(whole), how="cross")
-    span = (F.col("high") - F.col("low")) / 1e6
-    part = F.least(F.lit(1.0), share(span, (F.col("w1") - F.col("w0")) / 1e6))
-    return out.select(group, span.alias("span_s"), part.alias("span_ratio"), "hhi", "entropy", (0.5 * F.col("hhi") + 0.5 * (1 - part)).alias("burst"))
+    whole = df.agg(F.min(us).alias("_w0"), F.max(us).alias("_w1")).where("_w0 is not null")
+    rows = df.select(group, us.alias("_t")).join(F.broadcast(whole), how="cross")  # one row
+    at = F.when(F.col("_w1") == F.col("_w0"), bins - 1).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_t") - F.col("_w0")) * bins / (F.col("_w1") - F.col("_w0")))))
+    n = rows.groupBy(group, F.when(F.col("_t").isNotNull(), at).alias("_bin")).agg(F.count("_t").alias("_n"), F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.first("_w0").alias("_w0"), F.first("_w1").alias("_w1"))
+    c = F.when(F.col("_bin").isNotNull(), F.col("_n"))
+    out = n.groupBy(group).agg(
+        F.sum("_n").alias("n"), ((F.max("_high") - F.min("_low")) / 1e6).alias("_span"), ((F.first("_w1") - F.first("_w0")) / 1e6).alias("_all"),
+        F.coalesce(F.sum(c * c) / (F.sum(c) * F.sum(c)), F.lit(0.0)).alias("hhi"), _counts_entropy(c).alias("entropy"),
+    )
+    span = F.coalesce("_span", F.lit(0.0))
+    part = F.when(F.col("_all") > 0, span / F.col("_all")).otherwise(0.0)
+    full = F.col("n") > 0
+    kind = F.when(~full, "EMPTY").when((part < 1e-3) & (F.col("hhi") >= 0.5), "SHORT_BURST").when(part >= 0.01, "LONG_SPAN").otherwise("MEDIUM_SPAN")
+    of = lambda x: F.when(full, x).otherwise(0.0)
+    return out.select(
+        group, "n", span.alias("span_s"), of(part).alias("span_ratio"), "hhi", "entropy", of(1 - F.col("entropy")).alias("concentration"),
+        of(0.5 * (1 - F.least(part, F.lit(1.0))) + 0.5 * F.col("hhi")).alias("burst"), kind.alias("kind"),
+    )
+
+
+def stability(df: DataFrame, group: str, index: str, size: int) -> DataFrame:
+    """How unevenly a group's rows lie over windows of `size` rows, 0 to 1: of the counts in all windows, zeros included, the
+    deviation over the mean (0.6) and the 0.95 quantile over the mean (0.4), each as 1 - exp(-x). Rows with an index below 0
+    don't count."""
+    n = df.where(F.col(index) >= 0).groupBy(group, F.floor(F.col(index) / size).alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    windows = n.agg((F.max("_w") + 1).alias("_all"))
+    n = n.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_n")))  # a row for each window
+    per = n.groupBy(group).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"), F.map_from_entries(F.collect_list(F.struct("_rank", "_n"))).alias("_at"))
+    per = per.join(F.broadcast(windows), how="cross")
+    place = 0.95 * (F.col("_all") - 1)
+    value = lambda i: F.coalesce(F.try_element_at("_at", (i - (F.col("_all") - F.col("_k")) + 1).cast("int")), F.lit(0))
+    high = value(F.floor(place)) + (place - F.floor(place)) * (value(F.ceil(place)) - value(F.floor(place)))
+    mean = F.col("_s") / F.col("_all")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_all") - mean * mean))
+    risk = lambda x: 1 - F.exp(-F.greatest(x, F.lit(0.0)))
+    out = 0.6 * risk(spread / (mean + 1e-9)) + 0.4 * risk(high / (mean + 1e-9) - 1)
+    return per.select(group, F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)).alias("stability"))
 
 
 def group_profile(df: DataFrame, group: str, label: str = "label") -> DataFrame:

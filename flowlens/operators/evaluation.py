@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.labels import is_benign
+from flowlens.functions.stats import share
+
+from .aggregates import group_profile
 
 
 def assignment_risk(assigned: DataFrame, label: str = "label", unknown: str = "UNKNOWN") -> DataFrame:
-    """fpr, fnr: a learner is benign or attack by its dominant kind of label. Benign rows in attack learners are false
-    positives, of benign rows outside UNKNOWN; attacks in benign learners or in UNKNOWN are misses."""
-    n = assigned.groupBy("learner").agg(F.sum(is_benign(F.col(label)).cast("long")).alias("b"), F.sum((~is_benign(F.col(label))).cast("long")).alias("a"))
-    known, benign = F.col("learner") != unknown, F.col("b") >= F.col("a")
-    sums = n.agg(
-        F.sum(F.when(known & ~benign, F.col("b")).otherwise(0)).alias("fp"), F.sum(F.when(known, F.col("b")).otherwise(0)).alias("benign"),
-        F.sum(F.when(~known | benign, F.col("a")).otherwise(0)).alias("miss"), F.sum("a").alias("attack"),
-    )
-    return sums.select("fp", "benign", "miss", "attack", F.when(F.col("benign") > 0, F.col("fp") / F.col("benign")).otherwise(0.0).alias("fpr"), F.when(F.col("attack") > 0, F.col("miss") / F.col("attack")).otherwise(0.0).alias("fnr"))
+    """fp, benign, miss, attack, fpr, fnr: a learner is benign or attack by its most frequent label (ties: the smallest).
+    Benign rows in attack learners are false positives, of the benign rows outside UNKNOWN; attacks in benign learners or in
+    UNKNOWN are misses. A rate without a base is 0."""
+    n = group_profile(assigned, "learner", label)
+    known, benign = F.col("learner") != unknown, is_benign(F.col("dominant_label"))
+    zero = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c)).otherwise(0)), F.lit(0))
+    sums = n.agg(zero(known & ~benign, "benign").alias("fp"), zero(known, "benign").alias("benign"), zero(~known | benign, "attack").alias("miss"), F.coalesce(F.sum("attack"), F.lit(0)).alias("attack"))
+    return sums.select("fp", "benign", "miss", "attack", share(F.col("fp"), F.col("benign")).alias("fpr"), share(F.col("miss"), F.col("attack")).alias("fnr"))
 
 
 def auc(scored: DataFrame, group: list[str], score: str, positive: str) -> DataFrame:
@@ -65,18 +67,82 @@ def class_report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return out.select("class", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), "support")
 
 
-def learner_risk(losses: DataFrame, size_scale: float = 5000.0, k: float = 4.0) -> DataFrame:
-    """A learner's risk from its losses: how far its own rows exceed the threshold, how heavy their tail is, and how much a
-    benign learner would take them; shrunk to 0.5 for small learners by exp(-n / size_scale)."""
-    ratio = F.col("loss") / F.col("threshold")
-    own = losses.where(F.concat(F.lit("NEW_"), F.col("label").cast("string")) == F.col("learner"))
-    stats = own.groupBy("learner").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((ratio > 1).cast("double")).alias("exceed"), F.expr("percentile(loss / threshold, 0.95D)").alias("p95"), F.expr("percentile(loss / threshold, 0.5D)").alias("p50")
-    )
-    near = losses.where("is_benign").groupBy("row_index").agg(F.max(1 / (1 + F.exp(-k * (1 - ratio)))).alias("benign_prob"))
-    soft = own.select("row_index", "learner").join(near, "row_index").groupBy("learner").agg(F.avg("benign_prob").alias("benign_prob"))
-    tail = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("p95") / F.col("p50") - 1) / 2))
-    raw = 0.4 * F.col("exceed") + 0.25 * tail + 0.35 * F.col("benign_prob")
-    shrink = F.exp(-F.col("n") / size_scale)
-    out = stats.join(soft, "learner").withColumn("risk", raw * (1 - shrink) + 0.5 * shrink)
-    return out.withColumn("band", F.when(F.col("risk") >= 0.6, "HIGH").when(F.col("risk") >= 0.4, "MEDIUM").otherwise("LOW"))
+def risk_band(score: Column) -> Column:
+    return F.when(score.isNull() | F.isnan(score), "UNKNOWN").when(score >= 0.75, "HIGH").when(score >= 0.45, "MEDIUM").otherwise("LOW")
+
+
+def learner_risk(losses: DataFrame, assigned: DataFrame, overlap: DataFrame, stable: DataFrame, benign_scale: float = 1.0, k: float = 4.0, size_scale: float = 5000.0) -> DataFrame:
+    """Risk of each learner from how the rows assigned to it are taken, without labels, in three versions with bands.
+
+    losses: row_index, learner, loss, threshold, is_benign. assigned: row_index, assigned_learner. overlap: learner,
+    overlap_risk. stable: learner, stability. A benign learner's threshold is scaled. What can't be measured is null and counts
+    as 0.5 (as 1 for the share over the own threshold), learners without overlap or stability as 0.
+    """
+    threshold = F.col("threshold") * F.when(F.col("is_benign"), benign_scale).otherwise(1.0)
+    margin = (threshold - F.col("loss")) / (F.abs(threshold) + 1e-12)
+    rows = assigned.select("row_index", F.col("assigned_learner").alias("learner"))
+    sums = rows.groupBy("learner").agg(F.count(F.lit(1)).alias("n"))
+    whole = sums.agg(F.sum("n").alias("_all"))
+    own = rows.join(losses.select("row_index", "learner", "loss", threshold.alias("_t")), ["row_index", "learner"])
+    own = own.groupBy("learner").agg(
+        F.max("_t").alias("own_threshold"), F.avg("loss").alias("own_loss_mean"), F.avg((F.col("loss") > F.col("_t")).cast("double")).alias("own_exceed_rate"),
+        F.expr("percentile(loss, array(0.5D, 0.9D, 0.95D, 0.99D))").alias("_q"),
+    )
+    best = losses.where("is_benign").groupBy("row_index").agg(F.max(margin).alias("_m")).withColumn("_p", 1 / (1 + F.exp(-k * F.col("_m"))))
+    near = rows.join(best, "row_index").groupBy("learner").agg(
+        F.avg((F.col("_m") >= 0).cast("double")).alias("benign_accept_rate"), F.avg("_p").alias("benign_prob_mean"), F.expr("percentile(_p, 0.1D)").alias("benign_prob_p10"),
+        F.expr("percentile(_m, 0.5D)").alias("benign_margin_median"), F.expr("percentile(_m, 0.1D)").alias("benign_margin_p10"),
+    )
+    out = sums.join(F.broadcast(whole), how="cross").join(own, "learner", "left").join(near, "learner", "left").join(overlap, "learner", "left").join(stable, "learner", "left")
+    q = lambda i: F.col("_q")[i]
+    less = lambda c, unknown: F.coalesce(1 - F.col(c), F.lit(unknown))
+    out = out.withColumns({"assignment_share": F.col("n") / F.col("_all"), "own_loss_median": q(0), "own_loss_p95": q(2), "tail_heaviness": (q(3) - q(1)) / (F.abs(q(1) - q(0)) + 1e-12)})
+    exceed = F.coalesce("own_exceed_rate", F.lit(1.0))
+    margin_risk = F.coalesce(1 / (1 + F.exp(4 * F.col("benign_margin_median"))), F.lit(0.5))
+    tail = F.coalesce(1 / (1 + F.exp(-1.5 * (F.col("tail_heaviness") - 2))), F.lit(0.5))
+    out = out.withColumns({
+        "risk_score": 0.55 * less("benign_accept_rate", 0.5) + 0.3 * exceed + 0.15 * margin_risk,
+        "risk_score_v2": 0.7 * less("benign_prob_mean", 0.5) + 0.2 * exceed + 0.1 * margin_risk,
+        "risk_benign_v3": 0.65 * less("benign_prob_mean", 0.5) + 0.35 * less("benign_prob_p10", 0.5),
+        "risk_self_v3": 0.6 * exceed + 0.4 * tail,
+        "risk_overlap_v3": F.coalesce("overlap_risk", F.lit(0.0)),
+        "risk_stability_v3": F.coalesce("stability", F.lit(0.0)),
+        "size_confidence": 1 - F.exp(-F.col("n") / size_scale),
+    })
+    out = out.withColumn("risk_size_v3", 1 - F.col("size_confidence"))
+    out = out.withColumn("risk_score_v3_raw", 0.35 * F.col("risk_benign_v3") + 0.25 * F.col("risk_self_v3") + 0.2 * F.col("risk_overlap_v3") + 0.15 * F.col("risk_stability_v3") + 0.05 * F.col("risk_size_v3"))
+    out = out.withColumn("risk_score_v3", 0.5 + F.col("size_confidence") * (F.col("risk_score_v3_raw") - 0.5))  # small learners are drawn to 0.5
+    cuts = out.agg(F.expr("percentile(risk_score_v3, array(0.5D, 0.8D))").alias("_c"))  # a row for each learner
+    out = out.join(F.broadcast(cuts), how="cross")
+    out = out.withColumns({
+        "risk_band": risk_band(F.col("risk_score")), "risk_band_v2": risk_band(F.col("risk_score_v2")), "risk_band_v3": risk_band(F.col("risk_score_v3")),
+        "risk_band_v3_quantile": F.when(F.col("risk_score_v3") >= F.col("_c")[1], "HIGH").when(F.col("risk_score_v3") >= F.col("_c")[0], "MEDIUM").otherwise("LOW"),
+    })
+    return out.drop("_q", "_c", "_all", "overlap_risk", "stability")
+
+
+#: Fixed: the behaviour rules' limits, on what port_stats and temporal_stats find.
+BURST, SCAN_SHARE, SCAN_PORTS, FLOOD_SHARE, FLOOD_PORTS, WIDE_ENTROPY = 0.5, 0.15, 200, 0.9, 3, 0.85
+
+
+def behaviour_rules() -> dict[str, Column]:
+    """Rules over a learner's burst, top_share, ports and entropy, by name."""
+    burst = F.col("burst") >= BURST
+    scan, flood = (F.col("top_share") < SCAN_SHARE) & (F.col("ports") >= SCAN_PORTS), (F.col("top_share") > FLOOD_SHARE) & (F.col("ports") <= FLOOD_PORTS)
+    port = scan | flood | (F.col("entropy") > WIDE_ENTROPY)
+    return {"temporal_burst_score>=0.5": burst, "port_scan_like": scan, "port_single_port": flood, "port_scan_or_flood_or_high_entropy": port, "temporal_burst OR port_attack": burst | port}
+
+
+def rule_table(profiles: DataFrame, tests: dict[str, Column], name: str = "learner") -> DataFrame:
+    """A row for each test: counts, precision and recall against learners of attack_ratio 0.5 or more (attack) and under 0.1
+    (benign); those between count for neither. Names of the wrong ones in order, joined by a comma; without a base a rate is 0."""
+    attack, benign = F.col("attack_ratio") >= 0.5, F.col("attack_ratio") < 0.1
+    rows = profiles.select(name, attack.alias("_a"), benign.alias("_b"), F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(t, F.lit(False)).alias("hit")) for k, t in tests.items()])).alias("p")).select(name, "_a", "_b", "p.*")
+    n = lambda t: F.sum(t.cast("long"))
+    names = lambda t: F.concat_ws(",", F.array_sort(F.collect_list(F.when(t, F.col(name)))))
+    hit = F.col("hit")
+    out = rows.groupBy("rule").agg(
+        n(hit & F.col("_a")).alias("tp"), n(hit & F.col("_b")).alias("fp"), n(~hit & F.col("_a")).alias("fn"), n(~hit & F.col("_b")).alias("tn"),
+        names(hit & F.col("_b")).alias("false_positives"), names(~hit & F.col("_a")).alias("false_negatives"),
+    )
+    return out.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})

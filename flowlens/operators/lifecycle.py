@@ -11,46 +11,83 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Gate:
-    """Limits of an increment; a None switches a test off."""
+    """Limits of an increment. None, False or 0 switches a test off."""
 
     benign_confidence: float | None = 0.6
     freeze_benign: bool = False
     cooldown_windows: int = 0
-    least_rows: int = 50
-    most_retrains: int | None = None
+    least_rows: int = 300
+    by_gap: bool = False
+    most_retrains: int = 0
     least_drift: float | None = None
+    least_benign_prob: float | None = None
     most_exceed: float | None = None
+    route_rows: int | None = None
+    route_confident: float = 0.55
 
 
-def drop_reason(gate: Gate) -> Column:
-    """Null for rows that train. Reads loss, threshold, is_benign of the row and window_id, birth_window, rows, retrains, drift
-    and exceed of its learner in the window."""
-    tests: list[tuple[str, Column]] = []
-    if gate.benign_confidence is not None:
-        tests.append(("low_benign_confidence", F.col("is_benign") & (F.col("loss") > F.col("threshold") * gate.benign_confidence)))
+def batch_reason(gate: Gate) -> Column:
+    """Why a learner's whole window trains nothing, without the cap on retrains; null if it trains. Reads of the batch: learner,
+    is_benign, window_id, birth_window, kept (rows that pass the confidence test), and, for the tests that are on, latest and
+    last_trained (row numbers), drift, benign_prob, exceed, confident_ratio and route_kept."""
+    new = F.startswith("learner", F.lit("NEW_"))
+    tests: list[tuple[str, Column]] = [("benign_conf_filter", F.col("kept") == 0)]
     if gate.freeze_benign:
-        tests.append(("benign_frozen", F.col("is_benign")))
-    tests.append(("cooldown", F.col("window_id") - F.col("birth_window") < gate.cooldown_windows))
-    tests.append(("too_few_rows", F.col("rows") < gate.least_rows))
-    if gate.most_retrains is not None:
-        tests.append(("retrain_cap", F.col("retrains") >= gate.most_retrains))
+        tests.append(("freeze_benign_incremental", F.col("is_benign")))
+    if gate.cooldown_windows:
+        tests.append(("new_learner_cooldown", new & (F.col("window_id") - F.col("birth_window") < gate.cooldown_windows)))
+    if gate.by_gap:
+        since = F.coalesce("last_trained", F.greatest(F.lit(0), F.col("latest") - gate.least_rows))
+        tests.append(("increment_gap_not_met", F.col("latest") - since < gate.least_rows))
+    else:
+        tests.append(("increment_min_samples", F.col("kept") < gate.least_rows))
+    if gate.most_retrains:
+        tests.append(("max_retrain_per_learner", F.lit(False)))  # its place; gate_batches puts the test in
     if gate.least_drift is not None:
-        tests.append(("no_drift", F.col("drift") < gate.least_drift))
-    if gate.most_exceed is not None:
-        tests.append(("low_quality", F.col("exceed") > gate.most_exceed))
+        tests.append(("increment_no_feature_drift", F.col("drift") < gate.least_drift))
+    if gate.least_benign_prob is not None and gate.most_exceed is not None:
+        tests.append(("increment_quality_gate", (F.col("benign_prob") < gate.least_benign_prob) & (F.col("exceed") > gate.most_exceed)))
+    if gate.route_rows is not None:
+        asked = new & (F.col("kept") >= gate.route_rows) & F.col("confident_ratio").isNotNull()
+        tests.append(("increment_route_gate_batch_reject", asked & (F.col("confident_ratio") < gate.route_confident)))
+        tests.append(("increment_route_gate_min_samples", asked & (F.col("route_kept") < gate.least_rows)))
     out = F.lit(None).cast("string")
     for name, test in reversed(tests):
         out = F.when(test, name).otherwise(out)
     return out
 
 
-def learner_windows(rows: DataFrame) -> DataFrame:
-    """rows (learner, window_id, loss, threshold, ...) with its learner's rows, birth window, earlier windows (as retrains) and
-    share above the threshold."""
-    per = rows.groupBy("learner", "window_id").agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("loss") > F.col("threshold")).cast("double")).alias("exceed"))
-    w = Window.partitionBy("learner").orderBy("window_id")
-    per = per.withColumns({"birth_window": F.min("window_id").over(Window.partitionBy("learner")), "retrains": F.row_number().over(w) - 1})
-    return rows.join(per, ["learner", "window_id"])
+#: The batch tests that come before the cap on retrains.
+_BEFORE_CAP = ("benign_conf_filter", "freeze_benign_incremental", "new_learner_cooldown", "increment_gap_not_met", "increment_min_samples")
+
+
+def gate_batches(batches: DataFrame, gate: Gate) -> DataFrame:
+    """batches (a row for each learner and window) with reason, null for those that train. A learner's retrains before a window
+    are its earlier windows that pass all other tests, so the cap needs only a running count."""
+    out = batches.withColumn("reason", batch_reason(gate))
+    if not gate.most_retrains:
+        return out
+    before = Window.partitionBy("learner").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.sum(F.col("reason").isNull().cast("long")).over(before), F.lit(0)) >= gate.most_retrains
+    early = F.coalesce(F.col("reason").isin(*_BEFORE_CAP), F.lit(False))
+    return out.withColumn("_done", done).withColumn("reason", F.when(early, F.col("reason")).when(F.col("_done"), "max_retrain_per_learner").otherwise(F.col("reason"))).drop("_done")
+
+
+def increment_trace(rows: DataFrame, gate: Gate) -> DataFrame:
+    """learner, row_index, window_id, passed_confidence, reason ('' for rows that train). rows: learner, row_index, window_id,
+    loss, threshold, is_benign, and of the first benign learner benign_loss and benign_threshold; benign_prob. A window's
+    reason holds for all its rows; in a window that trains, a benign learner's rows above the confidence limit are left out."""
+    sure = F.lit(True) if gate.benign_confidence is None else F.coalesce(~F.col("is_benign") | (F.col("benign_loss") <= F.col("benign_threshold") * gate.benign_confidence), F.lit(True))
+    rows = rows.withColumn("passed_confidence", sure)
+    of = lambda c: F.when(F.col("passed_confidence"), c)
+    batches = rows.groupBy("learner", "window_id").agg(
+        F.max("is_benign").alias("is_benign"), F.sum(F.col("passed_confidence").cast("long")).alias("kept"), F.max("row_index").alias("latest"),
+        F.avg(of((F.col("loss") > F.col("threshold")).cast("double"))).alias("exceed"), F.avg(of(F.col("benign_prob"))).alias("benign_prob"),
+    )
+    batches = batches.withColumn("birth_window", F.min("window_id").over(Window.partitionBy("learner")))
+    gated = gate_batches(batches, gate).select("learner", "window_id", "reason")
+    out = rows.join(gated, ["learner", "window_id"])
+    return out.select("learner", "row_index", "window_id", "passed_confidence", F.coalesce("reason", F.when(~F.col("passed_confidence"), "benign_conf_filter").otherwise("")).alias("reason"))
 
 
 def newest(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:

@@ -84,11 +84,24 @@ def mutual_top(pairs: DataFrame, k: int, score: str = "jaccard") -> DataFrame:
     return best.join(back, ["x", "y"]).where("x < y").select(F.col("x").alias("learner_a"), F.col("y").alias("learner_b"), F.col("s").alias(score))
 
 
-def route_margin(losses: DataFrame) -> DataFrame:
-    """Per row the best learner's relative margin, (threshold - loss) / threshold, and how far it is ahead of the next."""
-    margin = losses.withColumn("margin", (F.col("threshold") - F.col("loss")) / F.col("threshold"))
-    ranked = margin.withColumn("_r", F.row_number().over(Window.partitionBy("row_index").orderBy(F.col("margin").desc(), "learner"))).where("_r <= 2")
-    return ranked.groupBy("row_index").agg(
-        F.max(F.when(F.col("_r") == 1, F.col("learner"))).alias("best"), F.max(F.when(F.col("_r") == 1, F.col("margin"))).alias("margin"),
-        (F.max(F.when(F.col("_r") == 1, F.col("margin"))) - F.max(F.when(F.col("_r") == 2, F.col("margin")))).alias("gap"),
+def route_confidence(losses: DataFrame, assigned: DataFrame, benign_scale: float = 1.0, least_margin: float = 0.02, least_gap: float = 0.03) -> DataFrame:
+    """Rows of assigned (row_index, assigned_learner) with own_margin, (threshold - loss) / |threshold| of their learner, gap, how
+    far it is ahead of the best other learner's, and keep: both reach their limits. Where the learner has no losses, or there
+    is no other, margin and gap are null and the row is kept."""
+    scaled = F.col("threshold") * F.when(F.col("is_benign"), benign_scale).otherwise(1.0)
+    margin = (scaled - F.col("loss")) / (F.abs(scaled) + 1e-12)
+    all_ = assigned.join(losses.select("row_index", "learner", margin.alias("m")), "row_index", "left")
+    own = F.col("learner") == F.col("assigned_learner")
+    out = all_.groupBy("row_index", "assigned_learner").agg(F.max(F.when(own, F.col("m"))).alias("own_margin"), F.max(F.when(~own, F.col("m"))).alias("_other"))
+    gap = F.col("own_margin") - F.col("_other")
+    keep = F.coalesce((F.col("own_margin") >= least_margin) & (gap >= least_gap), F.lit(True))
+    return out.select("row_index", F.col("assigned_learner").alias("learner"), F.when(gap.isNotNull(), F.col("own_margin")).alias("own_margin"), gap.alias("gap"), F.when(gap.isNull(), True).otherwise(keep).alias("keep"))
+
+
+def confidence_by_learner(rows: DataFrame) -> DataFrame:
+    """Of route_confidence per learner: n, kept, confident_ratio, and the 0.1 quantiles of margin and gap; null where there are none."""
+    valid = F.col("gap").isNotNull()
+    return rows.groupBy("learner").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"), F.avg(F.when(valid, F.col("keep").cast("double"))).alias("confident_ratio"),
+        F.expr("percentile(own_margin, 0.1D)").alias("own_margin_p10"), F.expr("percentile(gap, 0.1D)").alias("gap_p10"),
     )

@@ -111,15 +111,6 @@ def graph_stats(edge: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def anomaly_flags(stats: DataFrame) -> DataFrame:
-    """Names of what stands out in a graph, joined by |."""
-    tests = [
-        ("source_hub", F.col("max_out_ratio") >= 0.5), ("sink_hub", F.col("max_in_ratio") >= 0.5), ("one_way", F.col("reciprocity") <= 0.05),
-        ("leafy", F.col("leaf_ratio") >= 0.8), ("sparse", F.col("density") <= 0.01), ("dense", F.col("edge_per_node") >= 3),
-    ]
-    return stats.withColumn("flags", F.concat_ws("|", *[F.when(test, name) for name, test in tests]))
-
-
 def components(edge: DataFrame, key: str) -> DataFrame:
     """key, node, component: the smallest node that edges reach in either direction, per key.
 
@@ -147,40 +138,94 @@ def component_stats(labels: DataFrame, key: str) -> DataFrame:
     return out.withColumn("fragment_ratio", 1 - F.col("largest_ratio"))
 
 
-def flow_rules(df: DataFrame, hub: int = 20, rare_back: float = 0.1) -> DataFrame:
-    """Per flow: source_hub, sink_hub, low_reciprocity and their unions, from the degrees of its hosts and its edge's
-    opposite. df has src_ip and dst_ip."""
-    edge = edges(df.withColumn("_all", F.lit(1)), ["_all"], F.col("src_ip"), F.col("dst_ip"))
-    deg = degrees(edge, ["_all"])
-    source = deg.select(F.col("node").alias("src_ip"), F.col("out_degree").alias("_out"))
-    sink = deg.select(F.col("node").alias("dst_ip"), F.col("in_degree").alias("_in"))
-    back = with_reverse(edge, ["_all"]).select(F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), (F.col("back") / F.col("n")).alias("_back"))
-    out = df.join(source, "src_ip", "left").join(sink, "dst_ip", "left").join(back, ["src_ip", "dst_ip"], "left")
-    out = out.withColumns({"source_hub": F.coalesce("_out", F.lit(0)) >= hub, "sink_hub": F.coalesce("_in", F.lit(0)) >= hub, "low_reciprocity": F.coalesce("_back", F.lit(0.0)) < rare_back})
-    return out.withColumns({"any_hub": F.col("source_hub") | F.col("sink_hub"), "any_rule": F.col("source_hub") | F.col("sink_hub") | F.col("low_reciprocity")}).drop("_out", "_in", "_back")
+def graph_metrics(edge: DataFrame, key: str) -> DataFrame:
+    """graph_stats with the number of weak components, the largest one's share of nodes and components per node. The edges
+    are read several times, so save them first if they are costly to make."""
+    parts = components(edge, key).groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("components"), F.max("_n").alias("_largest"))
+    out = graph_stats(edge, [key]).join(parts, key)
+    return out.withColumns({"largest_ratio": F.col("_largest") / F.col("nodes"), "component_ratio": F.col("components") / F.col("nodes")}).drop("_largest")
+
+
+def anomaly_flags(stats: DataFrame) -> DataFrame:
+    """Adds flags: names of what stands out in a graph of graph_metrics, joined by |."""
+    tests = [
+        ("STRONG_SOURCE_HUB", F.col("max_out_ratio") >= 0.25),
+        ("STRONG_SINK_HUB", F.col("max_in_ratio") >= 0.25),
+        ("VERY_LOW_RECIPROCITY", F.col("reciprocity") <= 0.01),
+        ("HIGH_FRAGMENTATION", F.col("components") >= F.greatest(F.lit(8), F.floor(0.1 * F.col("nodes")))),
+        ("SMALL_GIANT_COMPONENT", F.col("largest_ratio") <= 0.35),
+        ("UNUSUALLY_DENSE", (F.col("density") >= 0.02) & (F.col("nodes") > 200)),
+    ]
+    found = F.concat_ws("|", *[F.when(test, name) for name, test in tests])
+    return stats.withColumn("flags", F.when(found == "", "NO_STRONG_TOPO_ANOMALY").otherwise(found))
+
+
+def edge_rules(edge: DataFrame, hub: float = 0.25) -> DataFrame:
+    """The rules of each edge (src, dst): its source's successors, or its target's predecessors, are `hub` or more of the other
+    nodes; there is no opposite edge; and their unions. All flows of an edge share its rules, so flows are never joined to
+    degrees. Hubs are few (each is tied to at least that share of the nodes)."""
+    deg = degrees(edge, [])
+    rest = deg.agg(F.greatest(F.lit(1), F.count(F.lit(1)) - 1).alias("_rest"))
+    hubs = deg.join(F.broadcast(rest), how="cross").select("node", (F.col("out_degree") / F.col("_rest") >= hub).alias("_s"), (F.col("in_degree") / F.col("_rest") >= hub).alias("_k")).where("_s or _k")
+    end = lambda c, flag, name: hubs.where(flag).select(F.col("node").alias(c), F.lit(True).alias(name))
+    out = with_reverse(edge, []).join(end("src", "_s", "_src"), "src", "left").join(end("dst", "_k", "_sink"), "dst", "left")
+    source, sink, low = F.coalesce("_src", F.lit(False)), F.coalesce("_sink", F.lit(False)), F.col("back") == 0
+    return out.withColumns(
+        {"rule_source_hub": source, "rule_sink_hub": sink, "rule_low_reciprocity": low, "rule_sink_or_low_recip": sink | low, "rule_src_or_sink_or_low_recip": source | sink | low}
+    ).drop("_src", "_sink", "back")
+
+
+FLOW_RULES = ("rule_source_hub", "rule_sink_hub", "rule_low_reciprocity", "rule_sink_or_low_recip", "rule_src_or_sink_or_low_recip")
+WINDOW_RULES = ("rule_win_sink_lowrecip", "rule_win_src_lowrecip", "rule_win_frag_lcc", "rule_win_combo")
+
+
+def flow_rules(df: DataFrame, hub: float = 0.25) -> DataFrame:
+    """df (src_ip, src_port, dst_ip, dst_port) with the rules of each flow's edge between ip:port endpoints."""
+    src, dst = endpoint(F.col("src_ip"), F.col("src_port")), endpoint(F.col("dst_ip"), F.col("dst_port"))
+    rules = edge_rules(edges(df, [], src, dst), hub).select("src", "dst", *FLOW_RULES)
+    return df.withColumns({"src": src, "dst": dst}).join(rules, ["src", "dst"]).drop("src", "dst")
+
+
+def rule_rates(rows: DataFrame, rules: tuple[str, ...], attacks: str = "attacks", benign: str = "benign") -> DataFrame:
+    """A row for each rule: tp, tn, fp, fn, fpr, fnr, tpr, precision, flagged. rows: rule columns (null counts as false) and how
+    many attack and benign flows each row stands for. A rate without a base is 0."""
+    parts = rows.select(attacks, benign, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(r), F.lit(False)).alias("hit")) for r in rules])).alias("p"))
+    n = lambda c, hit: F.sum(F.when(F.col("p.hit") == hit, F.col(c)).otherwise(0))
+    out = parts.groupBy("p.rule").agg(n(attacks, True).alias("tp"), n(benign, False).alias("tn"), n(benign, True).alias("fp"), n(attacks, False).alias("fn"))
+    rate = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(a) + F.col(b))
+    return out.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp"), "tpr": rate("tp", "fn"), "precision": rate("tp", "fp"), "flagged": F.col("tp") + F.col("fp")})
 
 
 def window_graphs(df: DataFrame, size: int, index: str = "row_index") -> DataFrame:
-    """Host graph statistics of each block of `size` rows, with the share of attacks (df has benign as 0/1)."""
-    blocks = df.withColumn("window_id", F.floor(F.col(index) / size))
-    edge = edges(blocks, ["window_id"], F.col("src_ip"), F.col("dst_ip"))
-    labels = blocks.groupBy("window_id").agg(F.count(F.lit(1)).alias("flows"), F.avg(1 - F.col("benign")).alias("attack_share"))
-    return graph_stats(edge, ["window_id"]).join(labels, "window_id")
-
-
-def window_rules(windows: DataFrame, quiet: float = 0.5) -> DataFrame:
-    """Rules whose limits are quantiles of the windows with few attacks, as flags on all windows."""
-    calm = windows.where(F.col("attack_share") <= quiet)
-    q = calm.agg(
-        F.expr("percentile(reciprocity, 0.10D)").alias("_r10"), F.expr("percentile(max_out_ratio, 0.95D)").alias("_o95"),
-        F.expr("percentile(max_in_ratio, 0.95D)").alias("_i95"), F.expr("percentile(leaf_ratio, 0.95D)").alias("_l95"), F.expr("percentile(density, 0.05D)").alias("_d05"),
+    """Each block of `size` rows as a graph of ip:port endpoints: rows, attack_ratio, is_attack_window, nodes, edges, reciprocity
+    (edges with an opposite one; a self-loop is its own), hub_out_ratio, hub_in_ratio, frag_ratio (components per node),
+    largest_cc_ratio. df has benign as 0/1."""
+    ensure_checkpoints(df.sparkSession)
+    src, dst = endpoint(F.col("src_ip"), F.col("src_port")), endpoint(F.col("dst_ip"), F.col("dst_port"))
+    blocks = df.select(F.floor(F.col(index) / size).alias("window_id"), src.alias("src"), dst.alias("dst"), "benign")
+    edge = blocks.groupBy("window_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("benign")).alias("attacks")).checkpoint()  # all below reads it
+    rows = edge.groupBy("window_id").agg(F.sum("n").alias("rows"), (F.sum("attacks") / F.sum("n")).alias("attack_ratio"), F.count(F.lit(1)).alias("edges"))
+    nodes = degrees(edge, ["window_id"]).groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("_o"), F.max("in_degree").alias("_i"))
+    back = with_reverse(edge.select("window_id", "src", "dst", "n"), ["window_id"]).groupBy("window_id").agg(F.avg((F.col("back") > 0).cast("double")).alias("reciprocity"))
+    parts = components(edge, "window_id").groupBy("window_id", "component").agg(F.count(F.lit(1)).alias("_n")).groupBy("window_id").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_l"))
+    rest = F.greatest(F.lit(1), F.col("nodes") - 1)
+    return rows.join(nodes, "window_id").join(back, "window_id").join(parts, "window_id").select(
+        "window_id", "rows", "attack_ratio", (F.col("attack_ratio") > 0).cast("int").alias("is_attack_window"), "nodes", "edges", "reciprocity", (F.col("_o") / rest).alias("hub_out_ratio"),
+        (F.col("_i") / rest).alias("hub_in_ratio"), (F.col("_c") / F.col("nodes")).alias("frag_ratio"), (F.col("_l") / F.col("nodes")).alias("largest_cc_ratio"),
     )
-    out = windows.join(F.broadcast(q), how="cross")
-    out = out.withColumns(
-        {
-            "rule_source": (F.col("max_out_ratio") >= F.col("_o95")) & (F.col("reciprocity") <= F.col("_r10")),
-            "rule_sink": (F.col("max_in_ratio") >= F.col("_i95")) & (F.col("leaf_ratio") >= F.col("_l95")),
-            "rule_sparse": F.col("density") <= F.col("_d05"),
-        }
-    )
-    return out.withColumn("rule_any", F.col("rule_source") | F.col("rule_sink") | F.col("rule_sparse")).drop("_r10", "_o95", "_i95", "_l95", "_d05")
+
+
+def window_rules(windows: DataFrame, quiet: float = 0.001) -> DataFrame:
+    """Adds the window rules, whose limits are quantiles of the windows with an attack_ratio of at most `quiet`. Without such a
+    window no rule holds."""
+    calm = windows.where(F.col("attack_ratio") <= quiet)
+    limits = {"_r": ("reciprocity", 0.10), "_i": ("hub_in_ratio", 0.95), "_o": ("hub_out_ratio", 0.95), "_f": ("frag_ratio", 0.95), "_l": ("largest_cc_ratio", 0.05)}
+    q = calm.agg(*[F.expr(f"percentile({c}, {at}D)").alias(k) for k, (c, at) in limits.items()])  # a row for each window
+    low = F.col("reciprocity") <= F.col("_r")
+    tests = {
+        "rule_win_sink_lowrecip": (F.col("hub_in_ratio") >= F.col("_i")) & low,
+        "rule_win_src_lowrecip": (F.col("hub_out_ratio") >= F.col("_o")) & low,
+        "rule_win_frag_lcc": (F.col("frag_ratio") >= F.col("_f")) & (F.col("largest_cc_ratio") <= F.col("_l")),
+    }
+    out = windows.join(F.broadcast(q), how="cross").withColumns({k: F.coalesce(t, F.lit(False)) for k, t in tests.items()})
+    return out.withColumn("rule_win_combo", F.col("rule_win_sink_lowrecip") | F.col("rule_win_src_lowrecip") | F.col("rule_win_frag_lcc")).drop(*limits)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import labels as L
 from flowlens.operators import cleaning as C
-from flowlens.sources.testdata import FLOWS_SQL, events, flows, table
+from flowlens.sources.testdata import FLOWS_SQL, events, flows, indexed_flows, table
 
 from .registry import register
 
@@ -61,13 +61,13 @@ register("pf6_attack_exclude", lambda s, d: _count(C.drop_attacks(flows(s, d), [
 register("pf7_protocol_include", lambda s, d: _count(C.keep_protocols(flows(s, d), ["udp", "other", "bogus"]), "protocol"),
          W + "SELECT protocol, count(*) AS n FROM base WHERE protocol = 17 OR protocol NOT IN (6, 17) GROUP BY protocol")
 register("pf8_missing_values", lambda s, d: C.repair_missing(
-    flows(s, d).select("row_index", "protocol", F.when(F.col("bwd") == 0, -1.0).otherwise(F.col("bwd")).alias("win"), F.when(F.col("fwd") == 50, float("inf")).when(F.col("fwd") == 1, float("nan")).otherwise(F.col("fwd")).alias("rate")),
+    flows(s, d).select("protocol", F.when(F.col("bwd") == 0, -1.0).otherwise(F.col("bwd")).alias("win"), F.when(F.col("fwd") == 50, float("inf")).when(F.col("fwd") == 1, float("nan")).otherwise(F.col("fwd")).alias("rate")),
     ["win"], ["rate"], "protocol").agg(F.sum("win").alias("win"), F.sum("rate").alias("rate"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("win_missing_flag", "rate_missing_flag", "is_non_tcp")]),
     W + """SELECT sum(bwd) AS win, sum(CASE WHEN fwd IN (1, 50) THEN 0 ELSE fwd END) AS rate, CAST(sum((bwd = 0)::INT) AS BIGINT) AS win_missing_flag,
       CAST(sum((fwd IN (1, 50))::INT) AS BIGINT) AS rate_missing_flag, CAST(sum((protocol <> 6)::INT) AS BIGINT) AS is_non_tcp FROM base""")
 register("pf9_all_zero_rules", lambda s, d: _count(C.drop_all_zero(flows(s, d), [C.ZeroRule(("bwd", "l_discount"), 0.02), C.ZeroRule(("bwd", "l_tax")), C.ZeroRule(("nowhere",))]), "learner"),
          W + "SELECT learner, count(*) AS n FROM base WHERE NOT (abs(bwd) <= 0.02 AND abs(l_discount) <= 0.02) AND NOT (bwd = 0 AND l_tax = 0) GROUP BY learner")
-register("pf10_row_cap", lambda s, d: flows(s, d).where("row_index < 1000").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("k"), F.max("ts").alias("last")),
+register("pf10_row_cap", lambda s, d: indexed_flows(s, d).where("row_index < 1000").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("k"), F.max("ts").alias("last")),
          W + "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS k, max(ts) AS last FROM base WHERE row_index < 1000")
 register("pf13_numeric_coercion", lambda s, d: table(s, d, "customer").select(F.split_part("c_name", F.lit("#"), F.lit(2)).alias("t"), F.col("c_mktsegment").alias("u"))
          .agg(F.sum(F.col("t").try_cast("double")).alias("total"), F.count(F.col("u").try_cast("double")).alias("numeric_u"), F.count(F.lit(1)).alias("n")),
@@ -91,11 +91,11 @@ register("pf22_tag_filter", lambda s, d: _count(table(s, d, "part").where(C.has_
          "SELECT p_brand, count(*) AS n FROM part WHERE contains(lower(concat_ws(' ', p_type, p_brand)), 'economy') AND contains(lower(concat_ws(' ', p_type, p_brand)), 'brand') GROUP BY p_brand")
 register("pf27_display_name", lambda s, d: flows(s, d).groupBy("learner").agg(F.avg((F.col("dst_port") == 80).cast("double")).alias("p")).select("learner", F.format_string("%s_http(%.1f%%)", "learner", F.round(F.col("p") * 100, 6)).alias("name")),
          W + "SELECT learner, printf('%s_http(%.1f%%)', learner, round(avg((dst_port = 80)::INT) * 100, 6)) AS name FROM base GROUP BY learner")
-register("wn1_row_index", lambda s, d: flows(s, d).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("row_index") % 97) * F.col("l_orderkey")).cast("long").alias("mix"), F.max("row_index").cast("long").alias("last")),
+register("wn1_row_index", lambda s, d: indexed_flows(s, d).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("row_index") % 97) * F.col("l_orderkey")).cast("long").alias("mix"), F.max("row_index").cast("long").alias("last")),
          W + "SELECT count(*) AS n, CAST(sum((row_index % 97) * l_orderkey) AS BIGINT) AS mix, max(row_index) AS last FROM base")
-register("wn4_first_per_label", lambda s, d: _count(C.first_per_group(flows(s, d), ["label"], ["row_index"], 500), "label", "learner"),
+register("wn4_first_per_label", lambda s, d: _count(C.first_per_group(indexed_flows(s, d), ["label"], ["row_index"], 500), "label", "learner"),
          W + "SELECT label, learner, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_index) AS r FROM base) WHERE r <= 500 GROUP BY 1, 2")
-register("wn5_seeded_sample", lambda s, d: C.sample_per_group(flows(s, d), ["label"], "row_index", 100, 7).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("row_index").cast("long").alias("rows")),
+register("wn5_seeded_sample", lambda s, d: C.sample_per_group(indexed_flows(s, d), ["label"], "row_index", 100, 7).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("row_index").cast("long").alias("rows")),
          W + "SELECT label, count(*) AS n, CAST(sum(row_index) AS BIGINT) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('7|', row_index)), row_index) AS r FROM base) WHERE r <= 100 GROUP BY 1")
 register("wn6_stratified", lambda s, d: C.stratified(events(s, d), "label", "row_index", 0.1, 1500, 3).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("row_index").alias("rows")),
          """WITH r AS (SELECT event_type AS label, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat('3|', event_id)), event_id) AS r, least(count(*) OVER (PARTITION BY event_type), 1500) AS n FROM events)

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.labels import is_benign
+from flowlens.functions.labels import base_label, is_benign
 from flowlens.functions.stats import concentration, log_score, normal_entropy, richness
 from flowlens.operators import aggregates as A
 from flowlens.operators import evaluation as V
 from flowlens.operators import overlap as O
 from flowlens.operators import qualification as Q
 from flowlens.operators import topology as T
-from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, flows, losses, table
+from flowlens.session import ensure_checkpoints
+from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, flows, indexed_flows, losses, table
 
-from .aggregate_queries import benign_flows, rounded
+from .aggregate_queries import benign_flows, rounded, stability_sql
 from .registry import register
 
 W, X = f"WITH {FLOWS_SQL} ", f"WITH {LOSSES_SQL} "
@@ -61,8 +62,6 @@ def _views(s, d):
 register("gr8_degrees", lambda s, d: T.degrees(_hosts(s, d), ["learner"]), W + _DEG + " SELECT * FROM dg")
 register("gr9_neighbours", lambda s, d: T.neighbours(_hosts(s, d), ["learner"]), W + _DEG + " SELECT * FROM nb")
 register("gr13_graph_stats", lambda s, d: rounded(T.graph_stats(_hosts(s, d), ["learner"])), W + _STATS + f" SELECT {_STAT_COLS} FROM st")
-register("gr14_anomaly_flags", lambda s, d: T.anomaly_flags(T.graph_stats(_hosts(s, d), ["learner"])).select("learner", "flags"), W + _STATS + """ SELECT learner, concat_ws('|', CASE WHEN max_out_ratio >= 0.5 THEN 'source_hub' END, CASE WHEN max_in_ratio >= 0.5 THEN 'sink_hub' END, CASE WHEN reciprocity <= 0.05 THEN 'one_way' END,
-  CASE WHEN leaf_ratio >= 0.8 THEN 'leafy' END, CASE WHEN density <= 0.01 THEN 'sparse' END, CASE WHEN edge_per_node >= 3 THEN 'dense' END) AS flags FROM st""")
 
 
 def _trade(s, d):
@@ -77,13 +76,68 @@ _CC = """WITH RECURSIVE e AS (SELECT DISTINCT strftime(o_orderdate, '%m') AS mon
   c AS (SELECT month, x AS node, min(y) AS component FROM r GROUP BY ALL)"""
 register("gr10_components", lambda s, d: T.components(_trade(s, d), "month"), _CC + " SELECT * FROM c")
 register("gr10_component_stats", lambda s, d: rounded(T.component_stats(T.components(_trade(s, d), "month"), "month")), _CC + ", n AS (SELECT month, component, count(*) AS n FROM c GROUP BY ALL) SELECT month, count(*) AS components, round(max(n) / sum(n), 6) AS largest_ratio, round(1 - max(n) / sum(n), 6) AS fragment_ratio FROM n GROUP BY month")
-register("gr15_flow_rules", lambda s, d: T.flow_rules(flows(s, d)).groupBy("learner").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("source_hub", "sink_hub", "low_reciprocity", "any_hub", "any_rule")]), W + """, e AS (SELECT src_ip AS src, dst_ip AS dst, count(*) AS n FROM base GROUP BY ALL), o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM e GROUP BY 1),
-  f AS (SELECT b.learner, o.o >= 20 AS sh, i.i >= 20 AS kh, coalesce(r.n, 0) / e.n < 0.1 AS lr FROM base b JOIN o ON o.src = b.src_ip JOIN i ON i.dst = b.dst_ip JOIN e ON e.src = b.src_ip AND e.dst = b.dst_ip LEFT JOIN e r ON r.src = e.dst AND r.dst = e.src)
-  SELECT learner, CAST(sum(sh::INT) AS BIGINT) AS source_hub, CAST(sum(kh::INT) AS BIGINT) AS sink_hub, CAST(sum(lr::INT) AS BIGINT) AS low_reciprocity, CAST(sum((sh OR kh)::INT) AS BIGINT) AS any_hub, CAST(sum((sh OR kh OR lr)::INT) AS BIGINT) AS any_rule FROM f GROUP BY 1""")
-_WIN = W.replace("base AS (SELECT *,", "base AS (SELECT *, concat('w', CAST(floor(row_index / 2000) AS BIGINT)) AS wid,") + _STATS.replace("SELECT learner, src_ip AS src, dst_ip AS dst, count(*) AS n FROM base", "SELECT wid AS learner, src_ip AS src, dst_ip AS dst, count(*) AS n FROM base") + """, la AS (SELECT wid AS learner, count(*) AS flows, avg(1 - benign) AS attack_share FROM base GROUP BY 1), wn AS (SELECT CAST(substr(learner, 2) AS BIGINT) AS window_id, * EXCLUDE (learner) FROM st JOIN la USING (learner))"""
-register("gr16_window_graphs", lambda s, d: rounded(T.window_graphs(benign_flows(s, d), 2000)), _WIN + " SELECT window_id, flows, round(attack_share, 6) AS attack_share, " + _STAT_COLS.replace("learner, ", "") + " FROM wn")
-register("gr17_window_rules", lambda s, d: T.window_rules(T.window_graphs(benign_flows(s, d), 2000), quiet=0.7).select("window_id", "rule_source", "rule_sink", "rule_sparse", "rule_any"), _WIN + """, q AS (SELECT quantile_cont(reciprocity, 0.10) AS r10, quantile_cont(max_out_ratio, 0.95) AS o95, quantile_cont(max_in_ratio, 0.95) AS i95, quantile_cont(leaf_ratio, 0.95) AS l95, quantile_cont(density, 0.05) AS d05 FROM wn WHERE attack_share <= 0.7),
-  f AS (SELECT window_id, max_out_ratio >= o95 AND reciprocity <= r10 AS a, max_in_ratio >= i95 AND leaf_ratio >= l95 AS b, density <= d05 AS c FROM wn, q) SELECT window_id, a AS rule_source, b AS rule_sink, c AS rule_sparse, a OR b OR c AS rule_any FROM f""")
+
+
+def endpoint_graph_sql(key: str, where: str = "true", rounds: int = 16) -> str:
+    """CTE gs: of the graph of ip:port endpoints for each value k of key, its counts, degrees, opposite edges and weak components.
+    A component's label is the smallest node, spread by one step in each round."""
+    out = f""", e AS MATERIALIZED (SELECT {key} AS k, concat(src_ip, ':', src_port) AS src, concat(dst_ip, ':', dst_port) AS dst, count(*) AS n, sum(1 - benign) AS attacks FROM base WHERE {where} GROUP BY ALL),
+  bw AS MATERIALIZED (SELECT k, src AS x, dst AS y FROM e UNION SELECT k, dst, src FROM e UNION SELECT k, src, src FROM e UNION SELECT k, dst, dst FROM e), cl0 AS MATERIALIZED (SELECT k, x AS node, min(y) AS c FROM bw GROUP BY 1, 2)"""
+    for r in range(1, rounds + 1):
+        out += f", cl{r} AS MATERIALIZED (SELECT b.k, b.x AS node, min(l.c) AS c FROM bw b JOIN cl{r - 1} l ON l.k = b.k AND l.node = b.y GROUP BY 1, 2)"
+    return out + f""", g1 AS (SELECT k, count(*) AS nodes FROM cl{rounds} GROUP BY 1), g2 AS (SELECT k, count(*) AS edges, sum(n) AS rows, sum(attacks) AS attacks FROM e GROUP BY 1), g3 AS (SELECT k, max(o) AS max_out FROM (SELECT k, src, count(*) AS o FROM e GROUP BY 1, 2) GROUP BY 1),
+  g4 AS (SELECT k, max(i) AS max_in FROM (SELECT k, dst, count(*) AS i FROM e GROUP BY 1, 2) GROUP BY 1), g5 AS (SELECT a.k, sum((b.src IS NOT NULL)::INT) AS opposite, sum((b.src IS NOT NULL AND a.src <> a.dst)::INT) AS opposite_other FROM e a LEFT JOIN e b ON a.k = b.k AND a.src = b.dst AND a.dst = b.src GROUP BY 1),
+  g6 AS (SELECT k, count(*) AS components, max(c) AS largest FROM (SELECT k, c AS name, count(*) AS c FROM cl{rounds} GROUP BY 1, 2) GROUP BY 1),
+  gs AS (SELECT * FROM g1 JOIN g2 USING (k) JOIN g3 USING (k) JOIN g4 USING (k) JOIN g5 USING (k) JOIN g6 USING (k))"""
+
+
+def _attack_graphs(s, d):
+    """The attack flows of each base label as a graph of endpoints."""
+    ensure_checkpoints(s)
+    rows = flows(s, d).where(~is_benign(F.col("label"))).withColumn("base", base_label(F.col("label")))
+    edge = T.edges(rows, ["base"], T.endpoint(F.col("src_ip"), F.col("src_port")), T.endpoint(F.col("dst_ip"), F.col("dst_port"))).checkpoint()
+    stats = T.anomaly_flags(T.graph_metrics(edge, "base"))
+    return rounded(stats.select("base", "nodes", "edges", "density", "components", "largest_ratio", "reciprocity", "max_out_ratio", "max_in_ratio", "flags"))
+
+
+register("gr14_anomaly_flags", _attack_graphs, W + endpoint_graph_sql("base_label", "benign = 0") + """, x AS (SELECT k AS base, nodes, edges, edges / (nodes * (nodes - 1)) AS density, components, largest / nodes AS largest_ratio, opposite_other / edges AS reciprocity, max_out / greatest(1, nodes - 1) AS max_out_ratio, max_in / greatest(1, nodes - 1) AS max_in_ratio FROM gs),
+  f AS (SELECT base, concat_ws('|', CASE WHEN max_out_ratio >= 0.25 THEN 'STRONG_SOURCE_HUB' END, CASE WHEN max_in_ratio >= 0.25 THEN 'STRONG_SINK_HUB' END, CASE WHEN reciprocity <= 0.01 THEN 'VERY_LOW_RECIPROCITY' END, CASE WHEN components >= greatest(8, floor(0.1 * nodes)) THEN 'HIGH_FRAGMENTATION' END,
+    CASE WHEN largest_ratio <= 0.35 THEN 'SMALL_GIANT_COMPONENT' END, CASE WHEN density >= 0.02 AND nodes > 200 THEN 'UNUSUALLY_DENSE' END) AS flags FROM x)
+  SELECT base, nodes, edges, round(density, 6) AS density, components, round(largest_ratio, 6) AS largest_ratio, round(reciprocity, 6) AS reciprocity, round(max_out_ratio, 6) AS max_out_ratio, round(max_in_ratio, 6) AS max_in_ratio, CASE WHEN flags = '' THEN 'NO_STRONG_TOPO_ANOMALY' ELSE flags END AS flags FROM x JOIN f USING (base)""")
+
+
+def _edge_rule_rates(s, d, hub=0.01):
+    """The rules of flows, worked out on edges, each of which stands for its flows. No endpoint of these flows reaches the
+    default share of 0.25, so the query asks for a hundredth."""
+    ensure_checkpoints(s)
+    rows = benign_flows(s, d).select(T.endpoint(F.col("src_ip"), F.col("src_port")).alias("src"), T.endpoint(F.col("dst_ip"), F.col("dst_port")).alias("dst"), "benign")
+    edge = rows.groupBy("src", "dst").agg(_n().alias("n"), F.sum("benign").alias("benign"), F.sum(1 - F.col("benign")).alias("attacks")).checkpoint()
+    return rounded(T.rule_rates(T.edge_rules(edge, hub), T.FLOW_RULES))
+
+
+def rates_sql(rows: str, rules) -> str:
+    """The rates of each rule over rows(benign, <rule>...)."""
+    each = " UNION ALL ".join(f"SELECT '{r}' AS rule, sum((benign = 0 AND {r})::INT) AS tp, sum((benign = 1 AND NOT {r})::INT) AS tn, sum((benign = 1 AND {r})::INT) AS fp, sum((benign = 0 AND NOT {r})::INT) AS fn FROM {rows}" for r in rules)
+    return f", rr AS ({each}) SELECT rule, CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(fp / greatest(1, fp + tn), 6) AS fpr, round(fn / greatest(1, fn + tp), 6) AS fnr, round(tp / greatest(1, fn + tp), 6) AS tpr, round(tp / greatest(1, tp + fp), 6) AS \"precision\", CAST(tp + fp AS BIGINT) AS flagged FROM rr"
+
+
+register("gr15_flow_rules", _edge_rule_rates, W + """, p AS (SELECT DISTINCT concat(src_ip, ':', src_port) AS src, concat(dst_ip, ':', dst_port) AS dst FROM base), nn AS (SELECT greatest(1, count(*) - 1) AS denom FROM (SELECT src FROM p UNION SELECT dst FROM p)), od AS (SELECT src, count(DISTINCT dst) / (SELECT denom FROM nn) AS o FROM p GROUP BY 1), idg AS (SELECT dst, count(DISTINCT src) / (SELECT denom FROM nn) AS i FROM p GROUP BY 1),
+  fl AS (SELECT b.benign, o >= 0.01 AS a, i >= 0.01 AS k, r.src IS NULL AS l FROM base b JOIN od ON od.src = concat(b.src_ip, ':', b.src_port) JOIN idg ON idg.dst = concat(b.dst_ip, ':', b.dst_port) LEFT JOIN p r ON r.src = concat(b.dst_ip, ':', b.dst_port) AND r.dst = concat(b.src_ip, ':', b.src_port)),
+  rl AS (SELECT benign, a AS rule_source_hub, k AS rule_sink_hub, l AS rule_low_reciprocity, k OR l AS rule_sink_or_low_recip, a OR k OR l AS rule_src_or_sink_or_low_recip FROM fl)""" + rates_sql("rl", T.FLOW_RULES))
+
+#: Windows of 2000 flows; of these flows' windows none is nearly free of attacks, so those with at most 0.7 count as quiet.
+_WIN = W + endpoint_graph_sql("CAST(floor(row_index / 2000) AS BIGINT)") + """, wn AS (SELECT k AS window_id, CAST(rows AS BIGINT) AS rows, attacks / rows AS attack_ratio, CAST(attacks > 0 AS BIGINT) AS is_attack_window, nodes, edges, opposite / edges AS reciprocity, max_out / greatest(1, nodes - 1) AS hub_out_ratio, max_in / greatest(1, nodes - 1) AS hub_in_ratio, components / nodes AS frag_ratio, largest / nodes AS largest_cc_ratio FROM gs)"""
+_WIN_RULES = """, q AS (SELECT quantile_cont(reciprocity, 0.10) AS recip_low, quantile_cont(hub_in_ratio, 0.95) AS in_high, quantile_cont(hub_out_ratio, 0.95) AS out_high, quantile_cont(frag_ratio, 0.95) AS frag_high, quantile_cont(largest_cc_ratio, 0.05) AS lcc_low FROM wn WHERE attack_ratio <= 0.7),
+  wr AS (SELECT window_id, hub_in_ratio >= in_high AND reciprocity <= recip_low AS rule_win_sink_lowrecip, hub_out_ratio >= out_high AND reciprocity <= recip_low AS rule_win_src_lowrecip, frag_ratio >= frag_high AND largest_cc_ratio <= lcc_low AS rule_win_frag_lcc FROM wn, q),
+  wq AS (SELECT *, rule_win_sink_lowrecip OR rule_win_src_lowrecip OR rule_win_frag_lcc AS rule_win_combo FROM wr)"""
+
+
+def window_graphs(s, d):
+    return T.window_graphs(benign_flows(s, d, indexed_flows), 2000)
+
+
+register("gr16_window_graphs", lambda s, d: rounded(window_graphs(s, d)), _WIN + " SELECT window_id, rows, round(attack_ratio, 6) AS attack_ratio, is_attack_window, nodes, edges, round(reciprocity, 6) AS reciprocity, round(hub_out_ratio, 6) AS hub_out_ratio, round(hub_in_ratio, 6) AS hub_in_ratio, round(frag_ratio, 6) AS frag_ratio, round(largest_cc_ratio, 6) AS largest_cc_ratio FROM wn")
+register("gr17_window_rules", lambda s, d: T.window_rules(window_graphs(s, d), quiet=0.7).select("window_id", *T.WINDOW_RULES), _WIN + _WIN_RULES + " SELECT * FROM wq")
 
 
 # qualification: the counts behind the metrics, then all of it
@@ -158,12 +212,34 @@ register("ag37_overlap_risk", lambda s, d: rounded(O.overlap_risk(O.jaccard(O.ac
 register("ag38_label_similarity", lambda s, d: rounded(O.label_similarity(flows(s, d).groupBy("learner", "label").agg(_n().alias("n")))), W + """, c AS (SELECT learner, label, count(*) AS n FROM base GROUP BY ALL), g AS (SELECT learner, label, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY learner) AS p FROM (SELECT DISTINCT learner FROM c) CROSS JOIN (SELECT DISTINCT label FROM c) LEFT JOIN c USING (learner, label)),
   q AS (SELECT a.learner AS learner_a, b.learner AS learner_b, a.p AS p0, b.p AS q0, greatest(a.p, 1e-12) AS p, greatest(b.p, 1e-12) AS q FROM g a JOIN g b ON a.label = b.label AND a.learner < b.learner)
   SELECT learner_a, learner_b, round(1 - (0.5*sum(p*ln(p/((p+q)/2))) + 0.5*sum(q*ln(q/((p+q)/2)))), 6) AS js_similarity, round(sum(p0*q0)/sqrt(sum(p0*p0)*sum(q0*q0)), 6) AS cosine, round(sum(least(p0, q0)), 6) AS shared FROM q GROUP BY ALL""")
-register("wn9_handoffs", lambda s, d: rounded(O.handoffs(flows(s, d), block=1000)), W + ", l AS (SELECT learner, lag(learner) OVER (ORDER BY row_index) AS prev FROM base), t AS (SELECT learner, count(*) AS n FROM base GROUP BY 1), h AS (SELECT least(prev, learner) AS learner_a, greatest(prev, learner) AS learner_b, count(*) AS handoffs FROM l WHERE prev <> learner GROUP BY ALL) SELECT learner_a, learner_b, handoffs, round(handoffs / least(a.n, b.n), 6) AS rate FROM h JOIN t a ON a.learner = learner_a JOIN t b ON b.learner = learner_b")
+register("wn9_handoffs", lambda s, d: rounded(O.handoffs(indexed_flows(s, d), block=1000)), W + ", l AS (SELECT learner, lag(learner) OVER (ORDER BY row_index) AS prev FROM base), t AS (SELECT learner, count(*) AS n FROM base GROUP BY 1), h AS (SELECT least(prev, learner) AS learner_a, greatest(prev, learner) AS learner_b, count(*) AS handoffs FROM l WHERE prev <> learner GROUP BY ALL) SELECT learner_a, learner_b, handoffs, round(handoffs / least(a.n, b.n), 6) AS rate FROM h JOIN t a ON a.learner = learner_a JOIN t b ON b.learner = learner_b")
 register("wn18_mutual_top", lambda s, d: rounded(O.mutual_top(O.jaccard(O.accepted(losses(s, d))), 3)), X + _JAC + ", b AS (SELECT learner_a AS x, learner_b AS y, jaccard AS s FROM jx UNION ALL SELECT learner_b, learner_a, jaccard FROM jx), k AS (SELECT x, y, s FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM b) WHERE r <= 3) SELECT a.x AS learner_a, a.y AS learner_b, round(a.s, 6) AS jaccard FROM k a JOIN k b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y")
-register("ml13_route_margin", lambda s, d: rounded(O.route_margin(losses(s, d)), 5), X + ", m AS (SELECT *, (threshold - loss) / threshold AS margin FROM losses), r AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY margin DESC, learner) AS r FROM m) SELECT row_index, max(CASE WHEN r = 1 THEN learner END) AS best, round(max(CASE WHEN r = 1 THEN margin END), 5) AS margin, round(max(CASE WHEN r = 1 THEN margin END) - max(CASE WHEN r = 2 THEN margin END), 5) AS gap FROM r WHERE r <= 2 GROUP BY 1")
-register("ml20_learner_risk", lambda s, d: rounded(V.learner_risk(losses(s, d)), 5), X + """, own AS (SELECT *, loss/threshold AS ratio FROM losses WHERE concat('NEW_', label) = learner), bp AS (SELECT row_index, max(1/(1+exp(-4*(1-loss/threshold)))) AS benign_prob FROM losses WHERE is_benign GROUP BY 1),
-  s AS (SELECT learner, count(*) AS n, avg((ratio > 1)::INT) AS exceed, quantile_cont(ratio, 0.95) AS p95, quantile_cont(ratio, 0.5) AS p50, avg(benign_prob) AS benign_prob FROM own JOIN bp USING (row_index) GROUP BY 1),
-  r AS (SELECT *, (0.4*exceed + 0.25*least(1, greatest(0, (p95/p50-1)/2)) + 0.35*benign_prob) * (1-exp(-n/5000)) + 0.5*exp(-n/5000) AS risk FROM s) SELECT learner, n, round(exceed, 5) AS exceed, round(p95, 5) AS p95, round(p50, 5) AS p50, round(benign_prob, 5) AS benign_prob, round(risk, 5) AS risk, CASE WHEN risk >= 0.6 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM r""")
+_ASSIGNED = ", asg AS (SELECT v.vec_id AS row_index, coalesce(w.learner, 'UNKNOWN') AS learner FROM embeddings v LEFT JOIN (SELECT row_index, learner, row_number() OVER (PARTITION BY row_index ORDER BY is_benign, loss, learner) AS r FROM losses WHERE loss <= threshold) w ON w.row_index = v.vec_id AND w.r = 1)"
+register("ml13_route_confidence", lambda s, d: rounded(O.confidence_by_learner(O.route_confidence(losses(s, d), O.route(losses(s, d)))), 5), X + _ASSIGNED + """, mg AS (SELECT row_index, learner, (threshold - loss) / (abs(threshold) + 1e-12) AS m FROM losses), own AS (SELECT a.row_index, a.learner, o.m AS own_margin, o.m - (SELECT max(m) FROM mg WHERE mg.row_index = a.row_index AND mg.learner <> a.learner) AS gap FROM asg a LEFT JOIN mg o ON o.row_index = a.row_index AND o.learner = a.learner)
+  SELECT learner, count(*) AS n, CAST(sum(CASE WHEN gap IS NULL OR (own_margin >= 0.02 AND gap >= 0.03) THEN 1 ELSE 0 END) AS BIGINT) AS kept, round(avg(CASE WHEN gap IS NOT NULL THEN (own_margin >= 0.02 AND gap >= 0.03)::INT END), 5) AS confident_ratio, round(quantile_cont(own_margin, 0.1), 5) AS own_margin_p10, round(quantile_cont(gap, 0.1), 5) AS gap_p10 FROM own GROUP BY 1""")
+
+
+def learner_risks(s, d):
+    """The rows of the vector table routed to its one-class learners; windows of 50 rows."""
+    table_ = losses(s, d)
+    assigned = O.route(table_)
+    stable = A.stability(assigned.withColumnRenamed("assigned_learner", "learner"), "learner", "row_index", 50)
+    risks = V.learner_risk(table_, assigned, O.overlap_risk(O.jaccard(O.accepted(table_))), stable)
+    return rounded(risks.withColumn("own_loss_median", F.col("own_loss_median") + 1e-9), 5)  # a mean of two numbers of 6 places may be a tie
+
+
+_BAND = lambda c: f"CASE WHEN {c} >= 0.75 THEN 'HIGH' WHEN {c} >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END"
+_RISK = X + _JAC + _ASSIGNED + stability_sql("asg", 50) + """, oj AS (SELECT learner_a AS learner, jaccard FROM jx WHERE "both" > 0 UNION ALL SELECT learner_b, jaccard FROM jx WHERE "both" > 0), orr AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY jaccard DESC) AS r FROM oj), ov AS (SELECT learner, 0.7 * avg(jaccard) FILTER (r <= 3) + 0.3 * avg((jaccard >= 0.1)::INT) AS overlap FROM orr GROUP BY 1),
+  ow AS (SELECT a.learner, max(threshold) AS own_threshold, avg(loss) AS own_loss_mean, avg((loss > threshold)::INT) AS own_exceed_rate, quantile_cont(loss, 0.5) AS p50, quantile_cont(loss, 0.9) AS p90, quantile_cont(loss, 0.95) AS p95, quantile_cont(loss, 0.99) AS p99 FROM asg a JOIN losses l ON l.row_index = a.row_index AND l.learner = a.learner GROUP BY 1),
+  bm AS (SELECT row_index, max((threshold - loss) / (abs(threshold) + 1e-12)) AS m, bool_or(loss <= threshold) AS taken, max(1 / (1 + exp(-4 * (threshold - loss) / (abs(threshold) + 1e-12)))) AS prob FROM losses WHERE is_benign GROUP BY 1),
+  bn AS (SELECT learner, avg(taken::INT) AS benign_accept_rate, avg(prob) AS benign_prob_mean, quantile_cont(prob, 0.1) AS benign_prob_p10, quantile_cont(m, 0.5) AS benign_margin_median, quantile_cont(m, 0.1) AS benign_margin_p10 FROM asg JOIN bm USING (row_index) GROUP BY 1),
+  sz AS (SELECT learner, count(*) AS n, count(*) / (SELECT count(*) FROM asg) AS assignment_share FROM asg GROUP BY 1),
+  r1 AS (SELECT *, p50 AS own_loss_median, p95 AS own_loss_p95, (p99 - p90) / (abs(p90 - p50) + 1e-12) AS tail_heaviness, coalesce(own_exceed_rate, 1) AS ex, 1 / (1 + exp(4 * benign_margin_median)) AS mr, 1 - exp(-n / 5000) AS size_confidence, coalesce(overlap, 0) AS risk_overlap_v3, coalesce(stability, 0) AS risk_stability_v3 FROM sz LEFT JOIN ow USING (learner) LEFT JOIN bn USING (learner) LEFT JOIN ov USING (learner) LEFT JOIN stable USING (learner)),
+  r2 AS (SELECT *, 0.55 * (1 - benign_accept_rate) + 0.30 * ex + 0.15 * mr AS risk_score, 0.70 * (1 - benign_prob_mean) + 0.20 * ex + 0.10 * mr AS risk_score_v2, 0.65 * (1 - benign_prob_mean) + 0.35 * (1 - benign_prob_p10) AS risk_benign_v3, 0.60 * ex + 0.40 * coalesce(1 / (1 + exp(-1.5 * (tail_heaviness - 2.0))), 0.5) AS risk_self_v3, 1 - size_confidence AS risk_size_v3 FROM r1),
+  r3 AS (SELECT *, 0.35 * risk_benign_v3 + 0.25 * risk_self_v3 + 0.20 * risk_overlap_v3 + 0.15 * risk_stability_v3 + 0.05 * risk_size_v3 AS risk_score_v3_raw FROM r2), r4 AS (SELECT *, 0.5 + size_confidence * (risk_score_v3_raw - 0.5) AS risk_score_v3 FROM r3)"""
+_RISK_COLS = "assignment_share own_threshold own_loss_mean own_loss_median own_loss_p95 own_exceed_rate benign_accept_rate benign_prob_mean benign_prob_p10 benign_margin_median benign_margin_p10 risk_score risk_score_v2 risk_benign_v3 risk_self_v3 risk_overlap_v3 risk_stability_v3 risk_size_v3 tail_heaviness size_confidence risk_score_v3_raw risk_score_v3".split()
+register("ml20_learner_risk", learner_risks, _RISK + " SELECT learner, n, " + ", ".join(f"round({c}{' + 1e-9' if c == 'own_loss_median' else ''}, 5) AS {c}" for c in _RISK_COLS) + f""", {_BAND("risk_score")} AS risk_band, {_BAND("risk_score_v2")} AS risk_band_v2, {_BAND("risk_score_v3")} AS risk_band_v3,
+  CASE WHEN risk_score_v3 >= (SELECT quantile_cont(risk_score_v3, 0.8) FROM r4) THEN 'HIGH' WHEN risk_score_v3 >= (SELECT quantile_cont(risk_score_v3, 0.5) FROM r4) THEN 'MEDIUM' ELSE 'LOW' END AS risk_band_v3_quantile FROM r4""")
 
 # joins, sets, order
 
@@ -182,7 +258,7 @@ register("jn14_reconcile", lambda s, d: rounded(_reconcile(s, d)), W + ", a AS (
 
 
 def _reconcile(s, d):
-    f = flows(s, d).select("learner", "row_index")
+    f = indexed_flows(s, d).select("learner", "row_index")
     a = f.where("row_index % 2 = 0 and learner <> 'NEW_1'").groupBy("learner").agg(_n().alias("x"))
     b = f.where("row_index % 3 = 0 and learner <> 'NEW_2'").groupBy("learner").agg(_n().alias("y"))
     return a.join(b, "learner", "full").na.fill(0, ["x", "y"]).withColumn("diff", F.col("x") - F.col("y"))
@@ -192,7 +268,7 @@ register("jn15_owner_precedence", lambda s, d: _owners(s, d).groupBy("owner").ag
 
 
 def _owners(s, d):
-    f = flows(s, d).select("row_index", "learner", "l_linenumber")
+    f = indexed_flows(s, d).select("row_index", "learner", "l_linenumber")
     a, b = f.where("row_index % 4 <> 0").select("row_index", "learner"), f.where("row_index % 3 = 0").select("row_index", F.concat(F.lit("C_"), "l_linenumber").alias("made"))
     return a.join(b, "row_index", "full").select(F.coalesce(F.nullif("learner", F.lit("UNKNOWN")), "made", "learner").alias("owner"))
 
@@ -203,7 +279,7 @@ register("jn19_quota_claims", lambda s, d: _claims(s, d).groupBy("claimer", "lab
 
 def _claims(s, d):
     """Each learner in turn claims UNKNOWN rows of a label up to its quota: a running sum of quotas against row numbers."""
-    f = flows(s, d)
+    f = indexed_flows(s, d)
     unknown = f.where("learner = 'UNKNOWN'").select("row_index", "label", F.row_number().over(Window.partitionBy("label").orderBy("row_index")).alias("r"))
     quota = f.where("learner <> 'UNKNOWN'").groupBy("learner", "label").agg(F.ceil(_n() / 20).alias("quota"))
     quota = quota.withColumn("hi", F.sum("quota").over(Window.partitionBy("label").orderBy("learner"))).withColumnRenamed("learner", "claimer")

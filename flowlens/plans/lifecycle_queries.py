@@ -4,29 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import aggregates as A
 from flowlens.operators import lifecycle as L
 from flowlens.operators import overlap as O
 from flowlens.operators import topology as T
 from flowlens.session import ensure_checkpoints
 from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, flows, losses
 
-from .aggregate_queries import benign_flows, rounded
-from .graph_queries import _WIN
+from .aggregate_queries import rounded
+from .graph_queries import _WIN, _WIN_RULES, rates_sql, window_graphs
 from .registry import register
 
 W, X = f"WITH {FLOWS_SQL} ", f"WITH {LOSSES_SQL} "
 
 
 def _windows(s, d):
-    return losses(s, d).withColumn("window_id", F.floor(F.col("row_index") / 100)).where("loss <= threshold * 1.5")
+    """Rows of the vector table that a learner would take at 1.5 of its threshold, in windows of 100, with the first benign
+    learner's loss and the likeliest benign learner's probability."""
+    table = losses(s, d)
+    margin = (F.col("threshold") - F.col("loss")) / (F.abs("threshold") + 1e-12)
+    first = table.where("learner = 'NEW_0'").select("row_index", F.col("loss").alias("benign_loss"), F.col("threshold").alias("benign_threshold"))
+    prob = table.where("is_benign").groupBy("row_index").agg(F.max(1 / (1 + F.exp(-4 * margin))).alias("benign_prob"))
+    return table.where("loss <= threshold * 1.5").withColumn("window_id", F.floor(F.col("row_index") / 100)).join(first, "row_index").join(prob, "row_index")
 
 
-_WINDOWS = X + ", r0 AS (SELECT *, CAST(floor(row_index / 100) AS BIGINT) AS window_id FROM losses WHERE loss <= threshold * 1.5), pw AS (SELECT learner, window_id, count(*) AS nrows, avg((loss > threshold)::INT) AS exceed FROM r0 GROUP BY ALL), pp AS (SELECT *, min(window_id) OVER (PARTITION BY learner) AS birth, row_number() OVER (PARTITION BY learner ORDER BY window_id) - 1 AS retrains FROM pw)"
+_GATE = L.Gate(benign_confidence=1.0, cooldown_windows=1, least_rows=30, most_retrains=2, least_benign_prob=0.55, most_exceed=0.35)
+_TRACE = X + """, r0 AS (SELECT l.*, CAST(floor(l.row_index / 100) AS BIGINT) AS window_id, f.loss AS bl, f.threshold AS bt, (SELECT max(1 / (1 + exp(-4 * (threshold - loss) / (abs(threshold) + 1e-12)))) FROM losses b WHERE b.is_benign AND b.row_index = l.row_index) AS prob FROM losses l JOIN losses f ON f.row_index = l.row_index AND f.learner = 'NEW_0' WHERE l.loss <= l.threshold * 1.5),
+  r1 AS (SELECT *, NOT is_benign OR bl <= bt * 1.0 AS sure FROM r0), b0 AS (SELECT learner, window_id, sum(sure::INT) AS kept, avg((loss > threshold)::INT) FILTER (sure) AS exceed, avg(prob) FILTER (sure) AS prob, min(window_id) OVER (PARTITION BY learner) AS birth FROM r1 GROUP BY 1, 2),
+  b1 AS (SELECT *, CASE WHEN kept = 0 THEN 'benign_conf_filter' WHEN window_id - birth < 1 THEN 'new_learner_cooldown' WHEN kept < 30 THEN 'increment_min_samples' END AS early, prob < 0.55 AND exceed > 0.35 AS late FROM b0),
+  b2 AS (SELECT *, coalesce(sum((early IS NULL AND NOT late)::INT) OVER (PARTITION BY learner ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS retrains FROM b1), b3 AS (SELECT learner, window_id, coalesce(early, CASE WHEN retrains >= 2 THEN 'max_retrain_per_learner' WHEN late THEN 'increment_quality_gate' END) AS reason FROM b2)"""
 register(
     "ml11_gate_chain",
-    lambda s, d: L.learner_windows(_windows(s, d)).select("learner", F.coalesce(L.drop_reason(L.Gate(0.6, False, 1, 40, 4, None, 0.6)), F.lit("used")).alias("reason")).groupBy("learner", "reason").agg(F.count(F.lit(1)).alias("n")),
-    _WINDOWS + ", g AS (SELECT learner, CASE WHEN is_benign AND loss > threshold * 0.6 THEN 'low_benign_confidence' WHEN window_id - birth < 1 THEN 'cooldown' WHEN nrows < 40 THEN 'too_few_rows' WHEN retrains >= 4 THEN 'retrain_cap' WHEN exceed > 0.6 THEN 'low_quality' ELSE 'used' END AS reason FROM r0 JOIN pp USING (learner, window_id)) SELECT learner, reason, count(*) AS n FROM g GROUP BY ALL",
+    lambda s, d: L.increment_trace(_windows(s, d), _GATE).groupBy("learner", "reason").agg(F.count(F.lit(1)).alias("n")),
+    _TRACE + " SELECT learner, coalesce(reason, CASE WHEN NOT sure THEN 'benign_conf_filter' ELSE '' END) AS reason, count(*) AS n FROM r1 JOIN b3 USING (learner, window_id) GROUP BY ALL",
+)
+register(
+    "ml12_confidence_mask",
+    lambda s, d: L.increment_trace(_windows(s, d), _GATE).groupBy("learner", "passed_confidence").agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("first")),
+    _TRACE + ' SELECT learner, sure AS passed_confidence, count(*) AS n, min(row_index) AS "first" FROM r1 GROUP BY ALL',
 )
 register(
     "ml15_history_pool",
@@ -47,20 +61,14 @@ def _communities(s, d):
 
 
 register("gr21_label_propagation", _communities)
+def _rates(s, d):
+    """Window rules mapped back to the flows: every window stands for its flows."""
+    rows = T.window_rules(window_graphs(s, d), quiet=0.7).withColumn("attacks", F.round(F.col("attack_ratio") * F.col("rows")).cast("long"))
+    return T.rule_rates(rows.withColumn("benign", F.col("rows") - F.col("attacks")), T.WINDOW_RULES)
+
+
 register(
     "jn17_window_rule_rates",
     lambda s, d: rounded(_rates(s, d)),
-    _WIN
-    + """, q AS (SELECT quantile_cont(reciprocity, 0.10) AS r10, quantile_cont(max_out_ratio, 0.95) AS o95, quantile_cont(max_in_ratio, 0.95) AS i95, quantile_cont(leaf_ratio, 0.95) AS l95, quantile_cont(density, 0.05) AS d05 FROM wn WHERE attack_share <= 0.7),
-  f AS (SELECT window_id, (max_out_ratio >= o95 AND reciprocity <= r10) OR (max_in_ratio >= i95 AND leaf_ratio >= l95) OR density <= d05 AS hit FROM wn, q), j AS (SELECT benign, coalesce(hit, false) AS hit FROM base JOIN f ON f.window_id = CAST(floor(row_index / 2000) AS BIGINT)),
-  c AS (SELECT CAST(sum((benign = 0 AND hit)::INT) AS BIGINT) AS tp, CAST(sum((benign = 1 AND hit)::INT) AS BIGINT) AS fp, CAST(sum((benign = 1 AND NOT hit)::INT) AS BIGINT) AS tn, CAST(sum((benign = 0 AND NOT hit)::INT) AS BIGINT) AS fn FROM j)
-  SELECT *, round(fp/(fp+tn), 6) AS fpr, round(fn/(fn+tp), 6) AS fnr, round(tp/(fn+tp), 6) AS tpr, round(tn/(fp+tn), 6) AS tnr, round((tp+tn)/(tp+fp+tn+fn), 6) AS accuracy FROM c""",
+    _WIN + _WIN_RULES + ", wf AS (SELECT b.benign, wq.* FROM base b LEFT JOIN wq ON wq.window_id = CAST(floor(b.row_index / 2000) AS BIGINT))" + rates_sql("wf", T.WINDOW_RULES),
 )
-
-
-def _rates(s, d):
-    """Window rules mapped back to the flows of each window."""
-    rows = benign_flows(s, d)
-    hits = T.window_rules(T.window_graphs(rows, 2000), quiet=0.7).select("window_id", F.coalesce("rule_any", F.lit(False)).alias("hit"))
-    joined = rows.select("benign", F.floor(F.col("row_index") / 2000).alias("window_id")).join(hits, "window_id")
-    return A.binary_rates(joined, F.col("benign") == 0, F.col("hit"))

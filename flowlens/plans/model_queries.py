@@ -19,7 +19,7 @@ from flowlens.operators import models as M
 from flowlens.session import shared_folder
 from flowlens.sources import flow_files as S
 from flowlens.sources import run_store as R
-from flowlens.sources.testdata import FLOWS_SQL, events, flows, table
+from flowlens.sources.testdata import FLOWS_SQL, events, flows, indexed_flows, table
 from flowlens.streaming import event_windows as T
 from flowlens.streaming.blocks import BlockStream
 from flowlens.streaming.open_set import OpenSet
@@ -82,7 +82,7 @@ _FEATURES = ["l_quantity", "l_discount", "bwd"]
 
 
 def _scored(s, d, backend):
-    df = flows(s, d).select("row_index", "learner", *_FEATURES).where("learner <> 'UNKNOWN'")
+    df = indexed_flows(s, d).select("row_index", "learner", *_FEATURES).where("learner <> 'UNKNOWN'")
     params = M.fit_learners(df, "learner", "row_index", _FEATURES, backend, most_rows=500).collect()  # a row for each learner
     out = M.score_learners(df, "row_index", _FEATURES, params)
     return out.groupBy("learner").agg(_n().alias("rows"), F.avg((F.col("loss") <= F.col("threshold")).cast("double")).alias("accepted"), F.max("threshold").alias("threshold"))
@@ -90,7 +90,7 @@ def _scored(s, d, backend):
 
 register("ml3_isolation_forest", lambda s, d: _scored(s, d, "iforest"))
 register("ml2_autoencoder", lambda s, d: _scored(s, d, "ae"))
-register("ml7_new_classes", lambda s, d: M.new_classes(flows(s, d).where("learner = 'UNKNOWN'"), "row_index", ["l_quantity", "bwd"], 0.3, 8, 20, 2000).groupBy("cluster").agg(_n().alias("n")))
+register("ml7_new_classes", lambda s, d: M.new_classes(indexed_flows(s, d).where("learner = 'UNKNOWN'"), "row_index", ["l_quantity", "bwd"], 0.3, 8, 20, 2000).groupBy("cluster").agg(_n().alias("n")))
 
 
 def _assembled(s, d):
@@ -152,7 +152,7 @@ register("st5_running_state", lambda s, d: T.run_to_table(T.running_mean(_event_
 
 def _open_set(s, d):
     root = work_folder(s)
-    rows = flows(s, d).select("row_index", "label", *_FEATURES)
+    rows = indexed_flows(s, d).select("row_index", "label", *_FEATURES)
     rows.withColumn("part", F.floor(F.col("row_index") * 4 / F.lit(rows.count()))).repartition(4, "part").write.partitionBy("part").parquet(f"{root}/in")
     loop = OpenSet(s, f"{root}/state", _FEATURES, trigger=100, least_class=20, most_buffer=1000, most_rows=500, eps=0.6)
     loop.start(rows.where("row_index < 1500").withColumn("base", base_label(F.col("label"))).where("base <> 'PORTSCAN'"), "base")

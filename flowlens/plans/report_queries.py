@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import base_label, is_benign, label_year
 from flowlens.operators import overlap as O
 from flowlens.operators import topology as T
-from flowlens.operators.aggregates import protocol_mix
-from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, events, flows, losses, table
+from flowlens.operators import evaluation as V
+from flowlens.operators.aggregates import group_profile, port_stats, protocol_mix, temporal_stats
+from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, events, flows, indexed_flows, losses, table
 
-from .aggregate_queries import benign_flows, rounded
+from .aggregate_queries import PORT_SQL, PROFILE_SQL, TEMPORAL_SQL, benign_flows, rounded
 from .graph_queries import _JAC
 from .registry import register
 
@@ -73,7 +74,7 @@ def _picks(s, d):
 
 
 register("wn16_ecdf", lambda s, d: rounded(table(s, d, "supplier").select("s_suppkey", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")) / _n().over(Window.partitionBy("s_nationkey"))).alias("p"))), "SELECT s_suppkey, round(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) / count(*) OVER (PARTITION BY s_nationkey), 6) AS p FROM supplier")
-register("wn17_keep_last", lambda s, d: flows(s, d).withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("row_index").desc()))).where("r = 1").groupBy("label").agg(_n().alias("n"), F.sum("row_index").cast("long").alias("rows")), W + "SELECT label, count(*) AS n, CAST(sum(row_index) AS BIGINT) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY row_index DESC) AS r FROM base) WHERE r = 1 GROUP BY 1")
+register("wn17_keep_last", lambda s, d: indexed_flows(s, d).withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("row_index").desc()))).where("r = 1").groupBy("label").agg(_n().alias("n"), F.sum("row_index").cast("long").alias("rows")), W + "SELECT label, count(*) AS n, CAST(sum(row_index) AS BIGINT) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY row_index DESC) AS r FROM base) WHERE r = 1 GROUP BY 1")
 register("wn19_strongest", lambda s, d: _strongest(s, d), X + _JAC + ", b AS (SELECT learner_a AS x, learner_b AS y, jaccard AS s FROM jx UNION ALL SELECT learner_b, learner_a, jaccard FROM jx) SELECT x AS learner, y AS strongest FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM b) WHERE r = 1")
 
 
@@ -97,7 +98,7 @@ register("wn23_cooldown_gaps", lambda s, d: rounded(_gaps(s, d)), W + ", t AS (S
 
 
 def _gaps(s, d):
-    t = flows(s, d).where("bwd >= 40").select("learner", F.floor(F.col("row_index") / 1000).alias("w")).distinct()
+    t = indexed_flows(s, d).where("bwd >= 40").select("learner", F.floor(F.col("row_index") / 1000).alias("w")).distinct()
     g = t.withColumn("gap", F.col("w") - F.lag("w").over(Window.partitionBy("learner").orderBy("w")))
     return g.groupBy("learner").agg(_n().alias("windows"), F.max(F.coalesce("gap", F.lit(0))).alias("longest_gap"), F.sum((F.col("gap") > 1).cast("long")).alias("after_cooldown"))
 
@@ -151,15 +152,18 @@ def _detail(s, d):
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("learner").orderBy(F.col("n").desc(), "label"))).where("r <= 3").select("learner", "label", "n")
 
 
-register("qb1_behaviour_rules", lambda s, d: rounded(_behaviour(s, d)), W + ", m AS (SELECT learner, avg(1 - benign) AS attack, avg((dst_port = 80)::INT) AS web, count(DISTINCT dst_port) / count(*) AS spread FROM base GROUP BY 1), f AS (SELECT attack, web >= 0.5 AS flood, spread >= 0.5 AS scan FROM m) SELECT count(*) FILTER (flood) AS flood, count(*) FILTER (scan) AS scan, count(*) FILTER (flood OR scan) AS either, count(*) FILTER ((flood OR scan) AND attack >= 0.5) AS hits FROM f")
-
-
 def _behaviour(s, d):
-    m = benign_flows(s, d).groupBy("learner").agg(F.avg(1 - F.col("benign")).alias("attack"), (F.avg((F.col("dst_port") == 80).cast("double")) >= 0.5).alias("flood"), (F.count_distinct("dst_port") / _n() >= 0.5).alias("scan"))
-    n = lambda t: F.sum(t.cast("long"))
-    either = F.col("flood") | F.col("scan")
-    return m.agg(n(F.col("flood")).alias("flood"), n(F.col("scan")).alias("scan"), n(either).alias("either"), n(either & (F.col("attack") >= 0.5)).alias("hits"))
+    """Behaviour rules held against what the labels of a learner say."""
+    rows = flows(s, d)
+    profile = group_profile(rows, "learner").select("learner", "attack_ratio").join(port_stats(rows, "learner").select("learner", "ports", "entropy", "top_share"), "learner").join(temporal_stats(rows, "learner").select("learner", "burst"), "learner")
+    return V.rule_table(profile, V.behaviour_rules())
+
 
+_QB = W + PROFILE_SQL + PORT_SQL + TEMPORAL_SQL + """, b AS (SELECT learner, attack_ratio, burst >= 0.5 AS t, top_share < 0.15 AND ports >= 200 AS sc, top_share > 0.9 AND ports <= 3 AS fl, (top_share < 0.15 AND ports >= 200) OR (top_share > 0.9 AND ports <= 3) OR p.entropy > 0.85 AS pt FROM profile JOIN ports p USING (learner) JOIN temporal USING (learner)), c AS (
+  SELECT learner, attack_ratio, unnest(['temporal_burst_score>=0.5', 'port_scan_like', 'port_single_port', 'port_scan_or_flood_or_high_entropy', 'temporal_burst OR port_attack']) AS rule, unnest([t, sc, fl, pt, t OR pt]) AS hit FROM b),
+  k AS (SELECT rule, sum((hit AND attack_ratio >= 0.5)::INT) AS tp, sum((hit AND attack_ratio < 0.1)::INT) AS fp, sum((NOT hit AND attack_ratio >= 0.5)::INT) AS fn, sum((NOT hit AND attack_ratio < 0.1)::INT) AS tn, coalesce(string_agg(CASE WHEN hit AND attack_ratio < 0.1 THEN learner END, ',' ORDER BY learner), '') AS false_positives, coalesce(string_agg(CASE WHEN NOT hit AND attack_ratio >= 0.5 THEN learner END, ',' ORDER BY learner), '') AS false_negatives FROM c GROUP BY 1)
+  SELECT rule, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, false_positives, false_negatives, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM k"""
+register("qb1_behaviour_rules", lambda s, d: rounded(_behaviour(s, d)), _QB)
 
 register("tk7_missing_last", lambda s, d: rounded(_missing_last(s, d)), W + "SELECT place, learner FROM (SELECT learner, row_number() OVER (ORDER BY CASE WHEN learner = 'UNKNOWN' THEN NULL ELSE sum(benign) END DESC NULLS LAST, count(*) DESC, learner) AS place FROM base GROUP BY learner)")
 

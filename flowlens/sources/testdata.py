@@ -53,7 +53,12 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(g == 2, 0.0).otherwise(F.floor(F.col("l_quantity") * (1 - F.col("l_discount") * 5)).cast("double")).alias("bwd"),
         F.when(F.col("l_partkey") % 11 == 0, "UNKNOWN").otherwise(F.concat(F.lit("NEW_"), g.cast("string"))).alias("learner"),
     )
-    return with_row_index(df, "ts", TIES)
+    return df
+
+
+def indexed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flows with row_index, their place in time; only for what needs the order."""
+    return with_row_index(flows(spark, sf_dir), "ts", TIES)
 
 
 FLOWS_SQL = """flows_raw AS (
