@@ -1,25 +1,33 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Tokens are lower-cased (A-Z) words and one end for each text. The tree's root knows every word of the training texts.
-Deeper states are variable-length contexts of up to `depth` words; a context becomes a state if it occurs twice, its
-suffix is a state, and the divergence of its next-word distribution from its suffix's passes a test. A state keeps every
-next word seen twice after it, discounted; the rest of its mass is shared out as its suffix shares it, so every
-state's distribution sums to 1. A token is scored by the longest suffix that is a state. At the root, words seen in
-training are discounted by the share of words seen once, and what that frees goes to the unknown word, one symbol as in
+Deeper states are variable-length contexts; a context becomes a state if it occurs twice, its suffix is a state (and so is
+what lies between its first and last word), and the divergence of its next-word distribution from its suffix's passes a
+test. Contexts grow for as long as that keeps any. A state keeps every next word seen twice after it, discounted; the rest of its mass is shared out as its suffix shares it,
+so every state's distribution sums to 1. A token is scored by the longest suffix that is a state. At the root, words seen
+in training are discounted by the share of words seen once, and what that frees goes to the unknown word, one symbol as in
 the base score.
 
 Evidence is absolute (`least` occurrences), so the tree grows with the corpus; no table of it is collected, broadcast or
 held by one task. Texts are held in chunks of about `chunk_tokens` tokens. In each round a chunk asks for its distinct
 n-grams (or contexts) with its own part of the count (or of the divergence), dealt over buckets by hash; a bucket adds the
 parts up and answers each chunk. A frequent n-gram is thus one key of each chunk and makes no task large. Of each n-gram
-one chunk is the owner, which brings its term of the divergence. N-grams are told apart by 64-bit hashes.
+one chunk is the owner, which brings its term of the divergence. N-grams are told apart by hashes of 64 bits, sent with as
+many of them as make a chance meeting less likely than one in a million for the corpus at hand.
+
+Through the first `replayed` levels a chunk goes from its texts and the answers anew in each round, which is cheaper than
+keeping what it knows of each token. Then few tokens still have a state to extend (a tenth, and ever fewer); those alone
+are kept, and further levels cost what these tokens cost.
 
 A null or empty text is the end alone. Rows with a null doc_id train. Without training tokens every token is unknown.
-Repeated rows are scored, and counted, as often as they come.
+Repeated rows are scored, and counted, as often as they come. An empty table gives no rows; columns other than doc_id and
+text are left out.
 """
 
 from __future__ import annotations
 
+import gc
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import repeat
 
@@ -126,7 +134,10 @@ def is_held_out(doc_id):
 
 
 def _pack(x: np.ndarray, ordered: bool = False) -> bytes:
-    """The values byte by byte of the same order, compressed; ordered: as differences."""
+    """The values byte by byte of the same order, compressed; ordered: as differences. Of doubles 36 bits behind the point are
+    kept, which changes a sum by less than one part in ten thousand million."""
+    if x.dtype == np.float64:
+        x = (np.ascontiguousarray(x).view(np.uint64) & np.uint64(0xFFFFFFFFFFFF0000)).view(np.float64)
     x = np.diff(x, prepend=x.dtype.type(0)) if ordered else x
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
     return np.int64(x.size).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
@@ -181,65 +192,169 @@ def _chunks(kind: pa.DataType, most: int):
     return run
 
 
-def _before(x: np.ndarray) -> np.ndarray:
-    """What the token before has; the first token's value is of no use."""
-    out = np.zeros_like(x)
+def _distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of codes under 2^bits the distinct values in order, where each is first, and the number of each code's value."""
+    n = len(code)
+    room = max(1, (n - 1).bit_length()) if n else 1
+    if bits + room > 64:
+        values, first, which = np.unique(code, return_index=True, return_inverse=True)
+        return values, first, which
+    packed = np.sort((code << np.uint64(room)) | np.arange(n, dtype=np.uint64))  # faster than sorting the positions apart
+    place, value = (packed & np.uint64((1 << room) - 1)).astype(np.int64), packed >> np.uint64(room)
+    new = np.ones(n, bool)
+    new[1:] = value[1:] != value[:-1]
+    which = np.empty(n, np.int64)
+    which[place] = np.cumsum(new) - 1
+    return value[new], place[new], which
+
+
+def _before(x: np.ndarray, first) -> np.ndarray:
+    """What the token before has; the first token gets `first`."""
+    out = np.empty_like(x)
+    out[:1] = first
     out[1:] = x[:-1]
     return out
 
 
-def _replay(chunk: dict, answers: dict[int, np.ndarray], root: tuple[float, float, float], depth: int, least: int, discount: float):
-    """Goes through the rounds with the answers there are. The first round without an answer gives (keys, values), sorted
-    by key; after all rounds (tokens of each text, training count of each token, log10 of its probability).
+@dataclass
+class Model:
+    """What all rounds share. root: training tokens, the discount of the root's words, log10 of the unknown word."""
+
+    least: int
+    discount: float
+    replayed: int
+    root: tuple[float, float, float] = (0.0, 0.5, 0.0)
+    bits: int = 64
+
+    def sent(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(64 - self.bits)
+
+
+def _shares(n: np.ndarray, of_context: np.ndarray, model: Model) -> np.ndarray:
+    """The discounted share of next words; 1 where there is too little evidence, which is not read."""
+    return np.where(n >= model.least, n - model.discount, 1.0) / np.maximum(of_context, 1)
+
+
+def _terms(share: np.ndarray, log: np.ndarray, context: np.ndarray, size: int) -> np.ndarray:
+    """Of each context its owned next words' share, their share at the suffix, and their part of the divergence."""
+    under = 10.0**log
+    return np.column_stack([np.bincount(context, x, size) for x in (share, under, share * np.log(share / under))])
+
+
+def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
+    """Goes through the rounds with the answers there are. The first round without an answer gives (keys, values), sorted by key;
+    after the last replayed level a dict of what is known of the texts and of the tokens that go on (`carry`).
 
     Round 0 asks for the words' counts, round 2k - 1 for those of n-grams of k + 1 words, round 2k for contexts of k words.
     """
-    total, cut, unknown = root
+    least, (total, cut, unknown) = model.least, model.root
     ends = np.frombuffer(chunk["ends"], np.int64)
     sizes = np.diff(ends, prepend=0)
     at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     train = np.repeat(~np.array(chunk["held"], bool), sizes)
-    word = _unpack(chunk["words"], np.uint64, True)[_unpack(chunk["ids"], np.uint32)]
-    keys, shown = np.unique(word, return_inverse=True)
+    words, token = _unpack(chunk["words"], np.uint64, True), _unpack(chunk["ids"], np.uint32).astype(np.int64)
     if 0 not in answers:
-        return keys, np.bincount(shown, train, len(keys)).astype(np.uint32)
-    n = counts = (answers[0] >> 1)[shown]
+        return model.sent(words), np.bincount(token, train, len(words)).astype(np.uint32)
+    n = seen = (answers[0] >> 1)[token]
     log = np.where(n > 0, np.log10(np.maximum(n - cut, 1e-300) / max(total, 1)), unknown)
-    key, state = word, np.ones(len(word), bool)
-    for level in range(1, depth + 1):
-        context, of_context = _before(key), _before(n)
-        key = mix(mix(context) + word)
+    # of the n-grams of the level before: keys, their order when sent, counts, and each token's
+    keys, order, counts, gram = words, np.arange(len(words)), answers[0] >> 1, token
+    state = np.ones(len(token), bool)
+    for level in range(1, model.replayed + 1):
+        context = _before(gram, 0)
+        of_context = np.where(context >= 0, counts[context], 0)
         holds = state & (at >= level) & (of_context >= least)
         asked = np.flatnonzero(holds & (n >= least))  # the others can't occur often enough
-        keys, first, shown = np.unique(key[asked], return_index=True, return_inverse=True)
+        width = len(words)
+        codes, first, which = _distinct((context[asked] * width + token[asked]).astype(np.uint64), int(len(keys) * width).bit_length())
+        of_gram = (codes // np.uint64(width)).astype(np.int64)
+        made = mix(mix(keys[of_gram]) + words[(codes % np.uint64(width)).astype(np.int64)])
+        sent = model.sent(made)
+        by_key = np.argsort(sent)
         if 2 * level - 1 not in answers:
-            return keys, np.bincount(shown, train[asked], len(keys)).astype(np.uint32)
-        found = answers[2 * level - 1]
-        n = np.zeros(len(word), np.int64)
-        n[asked] = (found >> 1)[shown]
-        kept = n >= least
-        share = np.where(kept, n - discount, 1.0) / np.maximum(of_context, 1)
-        contexts, which = np.unique(context[holds], return_inverse=True)
+            return sent[by_key], np.bincount(which, train[asked], len(codes)).astype(np.uint32)[by_key]
+        found = np.empty(len(codes), np.int64)
+        found[by_key] = answers[2 * level - 1]
+        n = np.zeros(len(token), np.int64)
+        n[asked] = (found >> 1)[which]
+        used = np.zeros(len(keys), bool)
+        used[context[holds]] = True
+        contexts = order[used[order]]
         if 2 * level not in answers:
-            number = np.zeros(len(word), np.int64)
-            number[holds] = which
-            own = asked[first[(found & 1 == 1) & (found >> 1 >= least)]]
-            under, mine = 10.0 ** log[own], share[own]
-            terms = (mine, under, mine * np.log(mine / under))
-            return contexts, np.column_stack([np.bincount(number[own], x, len(contexts)) for x in terms])
-        back = np.full(len(word), np.nan)
-        back[holds] = answers[2 * level][which]
+            mine = (found & 1 == 1) & (found >> 1 >= least)
+            own = asked[first[mine]]
+            terms = _terms(_shares(found[mine] >> 1, counts[of_gram[mine]], model), log[own], of_gram[mine], len(keys))
+            return model.sent(keys[contexts]), terms[contexts]
+        back = np.full(len(keys), np.nan)
+        back[contexts] = answers[2 * level]
+        back = np.where(holds, back[context], np.nan)
         state = ~np.isnan(back)
-        log = np.where(state, np.where(kept, np.log10(share), np.where(state, back, 0.0) + log), log)
-    return sizes, counts, log
+        log[state] = np.where(n >= least, np.log10(_shares(n, of_context, model)), back + log)[state]
+        gram = np.full(len(token), -1, np.int64)
+        gram[asked] = which
+        keys, order, counts = made, by_key, found >> 1
+    context = _before(gram, -1)
+    of_context = np.where(context >= 0, counts[context], 0) if len(counts) else np.zeros(len(token), np.int64)
+    on = np.flatnonzero(state & (at > model.replayed) & (of_context >= least))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    return {
+        "sizes": sizes, "seen": seen, "log": log,
+        "carry": {"place": on.astype(np.uint32), "text": text[on].astype(np.uint32), "train": train[on], "word": words[token[on]], "context": keys[context[on]] if len(on) else np.zeros(0, np.uint64),
+                  "of_context": of_context[on].astype(np.uint32), "n": n[on].astype(np.uint32), "log": log[on]},
+    }
+
+
+#: A chunk's tokens that go on, each array packed.
+_CARRIED = {"place": np.uint32, "text": np.uint32, "train": bool, "word": np.uint64, "context": np.uint64, "of_context": np.uint32, "n": np.uint32, "log": np.float64}
+_CARRY = "chunk long, " + ", ".join(f"`{k}` binary" for k in _CARRIED)
+
+
+def _carry_columns(carry: dict) -> list[pa.Array]:
+    return [pa.array([_pack(carry[k]) if len(carry["place"]) else None], pa.binary()) for k in _CARRIED]
+
+
+def _carry_on(row: dict, count: np.ndarray | None, backs: np.ndarray | None, model: Model):
+    """One more level for a chunk's kept tokens: asks for counts, then for contexts, then gives the next kept tokens with the
+    texts' changes of score."""
+    x = {k: _unpack(row[k], kind) for k, kind in _CARRIED.items()}
+    n, of_context, log = x["n"].astype(np.int64), x["of_context"].astype(np.int64), x["log"]
+    gram = mix(mix(x["context"]) + x["word"])
+    asked = np.flatnonzero(n >= model.least)
+    keys, first, which = np.unique(gram[asked], return_index=True, return_inverse=True)
+    if count is None:
+        return model.sent(keys), np.bincount(which, x["train"][asked], len(keys)).astype(np.uint32)
+    n = np.zeros(len(gram), np.int64)
+    n[asked] = (count >> 1)[which]
+    contexts, of = np.unique(x["context"], return_inverse=True)
+    if backs is None:
+        mine = (count & 1 == 1) & (count >> 1 >= model.least)
+        own = asked[first[mine]]
+        return model.sent(contexts), _terms(_shares(count[mine] >> 1, of_context[own], model), log[own], of[own], len(contexts))
+    back = backs[of]
+    state = ~np.isnan(back)
+    new = np.where(state, np.where(n >= model.least, np.log10(_shares(n, of_context, model)), back + log), log)
+    before = np.zeros(len(gram), bool)
+    before[1:] = x["place"][1:] == x["place"][:-1] + 1
+    on = np.flatnonzero(state & before)
+    on = on[n[on - 1] >= model.least]
+    carry = {"place": x["place"][on], "text": x["text"][on], "train": x["train"][on], "word": x["word"][on], "context": gram[on - 1], "of_context": n[on - 1].astype(np.uint32), "n": n[on].astype(np.uint32), "log": new[on]}
+    return carry, np.bincount(x["text"], new - log).astype(np.float64)
+
+
+def _free(spark) -> None:
+    """Lets Spark delete the shuffle files that nothing reads again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 _ASK = "bucket long, chunk long, keys binary, parts binary"
 _ANSWER = "chunk long, round int, bucket long, answer binary, sums array<long>"
 
 
-def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int, bits: int) -> pa.RecordBatch:
+    """keys: of so many bits, sorted."""
+    top = keys >> np.uint64(bits - 32)
+    bucket = (top * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     names, starts = np.unique(bucket, return_index=True)
     parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
     columns = [pa.array(names, pa.int64()), pa.array([chunk] * len(parts), pa.int64())]
@@ -284,69 +399,122 @@ def _answer(number: int, divergence: float):
     return run
 
 
-def _answers(rows: pa.Table, rounds: int) -> dict[int, np.ndarray]:
+def _answers(rows: pa.Table, rounds: int | list[int]) -> dict[int, np.ndarray]:
     """The answers of each round in the order of the asked keys; a round in which nothing was asked has an empty one."""
-    held: dict[int, list] = {k: [] for k in range(rounds)}
+    rounds = range(rounds) if isinstance(rounds, int) else rounds
+    held: dict[int, list] = {k: [] for k in rounds}
     for number, _, answer in sorted(zip(*(rows.column(c).to_pylist() for c in ("round", "bucket", "answer")), strict=True)):
         held[number].append(_unpack(answer, np.float64 if number and number % 2 == 0 else np.int64))
     return {k: np.concatenate(x) if x else np.zeros(0, np.float64 if k and k % 2 == 0 else np.int64) for k, x in held.items()}
 
 
-def score_texts(docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 0.02, discount: float = 0.7, chunk_tokens: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs (doc_id, text)."""
+def score_texts(
+    docs: DataFrame, depth: int | None = None, least: int = 2, divergence: float = 0.02, discount: float = 0.7, chunk_tokens: int = 1_000_000, replayed: int = 3
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs (doc_id, text). depth: the
+    longest context in words; None is no limit."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    model = Model(least, discount, replayed if depth is None else min(replayed, depth))
     texts = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
     chunks = save(texts.mapInArrow(_chunks(to_arrow_type(docs.schema["doc_id"].dataType), chunk_tokens), _CHUNK.format(kind=kind)), "chunks")
-    buckets = max(8, (chunks.agg(F.sum("n_tokens")).first()[0] or 0) // 1_000_000)
-    root = (0.0, 0.5, 0.0)
+    size = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets, bits = max(8, size // 1_000_000), min(64, max(48, 20 + int(size).bit_length()))
+    model = replace(model, bits=bits)
+    plain = chunks.select("chunk", "held", "ends", "words", "ids")
+
+    def answered(asked: DataFrame, number: int) -> DataFrame:
+        out = save(asked.groupBy("bucket").applyInArrow(_answer(number, divergence), _ANSWER), "answers")
+        del asked
+        _free(spark)
+        return out
 
     def first_ask(batches):
         for batch in batches:
             for row in batch.select(["chunk", "held", "ends", "words", "ids"]).to_pylist():
-                yield _ask(row["chunk"], *_replay(row, {}, root, depth, least, discount), buckets)
+                yield _ask(row["chunk"], *_replay(row, {}, model), buckets, bits)
 
-    def next_ask(number, root):
+    def next_ask(number: int, model: Model):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            return pa.Table.from_batches([_ask(row["chunk"], *_replay(row, _answers(right, number), root, depth, least, discount), buckets)])
+            return pa.Table.from_batches([_ask(row["chunk"], *_replay(row, _answers(right, number), model), buckets, bits)])
 
         return run
 
-    plain = chunks.select("chunk", "held", "ends", "words", "ids")
     got: list[DataFrame] = []
-    for number in range(2 * depth + 1):
+    for number in range(2 * model.replayed + 1):
         if not number:
             asked = plain.mapInArrow(first_ask, _ASK)
         else:
-            so_far = reduce(DataFrame.unionAll, got).drop("sums")
-            asked = plain.groupBy("chunk").cogroup(so_far.groupBy("chunk")).applyInArrow(next_ask(number, root), _ASK)
-        got.append(save(asked.groupBy("bucket").applyInArrow(_answer(number, divergence), _ANSWER), "answers"))
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round, which nothing reads again
+            asked = plain.groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(next_ask(number, model), _ASK)
+        got.append(answered(asked, number))
         if not number:
             total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
             cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-            root = (total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0)
+            model = replace(model, root=(total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0))
     base_under = total + 0.1 * (kinds + 1)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of a chunk the texts' numbers and scores so far, and the tokens that go on."""
         row = left.drop_columns(["doc_ids"]).to_pylist()[0]
-        sizes, n, log = _replay(row, _answers(right, 2 * depth + 1), root, depth, least, discount)
-        starts = np.cumsum(sizes) - sizes
-        add = lambda x: np.add.reduceat(x, starts)
+        found = _replay(row, _answers(right, 2 * model.replayed + 1), model)
+        sizes, n = found["sizes"], found["seen"]
+        add = lambda x: pa.array([np.add.reduceat(x, np.cumsum(sizes) - sizes).tobytes()], pa.binary())
+        columns = [left.column("chunk"), left.column("doc_ids"), left.column("held"), pa.array([sizes.tobytes()], pa.binary()), add((n > 0).astype(np.int64)), add(np.log10((n + 0.1) / base_under)), add(found["log"])]
+        return pa.table([*columns, *_carry_columns(found["carry"])], names=["chunk", "doc_ids", "held", "sizes", "known", "base", "score", *_CARRIED])
+
+    settled = f"chunk long, doc_ids array<{kind}>, held array<boolean>, sizes binary, known binary, base binary, score binary, " + _CARRY.split(", ", 1)[1]
+    done = save(chunks.drop("n_tokens").groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(settle, settled), "settled")
+    drop(chunks, *got)
+    _free(spark)
+
+    def ask_counts(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _ask(row["chunk"], *_carry_on(row, None, None, model), buckets, bits)
+
+    def ask_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        return pa.Table.from_batches([_ask(row["chunk"], *_carry_on(row, _answers(right, [1])[1], None, model), buckets, bits)])
+
+    def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, found = left.to_pylist()[0], _answers(right, [1, 2])
+        carry, change = _carry_on(row, found[1], found[2], model)
+        return pa.table([left.column("chunk"), *_carry_columns(carry), pa.array([_pack(change)], pa.binary())], names=["chunk", *_CARRIED, "change"])
+
+    changes, carry = [], done.select("chunk", *_CARRIED).where("place is not null")
+    level, gone = model.replayed, []
+    while (depth is None or level < depth) and not carry.isEmpty():
+        counts = answered(carry.mapInArrow(ask_counts, _ASK), 1)
+        backs = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), 2)
+        after = carry.groupBy("chunk").cogroup(counts.unionAll(backs).drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary")
+        after = save(after, "carried")
+        changes.append(after.select("chunk", "change"))
+        gone += [after]
+        drop(counts, backs)
+        carry, level = after.drop("change").where("place is not null"), level + 1
+
+    def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["doc_ids", "held"]).to_pylist()[0]
+        get = lambda k, t: np.frombuffer(row[k], t)
+        score = get("score", np.float64).copy()
+        for change in right.column("change").to_pylist():
+            x = _unpack(change, np.float64)
+            score[: len(x)] += x
+        sizes = get("sizes", np.int64)
         return pa.table(
             {
                 "doc_id": left.column("doc_ids").combine_chunks().flatten(),
                 "held_out": left.column("held").combine_chunks().flatten(),
                 "n_tokens": pa.array(sizes, pa.int64()),
-                "n_known": pa.array(add((n > 0).astype(np.int64)), pa.int64()),
+                "n_known": pa.array(get("known", np.int64), pa.int64()),
                 "train_tokens": pa.array([total] * len(sizes), pa.int64()),
-                "base_score": pa.array(add(np.log10((n + 0.1) / base_under)), pa.float64()),
-                "score": pa.array(add(log), pa.float64()),
+                "base_score": pa.array(get("base", np.float64), pa.float64()),
+                "score": pa.array(score, pa.float64()),
             }
         )
 
-    so_far = reduce(DataFrame.unionAll, got).drop("sums")
-    out = chunks.drop("n_tokens").groupBy("chunk").cogroup(so_far.groupBy("chunk"))
-    out = save(out.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
-    drop(chunks, *got)
+    changed = reduce(DataFrame.unionAll, changes) if changes else spark.createDataFrame([], "chunk long, change binary")
+    out = done.drop(*_CARRIED).groupBy("chunk").cogroup(changed.groupBy("chunk"))
+    out = save(out.applyInArrow(rows_of, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    drop(done, *gone)
     return out

@@ -336,7 +336,7 @@ def test_scores_know_every_repeated_pair(spark):
         contexts, totals = (np.array(x) for x in zip(*longer, strict=True))
     unknown = math.log10(max(cut * len(c) / total, 1e-12))
     once = {w: math.log10((1 - cut) / total) for w in c if c[w] == 1}
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), chunk_tokens=20_000).collect()}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), depth=2, chunk_tokens=20_000).collect()}
     for i, t in docs:
         tokens = t.encode().split() + [b""]
         logs, open_ = tree.logs(tree.numbers(tokens))
@@ -379,3 +379,70 @@ def test_html_without_article_markup(spark, table):
         assert got == want
     assert all("small files" not in want[i] for held in hosts.values() if len(held) > 1 for i, _ in held)
     assert open_blocks and decided / open_blocks > 0.05
+
+
+def brute_scores(docs, least=2, divergence=0.02, discount=0.7):
+    """Scores from plain dictionaries of n-grams of any length, by the definition."""
+    seqs = {i: [*t.encode().lower().split(), b""] for i, t in docs}
+    train = [s for i, s in seqs.items() if zlib.crc32(str(i).encode()) % 10]
+    longest = max(map(len, train))
+    c = Counter(tuple(s[k : k + m]) for s in train for m in range(1, min(longest, 12) + 1) for k in range(len(s) - m + 1))
+    total, kinds = sum(map(len, train)), [n for g, n in c.items() if len(g) == 1]
+    ones, twos = kinds.count(1), kinds.count(2)
+    cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    known, states, nexts = {}, {(): None}, {}
+    for g, n in c.items():
+        if len(g) > 1 and n >= least:
+            nexts.setdefault(g[:-1], []).append(g[-1])
+
+    def count(g):
+        """The count of an n-gram as far as the tree asks for it."""
+        if len(g) == 1:
+            return c.get(g, 0)
+        if g not in known:
+            known[g] = c.get(g, 0) if count(g[:-1]) >= least and count(g[1:]) >= least and is_state(g[1:-1]) else 0
+        return known[g]
+
+    def prob(context, w):
+        if not context:
+            n = c.get((w,), 0)
+            return (n - cut) / total if n else cut * len(kinds) / total
+        n = count((*context, w))
+        return (n - discount) / count(context) if n >= least else states[context] * prob(context[1:], w)
+
+    def is_state(context):
+        if context not in states:
+            states[context] = None
+            if is_state(context[1:]) and count(context) >= least:
+                kept = [(count((*context, w)), w) for w in nexts.get(context, [])]
+                pairs = [((n - discount) / count(context), prob(context[1:], w)) for n, w in kept if n >= least]
+                rest, left = max(1e-9, 1 - sum(p for p, _ in pairs)), max(1e-9, 1 - sum(q for _, q in pairs))
+                if sum(p * math.log(p / q) for p, q in pairs) + rest * math.log(rest / left) >= divergence:
+                    states[context] = rest / left
+        return context == () or states[context] is not None
+
+    out, deepest = {}, 0
+    for i, s in seqs.items():
+        logs = 0.0
+        for k, w in enumerate(s):
+            context = ()
+            while len(context) < k and is_state(tuple(s[k - len(context) - 1 : k])):
+                context = tuple(s[k - len(context) - 1 : k])
+            deepest = max(deepest, len(context))
+            logs += math.log10(prob(context, w))
+        out[i] = logs
+    return out, deepest
+
+
+@pytest.mark.parametrize("replayed", [1, 3])
+def test_contexts_grow_as_long_as_they_tell_more(spark, replayed):
+    rng = random.Random(11)
+    lines = [" ".join(rng.choice("abcdefghij") * 2 for _ in range(14)) for _ in range(6)]
+    texts = [" ".join(rng.choice(lines).split()[rng.randint(0, 5) :] + [rng.choice("klmnop")] + rng.choice(lines).split()) for _ in range(260)] + ["", "unseen words only"]
+    docs = list(enumerate(texts))
+    want, deepest = brute_scores(docs)
+    assert deepest >= 5
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for chunk in (1_000_000, 700):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(df, chunk_tokens=chunk, replayed=replayed).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
