@@ -33,13 +33,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import drop, save
-from .words import Memo, hash_word, mix, word_bytes
+from .words import hash_word, mix, slices
 
 #: The end of a text among the tokens; no word is empty.
 END = b""
@@ -157,36 +158,46 @@ def _chunks(kind: pa.DataType, most: int):
     """Per task: texts as chunks of word hashes (`words`, sorted, and the number of each token's among them)."""
 
     def run(batches):
-        memo, task, made = Memo(hash_word), TaskContext.get().partitionId(), 0
-        ids, held, ends, tokens = [], [], [], []
+        task, made = TaskContext.get().partitionId(), 0
+        ids, held, sizes, words = [], [], [], []  # sizes: words of each text; words: arrays of all texts' words
 
         def out():
-            words, number = np.unique(np.array(tokens, np.uint64), return_inverse=True)
+            spelled = pa.concat_arrays(words).dictionary_encode()
+            hashes = np.array([*map(hash_word, spelled.dictionary.to_pylist()), hash_word(END)], np.uint64)
+            known, number = np.unique(hashes, return_inverse=True)
+            ends = np.cumsum(np.array(sizes, np.int64) + 1)
+            token = np.full(ends[-1], number[-1], np.uint32)
+            is_word = np.ones(ends[-1], bool)
+            is_word[ends - 1] = False
+            token[is_word] = number[spelled.indices.to_numpy()]
             row = [
                 pa.array([(task << 32) + made], pa.int64()),
                 pa.array([list(ids)], pa.list_(kind)),
                 pa.array([list(held)], pa.list_(pa.bool_())),
-                pa.array([np.array(ends, np.int64).tobytes()], pa.binary()),
-                pa.array([_pack(words, True)], pa.binary()),
-                pa.array([_pack(number.astype(np.uint32))], pa.binary()),
-                pa.array([len(tokens)], pa.int64()),
+                pa.array([ends.tobytes()], pa.binary()),
+                pa.array([_pack(known, True)], pa.binary()),
+                pa.array([_pack(token)], pa.binary()),
+                pa.array([len(token)], pa.int64()),
             ]
-            for x in (ids, held, ends, tokens):
+            for x in (ids, held, sizes, words):
                 x.clear()
             return pa.RecordBatch.from_arrays(row, names=["chunk", "doc_ids", "held", "ends", "words", "ids", "n_tokens"])
 
-        for batch in batches:
-            for i, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-                memo.trim()
-                tokens.extend(map(memo.__getitem__, word_bytes(text, lower=True)))
-                tokens.append(memo[END])
-                ids.append(i)
-                held.append(h)
-                ends.append(len(tokens))
-                if len(tokens) >= most:
-                    yield out()
-                    made += 1
-        if ends:
+        tokens = 0
+        for batch in (part for whole in batches for part in slices(whole, 64)):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+            flat = lists.flatten()
+            kept = pc.not_equal(flat, "")  # an edge of white space gives an empty piece
+            n = np.add.reduceat(kept.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())
+            words.append(flat.filter(kept).cast(pa.binary()))
+            sizes += n.tolist()
+            ids += batch.column("doc_id").to_pylist()
+            held += batch.column("held_out").to_pylist()
+            tokens += int(n.sum()) + len(n)
+            if tokens >= most:
+                yield out()
+                made, tokens = made + 1, 0
+        if ids:
             yield out()
 
     return run
@@ -423,10 +434,7 @@ def score_texts(
     plain = chunks.select("chunk", "held", "ends", "words", "ids")
 
     def answered(asked: DataFrame, number: int) -> DataFrame:
-        out = save(asked.groupBy("bucket").applyInArrow(_answer(number, divergence), _ANSWER), "answers")
-        del asked
-        _free(spark)
-        return out
+        return save(asked.groupBy("bucket").applyInArrow(_answer(number, divergence), _ANSWER), "answers")
 
     def first_ask(batches):
         for batch in batches:
@@ -440,13 +448,11 @@ def score_texts(
 
         return run
 
-    got: list[DataFrame] = []
+    got: list[DataFrame] = [answered(plain.mapInArrow(first_ask, _ASK), 0)]
     for number in range(2 * model.replayed + 1):
-        if not number:
-            asked = plain.mapInArrow(first_ask, _ASK)
-        else:
-            asked = plain.groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(next_ask(number, model), _ASK)
-        got.append(answered(asked, number))
+        if number:  # no name holds on to what has been shuffled, so _free finds it
+            got.append(answered(plain.groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(next_ask(number, model), _ASK), number))
+        _free(spark)
         if not number:
             total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
             cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
@@ -486,8 +492,8 @@ def score_texts(
     while (depth is None or level < depth) and not carry.isEmpty():
         counts = answered(carry.mapInArrow(ask_counts, _ASK), 1)
         backs = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), 2)
-        after = carry.groupBy("chunk").cogroup(counts.unionAll(backs).drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary")
-        after = save(after, "carried")
+        after = save(carry.groupBy("chunk").cogroup(counts.unionAll(backs).drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary"), "carried")
+        _free(spark)
         changes.append(after.select("chunk", "change"))
         gone += [after]
         drop(counts, backs)
