@@ -13,18 +13,26 @@ No candidate counts before the full sets confirm it:
    with, the `best` most similar ones are candidates.
 3. Candidates are confirmed on the full sets, and components of the links are formed.
 4. The ties join the hot ones into clusters. In each cluster everything outside its largest component is compared with
-   the whole cluster, in blocks of bounded size, on full sets. So what step 2 left out loses no link; only pairs that
-   are connected already are never compared.
+   all members whose set's size allows a link, in blocks of bounded size, on full sets. So what step 2 left out loses no
+   link; only pairs that are connected already are never compared.
+
+Candidates whose 84 minhashes agree in less than half are dropped before step 3; of pairs at similarity 0.8 that is one in
+10^9, far below what the banding misses (one in 10^4).
 
 Skew: copies are counted with partial sums, a key's holders take part in as many tables as there are keys, and blocks
 bound what a task gets. Nothing of all documents reaches the driver.
 
 Nulls and empty texts have an empty set and are linked with nothing. A null doc_id is linked with nothing by name: its
-component is null and the row is kept. Rows of one doc_id are one document. Repeated rows come back repeated.
+component is null and the row is kept. Rows of one doc_id are one document: if their texts differ, all of them are linked
+as the one with the least set hash is. Repeated rows come back repeated, an empty table gives none, and columns other than
+doc_id and text are left out (keep_one_each keeps all).
 """
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -107,7 +115,7 @@ def _set_maker(width: int):
 
 
 def _alike(least: float):
-    """Drops candidates whose sketches agree so little that they are no links but for one link in 50,000."""
+    """Drops candidates whose sketches agree in less than this share."""
 
     def run(batches):
         for batch in batches:
@@ -210,6 +218,13 @@ def near_groups(
     doc_id that links reach (itself included); kept is doc_id = component_id.
     """
     signed = save(docs.select("doc_id", "text").mapInArrow(_sign(width, bands, rows), _SIGNED), "signed")
+    # a doc_id with several texts is the one of the least set hash
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).where("least <> most")
+    several = save(several.select("doc_id", "least"), "several")
+    if not several.isEmpty():
+        one = signed.join(several, "doc_id", "left").withColumn("set_hash", F.when(F.col("set_hash").isNotNull(), F.coalesce("least", "set_hash"))).drop("least")
+        rows_of = signed.select("doc_id", "set_hash", *(F.col(c).alias(f"_{c}") for c in ("sketch", "lefts", "rights"))).dropDuplicates(["doc_id", "set_hash"])
+        signed = save(one.drop("sketch", "lefts", "rights").join(rows_of, ["doc_id", "set_hash"], "left").select("doc_id", "n_shingles", "set_hash", *(F.col(f"_{c}").alias(c) for c in ("sketch", "lefts", "rights"))), "signed")
     named = signed.where("set_hash is not null and doc_id is not null")
     reps = save(named.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "reps")
     rep_rows = named.join(reps.select(F.col("id").alias("doc_id"), F.col("set_hash").alias("own")), "doc_id").where("own = set_hash")
@@ -249,7 +264,7 @@ def near_groups(
     side = lambda s: sizes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     near = tried.join(side("a"), "a").where("n_a is not null").join(side("b"), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = near.select("a", "b", "hot", "sketch_a", "sketch_b").mapInArrow(_alike(0.6), "a long, b long, hot boolean, alike double")
+    near = near.select("a", "b", "hot", "sketch_a", "sketch_b").mapInArrow(_alike(0.5), "a long, b long, hot boolean, alike double")
     top = Window.partitionBy("a", "hot").orderBy(F.col("alike").desc(), "b")
     near = near.withColumn("rank", F.row_number().over(top)).where(f"not hot or rank <= {best}")
     near = save(near.select("a", "b"), "near")
@@ -266,26 +281,22 @@ def near_groups(
     links = save(links.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
     linked = save(star_components(links), "linked")
 
-    # what large keys left out
+    # what large keys left out; sets of sizes in one class or in neighbouring ones may be alike enough
     member = hot_ids.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
-    member = save(member, "members")
+    kind = F.floor(F.ln("n_shingles") / (1.000001 * math.log(100 / percent))) if percent < 100 else F.col("n_shingles")
+    member = save(member.join(rep_rows.select("id", kind.alias("class")), "id"), "members")
     counted = member.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("cluster").agg(
-        F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most")
-    ).where("comps > 1")
-    largest = largest.select(
-        "cluster",
-        F.col("most.comp").alias("main"),
-        F.ceil(F.col("members") / block).alias("columns"),
-        F.ceil((F.col("members") - F.col("most.n")) / block).alias("lines"),
-    )
-    open_ = save(member.join(largest, "cluster"), "open")
+    largest = counted.groupBy("cluster").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
+    open_ = save(member.join(largest.select("cluster", F.col("most.comp").alias("main")), "cluster"), "open")
+    asking = open_.where("comp <> main").select("id", "cluster", "comp", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    told = open_.groupBy("cluster", "class").agg(F.ceil(F.count(F.lit(1)) / block).alias("columns"))
+    grid = save(told.join(asking.groupBy("cluster", "class").agg(F.ceil(F.count(F.lit(1)) / block).alias("lines")), ["cluster", "class"]), "grid")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asks = open_.where("comp <> main").select("id", "cluster", "comp", F.lit(True).alias("asks"), spread("lines").alias("x"), steps("columns").alias("y"))
-    told = open_.select("id", "cluster", "comp", F.lit(False).alias("asks"), steps("lines").alias("x"), spread("columns").alias("y"))
-    cells = asks.unionByName(told).join(sets.dropDuplicates(["id"]), "id")
-    more = cells.groupBy("cluster", "x", "y").applyInArrow(_block(percent), "a long, b long")
+    asks = asking.join(grid, ["cluster", "class"]).select("id", "cluster", "class", "comp", F.lit(True).alias("asks"), spread("lines").alias("x"), steps("columns").alias("y"))
+    tells = open_.join(grid, ["cluster", "class"]).select("id", "cluster", "class", "comp", F.lit(False).alias("asks"), steps("lines").alias("x"), spread("columns").alias("y"))
+    cells = asks.unionByName(tells).join(sets.dropDuplicates(["id"]), "id")
+    more = cells.groupBy("cluster", "class", "x", "y").applyInArrow(_block(percent), "a long, b long")
     more = save(more.join(linked.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
                 .join(linked.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
                 .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "more")
@@ -303,7 +314,7 @@ def near_groups(
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
     out = save(out, "groups")
-    drop(signed, reps, rep_rows, met, near, hot_ids, wanted, sets, links, linked, member, open_, more, again)
+    drop(signed, several, reps, rep_rows, met, near, hot_ids, wanted, sets, links, linked, member, open_, grid, more, again)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -314,5 +325,7 @@ def keep_one_each(docs: DataFrame, broadcast_ids: int = 1_000_000, **settings) -
     n, ids = stay.count(), stay.distinct()
     found = docs.join(F.broadcast(ids) if n <= broadcast_ids else ids, "doc_id", "left_semi")  # a checked size
     if n > ids.count():
-        found = found.dropDuplicates(["doc_id"])
+        same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        nth = next(x for x in (f"nth{k}" for k in count()) if x not in docs.columns)
+        found = found.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).drop(nth)
     return found.unionByName(docs.where("doc_id is null"))

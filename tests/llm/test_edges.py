@@ -104,3 +104,15 @@ def test_chain_without_labels(spark, docs):
     one = spark.createDataFrame([(1, 1, 1), (4, None, 0), (5, 0, None)], "doc_id long, quality int, toxic int")
     made = toxicity.fit_chain(docs, toxicity.chain_labels(one), toxicity.CATEGORIES)
     assert toxicity.judge_toxicity(docs, made).count() == len(TEXTS)
+
+
+def test_a_doc_id_with_two_texts(spark):
+    """Both rows are the one with the least set hash, so the groups don't depend on the order of rows."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, a), (5, b)]
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_groups(spark.createDataFrame(order, "doc_id long, text string"), width=4).collect()
+        seen = {r["doc_id"]: r["component_id"] for r in got}
+        assert len(got) == 6 and seen[1] == 1 and sorted(seen.values()) in ([1, 1, 1, 3, 3], [1, 1, 1, 2, 2]) and (seen[2] == seen[4]) and (seen[3] == seen[5])
+    kept = near_dedup.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert len(kept) == 2 and len({r["doc_id"] for r in kept}) == 2
