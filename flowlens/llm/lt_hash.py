@@ -5,8 +5,9 @@ paragraphs' vectors, each lane modulo a power of two. So the order of paragraphs
 added or taken out by adding or subtracting its vector, without the rest of the document.
 
 The vector has two parts. `DENSE` lanes modulo 2^64 are filled by an extendable-output hash of the paragraph's bytes:
-equal sums mean equal multisets of paragraphs. `LIKE` lanes modulo 2^16 count the paragraph's word windows with a sign:
-their sums stay close when most of the paragraphs' wording does, and their cosine, 0 at least, is the likeness.
+equal sums mean equal multisets of paragraphs. `LIKE` lanes modulo 2^32 count the paragraph's word windows with a sign:
+their sums stay close when most of the paragraphs' wording does, and their cosine, 0 at least, is the likeness. A lane
+wraps only beyond 2^31 windows, more than a text can hold.
 Fingerprints that are equal have likeness 1; two documents without paragraphs are equal.
 
 White space inside a line is as it is; lines are trimmed; lines without a word don't count. A null text is empty.
@@ -27,7 +28,7 @@ from .shared import save
 from .words import Memo, hash_word, mix, slices
 
 #: Lanes of the two parts, and words in a window.
-DENSE, LIKE, WINDOW = 16, 256, 3
+DENSE, LIKE, WINDOW = 32, 256, 3
 
 
 class Fingerprint:
@@ -38,7 +39,7 @@ class Fingerprint:
     def __init__(self, text: str | None = None, hashes: Memo | None = None):
         """hashes: the caller's memory of word hashes, if it has one."""
         self.dense = np.zeros(DENSE, np.uint64)
-        self.like = np.zeros(LIKE, np.uint16)
+        self.like = np.zeros(LIKE, np.uint32)
         if text:
             self.add(text, hashes)
 
@@ -66,7 +67,7 @@ class Fingerprint:
                 made = mix(made + np.where(same, step, np.uint64(k)))
             sign = 1 - 2 * (made >> np.uint64(63)).astype(np.int64)
             like += np.bincount((made & np.uint64(LIKE - 1)).astype(np.int64), weights=sign, minlength=LIKE).astype(np.int64)
-        return dense, like.astype(np.uint16)
+        return dense, like.astype(np.uint32)
 
     def add(self, text: str, hashes: Memo | None = None) -> Fingerprint:
         dense, like = self._vector(text, hashes)
@@ -96,12 +97,12 @@ class Fingerprint:
     __hash__ = None
 
     def text(self) -> str:
-        return base64.b64encode(self.dense.astype("<u8").tobytes() + self.like.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.dense.astype("<u8").tobytes() + self.like.astype("<u4").tobytes()).decode()
 
     def likeness(self, other: Fingerprint) -> float:
         if self == other:
             return 1.0
-        a, b = self.like.astype(np.int16).astype(np.float64), other.like.astype(np.int16).astype(np.float64)
+        a, b = self.like.view(np.int32).astype(np.float64), other.like.view(np.int32).astype(np.float64)
         size = float(np.sqrt((a @ a) * (b @ b)))
         return 0.0 if not size else float(min(1.0, max(0.0, a @ b / size)))
 
