@@ -146,3 +146,45 @@ def rule_table(profiles: DataFrame, tests: dict[str, Column], name: str = "learn
         names(hit & F.col("_b")).alias("false_positives"), names(~hit & F.col("_a")).alias("false_negatives"),
     )
     return out.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
+
+
+def separability(rows: DataFrame, features: list[str], positive: str) -> DataFrame:
+    """For each feature the AUC of the positive class (and the larger of it and 1 - it), and the mean and median of each class."""
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
+    long = rows.select(F.col(positive).cast("int").alias("y"), F.explode(parts).alias("p")).select("y", "p.*").where("x is not null and not isnan(x)")
+    of = lambda f, y: f.format(f"CASE WHEN y = {y} THEN x END")
+    sides = long.groupBy("feature").agg(*[F.expr(of(f, y)).alias(f"{name}_{side}") for y, side in ((1, "positive"), (0, "negative")) for name, f in (("mean", "avg({})"), ("median", "percentile({}, 0.5D)"))])
+    return auc(long, ["feature"], "x", "y").join(sides, "feature")
+
+
+def robustness(results: DataFrame, keys: list[str], score: str = "auc") -> DataFrame:
+    """How a feature does over runs: run_count, mean, median, population deviation, least and greatest score, and the shares of runs
+    with at least 0.80, 0.90 and 0.95."""
+    x = F.col(score)
+    shares = [F.avg((x >= t).cast("double")).alias(f"share_{int(100 * t)}") for t in (0.80, 0.90, 0.95)]
+    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("run_count"), F.avg(x).alias("auc_mean"), F.expr(f"percentile({score}, 0.5D)").alias("auc_median"), F.stddev_pop(x).alias("auc_std"), F.min(x).alias("auc_min"), F.max(x).alias("auc_max"), *shares)
+
+
+def fit_trace(fits: DataFrame, train: str = "epoch_losses", validation: str = "epoch_val_losses") -> DataFrame:
+    """fits with the number of epochs, first, last, least and greatest finite loss of training and validation, and the gap of the
+    last ones; what there is none of is null. The losses are arrays of doubles."""
+    out = {}
+    for name, c in (("epoch", train), ("epoch_val", validation)):
+        sound = F.filter(F.coalesce(F.col(c), F.array().cast("array<double>")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        at = lambda i, a=sound: F.try_element_at(a, F.lit(i))
+        out |= {f"{name}_count": F.coalesce(F.size(c), F.lit(0)), f"{name}_loss_first": at(1), f"{name}_loss_last": at(-1), f"{name}_loss_min": F.array_min(sound), f"{name}_loss_max": F.array_max(sound)}
+    return fits.withColumns(out).withColumn("overfit_gap_last", F.col("epoch_val_loss_last") - F.col("epoch_loss_last"))
+
+
+def increment_trace_stats(losses: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
+    """Mean, median and 0.95 quantile of the losses before and after an increment, and the changes of mean and quantile."""
+    stats = [f(c).alias(f"{c}_loss_{name}") for c in (before, after) for name, f in (("mean", F.avg), ("median", lambda c: F.expr(f"percentile({c}, 0.5D)")), ("p95", lambda c: F.expr(f"percentile({c}, 0.95D)")))]
+    out = losses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats)
+    return out.withColumns({f"{name}_change": F.col(f"{after}_loss_{name}") - F.col(f"{before}_loss_{name}") for name in ("mean", "p95")})
+
+
+def run_row(metrics: DataFrame) -> DataFrame:
+    """A run's indicators for the comparison page: fpr, fnr, tpr = 1 - fnr, and averages per window (0 without windows)."""
+    per = lambda c: F.when(F.col("windows") > 0, F.col(c) / F.col("windows")).otherwise(0.0)
+    rate = F.when(F.col("seconds") > 0, F.col("rows") / F.col("seconds"))
+    return metrics.select("run", "fpr", "fnr", (1 - F.col("fnr")).alias("tpr"), "windows", per("seconds").alias("avg_window_s"), per("rows").alias("avg_window_rows"), rate.alias("flows_per_s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .topology import components
+
 
 def accepted(losses: DataFrame, benign_scale: float = 1.0) -> DataFrame:
     """Rows of losses that the learner accepts; a benign learner's threshold is scaled by benign_scale within 0 to 1."""
@@ -105,3 +107,25 @@ def confidence_by_learner(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"), F.avg(F.when(valid, F.col("keep").cast("double"))).alias("confident_ratio"),
         F.expr("percentile(own_margin, 0.1D)").alias("own_margin_p10"), F.expr("percentile(gap, 0.1D)").alias("gap_p10"),
     )
+
+
+def overlap_edges(pairs: DataFrame, least: float, top_k: int = 0, most: int = 0) -> DataFrame:
+    """Pairs with a Jaccard above 0 and of at least `least`, the largest first, ties by name; top_k and then most of them, 0 is no
+    limit."""
+    kept = pairs.where((F.col("jaccard") > 0) & (F.col("jaccard") >= least))
+    limits = [k for k in (top_k, most) if k > 0]
+    return kept.orderBy(F.col("jaccard").desc(), "learner_a", "learner_b").limit(min(limits)) if limits else kept
+
+
+def overlap_candidates(pairs: DataFrame, score: float, similarity: float, handoff: float) -> DataFrame:
+    """Pairs that could be one learner: jaccard, js_similarity and rate (of handoffs) all reach their limits; a missing rate is 0."""
+    return pairs.where((F.col("jaccard") >= score) & (F.col("js_similarity") >= similarity) & (F.coalesce("rate", F.lit(0.0)) >= handoff))
+
+
+def mutual_components(pairs: DataFrame, k: int) -> DataFrame:
+    """learner, owner: components over the pairs in which each is among the other's k best; a learner without one is its own. The
+    owner is the smallest name."""
+    names = pairs.select(F.explode(F.array("learner_a", "learner_b")).alias("x")).distinct()
+    edge = mutual_top(pairs, k).select("learner_a", "learner_b").unionAll(names.select("x", "x"))
+    found = components(edge.select(F.lit("all").alias("g"), F.col("learner_a").alias("src"), F.col("learner_b").alias("dst")), "g")
+    return found.select(F.col("node").alias("learner"), F.col("component").alias("owner"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.stats import concentration, log_score, normal_entropy, richness
@@ -115,6 +115,78 @@ def long_metrics(wide: DataFrame, group: str = "learner") -> DataFrame:
     return wide.select(group, F.explode(F.array(*parts)).alias("p")).select(group, "p.*").where("raw is not null")
 
 
+#: Each metric's axis, and its tags for a low and a high score.
+CATALOG: list[tuple[str, str, str, str]] = [
+    ("dst_port_entropy", "dispersion", "目的端口集中", "目的端口分散"),
+    ("dst_port_richness", "richness", "目的端口种类少", "目的端口种类丰富"),
+    ("src_port_entropy", "dispersion", "源端口模板化", "源端口分散"),
+    ("dst_port_top1_concentration", "concentration", "目的端口分散", "目的端口高度集中"),
+    ("endpoint_edge_entropy", "dispersion", "边高度复用/模板化", "边分布分散"),
+    ("top1_endpoint_edge_share", "concentration", "无边主导", "单条边主导流量"),
+    ("edge_reuse_ratio", "reuse", "边几乎不复用", "边复用率高"),
+    ("host_edge_entropy", "dispersion", "主机边模板化", "主机边分布分散"),
+    ("dst_host_concentration", "concentration", "目的主机分散", "目的主机高度集中"),
+    ("host_max_in_degree_ratio", "hub_in", "主机入度分散", "主机入向 hub 明显"),
+    ("host_max_out_degree_ratio", "hub_out", "主机出度分散", "主机出向 hub 明显"),
+    ("max_in_degree_ratio", "hub_in", "入度分散", "入向 hub 明显"),
+    ("max_out_degree_ratio", "hub_out", "出度分散", "出向 hub 明显"),
+    ("src_dst_endpoint_asymmetry", "asymmetry", "源目规模均衡", "源/目的规模不对称"),
+    ("src_endpoint_concentration", "concentration", "源端分散", "源端高度集中"),
+    ("dst_endpoint_concentration", "concentration", "目的端分散", "目的端高度集中"),
+    ("leaf_ratio", "structure", "非叶子节点多", "叶子节点占比高"),
+    ("edge_per_node", "density", "连接稀疏", "边/节点比高"),
+    ("low_reciprocity", "unidirectional", "流内双向包较均衡", "流内单向性强"),
+    ("temporal_burst", "burst", "时间跨度大/突发弱", "时间突发明显"),
+    ("temporal_global_spread", "time_global", "全局时间轴上集中", "全局时间轴上分散"),
+    ("temporal_intra_uniformity", "time_uniformity", "活跃窗内时段集中", "活跃窗内时段均匀"),
+]
+#: The axes' names, the mark of a weaker tag, and metrics that former versions had.
+AXES = {
+    "dispersion": "分散度", "concentration": "集中度", "reuse": "复用度", "richness": "丰富度", "hub_in": "入向连接", "hub_out": "出向连接", "asymmetry": "不对称",
+    "structure": "拓扑形态", "density": "连接密度", "unidirectional": "单向性", "burst": "时间突发", "time_global": "全局时间分散", "time_uniformity": "窗内时间均匀",
+}
+WEAKER = "偏"
+REMOVED = ["port_pair_entropy", "dst_port_hhi_concentration", "endpoint_edge_regular", "top5_endpoint_edge_share", "hub_in_strength", "hub_out_strength", "temporal_regular", "temporal_entropy"]
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """metric, axis, axis_name, tag_low, tag_high: a row for each of the 22 metrics."""
+    return spark.createDataFrame([(m, axis, AXES[axis], low, high) for m, axis, low, high in CATALOG], "metric string, axis string, axis_name string, tag_low string, tag_high string")
+
+
+def semantic_tags(long: DataFrame) -> DataFrame:
+    """long_metrics with axis and tag: the high tag from a score of 80, its weaker form from 50, the weaker low tag from 20, else the
+    low tag. A tag is not marked as weaker twice. Scores count within 0 to 100."""
+    s = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score")))
+    weaker = lambda c: F.when(F.startswith(c, F.lit(WEAKER)), F.col(c)).otherwise(F.concat(F.lit(WEAKER), c))
+    tag = F.when(s >= 80, F.col("tag_high")).when(s >= 50, weaker("tag_high")).when(s >= 20, weaker("tag_low")).otherwise(F.col("tag_low"))
+    return long.join(F.broadcast(catalog(long.sparkSession)), "metric").withColumn("tag", tag).drop("tag_low", "tag_high")  # 22 rows
+
+
+def audit(df: DataFrame, assigned: DataFrame, profiles: DataFrame, least: int = 30, most: int = 0) -> DataFrame:
+    """The qualification of assigned flows by learner, with what was left out.
+
+    df: row_index and the flow columns of metrics. assigned: row_index, learner. profiles: learner, total, attack_ratio,
+    dominant_label, dominant_ratio. Learners come by their joined flows, the largest first (ties: by name), to `most` of them (0: no
+    limit), after which smaller ones aren't looked at; before that a learner under `least` flows is skipped with that reason. A
+    profile without joined flows is skipped as well. Columns: learner, place, reason (null for an audited one), flow_count,
+    attack_ratio, dominant_label, dominant_ratio, total, and the metrics, hints and rules of qualify.
+    """
+    joined = df.join(assigned, "row_index")
+    n = joined.groupBy("learner").agg(F.count(F.lit(1)).alias("flow_count"))
+    order = Window.orderBy(F.col("flow_count").desc(), "learner")  # a row for each learner
+    ok = F.col("flow_count") >= least
+    n = n.withColumns({"place": F.row_number().over(order), "_taken": F.sum(ok.cast("int")).over(order)})
+    if most:
+        n = n.where((F.col("_taken") < most) | (ok & (F.col("_taken") == most)))
+    n = n.withColumn("reason", F.when(~ok, f"flows_below_min_samples({least})")).drop("_taken")
+    found = qualify(joined.join(F.broadcast(n.where("reason is null").select("learner")), "learner", "left_semi")).drop("flows")
+    listed = n.join(profiles, "learner", "left")
+    gone = profiles.join(joined.select("learner").distinct(), "learner", "left_anti")
+    gone = gone.select("learner", F.lit(0).cast("long").alias("flow_count"), F.lit(None).cast("int").alias("place"), F.lit("no_stream_assignment_join").alias("reason"), "total", "attack_ratio", "dominant_label", "dominant_ratio")
+    return listed.unionByName(gone).join(found, "learner", "left")
+
+
 def strength(score: Column) -> Column:
     """very_low, low, medium, high, very_high by fifths."""
     return F.when(score < 20, "very_low").when(score < 40, "low").when(score < 60, "medium").when(score < 80, "high").otherwise("very_high")
@@ -146,7 +218,7 @@ def any_of(*tests: Column) -> Column:
 
 
 def hints() -> dict[str, Column]:
-    """Hints read a missing metric as 0."""
+    """Hints read a missing metric as 0. Their limits are fixed values."""
     s = lambda m: F.coalesce(score_of(m), F.lit(0.0))
     return {
         "Flood-like": ((s("top1_endpoint_edge_share") >= 80) | (s("dst_endpoint_concentration") >= 80)) & (s("temporal_burst") >= 50),

@@ -229,3 +229,44 @@ def window_rules(windows: DataFrame, quiet: float = 0.001) -> DataFrame:
     }
     out = windows.join(F.broadcast(q), how="cross").withColumns({k: F.coalesce(t, F.lit(False)) for k, t in tests.items()})
     return out.withColumn("rule_win_combo", F.col("rule_win_sink_lowrecip") | F.col("rule_win_src_lowrecip") | F.col("rule_win_frag_lcc")).drop(*limits)
+
+
+def internal_topology(edge: DataFrame, key: str) -> DataFrame:
+    """The graph of each key in 30 numbers: size, density, components, reciprocity by edges and by flows, largest degrees and
+    strengths with their shares, shares of the strongest edges, entropies (natural logarithm) and Gini coefficients of degrees
+    and entropy of edge weights, reuse, and shares of sources, targets, leaves and nodes of degree 10 or more. A self-loop counts
+    twice in an undirected degree. edge (key, src, dst, n) is read several times; save it first."""
+    deg = degrees(edge, [key]).join(neighbours(edge, [key]), [key, "node"])
+    loops = edge.where("src = dst").select(key, F.col("src").alias("node"), F.lit(1).alias("_loop"))
+    deg = deg.join(loops, [key, "node"], "left").withColumn("_deg", F.col("neighbours") + F.coalesce("_loop", F.lit(0)))
+    spread = lambda x: F.when(F.sum(x) > 0, F.ln(F.sum(x)) - F.sum(F.when(x > 0, x * F.ln(x)).otherwise(0.0)) / F.sum(x)).otherwise(0.0)
+    share = lambda t: F.avg(t.cast("double"))
+    nodes = deg.groupBy(key).agg(
+        F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("max_out_degree"), F.max("in_degree").alias("max_in_degree"), F.max("out_flows").alias("max_out_strength"), F.max("in_flows").alias("max_in_strength"),
+        spread(F.col("out_degree")).alias("out_deg_entropy"), spread(F.col("in_degree")).alias("in_deg_entropy"), share(F.col("out_degree") > 0).alias("src_endpoint_ratio"), share(F.col("in_degree") > 0).alias("dst_endpoint_ratio"),
+        share(F.col("_deg") <= 1).alias("leaf_ratio"), share(F.col("_deg") >= 10).alias("high_deg_tail_ratio"),
+    )
+    one_sided = deg.select(key, F.explode(F.array(F.struct(F.lit("out").alias("side"), F.col("out_degree").alias("v")), F.struct(F.lit("in").alias("side"), F.col("in_degree").alias("v")))).alias("p")).select(key, "p.*").where("v > 0")
+    equal = one_sided.groupBy(key, "side", "v").agg(F.count(F.lit(1)).alias("n"))  # distinct degrees only
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key, "side").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    equal = equal.withColumn("_w", F.col("v") * F.col("n") * (2 * before + F.col("n") + 1))
+    gini = equal.groupBy(key, "side").agg((F.sum("_w") / (F.sum("n") * F.sum(F.col("v") * F.col("n"))) - (F.sum("n") + 1) / F.sum("n")).alias("g"))
+    gini = gini.groupBy(key).agg(F.max(F.when(F.col("side") == "out", F.col("g"))).alias("out_deg_gini"), F.max(F.when(F.col("side") == "in", F.col("g"))).alias("in_deg_gini"))
+    n = F.col("n")
+    weights = edge.groupBy(key).agg(F.count(F.lit(1)).alias("edges"), F.sum(n).alias("samples"), F.max(n).alias("_top"), spread(n).alias("edge_w_entropy"))
+    ranked = edge.groupBy(key, "n").agg(F.count(F.lit(1)).alias("c"))  # distinct weights only
+    above = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    five = ranked.withColumn("_t", F.greatest(F.lit(0), F.least(F.col("c"), 5 - above)) * n).groupBy(key).agg(F.sum("_t").alias("_five"))
+    both = F.col("back") > 0
+    back = with_reverse(edge, [key]).groupBy(key).agg(share(both & (F.col("src") != F.col("dst"))).alias("reciprocity"), (F.sum(F.when(both, F.least("n", "back")).otherwise(0)) / F.sum("n")).alias("weighted_reciprocity"))
+    parts = components(edge, key).groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("components_weak"), F.max("_n").alias("_largest"))
+    out = nodes.join(weights, key).join(five, key).join(gini, key).join(back, key).join(parts, key)
+    c, rest = F.col, F.greatest(F.lit(1), F.col("nodes") - 1)
+    return out.select(
+        key, "samples", "nodes", "edges", F.when(c("nodes") > 1, c("edges") / (c("nodes") * (c("nodes") - 1))).otherwise(0.0).alias("density"), "components_weak", (c("_largest") / c("nodes")).alias("largest_component_ratio"), "reciprocity",
+        "max_out_degree", "max_in_degree", (c("max_out_degree") / rest).alias("hub_out_ratio"), (c("max_in_degree") / rest).alias("hub_in_ratio"), "max_out_strength", "max_in_strength",
+        (c("max_out_strength") / c("samples")).alias("hub_out_strength_ratio"), (c("max_in_strength") / c("samples")).alias("hub_in_strength_ratio"), "weighted_reciprocity",
+        (c("_top") / c("samples")).alias("top1_edge_share"), (c("_five") / c("samples")).alias("top5_edge_share"), "out_deg_entropy", "in_deg_entropy", "edge_w_entropy", "out_deg_gini", "in_deg_gini",
+        (c("samples") / c("edges")).alias("edge_reuse_ratio"), (c("edges") / c("nodes")).alias("edge_per_node"), "src_endpoint_ratio", "dst_endpoint_ratio",
+        F.abs(c("src_endpoint_ratio") - c("dst_endpoint_ratio")).alias("src_dst_asymmetry"), "leaf_ratio", "high_deg_tail_ratio",
+    )
