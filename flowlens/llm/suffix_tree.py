@@ -26,7 +26,6 @@ text are left out.
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import repeat
@@ -352,12 +351,6 @@ def _carry_on(row: dict, count: np.ndarray | None, backs: np.ndarray | None, mod
     return carry, np.bincount(x["text"], new - log).astype(np.float64)
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files that nothing reads again."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _ASK = "bucket long, chunk long, keys binary, parts binary"
 _ANSWER = "chunk long, round int, bucket long, answer binary, sums array<long>"
 
@@ -450,9 +443,8 @@ def score_texts(
 
     got: list[DataFrame] = [answered(plain.mapInArrow(first_ask, _ASK), 0)]
     for number in range(2 * model.replayed + 1):
-        if number:  # no name holds on to what has been shuffled, so _free finds it
+        if number:
             got.append(answered(plain.groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(next_ask(number, model), _ASK), number))
-        _free(spark)
         if not number:
             total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
             cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
@@ -471,7 +463,6 @@ def score_texts(
     settled = f"chunk long, doc_ids array<{kind}>, held array<boolean>, sizes binary, known binary, base binary, score binary, " + _CARRY.split(", ", 1)[1]
     done = save(chunks.drop("n_tokens").groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(settle, settled), "settled")
     drop(chunks, *got)
-    _free(spark)
 
     def ask_counts(batches):
         for batch in batches:
@@ -493,7 +484,6 @@ def score_texts(
         counts = answered(carry.mapInArrow(ask_counts, _ASK), 1)
         backs = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), 2)
         after = save(carry.groupBy("chunk").cogroup(counts.unionAll(backs).drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary"), "carried")
-        _free(spark)
         changes.append(after.select("chunk", "change"))
         gone += [after]
         drop(counts, backs)
