@@ -6,102 +6,107 @@ A generation's trees are compiled into one select, so the data is read once for
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import auc
 
-BINARY = ("+", "-", "*", "/", "max", "min")
-UNARY = ("abs", "sqrt_abs", "log1p_abs", "neg")
+#: The operators' names and the small numbers that keep a quotient and a root defined.
+_QUOTIENT, _ROOT = 1e-6, 1e-12
 
+#: By name: how many arguments, how it is written, and the column it makes of its arguments' columns.
+OPERATORS: dict[str, tuple[int, str, Callable[..., Column]]] = {
+    "+": (2, "({} + {})", lambda a, b: a + b),
+    "-": (2, "({} - {})", lambda a, b: a - b),
+    "*": (2, "({} * {})", lambda a, b: a * b),
+    "/": (2, "({} / {})", lambda a, b: a / (F.abs(b) + _QUOTIENT)),
+    "max": (2, "max({}, {})", F.greatest),
+    "min": (2, "min({}, {})", F.least),
+    "abs": (1, "abs({})", F.abs),
+    "sqrt_abs": (1, "sqrt_abs({})", lambda a: F.sqrt(F.abs(a) + _ROOT)),
+    "log1p_abs": (1, "log1p_abs({})", lambda a: F.log1p(F.abs(a))),
+    "neg": (1, "(-{})", lambda a: -a),
+}
 
-@dataclass(frozen=True)
-class Expr:
-    """A node: an operator with children, a column's name, or a constant."""
 
-    op: str
-    left: Expr | None = None
-    right: Expr | None = None
-    feature: str | None = None
-    const: float | None = None
+class Apply(NamedTuple):
+    """An operator and its arguments. A leaf is no node of its own: a string is a column's name, a float a constant."""
 
-    def size(self) -> int:
-        return 1 + sum(x.size() for x in (self.left, self.right) if x is not None)
+    operator: str
+    arguments: tuple[Tree, ...]
 
-    def __str__(self) -> str:
-        if self.op == "feature":
-            return self.feature
-        if self.op == "const":
-            return f"{self.const:g}"
-        if self.op == "neg":
-            return f"(-{self.left})"
-        if self.op in UNARY:
-            return f"{self.op}({self.left})"
-        return f"{self.op}({self.left}, {self.right})" if self.op in ("max", "min") else f"({self.left} {self.op} {self.right})"
 
-    def column(self) -> Column:
-        """Division is by |b| + 1e-6 and the root of |a| + 1e-12, so every tree has a value on every row."""
-        if self.op == "feature":
-            return F.col(f"`{self.feature}`").cast("double")
-        if self.op == "const":
-            return F.lit(float(self.const))
-        a = self.left.column()
-        if self.op in UNARY:
-            return {"abs": F.abs(a), "sqrt_abs": F.sqrt(F.abs(a) + 1e-12), "log1p_abs": F.log1p(F.abs(a)), "neg": -a}[self.op]
-        b = self.right.column()
-        return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / (F.abs(b) + 1e-6), "max": lambda: F.greatest(a, b), "min": lambda: F.least(a, b)}[self.op]()
+Tree = Apply | str | float
 
 
-def feature(name: str) -> Expr:
-    return Expr("feature", feature=name)
+def apply(operator: str, *arguments: Tree) -> Apply:
+    if len(arguments) != OPERATORS[operator][0]:
+        raise ValueError(f"{operator} takes {OPERATORS[operator][0]} arguments")
+    return Apply(operator, arguments)
 
 
-def const(x: float) -> Expr:
-    return Expr("const", const=x)
+def subtrees(tree: Tree) -> list[tuple[tuple[int, ...], Tree]]:
+    """Every node and leaf with its path: which argument to follow from the root on."""
+    below = [((k, *path), t) for k, x in enumerate(tree.arguments) for path, t in subtrees(x)] if isinstance(tree, Apply) else []
+    return [((), tree), *below]
 
 
-def grow(rng: random.Random, features: list[str], depth: int) -> Expr:
-    if depth <= 0 or rng.random() < 0.25:
-        return feature(rng.choice(features)) if rng.random() < 0.85 else const(round(rng.uniform(-2, 2), 2))
-    if rng.random() < 0.3:
-        return Expr(rng.choice(UNARY), grow(rng, features, depth - 1))
-    return Expr(rng.choice(BINARY), grow(rng, features, depth - 1), grow(rng, features, depth - 1))
+def text(tree: Tree) -> str:
+    if isinstance(tree, Apply):
+        return OPERATORS[tree.operator][1].format(*map(text, tree.arguments))
+    return tree if isinstance(tree, str) else f"{tree:g}"
 
 
-def _parts(tree: Expr) -> list[Expr]:
-    return [tree, *(y for x in (tree.left, tree.right) if x is not None for y in _parts(x))]
+def column(tree: Tree) -> Column:
+    """Every tree has a value on every row whose columns have one."""
+    if isinstance(tree, Apply):
+        return OPERATORS[tree.operator][2](*map(column, tree.arguments))
+    return F.col(f"`{tree}`").cast("double") if isinstance(tree, str) else F.lit(float(tree))
 
 
-def _swap(tree: Expr, old: Expr, new: Expr) -> Expr:
-    if tree is old:
+def replaced(tree: Tree, path: tuple[int, ...], new: Tree) -> Tree:
+    """tree with `new` at a path."""
+    if not path:
         return new
-    if tree.left is None:
-        return tree
-    return Expr(tree.op, _swap(tree.left, old, new), None if tree.right is None else _swap(tree.right, old, new), tree.feature, tree.const)
+    k, rest = path[0], path[1:]
+    return Apply(tree.operator, tuple(replaced(x, rest, new) if i == k else x for i, x in enumerate(tree.arguments)))
+
+
+def grow(rng: random.Random, features: list[str], depth: int) -> Tree:
+    if depth <= 0 or rng.random() < 0.25:
+        return rng.choice(features) if rng.random() < 0.85 else round(rng.uniform(-2, 2), 2)
+    operator = rng.choice(sorted(OPERATORS))
+    return apply(operator, *(grow(rng, features, depth - 1) for _ in range(OPERATORS[operator][0])))
 
 
-def score_trees(df: DataFrame, trees: list[Expr], positive: str) -> dict[int, float]:
-    """Each tree's fitness by number: its oriented AUC less 0.0025 for each node beyond the first."""
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), t.column().alias("x"), F.col(positive).alias("y")) for i, t in enumerate(trees)])).alias("p")).select("p.*").where("x is not null and not isnan(x)")
-    return {r["tree"]: r["oriented_auc"] - 0.0025 * (trees[r["tree"]].size() - 1) for r in auc(rows, ["tree"], "x", "y").collect()}  # a row for each tree
+def score_trees(df: DataFrame, trees: list[Tree], positive: str) -> list[float | None]:
+    """The fitness of each tree: its oriented AUC less 0.0025 for each node beyond the first; None without both classes."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), column(t).alias("x"), F.col(positive).alias("y")) for i, t in enumerate(trees)])).alias("p")).select("p.*").where("x is not null and not isnan(x)")
+    found = {r["tree"]: r["oriented_auc"] for r in auc(rows, ["tree"], "x", "y").collect()}  # a row for each tree
+    return [found[i] - 0.0025 * (len(subtrees(t)) - 1) if i in found else None for i, t in enumerate(trees)]
 
 
-def search(df: DataFrame, features: list[str], positive: str, population: int = 12, generations: int = 3, most_nodes: int = 25, seed: int = 1) -> list[tuple[Expr, float]]:
-    """Tournament selection, crossover and mutation; the best trees with their fitness, best first."""
-    rng = random.Random(seed)
-    trees = [feature(f) for f in features] + [grow(rng, features, 3) for _ in range(max(0, population - len(features)))]
-    known: dict[str, tuple[Expr, float]] = {}
+def search(df: DataFrame, features: list[str], positive: str, population: int = 12, generations: int = 3, most_nodes: int = 25, seed: int = 1) -> list[tuple[Tree, float]]:
+    """The trees of all generations with their fitness, the best first (ties by their text). A generation's new trees are scored in
+    one pass; the next one keeps the best quarter and fills up with children of tournament winners, some of them mutated."""
+    rng, known = random.Random(seed), {}
+    living: list[Tree] = [*features, *(grow(rng, features, 3) for _ in range(population - len(features)))]
+    order = lambda t: (-known[t], text(t))
     for _ in range(generations):
-        new = list({str(t): t for t in trees if str(t) not in known and t.size() <= most_nodes}.values())
-        for i, fit in score_trees(df, new, positive).items() if new else ():
-            known[str(new[i])] = (new[i], fit)
-        pool = sorted((known[str(t)] for t in trees if str(t) in known), key=lambda x: (-x[1], str(x[0])))
-        win = lambda: max(rng.sample(pool, min(3, len(pool))), key=lambda x: x[1])[0]  # noqa: E731, B023
-        trees = [t for t, _ in pool[: population // 4]]
-        while len(trees) < population and pool:
-            one, two = win(), win()
-            child = _swap(one, rng.choice(_parts(one)), rng.choice(_parts(two)))
-            trees.append(_swap(child, rng.choice(_parts(child)), grow(rng, features, 2)) if rng.random() < 0.3 else child)
-    return sorted(known.values(), key=lambda x: (-x[1], str(x[0])))
+        new = [t for t in dict.fromkeys(living) if t not in known and len(subtrees(t)) <= most_nodes]
+        known |= {t: fit for t, fit in zip(new, score_trees(df, new, positive) if new else [], strict=True) if fit is not None}
+        pool = sorted({t for t in living if t in known}, key=order)
+        if not pool:
+            break
+        winner = lambda pool=pool: min(rng.sample(pool, min(3, len(pool))), key=order)
+        living = pool[: population // 4]
+        while len(living) < population:
+            one, gift = winner(), rng.choice(subtrees(winner()))[1]
+            child = replaced(one, rng.choice(subtrees(one))[0], gift)
+            if rng.random() < 0.3:
+                child = replaced(child, rng.choice(subtrees(child))[0], grow(rng, features, 2))
+            living.append(child)
+    return [(t, known[t]) for t in sorted(known, key=order)]

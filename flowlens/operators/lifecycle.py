@@ -123,7 +123,7 @@ def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).where("a <> b")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
         labels = best.checkpoint()
     return labels

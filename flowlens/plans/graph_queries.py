@@ -245,7 +245,7 @@ register("ml20_learner_risk", learner_risks, _RISK + " SELECT learner, n, " + ",
 
 register("jn3_profile_star", lambda s, d: rounded(A.group_profile(flows(s, d), "learner").select("learner", "total").join(A.port_stats(flows(s, d).where("dst_port > 1000"), "learner").select("learner", "ports"), "learner", "left").na.fill(0, ["ports"])), W + "SELECT learner, count(*) AS total, count(DISTINCT CASE WHEN dst_port > 1000 THEN dst_port END) AS ports FROM base GROUP BY 1")
 register("jn5_pair_membership", lambda s, d: flows(s, d).join(_hosts(s, d).groupBy("src", "dst").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "src", "dst").limit(5).select(F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip")), ["src_ip", "dst_ip"], "left_semi").groupBy("label").agg(_n().alias("n")), W + ", t AS (SELECT src_ip, dst_ip FROM base GROUP BY ALL ORDER BY count(*) DESC, src_ip, dst_ip LIMIT 5) SELECT label, count(*) AS n FROM base SEMI JOIN t USING (src_ip, dst_ip) GROUP BY 1")
-register("jn7_skipped", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+register("jn7_skipped", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 register("jn10_reverse_edges", lambda s, d: T.with_reverse(_pairs(s, d), []).where("back > 0"), "WITH p AS (SELECT l_suppkey % 40 AS src, l_partkey % 40 AS dst, count(*) AS n FROM lineitem GROUP BY ALL) SELECT a.src, a.dst, a.n, b.n AS back FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src")
 
 

@@ -11,7 +11,7 @@ from flowlens.session import ensure_checkpoints
 from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, flows, losses
 
 from .aggregate_queries import rounded
-from .graph_queries import _WIN, _WIN_RULES, rates_sql, window_graphs
+from .graph_queries import _JAC, _WIN, _WIN_RULES, rates_sql, window_graphs
 from .registry import register
 
 W, X = f"WITH {FLOWS_SQL} ", f"WITH {LOSSES_SQL} "
@@ -60,7 +60,14 @@ def _communities(s, d):
     return L.label_communities(O.jaccard(O.accepted(losses(s, d))).where("both > 0").select(F.col("learner_a").alias("a"), F.col("learner_b").alias("b"), F.round("jaccard", 6).alias("weight")))
 
 
-register("gr21_label_propagation", _communities)
+def _communities_sql(rounds: int = 5) -> str:
+    out = X + _JAC + """, b0 AS (SELECT learner_a AS a, learner_b AS b, round(jaccard, 6) AS w FROM jx WHERE "both" > 0 UNION ALL SELECT learner_b, learner_a, round(jaccard, 6) FROM jx WHERE "both" > 0), c0 AS (SELECT DISTINCT a AS node, a AS community FROM b0)"""
+    for r in range(1, rounds + 1):
+        out += f", v{r} AS (SELECT a AS node, community, round(sum(w), 9) AS w FROM b0 JOIN c{r - 1} c ON c.node = b0.b GROUP BY 1, 2), c{r} AS (SELECT node, first(community ORDER BY w DESC, community) AS community FROM v{r} GROUP BY 1)"
+    return out + f" SELECT node, community FROM c{rounds}"
+
+
+register("gr21_label_propagation", _communities, _communities_sql())
 def _rates(s, d):
     """Window rules mapped back to the flows: every window stands for its flows."""
     rows = T.window_rules(window_graphs(s, d), quiet=0.7).withColumn("attacks", F.round(F.col("attack_ratio") * F.col("rows")).cast("long"))

@@ -70,10 +70,11 @@ def _runs(s, d):
 
 # synthesised features
 
-_TREE = E.Expr("/", E.Expr("-", E.feature("l_quantity"), E.feature("bwd")), E.Expr("max", E.feature("l_linenumber"), E.const(2.0)))
-register("ex_expression_auc", lambda s, d: rounded(V.auc(benign_flows(s, d).select(F.lit(str(_TREE)).alias("tree"), F.round(_TREE.column(), 9).alias("x"), (1 - F.col("benign")).alias("y")), ["tree"], "x", "y")), W + f""", u AS (SELECT 1 - benign AS y, round((l_quantity - bwd) / (abs(greatest(l_linenumber, 2.0::DOUBLE)) + 1e-6), 9) AS x FROM base), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rk FROM u),
-  a AS (SELECT (sum(rk*y) - sum(y)*(sum(y)+1)/2) / (sum(y)*sum(1-y)) AS auc FROM r) SELECT '{_TREE}' AS tree, round(auc, 6) AS auc, round(greatest(auc, 1-auc), 6) AS oriented_auc FROM a""")
-register("ml32_feature_search", lambda s, d: s.createDataFrame([(str(t), t.size(), round(v, 6)) for t, v in E.search(benign_flows(s, d).withColumn("attack", 1 - F.col("benign")), ["l_quantity", "bwd", "l_tax"], "attack", population=6, generations=2)[:5]], "expression string, nodes int, fitness double"))
+_TREE = E.apply("/", E.apply("-", "l_quantity", "bwd"), E.apply("max", "l_linenumber", 2.0))
+_NAME = E.text(_TREE)
+register("ex_expression_auc", lambda s, d: rounded(V.auc(benign_flows(s, d).select(F.lit(_NAME).alias("tree"), F.round(E.column(_TREE), 9).alias("x"), (1 - F.col("benign")).alias("y")), ["tree"], "x", "y")), W + f""", u AS (SELECT 1 - benign AS y, round((l_quantity - bwd) / (abs(greatest(l_linenumber, 2.0::DOUBLE)) + 1e-6), 9) AS x FROM base), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rk FROM u),
+  a AS (SELECT (sum(rk*y) - sum(y)*(sum(y)+1)/2) / (sum(y)*sum(1-y)) AS auc FROM r) SELECT '{_NAME}' AS tree, round(auc, 6) AS auc, round(greatest(auc, 1-auc), 6) AS oriented_auc FROM a""")
+register("ml32_feature_search", lambda s, d: s.createDataFrame([(E.text(t), len(E.subtrees(t)), round(v, 6)) for t, v in E.search(benign_flows(s, d).withColumn("attack", 1 - F.col("benign")), ["l_quantity", "bwd", "l_tax"], "attack")[:5]], "expression string, nodes int, fitness double"))
 
 # models
 
@@ -134,20 +135,23 @@ def _event_stream(s, d):
 
 def _windowed(window, keys):
     def run(s, d):
-        found = T.run_to_table(T.windowed(_event_stream(s, d), window(), "1 hour", keys, "value"), work_folder(s))
+        found = T.run_to_table(T.windowed(_event_stream(s, d), window(), "1 hour", keys, "value"), work_folder(s), "append")
         return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), *keys, "n", F.round("total", 4).alias("total"))
 
     return run
 
 
 _FMT = "'%Y-%m-%d %H:%M:%S'"
-register("st9_tumbling", _windowed(lambda: T.tumbling("6 hours"), ["event_type"]), f"WITH e AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM events) SELECT strftime(b, {_FMT}) AS start, strftime(b + INTERVAL 6 HOUR, {_FMT}) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY b, event_type")
-register("st9_sliding", _windowed(lambda: T.sliding("12 hours", "6 hours"), []), f"WITH e AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS b FROM events, (SELECT unnest([0, 1]) AS k)) SELECT strftime(b, {_FMT}) AS start, strftime(b + INTERVAL 12 HOUR, {_FMT}) AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY b")
+#: Append mode gives a window once the watermark, an hour behind the newest event, has passed its end; its state then goes.
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+register("st9_tumbling", _windowed(lambda: T.tumbling("6 hours"), ["event_type"]), f"WITH e AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM events) SELECT strftime(b, {_FMT}) AS start, strftime(b + INTERVAL 6 HOUR, {_FMT}) AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY b, event_type HAVING b + INTERVAL 6 HOUR <= {_CLOSED}")
+register("st9_sliding", _windowed(lambda: T.sliding("12 hours", "6 hours"), []), f"WITH e AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS b FROM events, (SELECT unnest([0, 1]) AS k)) SELECT strftime(b, {_FMT}) AS start, strftime(b + INTERVAL 12 HOUR, {_FMT}) AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY b HAVING b + INTERVAL 12 HOUR <= {_CLOSED}")
 register("st9_session", _windowed(lambda: T.session("30 minutes"), ["user_id"]), f"""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e)
-  SELECT strftime(min(ts), {_FMT}) AS start, strftime(max(ts) + INTERVAL 30 MINUTE, {_FMT}) AS "end", user_id, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g""")
+  SELECT strftime(min(ts), {_FMT}) AS start, strftime(max(ts) + INTERVAL 30 MINUTE, {_FMT}) AS "end", user_id, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""")
 register("st1_block_windows", lambda s, d: BlockStream(s, work_folder(s), 300).run(_event_stream(s, d).select(F.col("event_id").alias("row_index"), "ts", (F.col("event_type") == "error").cast("int").alias("attack"))).withColumn("window_end_time", F.date_format("window_end_time", "yyyy-MM-dd HH:mm:ss")),
          f"SELECT min(event_id) AS window_left, max(event_id) + 1 AS window_right, strftime(max(ts), {_FMT}) AS window_end_time, count(*) AS rows, CAST(sum((event_type = 'error')::INT) AS BIGINT) AS attacks FROM events GROUP BY floor(event_id / 300)")
-register("st5_running_state", lambda s, d: T.run_to_table(T.running_mean(_event_stream(s, d), "event_type", "value"), work_folder(s), "update").withColumn("mean", F.round("mean", 6)))
+register("st5_running_state", lambda s, d: T.run_to_table(T.running_mean(_event_stream(s, d), "event_type", "value"), work_folder(s), "update").withColumn("mean", F.round("mean", 6)),
+         "SELECT event_type, count(*) AS n, round(list_reduce(list(value ORDER BY ts), lambda m, x: 0.8 * m + 0.2 * x), 6) AS mean FROM events GROUP BY 1")
 
 
 def _open_set(s, d):

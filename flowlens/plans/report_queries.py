@@ -83,7 +83,8 @@ def _strongest(s, d):
     return p.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.col("jaccard").desc(), "y"))).where("r = 1").select(F.col("x").alias("learner"), F.col("y").alias("strongest"))
 
 
-register("wn20_recent_sample", lambda s, d: events(s, d).withColumn("u", (F.conv(F.substring(F.md5(F.concat(F.lit("5|"), F.col("row_index").cast("string"))), 1, 12), 16, 10).cast("double") + 1) / (2.0**48 + 1)).withColumn("key", -F.ln("u") / F.exp(F.col("row_index") / 300.0)).orderBy("key", "row_index").limit(50).select("row_index"))
+register("wn20_recent_sample", lambda s, d: events(s, d).withColumn("u", (F.conv(F.substring(F.md5(F.concat(F.lit("5|"), F.col("row_index").cast("string"))), 1, 12), 16, 10).cast("double") + 1) / (2.0**48 + 1)).withColumn("key", F.ln(-F.ln("u")) - F.col("row_index") / 300.0).orderBy("key", "row_index").limit(50).select("row_index"),
+         "SELECT event_id AS row_index FROM events ORDER BY ln(-ln((concat('0x', substr(md5(concat('5|', event_id)), 1, 12))::BIGINT + 1) / (281474976710656.0::DOUBLE + 1))) - event_id / 300.0::DOUBLE, event_id LIMIT 50")
 register("wn21_loss_thirds", lambda s, d: rounded(_thirds(s, d)), "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, CASE WHEN i < n // 3 THEN 'low' WHEN i < 2 * n // 3 THEN 'mid' ELSE 'high' END AS third, count(*) AS n, round(avg(value), 6) AS mean FROM r GROUP BY 1, 2")
 
 

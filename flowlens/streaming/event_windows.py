@@ -5,6 +5,7 @@ Results go to a table in a folder that the caller names, not to driver memory.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,13 @@ def running_mean(stream: DataFrame, key: str, value: str, alpha: float = 0.2) ->
     def step(names: tuple, frames, state: GroupState):
         n, mean = state.get if state.exists else (0, None)
         for pdf in frames:
-            for x in pdf.sort_values("ts")[value]:
-                mean = float(x) if mean is None else (1 - alpha) * mean + alpha * float(x)
-                n += 1
+            x = pdf.sort_values("ts")[value].to_numpy(np.float64)
+            if mean is None:
+                mean, rest = float(x[0]), x[1:]
+            else:
+                rest = x
+            fade = (1 - alpha) ** np.arange(len(rest), -1, -1.0)  # of the mean so far, then of each value
+            mean, n = float(fade[0] * mean + alpha * (fade[1:] @ rest)), n + len(x)
         state.update((n, mean))
         yield pd.DataFrame({key: [names[0]], "n": [n], "mean": [mean]})
 

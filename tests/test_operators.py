@@ -1,17 +1,18 @@
 """Hand-computed values, invariants, and streams against batches."""
 
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.stats import concentration, normal_entropy, richness
-from flowlens.operators import aggregates, cleaning, evaluation, models, overlap, qualification, topology
-from flowlens.operators.expressions import Expr, const, feature
+from flowlens.operators import aggregates, cleaning, evaluation, lifecycle, models, overlap, qualification, topology
+from flowlens.operators import expressions as E
 from flowlens.sources import flow_files
 from flowlens.sources.run_store import RunStore, grid, leaderboard, load_config
-from flowlens.sources.testdata import flows, losses
+from flowlens.sources.testdata import indexed_flows, losses
 from flowlens.streaming import event_windows
 from flowlens.streaming.blocks import BlockStream, block_log
 
@@ -109,7 +110,7 @@ def test_routing(spark):
 
 
 def test_invariants(spark, sf_dir):
-    df = flows(spark, sf_dir)
+    df = indexed_flows(spark, sf_dir)
     n = df.count()
     assert df.select("row_index").distinct().count() == n and df.agg(F.max("row_index")).first()[0] == n - 1
     wide = qualification.qualify(df).collect()
@@ -136,9 +137,110 @@ def test_curve_and_auc_agree(spark):
 
 
 def test_expressions(spark):
-    tree = Expr("/", Expr("neg", feature("a b")), Expr("max", const(0), Expr("log1p_abs", feature("c"))))
-    got = spark.createDataFrame([(2.0, 0.0)], "`a b` double, c double").select(tree.column().alias("x")).first()["x"]
-    assert got == pytest.approx(-2 / 1e-6) and tree.size() == 7 and str(tree) == "((-a b) / max(0, log1p_abs(c)))"
+    tree = E.apply("/", E.apply("neg", "a b"), E.apply("max", 0.0, E.apply("log1p_abs", "c")))
+    got = spark.createDataFrame([(2.0, 0.0)], "`a b` double, c double").select(E.column(tree).alias("x")).first()["x"]
+    assert got == pytest.approx(-2 / 1e-6) and E.text(tree) == "((-a b) / max(0, log1p_abs(c)))"
+    assert len(E.subtrees(tree)) == 7 and E.text(E.replaced(tree, (1, 1), "d")) == "((-a b) / max(0, d))"
+    with pytest.raises(ValueError):
+        E.apply("abs", "a", "b")
+    df = spark.createDataFrame([(float(k), float(k % 5), int(k > 20)) for k in range(40)], "a double, b double, y int")
+    best = E.search(df, ["a", "b"], "y", population=4, generations=1)
+    assert best[0] == ("a", 1.0) and all(x >= y for (_, x), (_, y) in zip(best, best[1:], strict=False))
+
+
+def test_temporal_and_port_stats(spark):
+    """Four rows of x in one of 256 bins of the whole span and one row of y at its end; ports 3 to 1."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [("x", at(0), 80, 1), ("x", at(0.1), 80, 2), ("x", at(0.2), 80, 3), ("x", at(0.25), 443, 3), ("y", at(1000), None, None), ("z", None, None, 7)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, dst_port int, src_port int")
+    t = {r["g"]: r for r in aggregates.temporal_stats(df, "g").collect()}
+    assert (t["x"]["n"], t["x"]["hhi"], t["x"]["entropy"], t["x"]["concentration"], t["x"]["kind"]) == (4, 1.0, 0.0, 1.0, "SHORT_BURST")
+    assert t["x"]["span_ratio"] == pytest.approx(0.00025) and t["x"]["burst"] == pytest.approx(0.5 * (1 - 0.00025) + 0.5)
+    assert (t["z"]["n"], t["z"]["burst"], t["z"]["kind"]) == (0, 0.0, "EMPTY") and t["y"]["kind"] == "SHORT_BURST"
+    p = {r["g"]: r for r in aggregates.port_stats(df, "g").collect()}
+    assert (p["x"]["n"], p["x"]["ports"], p["x"]["top_port"], p["x"]["top_share"], p["x"]["hhi"]) == (4, 2, 80, 0.75, 0.625)
+    assert p["x"]["entropy"] == pytest.approx(0.811278, abs=1e-6) and p["x"]["source_ports"] == 3 and p["x"]["kind"] == "SERVICE_LIKE"
+    assert (p["y"]["kind"], p["y"]["top_port"], p["y"]["entropy"], p["z"]["source_ports"]) == ("UNKNOWN", 0, 0.0, 1)
+
+
+def test_stability(spark):
+    """Counts 4, 0, 0, 0 over four windows: mean 1, deviation sqrt(3), 0.95 quantile 3.4."""
+    df = spark.createDataFrame([("a", k) for k in range(4)] + [("b", 15), ("b", -1)], "g string, i long")
+    got = {r["g"]: r["stability"] for r in aggregates.stability(df, "g", "i", 4).collect()}
+    assert got["a"] == pytest.approx(0.6 * (1 - math.exp(-(3**0.5))) + 0.4 * (1 - math.exp(-2.4)), abs=1e-6)
+    assert got["b"] == pytest.approx(0.6 * (1 - math.exp(-(3**0.5))) + 0.4 * (1 - math.exp(-2.4)), abs=1e-6)
+
+
+def test_assignment_risk(spark):
+    """A learner goes by its most frequent label: two years of BENIGN are two labels, so the first learner is an attack one."""
+    rows = [("NEW_0", "2017|BENIGN", 3), ("NEW_0", "2019|BENIGN", 3), ("NEW_0", "2017|DoS", 4), ("NEW_1", "BENIGN", 8), ("NEW_1", "DoS", 2), ("UNKNOWN", "BENIGN", 5), ("UNKNOWN", "DoS", 1)]
+    df = spark.createDataFrame([(a, b) for a, b, n in rows for _ in range(n)], "learner string, label string")
+    r = evaluation.assignment_risk(df).first()
+    assert (r["fp"], r["benign"], r["miss"], r["attack"]) == (6, 14, 3, 7) and (r["fpr"], r["fnr"]) == pytest.approx((6 / 14, 3 / 7))
+
+
+def test_graph_flags_and_rules(spark):
+    edge = spark.createDataFrame([("g", "a", f"n{k}", 1) for k in range(9)] + [("h", "a", "b", 1), ("h", "b", "a", 2), ("h", "c", "d", 1)], "g string, src string, dst string, n long")
+    got = {r["g"]: r for r in topology.anomaly_flags(topology.graph_metrics(edge, "g")).collect()}
+    assert got["g"]["flags"] == "STRONG_SOURCE_HUB|VERY_LOW_RECIPROCITY" and got["h"]["flags"] == "STRONG_SOURCE_HUB|STRONG_SINK_HUB"
+    assert (got["h"]["components"], got["h"]["largest_ratio"]) == (2, 0.5) and got["h"]["reciprocity"] == pytest.approx(2 / 3)
+    rules = {(r["src"], r["dst"]): r for r in topology.edge_rules(edge.where("g = 'g'").drop("g")).collect()}
+    assert all(r["rule_source_hub"] and not r["rule_sink_hub"] and r["rule_low_reciprocity"] for r in rules.values()) and len(rules) == 9
+    rates = {r["rule"]: r for r in topology.rule_rates(spark.createDataFrame([(True, 3, 1), (None, 1, 5)], "x boolean, attacks long, benign long"), ("x",)).collect()}["x"]
+    assert (rates["tp"], rates["fp"], rates["tn"], rates["fn"], rates["fpr"], rates["precision"]) == (3, 1, 5, 1, 1 / 6, 0.75)
+
+
+def test_window_rules(spark):
+    """Two quiet windows set the limits; the third one has a larger hub and less reciprocity, the fourth more fragments."""
+    rows = [(0, 0.0, 0.5, 0.1, 0.1, 0.1, 0.9), (1, 0.0, 0.5, 0.1, 0.1, 0.1, 0.9), (2, 0.9, 0.1, 0.1, 0.8, 0.1, 0.95), (3, 0.9, 0.6, 0.0, 0.0, 0.7, 0.2)]
+    df = spark.createDataFrame(rows, "window_id int, attack_ratio double, reciprocity double, hub_out_ratio double, hub_in_ratio double, frag_ratio double, largest_cc_ratio double")
+    got = {r["window_id"]: tuple(r[c] for c in topology.WINDOW_RULES) for r in topology.window_rules(df).collect()}
+    assert got[2] == (True, True, False, True) and got[3] == (False, False, True, True)
+    assert all(not any(r[c] for c in topology.WINDOW_RULES) for r in topology.window_rules(df.where("attack_ratio > 0")).collect())
+
+
+def test_rule_table(spark):
+    df = spark.createDataFrame([("a", 0.9, 0.6), ("b", 0.05, 0.7), ("c", 0.3, 0.9), ("d", 0.5, 0.1), ("e", 0.0, 0.2)], "learner string, attack_ratio double, burst double")
+    r = evaluation.rule_table(df, {"late": F.col("burst") >= 0.5}).first()
+    assert (r["tp"], r["fp"], r["fn"], r["tn"], r["false_positives"], r["false_negatives"], r["precision"], r["recall"]) == (1, 1, 1, 1, "b", "d", 0.5, 0.5)
+
+
+def test_gate_chain(spark):
+    """The order of reasons, and retrains that count only the windows that trained."""
+    gate = lifecycle.Gate(cooldown_windows=1, least_rows=3, most_retrains=2, least_benign_prob=0.5, most_exceed=0.5)
+    rows = [("NEW_1", w, False, n, 0, p, x) for w, n, p, x in ((0, 9, 0.9, 0.0), (1, 2, 0.9, 0.0), (2, 9, 0.1, 0.9), (3, 9, 0.9, 0.9), (4, 9, 0.1, 0.1), (5, 9, 0.9, 0.0))] + [("BENIGN", 0, True, 0, 0, 0.9, 0.0)]
+    df = spark.createDataFrame(rows, "learner string, window_id long, is_benign boolean, kept long, birth_window long, benign_prob double, exceed double")
+    got = {(r["learner"], r["window_id"]): r["reason"] for r in lifecycle.gate_batches(df, gate).collect()}
+    assert [got["NEW_1", w] for w in range(6)] == ["new_learner_cooldown", "increment_min_samples", "increment_quality_gate", None, None, "max_retrain_per_learner"]
+    assert got["BENIGN", 0] == "benign_conf_filter"
+
+
+def test_route_confidence(spark):
+    losses = spark.createDataFrame([(1, "a", 0.5, 1.0, False), (1, "b", 0.9, 1.0, False), (2, "a", 0.99, 1.0, False), (2, "b", 2.0, 1.0, False)], "row_index long, learner string, loss double, threshold double, is_benign boolean")
+    assigned = spark.createDataFrame([(1, "a"), (2, "a"), (3, "UNKNOWN")], "row_index long, assigned_learner string")
+    got = {r["row_index"]: r for r in overlap.route_confidence(losses, assigned).collect()}
+    assert got[1]["own_margin"] == pytest.approx(0.5) and got[1]["gap"] == pytest.approx(0.4) and got[1]["keep"]
+    assert got[2]["own_margin"] == pytest.approx(0.01) and not got[2]["keep"] and got[3]["gap"] is None and got[3]["keep"]
+    by = {r["learner"]: r for r in overlap.confidence_by_learner(overlap.route_confidence(losses, assigned)).collect()}
+    assert by["a"]["confident_ratio"] == 0.5 and by["a"]["own_margin_p10"] == pytest.approx(0.01 + 0.1 * 0.49) and by["UNKNOWN"]["confident_ratio"] is None
+
+
+def test_learner_risk(spark):
+    """One learner beside a benign one: every part by hand."""
+    losses = spark.createDataFrame([(k, n, x, 1.0, n == "BENIGN") for k in range(4) for n, x in (("NEW_1", (0.5, 0.5, 0.5, 1.5)[k]), ("BENIGN", 2.0))], "row_index long, learner string, loss double, threshold double, is_benign boolean")
+    assigned = spark.createDataFrame([(k, "NEW_1") for k in range(4)], "row_index long, assigned_learner string")
+    nothing = lambda c: spark.createDataFrame([], f"learner string, {c} double")
+    r = evaluation.learner_risk(losses, assigned, nothing("overlap_risk"), nothing("stability")).first()
+    prob, margin = 1 / (1 + math.exp(4)), 1 / (1 + math.exp(-4))
+    assert (r["own_exceed_rate"], r["benign_accept_rate"], r["benign_margin_median"]) == (0.25, 0.0, pytest.approx(-1.0))
+    assert r["risk_score"] == pytest.approx(0.55 + 0.3 * 0.25 + 0.15 * margin) and r["risk_band"] == "HIGH"
+    assert r["risk_score_v2"] == pytest.approx(0.7 * (1 - prob) + 0.2 * 0.25 + 0.1 * margin)
+    p50, p90, p99 = 0.5, 0.5 + 0.7 * 1.0, 0.5 + 0.97 * 1.0
+    tail = 1 / (1 + math.exp(-1.5 * ((p99 - p90) / (p90 - p50) - 2)))
+    confidence = 1 - math.exp(-4 / 5000)
+    raw = 0.35 * (1 - prob) + 0.25 * (0.6 * 0.25 + 0.4 * tail) + 0.05 * (1 - confidence)
+    assert r["risk_score_v3_raw"] == pytest.approx(raw) and r["risk_score_v3"] == pytest.approx(0.5 + confidence * (raw - 0.5)) and r["risk_band_v3"] == "MEDIUM"
+    assert evaluation.risk_band(F.lit(0.75)) is not None
 
 
 def test_flow_files(spark, tmp_path):

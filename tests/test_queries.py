@@ -8,8 +8,6 @@ import pytest
 from flowlens.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Queries that may be empty on the smallest tables.
-MAY_BE_EMPTY = {"jn7_skipped"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +32,7 @@ def rows_of(rows, names):
 def test_query(name, spark, sf_dir, db):
     df = registry.queries()[name](spark, sf_dir)
     found = df.collect()
-    assert found or name in MAY_BE_EMPTY
+    assert found
     sql = registry.oracle_sql().get(name)
     if sql is None:
         return
