@@ -134,19 +134,21 @@ def is_held_out(doc_id):
 
 
 def _pack(x: np.ndarray, ordered: bool = False) -> bytes:
-    """The values byte by byte of the same order, compressed; ordered: as differences. Of doubles 36 bits behind the point are
-    kept, which changes a sum by less than one part in ten thousand million."""
+    """The values byte by byte of the same order, compressed; ordered: as differences. Doubles are kept in steps of 2^-31, most of
+    which are fewer bytes; NaN is the least integer."""
     if x.dtype == np.float64:
-        x = (np.ascontiguousarray(x).view(np.uint64) & np.uint64(0xFFFFFFFFFFFF0000)).view(np.float64)
+        x = np.where(np.isnan(x), np.iinfo(np.int64).min, np.rint(np.nan_to_num(x) * 2.0**31)).astype(np.int64)
     x = np.diff(x, prepend=x.dtype.type(0)) if ordered else x
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
     return np.int64(x.size).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind: type, ordered: bool = False) -> np.ndarray:
-    size, width = int(np.frombuffer(data, np.int64, 1)[0]), np.dtype(kind).itemsize
+    size, width, fixed = int(np.frombuffer(data, np.int64, 1)[0]), np.dtype(kind).itemsize, np.dtype(kind) == np.float64
     planes = pa.decompress(data[8:], size * width, codec="zstd", asbytes=True)
-    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(kind).ravel()
+    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(np.int64 if fixed else kind).ravel()
+    if fixed:
+        return np.where(x == np.iinfo(np.int64).min, np.nan, x / 2.0**31)
     return np.cumsum(x, dtype=kind) if ordered else x
 
 
@@ -252,10 +254,11 @@ def _terms(share: np.ndarray, log: np.ndarray, context: np.ndarray, size: int) -
 
 
 def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
-    """Goes through the rounds with the answers there are. The first round without an answer gives (keys, values), sorted by key;
-    after the last replayed level a dict of what is known of the texts and of the tokens that go on (`carry`).
+    """Goes as far as the answers reach. Gives the next questions as a list of (number, keys, values), sorted by key; after the last
+    replayed level a dict of what is known of the texts and of the tokens that go on (`carry`).
 
-    Round 0 asks for the words' counts, round 2k - 1 for those of n-grams of k + 1 words, round 2k for contexts of k words.
+    Question 0 is for the words' counts, 2k - 1 for those of n-grams of k + 1 words, 2k for contexts of k words. Questions 2k and
+    2k + 1 are asked together: next words are counted for all contexts that may yet turn out to be states, most of which do.
     """
     least, (total, cut, unknown) = model.least, model.root
     ends = np.frombuffer(chunk["ends"], np.int64)
@@ -263,18 +266,23 @@ def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
     at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     train = np.repeat(~np.array(chunk["held"], bool), sizes)
     words, token = _unpack(chunk["words"], np.uint64, True), _unpack(chunk["ids"], np.uint32).astype(np.int64)
+    asks = []
     if 0 not in answers:
-        return model.sent(words), np.bincount(token, train, len(words)).astype(np.uint32)
-    n = seen = (answers[0] >> 1)[token]
+        asks.append((0, model.sent(words), np.bincount(token, train, len(words)).astype(np.uint32)))
+        n, counts = np.zeros(len(token), np.int64), np.zeros(len(words), np.int64)
+    else:
+        n, counts = (answers[0] >> 1)[token], answers[0] >> 1
+    seen = n
     log = np.where(n > 0, np.log10(np.maximum(n - cut, 1e-300) / max(total, 1)), unknown)
     # of the n-grams of the level before: keys, their order when sent, counts, and each token's
-    keys, order, counts, gram = words, np.arange(len(words)), answers[0] >> 1, token
-    state = np.ones(len(token), bool)
+    keys, order, gram = words, np.arange(len(words)), token
+    state = may = np.ones(len(token), bool)
     for level in range(1, model.replayed + 1):
-        context = _before(gram, 0)
-        of_context = np.where(context >= 0, counts[context], 0)
-        holds = state & (at >= level) & (of_context >= least)
-        asked = np.flatnonzero(holds & (n >= least))  # the others can't occur often enough
+        context, of_context = _before(gram, 0), _before(n, 0)
+        if level == 1:  # asked together with the words
+            asked = np.flatnonzero(at >= 1)
+        else:  # the others can't occur often enough
+            asked = np.flatnonzero(may & (at >= level) & (of_context >= least) & (n >= least))
         width = len(words)
         codes, first, which = _distinct((context[asked] * width + token[asked]).astype(np.uint64), int(len(keys) * width).bit_length())
         of_gram = (codes // np.uint64(width)).astype(np.int64)
@@ -282,29 +290,38 @@ def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
         sent = model.sent(made)
         by_key = np.argsort(sent)
         if 2 * level - 1 not in answers:
-            return sent[by_key], np.bincount(which, train[asked], len(codes)).astype(np.uint32)[by_key]
+            return [*asks, (2 * level - 1, sent[by_key], np.bincount(which, train[asked], len(codes)).astype(np.uint32)[by_key])]
         found = np.empty(len(codes), np.int64)
         found[by_key] = answers[2 * level - 1]
+        holds = state & (at >= level) & (of_context >= least)
+        true = np.zeros(len(codes), bool)  # n-grams whose context holds and whose suffix occurs often enough
+        true[which] = holds[asked] & (n[asked] >= least)
+        count = np.where(true, found >> 1, 0)
         n = np.zeros(len(token), np.int64)
-        n[asked] = (found >> 1)[which]
+        n[asked] = count[which]
         used = np.zeros(len(keys), bool)
         used[context[holds]] = True
         contexts = order[used[order]]
         if 2 * level not in answers:
-            mine = (found & 1 == 1) & (found >> 1 >= least)
+            mine = (found & 1 == 1) & (count >= least)
             own = asked[first[mine]]
-            terms = _terms(_shares(found[mine] >> 1, counts[of_gram[mine]], model), log[own], of_gram[mine], len(keys))
-            return model.sent(keys[contexts]), terms[contexts]
-        back = np.full(len(keys), np.nan)
-        back[contexts] = answers[2 * level]
-        back = np.where(holds, back[context], np.nan)
-        state = ~np.isnan(back)
-        log[state] = np.where(n >= least, np.log10(_shares(n, of_context, model)), back + log)[state]
+            terms = _terms(_shares(count[mine], counts[of_gram[mine]], model), log[own], of_gram[mine], len(keys))
+            asks.append((2 * level, model.sent(keys[contexts]), terms[contexts]))
+            if level == model.replayed:
+                return asks
+        else:
+            back = np.full(len(keys), np.nan)
+            back[contexts] = answers[2 * level]
+            back = np.where(holds, back[context], np.nan)
+            state = ~np.isnan(back)
+            log[state] = np.where(n >= least, np.log10(_shares(n, of_context, model)), back + log)[state]
         gram = np.full(len(token), -1, np.int64)
         gram[asked] = which
-        keys, order, counts = made, by_key, found >> 1
+        keys, order, counts, may = made, by_key, count, holds
+    if asks:
+        return asks
     context = _before(gram, -1)
-    of_context = np.where(context >= 0, counts[context], 0) if len(counts) else np.zeros(len(token), np.int64)
+    of_context = _before(n, 0)
     on = np.flatnonzero(state & (at > model.replayed) & (of_context >= least))
     text = np.repeat(np.arange(len(sizes)), sizes)
     return {
@@ -355,23 +372,25 @@ _ASK = "bucket long, chunk long, keys binary, parts binary"
 _ANSWER = "chunk long, round int, bucket long, answer binary, sums array<long>"
 
 
-def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int, bits: int) -> pa.RecordBatch:
-    """keys: of so many bits, sorted."""
-    top = keys >> np.uint64(bits - 32)
-    bucket = (top * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    names, starts = np.unique(bucket, return_index=True)
-    parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
-    columns = [pa.array(names, pa.int64()), pa.array([chunk] * len(parts), pa.int64())]
-    columns += [pa.array([_pack(x[a:b], x is keys) for a, b in parts], pa.binary()) for x in (keys, values)]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys", "parts"])
+def _ask(chunk: int, asks: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, bits: int) -> pa.RecordBatch:
+    """Each question's keys, of so many bits and sorted, dealt over its own `buckets`."""
+    rows = []
+    for number, keys, values in asks:
+        bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        names, starts = np.unique(bucket, return_index=True)
+        for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            rows.append((number * buckets + name, chunk, _pack(keys[a:b], True), _pack(values[a:b])))
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "keys", "parts"])
 
 
-def _answer(number: int, divergence: float):
+def _answer(buckets: int, divergence: float):
     """Adds up what all chunks brought to a bucket: twice the count, plus 1 for the n-gram's owner; or log10 of what a
     state's other words are multiplied by, NaN for a context that is no state."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
+        group, number = group.sort_by("chunk"), group.column("bucket")[0].as_py() // buckets
         held = [_unpack(x, np.uint64, True) for x in group.column("keys").to_pylist()]
         keys, which = np.unique(np.concatenate(held), return_inverse=True)
         parts, sums = group.column("parts").to_pylist(), [0, 0, 0, 0]
@@ -381,7 +400,7 @@ def _answer(number: int, divergence: float):
             has = np.flatnonzero(n)
             answer = 2 * total[which]
             answer[has[np.unique(which[has], return_index=True)[1]]] += 1
-            sums = [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
+            sums = [0, 0, 0, 0] if number else [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
         else:
             terms = np.concatenate([_unpack(x, np.float64) for x in parts]).reshape(-1, 3)
             kept, taken, far = (np.bincount(which, terms[:, k], len(keys)) for k in range(3))
@@ -426,29 +445,28 @@ def score_texts(
     model = replace(model, bits=bits)
     plain = chunks.select("chunk", "held", "ends", "words", "ids")
 
-    def answered(asked: DataFrame, number: int) -> DataFrame:
-        return save(asked.groupBy("bucket").applyInArrow(_answer(number, divergence), _ANSWER), "answers")
+    def answered(asked: DataFrame) -> DataFrame:
+        return save(asked.groupBy("bucket").applyInArrow(_answer(buckets, divergence), _ANSWER), "answers")
 
     def first_ask(batches):
         for batch in batches:
             for row in batch.select(["chunk", "held", "ends", "words", "ids"]).to_pylist():
-                yield _ask(row["chunk"], *_replay(row, {}, model), buckets, bits)
+                yield _ask(row["chunk"], _replay(row, {}, model), buckets, bits)
 
-    def next_ask(number: int, model: Model):
+    def next_ask(known: int, model: Model):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            return pa.Table.from_batches([_ask(row["chunk"], *_replay(row, _answers(right, number), model), buckets, bits)])
+            return pa.Table.from_batches([_ask(row["chunk"], _replay(row, _answers(right, known), model), buckets, bits)])
 
         return run
 
-    got: list[DataFrame] = [answered(plain.mapInArrow(first_ask, _ASK), 0)]
-    for number in range(2 * model.replayed + 1):
-        if number:
-            got.append(answered(plain.groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(next_ask(number, model), _ASK), number))
-        if not number:
-            total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
-            cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-            model = replace(model, root=(total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0))
+    got: list[DataFrame] = [answered(plain.mapInArrow(first_ask, _ASK))]
+    total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
+    cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    model = replace(model, root=(total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0))
+    for level in range(1, model.replayed + 1):
+        so_far = reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")
+        got.append(answered(plain.groupBy("chunk").cogroup(so_far).applyInArrow(next_ask(2 * level, model), _ASK)))
     base_under = total + 0.1 * (kinds + 1)
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -467,11 +485,11 @@ def score_texts(
     def ask_counts(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield _ask(row["chunk"], *_carry_on(row, None, None, model), buckets, bits)
+                yield _ask(row["chunk"], [(1, *_carry_on(row, None, None, model))], buckets, bits)
 
     def ask_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        return pa.Table.from_batches([_ask(row["chunk"], *_carry_on(row, _answers(right, [1])[1], None, model), buckets, bits)])
+        return pa.Table.from_batches([_ask(row["chunk"], [(2, *_carry_on(row, _answers(right, [1])[1], None, model))], buckets, bits)])
 
     def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
         row, found = left.to_pylist()[0], _answers(right, [1, 2])
@@ -481,8 +499,8 @@ def score_texts(
     changes, carry = [], done.select("chunk", *_CARRIED).where("place is not null")
     level, gone = model.replayed, []
     while (depth is None or level < depth) and not carry.isEmpty():
-        counts = answered(carry.mapInArrow(ask_counts, _ASK), 1)
-        backs = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), 2)
+        counts = answered(carry.mapInArrow(ask_counts, _ASK))
+        backs = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK))
         after = save(carry.groupBy("chunk").cogroup(counts.unionAll(backs).drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary"), "carried")
         changes.append(after.select("chunk", "change"))
         gone += [after]
