@@ -7,7 +7,8 @@ breaks. So a rank costs what it occurs, and no word is scanned for its best pair
 
 The result is that of the vocabulary's own library: NFC, lower case, white space dropped, a mark on a word's last byte.
 Texts of plain Latin letters take a direct path; a text with other characters is normalised and split by the
-library's components, and its special tokens are found first, as the library does. A null text is empty: no ids.
+library's components, and its special tokens are found first, as the library does. A null text is empty: no ids. A row
+for each row, repeated ones too; an empty table gives none; columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ their sums stay close when most of the paragraphs' wording does, and their cosin
 wraps only beyond 2^31 windows, more than a text can hold.
 Fingerprints that are equal have likeness 1; two documents without paragraphs are equal.
 
-White space inside a line is as it is; lines are trimmed; lines without a word don't count. A null text is empty.
+White space inside a line is as it is; lines are trimmed; lines without a word don't count. A null text is empty. A row
+for each row, repeated ones too; columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations

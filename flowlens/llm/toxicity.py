@@ -10,7 +10,8 @@ of labelled rows, at most `most_rows` of each class of the last category by hash
 parameter. The scoring takes all rows and whole texts.
 
 A null or empty text has no features. Rows with a null label don't train. Without labelled rows of both classes a
-category's probability is its share among them, or 0 without any, so nothing is rejected for it.
+category's probability is its share among them, or 0 without any, so nothing is rejected for it. A row for each row,
+repeated ones too; an empty table gives none. drop_toxic gives back all columns, score_chain only doc_id and its own.
 """
 
 from __future__ import annotations
