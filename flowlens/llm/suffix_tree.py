@@ -19,7 +19,11 @@ Through the first `replayed` levels a chunk goes from its texts and the answers
 keeping what it knows of each token. Then few tokens still have a state to extend (a tenth, and ever fewer); those alone
 are kept, and further levels cost what these tokens cost.
 
-A null or empty text is the end alone. Rows with a null doc_id train. Without training tokens every token is unknown.
+A null or empty text is the end alone. Rows with a null doc_id train. Without training tokens every token is unknown. A very
+long text is a chunk of its own. A chunk may ask nothing (no repeated pair, empty texts only); it then has no answer to wait for.
+
+Between rounds logarithms and parts of divergences travel in steps of 2^-31, so a score depends on the chunking by about 1e-9 a
+token, and a context whose divergence lies that near the limit may be a state under one chunking and none under another.
 Repeated rows are scored, and counted, as often as they come. An empty table gives no rows; columns other than doc_id and
 text are left out.
 """
@@ -310,7 +314,7 @@ def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
             if level == model.replayed:
                 return asks
         else:
-            back = np.full(len(keys), np.nan)
+            back = np.full(len(keys) + 1, np.nan)  # one more for tokens without a context
             back[contexts] = answers[2 * level]
             back = np.where(holds, back[context], np.nan)
             state = ~np.isnan(back)
@@ -373,9 +377,11 @@ _ANSWER = "chunk long, round int, bucket long, answer binary, sums array<long>"
 
 
 def _ask(chunk: int, asks: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, bits: int) -> pa.RecordBatch:
-    """Each question's keys, of so many bits and sorted, dealt over its own `buckets`."""
+    """Each question's keys, of so many bits and sorted, dealt over its own `buckets`. A question without keys has no row."""
     rows = []
     for number, keys, values in asks:
+        if not len(keys):
+            continue
         bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         names, starts = np.unique(bucket, return_index=True)
         for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):

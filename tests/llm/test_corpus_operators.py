@@ -485,6 +485,28 @@ def test_contexts_grow_as_long_as_they_tell_more(spark, replayed):
         assert got == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize(
+    "texts",
+    [[""], [None, "", " \n"], ["word"], ["a b c", "d e f"], ["a a", "a a a a"], ["a b c d e f g h"] * 2, [f"only{k}" for k in range(20)], ["x y z w v u"] * 3 + ["p q"]],
+    ids=["empty", "no words", "one word", "no common word", "one word again", "one text twice", "a word each", "one long context"],
+)
+@pytest.mark.parametrize("replayed", [0, 1, 3])
+def test_chunks_that_ask_nothing(spark, texts, replayed):
+    docs = list(enumerate(texts))
+    want, _ = brute_scores([(i, t or "") for i, t in docs])
+    for parts, chunk in ((1, 1_000_000), (len(docs), 1)):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(df, chunk_tokens=chunk, replayed=replayed).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_scores_of_many_small_chunks(spark, table):
+    docs = table("documents")
+    few = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs).collect()}
+    many = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs.repartition(100)).collect()}
+    assert many == pytest.approx(few, rel=1e-6)
+
+
 def test_fertility_measures_by_brute_force(spark, table):
     """Measures, bands and verdicts of every document, recomputed word by word from the libraries."""
     import base64
