@@ -38,12 +38,35 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deal(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Appends df to the table `name` (unique; made at the first call) in the shared folder, dealt over buckets by the hash of key.
+    What groups or cogroups such tables of as many buckets by key reads them without a shuffle."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.repartition(buckets, key).write.mode("append").bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.table(name)
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Deletes a table that deal() made."""
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    _delete(spark, f"{shared_dir(spark)}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def drop(*saved: DataFrame) -> None:
     """Deletes tables that save() wrote, once nothing reads them any more."""
     for df in saved:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,6 +30,7 @@ text are left out.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import repeat
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import drop, save
+from .shared import deal, drop, forget, save
 from .words import hash_word, mix, slices
 
 #: The end of a text among the tokens; no word is empty.
@@ -445,14 +446,17 @@ def score_texts(
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     model = Model(least, discount, replayed if depth is None else min(replayed, depth))
     texts = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
-    chunks = save(texts.mapInArrow(_chunks(to_arrow_type(docs.schema["doc_id"].dataType), chunk_tokens), _CHUNK.format(kind=kind)), "chunks")
-    size = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    made = save(texts.mapInArrow(_chunks(to_arrow_type(docs.schema["doc_id"].dataType), chunk_tokens), _CHUNK.format(kind=kind)), "chunks")
+    size, rows = made.agg(F.sum("n_tokens"), F.count("*")).first()
+    size, dealt, run = size or 0, min(20_000, max(8, rows)), uuid.uuid4().hex
+    chunks = deal(made, f"lm_chunks_{run}", "chunk", dealt)
+    drop(made)
     buckets, bits = max(8, size // 1_000_000), min(64, max(48, 20 + int(size).bit_length()))
     model = replace(model, bits=bits)
     plain = chunks.select("chunk", "held", "ends", "words", "ids")
 
-    def answered(asked: DataFrame) -> DataFrame:
-        return save(asked.groupBy("bucket").applyInArrow(_answer(buckets, divergence), _ANSWER), "answers")
+    def answered(asked: DataFrame, to: str) -> DataFrame:
+        return deal(asked.groupBy("bucket").applyInArrow(_answer(buckets, divergence), _ANSWER), f"lm_{to}_{run}", "chunk", dealt)
 
     def first_ask(batches):
         for batch in batches:
@@ -466,13 +470,12 @@ def score_texts(
 
         return run
 
-    got: list[DataFrame] = [answered(plain.mapInArrow(first_ask, _ASK))]
-    total, kinds, ones, twos = (x or 0 for x in got[0].agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
+    got = answered(plain.mapInArrow(first_ask, _ASK), "answers")
+    total, kinds, ones, twos = (x or 0 for x in got.agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
     cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
     model = replace(model, root=(total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0))
     for level in range(1, model.replayed + 1):
-        so_far = reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")
-        got.append(answered(plain.groupBy("chunk").cogroup(so_far).applyInArrow(next_ask(2 * level, model), _ASK)))
+        got = answered(plain.groupBy("chunk").cogroup(got.drop("sums").groupBy("chunk")).applyInArrow(next_ask(2 * level, model), _ASK), "answers")
     base_under = total + 0.1 * (kinds + 1)
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -485,8 +488,9 @@ def score_texts(
         return pa.table([*columns, *_carry_columns(found["carry"])], names=["chunk", "doc_ids", "held", "sizes", "known", "base", "score", *_CARRIED])
 
     settled = f"chunk long, doc_ids array<{kind}>, held array<boolean>, sizes binary, known binary, base binary, score binary, " + _CARRY.split(", ", 1)[1]
-    done = save(chunks.drop("n_tokens").groupBy("chunk").cogroup(reduce(DataFrame.unionAll, got).drop("sums").groupBy("chunk")).applyInArrow(settle, settled), "settled")
-    drop(chunks, *got)
+    done = save(chunks.drop("n_tokens").groupBy("chunk").cogroup(got.drop("sums").groupBy("chunk")).applyInArrow(settle, settled), "settled")
+    forget(spark, f"lm_chunks_{run}")
+    forget(spark, f"lm_answers_{run}")
 
     def ask_counts(batches):
         for batch in batches:
@@ -505,12 +509,12 @@ def score_texts(
     changes, carry = [], done.select("chunk", *_CARRIED).where("place is not null")
     level, gone = model.replayed, []
     while (depth is None or level < depth) and not carry.isEmpty():
-        counts = answered(carry.mapInArrow(ask_counts, _ASK))
-        backs = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK))
-        after = save(carry.groupBy("chunk").cogroup(counts.unionAll(backs).drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary"), "carried")
+        counts = answered(carry.mapInArrow(ask_counts, _ASK), f"level{level}")
+        both = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), f"level{level}")
+        after = save(carry.groupBy("chunk").cogroup(both.drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary"), "carried")
         changes.append(after.select("chunk", "change"))
         gone += [after]
-        drop(counts, backs)
+        forget(spark, f"lm_level{level}_{run}")
         carry, level = after.drop("change").where("place is not null"), level + 1
 
     def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
