@@ -11,10 +11,14 @@ from .bpe import encode_digests
 from .fertility import fertility_rules
 from .html_text import extract_text
 from .kd_shards import document_shards
+from .languages import identify
 from .lt_hash import compare_with_edits
 from .near_dedup import near_groups
+from .oracles import PHRASES, SPELLING
 from .packing import pack
+from .phrases import best_phrases
 from .shared import table
+from .spelling import spelling_variants
 from .suffix_tree import score_texts
 from .toxicity import CATEGORIES, chain_labels, fit_chain, judge_toxicity
 from .url_filter import judge_urls
@@ -62,6 +66,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=4096, end=1)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_phrases(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filter,
     op2_html_extraction,
@@ -73,6 +89,9 @@ _ALL = (
     op8_bpe_encoding,
     op9_lm_scoring,
     op10_best_fit_packing,
+    op11_spelling_variants,
+    op12_language_id,
+    op13_phrase_mining,
 )
 
 
@@ -81,5 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be written in SQL as a whole; tests hold them against brute force instead."""
-    return {}
+    """SQL where it can express a query as a whole; tests hold the others against brute force instead."""
+    return {"op11_spelling_variants": SPELLING, "op13_phrase_mining": PHRASES}
