@@ -274,11 +274,11 @@ def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
     asks = []
     if 0 not in answers:
         asks.append((0, model.sent(words), np.bincount(token, train, len(words)).astype(np.uint32)))
-        n, counts = np.zeros(len(token), np.int64), np.zeros(len(words), np.int64)
+        counts = np.zeros(len(words), np.int64)
     else:
-        n, counts = (answers[0] >> 1)[token], answers[0] >> 1
-    seen = n
-    log = np.where(n > 0, np.log10(np.maximum(n - cut, 1e-300) / max(total, 1)), unknown)
+        counts = answers[0] >> 1
+    seen = n = counts[token]
+    log = np.where(counts > 0, np.log10(np.maximum(counts - cut, 1e-300) / max(total, 1)), unknown)[token]
     # of the n-grams of the level before: keys, their order when sent, counts, and each token's
     keys, order, gram = words, np.arange(len(words)), token
     state = may = np.ones(len(token), bool)
@@ -319,7 +319,8 @@ def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
             back[contexts] = answers[2 * level]
             back = np.where(holds, back[context], np.nan)
             state = ~np.isnan(back)
-            log[state] = np.where(n >= least, np.log10(_shares(n, of_context, model)), back + log)[state]
+            on = np.flatnonzero(state)
+            log[on] = np.where(n[on] >= least, np.log10(_shares(n[on], of_context[on], model)), back[on] + log[on])
         gram = np.full(len(token), -1, np.int64)
         gram[asked] = which
         keys, order, counts, may = made, by_key, count, holds
@@ -448,15 +449,16 @@ def score_texts(
     texts = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
     made = save(texts.mapInArrow(_chunks(to_arrow_type(docs.schema["doc_id"].dataType), chunk_tokens), _CHUNK.format(kind=kind)), "chunks")
     size, rows = made.agg(F.sum("n_tokens"), F.count("*")).first()
-    size, dealt, run = size or 0, min(20_000, max(8, rows)), uuid.uuid4().hex
+    size, dealt, run = size or 0, min(20_000, max(8, rows // 3)), uuid.uuid4().hex
+    few = max(8, dealt // 4)  # further levels have few tokens of each chunk
     chunks = deal(made, f"lm_chunks_{run}", "chunk", dealt)
     drop(made)
     buckets, bits = max(8, size // 1_000_000), min(64, max(48, 20 + int(size).bit_length()))
     model = replace(model, bits=bits)
     plain = chunks.select("chunk", "held", "ends", "words", "ids")
 
-    def answered(asked: DataFrame, to: str) -> DataFrame:
-        return deal(asked.groupBy("bucket").applyInArrow(_answer(buckets, divergence), _ANSWER), f"lm_{to}_{run}", "chunk", dealt)
+    def answered(asked: DataFrame, to: str, parts: int) -> DataFrame:
+        return deal(asked.groupBy("bucket").applyInArrow(_answer(buckets, divergence), _ANSWER), f"lm_{to}_{run}", "chunk", parts)
 
     def first_ask(batches):
         for batch in batches:
@@ -470,12 +472,12 @@ def score_texts(
 
         return run
 
-    got = answered(plain.mapInArrow(first_ask, _ASK), "answers")
+    got = answered(plain.mapInArrow(first_ask, _ASK), "answers", dealt)
     total, kinds, ones, twos = (x or 0 for x in got.agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
     cut = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
     model = replace(model, root=(total, cut, float(np.log10(max(cut * kinds / total, 1e-12))) if total else 0.0))
     for level in range(1, model.replayed + 1):
-        got = answered(plain.groupBy("chunk").cogroup(got.drop("sums").groupBy("chunk")).applyInArrow(next_ask(2 * level, model), _ASK), "answers")
+        got = answered(plain.groupBy("chunk").cogroup(got.drop("sums").groupBy("chunk")).applyInArrow(next_ask(2 * level, model), _ASK), "answers", dealt)
     base_under = total + 0.1 * (kinds + 1)
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -509,8 +511,8 @@ def score_texts(
     changes, carry = [], done.select("chunk", *_CARRIED).where("place is not null")
     level, gone = model.replayed, []
     while (depth is None or level < depth) and not carry.isEmpty():
-        counts = answered(carry.mapInArrow(ask_counts, _ASK), f"level{level}")
-        both = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), f"level{level}")
+        counts = answered(carry.mapInArrow(ask_counts, _ASK), f"level{level}", few)
+        both = answered(carry.groupBy("chunk").cogroup(counts.drop("sums").groupBy("chunk")).applyInArrow(ask_contexts, _ASK), f"level{level}", few)
         after = save(carry.groupBy("chunk").cogroup(both.drop("sums").groupBy("chunk")).applyInArrow(go_on, _CARRY + ", change binary"), "carried")
         changes.append(after.select("chunk", "change"))
         gone += [after]
