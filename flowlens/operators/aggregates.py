@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import is_benign
 from flowlens.functions.stats import share
 
+from .quantiles import running_counts
+
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """label, n, ratio."""
@@ -135,8 +137,7 @@ def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
     def ranked(value: str) -> DataFrame:  # average ranks from counts of equal values, so no task sorts all rows of a feature
         n = rows.groupBy("feature", value).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select("feature", value, (before + (F.col("n") + 1) / 2).alias(f"rank_{value}"))
+        return running_counts(n, ["feature"], value, ["n"]).select("feature", value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"rank_{value}"))
 
     both = rows.join(ranked("x"), ["feature", "x"]).join(ranked("y"), ["feature", "y"])
     out = both.groupBy("feature").agg(
@@ -150,9 +151,8 @@ def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
 def gini(df: DataFrame, group: str, value: str) -> DataFrame:
     """Gini coefficient of a value's distribution in each group, from counts of equal values."""
     n = df.groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    weighted = F.sum(F.col("v") * F.col("n") * (2 * F.col("before") + F.col("n") + 1))
+    n = running_counts(n, [group], "v", ["n"])
+    weighted = F.sum(F.col("v") * F.col("n") * (2 * F.col("n_before") + F.col("n") + 1))
     total, rows = F.sum(F.col("v") * F.col("n")), F.sum("n")
     return n.groupBy(group).agg(F.when(total == 0, 0.0).otherwise(weighted / (rows * total) - (rows + 1) / rows).alias("gini"))
 

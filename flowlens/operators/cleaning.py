@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import base_label, is_benign, label_year, normal_label
 from flowlens.functions.stats import finite
 
+from .quantiles import exact_quantiles
+
 
 def keep_years(df: DataFrame, years: list[str], label: str = "label") -> DataFrame:
     """Rows whose label has one of the year tags; rows without a tag never match."""
@@ -129,13 +131,13 @@ def folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
 
 def quantile_band(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows between two exact quantiles (linear interpolation) of a column."""
-    q = df.agg(F.expr(f"percentile({column}, array({low}D, {high}D))").alias("_q"))  # one row
+    q = exact_quantiles(df, [], column, [low, high], "_q")  # one row
     return df.join(F.broadcast(q), how="cross").where(F.col(column).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
 def iqr_outlier(df: DataFrame, column: str) -> DataFrame:
     """Adds outlier: below q1 - 1.5 iqr or above q3 + 1.5 iqr."""
-    q = df.agg(F.expr(f"percentile({column}, array(0.25D, 0.75D))").alias("_q"))
+    q = exact_quantiles(df, [], column, [0.25, 0.75], "_q")  # one row
     iqr = F.col("_q")[1] - F.col("_q")[0]
     out = (F.col(column) < F.col("_q")[0] - 1.5 * iqr) | (F.col(column) > F.col("_q")[1] + 1.5 * iqr)
     return df.join(F.broadcast(q), how="cross").withColumn("outlier", out).drop("_q")
@@ -143,9 +145,10 @@ def iqr_outlier(df: DataFrame, column: str) -> DataFrame:
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null and NaN become the column's median, 0 where there is none."""
-    med = df.agg(*[F.expr(f"percentile(nanvl({c}, NULL), 0.5D)").alias(f"_m_{c}") for c in columns])
-    filled = {c: F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns}
-    return df.join(F.broadcast(med), how="cross").withColumns(filled).drop(*[f"_m_{c}" for c in columns])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*")
+    med = exact_quantiles(long, ["column"], "x", [0.5], "m").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("m")[0]))).alias("_m"))  # one row
+    filled = {c: F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.try_element_at("_m", F.lit(c)), F.lit(0.0)) for c in columns}
+    return df.join(F.broadcast(med), how="cross").withColumns(filled).drop("_m")
 
 
 def has_all_tags(tags: list[str], columns: list[str]) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.labels import is_benign
 from flowlens.functions.stats import share
+from flowlens.session import keep
 
 from .aggregates import group_profile
+from .quantiles import exact_quantiles, running_counts
 
 
 def assignment_risk(assigned: DataFrame, label: str = "label", unknown: str = "UNKNOWN") -> DataFrame:
@@ -26,27 +28,20 @@ def auc(scored: DataFrame, group: list[str], score: str, positive: str) -> DataF
     """AUC from average ranks per group, computed on counts of equal scores; and the larger of it and 1 - it. Groups without
     both classes are left out."""
     n = scored.groupBy(*group, F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.withColumn("_won", F.col("p") * (below + F.col("q") / 2))
+    n = running_counts(n, group, "s", ["q"]).withColumn("_won", F.col("p") * (F.col("q_before") + F.col("q") / 2))
     out = n.groupBy(*group).agg(F.sum("_won").alias("_w"), F.sum("p").alias("_p"), F.sum("q").alias("_q")).where("_p > 0 and _q > 0")
     value = F.col("_w") / (F.col("_p") * F.col("_q"))
     return out.select(*group, value.alias("auc"), F.greatest(value, 1 - value).alias("oriented_auc"))
 
 
-def curve(scored: DataFrame, score: str, positive: str, bins: int = 64) -> DataFrame:
-    """threshold, tp, fp, tpr, fpr, precision at every distinct score, from the highest down. Scores are first counted; the
-    counts are summed by ranges and then within each, so no task orders all scores."""
+def curve(scored: DataFrame, score: str, positive: str) -> DataFrame:
+    """threshold, tp, fp, tpr, fpr, precision at every distinct score. Scores are first counted; running counts come by ranges, so
+    no task orders all scores."""
     n = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q"))
-    ends = n.agg(F.min("threshold").alias("_a"), F.max("threshold").alias("_b"))
-    part = F.when(F.col("_b") > F.col("_a"), F.floor((F.col("threshold") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)).otherwise(0)
-    n = n.join(F.broadcast(ends), how="cross").withColumn("_part", part)
-    sums = n.groupBy("_part").agg(F.sum("p").alias("_sp"), F.sum("q").alias("_sq"))
-    after = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)  # bins rows
-    sums = sums.select("_part", F.coalesce(F.sum("_sp").over(after), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_sq").over(after), F.lit(0)).alias("_bq"))
+    n = running_counts(n, [], "threshold", ["p", "q"])
     total = n.agg(F.sum("p").alias("_tp"), F.sum("q").alias("_tq"))
-    down = Window.partitionBy("_part").orderBy(F.col("threshold").desc())
-    out = n.withColumns({"_cp": F.sum("p").over(down), "_cq": F.sum("q").over(down)}).join(sums, "_part").join(F.broadcast(total), how="cross")
-    tp, fp = F.col("_cp") + F.col("_bp"), F.col("_cq") + F.col("_bq")
+    out = n.join(F.broadcast(total), how="cross")  # one row
+    tp, fp = F.col("_tp") - F.col("p_before"), F.col("_tq") - F.col("q_before")
     return out.select("threshold", tp.alias("tp"), fp.alias("fp"), (tp / F.col("_tp")).alias("tpr"), (fp / F.col("_tq")).alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
@@ -80,20 +75,20 @@ def learner_risk(losses: DataFrame, assigned: DataFrame, overlap: DataFrame, sta
     """
     threshold = F.col("threshold") * F.when(F.col("is_benign"), benign_scale).otherwise(1.0)
     margin = (threshold - F.col("loss")) / (F.abs(threshold) + 1e-12)
-    rows = assigned.select("row_index", F.col("assigned_learner").alias("learner"))
-    sums = rows.groupBy("learner").agg(F.count(F.lit(1)).alias("n"))
-    whole = sums.agg(F.sum("n").alias("_all"))
-    own = rows.join(losses.select("row_index", "learner", "loss", threshold.alias("_t")), ["row_index", "learner"])
-    own = own.groupBy("learner").agg(
-        F.max("_t").alias("own_threshold"), F.avg("loss").alias("own_loss_mean"), F.avg((F.col("loss") > F.col("_t")).cast("double")).alias("own_exceed_rate"),
-        F.expr("percentile(loss, array(0.5D, 0.9D, 0.95D, 0.99D))").alias("_q"),
-    )
-    best = losses.where("is_benign").groupBy("row_index").agg(F.max(margin).alias("_m")).withColumn("_p", 1 / (1 + F.exp(-k * F.col("_m"))))
-    near = rows.join(best, "row_index").groupBy("learner").agg(
-        F.avg((F.col("_m") >= 0).cast("double")).alias("benign_accept_rate"), F.avg("_p").alias("benign_prob_mean"), F.expr("percentile(_p, 0.1D)").alias("benign_prob_p10"),
-        F.expr("percentile(_m, 0.5D)").alias("benign_margin_median"), F.expr("percentile(_m, 0.1D)").alias("benign_margin_p10"),
+    of = assigned.select("row_index", F.col("assigned_learner").alias("_to"))
+    mine = F.col("learner") == F.col("_to")
+    rows = of.join(losses.select("row_index", "learner", "loss", threshold.alias("_t"), F.when(F.col("is_benign"), margin).alias("_b")), "row_index", "left")
+    rows = rows.groupBy("row_index", F.col("_to").alias("learner")).agg(F.max(F.when(mine, F.col("loss"))).alias("loss"), F.max(F.when(mine, F.col("_t"))).alias("_t"), F.max("_b").alias("_m"))
+    rows = keep(rows.withColumn("_p", 1 / (1 + F.exp(-k * F.col("_m")))), "risk-rows")  # a row for each assigned row; all below reads it
+    sums = rows.groupBy("learner").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_t").alias("own_threshold"), F.avg("loss").alias("own_loss_mean"), F.avg((F.col("loss") > F.col("_t")).cast("double")).alias("own_exceed_rate"),
+        F.avg((F.col("_m") >= 0).cast("double")).alias("benign_accept_rate"), F.avg("_p").alias("benign_prob_mean"),
     )
-    out = sums.join(F.broadcast(whole), how="cross").join(own, "learner", "left").join(near, "learner", "left").join(overlap, "learner", "left").join(stable, "learner", "left")
+    long = rows.select("learner", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("x")) for c in ("loss", "_p", "_m")])).alias("v")).select("learner", "v.*")
+    at = exact_quantiles(long, ["learner", "what"], "x", [0.1, 0.5, 0.9, 0.95, 0.99]).groupBy("learner").agg(*[F.max(F.when(F.col("what") == c, F.col("q"))).alias(f"_q{c}") for c in ("loss", "_p", "_m")])
+    whole = sums.agg(F.sum("n").alias("_all"))
+    out = sums.join(F.broadcast(whole), how="cross").join(at, "learner", "left").join(overlap, "learner", "left").join(stable, "learner", "left")
+    out = out.withColumns({"benign_prob_p10": F.col("_q_p")[0], "benign_margin_median": F.col("_q_m")[1], "benign_margin_p10": F.col("_q_m")[0], "_q": F.slice("_qloss", 2, 4)}).drop("_q_p", "_q_m", "_qloss")
     q = lambda i: F.col("_q")[i]
     less = lambda c, unknown: F.coalesce(1 - F.col(c), F.lit(unknown))
     out = out.withColumns({"assignment_share": F.col("n") / F.col("_all"), "own_loss_median": q(0), "own_loss_p95": q(2), "tail_heaviness": (q(3) - q(1)) / (F.abs(q(1) - q(0)) + 1e-12)})
@@ -152,8 +147,10 @@ def separability(rows: DataFrame, features: list[str], positive: str) -> DataFra
     """For each feature the AUC of the positive class (and the larger of it and 1 - it), and the mean and median of each class."""
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
     long = rows.select(F.col(positive).cast("int").alias("y"), F.explode(parts).alias("p")).select("y", "p.*").where("x is not null and not isnan(x)")
-    of = lambda f, y: f.format(f"CASE WHEN y = {y} THEN x END")
-    sides = long.groupBy("feature").agg(*[F.expr(of(f, y)).alias(f"{name}_{side}") for y, side in ((1, "positive"), (0, "negative")) for name, f in (("mean", "avg({})"), ("median", "percentile({}, 0.5D)"))])
+    median = exact_quantiles(long, ["feature", "y"], "x", [0.5])
+    means = long.groupBy("feature", "y").agg(F.avg("x").alias("mean")).join(median, ["feature", "y"])
+    side = lambda y, c: F.max(F.when(F.col("y") == y, c))
+    sides = means.groupBy("feature").agg(*[side(y, c).alias(f"{name}_{of}") for y, of in ((1, "positive"), (0, "negative")) for name, c in (("mean", F.col("mean")), ("median", F.col("q")[0]))])
     return auc(long, ["feature"], "x", "y").join(sides, "feature")
 
 
@@ -178,8 +175,11 @@ def fit_trace(fits: DataFrame, train: str = "epoch_losses", validation: str = "e
 
 def increment_trace_stats(losses: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
     """Mean, median and 0.95 quantile of the losses before and after an increment, and the changes of mean and quantile."""
-    stats = [f(c).alias(f"{c}_loss_{name}") for c in (before, after) for name, f in (("mean", F.avg), ("median", lambda c: F.expr(f"percentile({c}, 0.5D)")), ("p95", lambda c: F.expr(f"percentile({c}, 0.95D)")))]
-    out = losses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats)
+    out = losses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_loss_mean") for c in (before, after)])
+    long = losses.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_x")) for c in (before, after)])).alias("_v")).select(*keys, "_v.*")
+    q = exact_quantiles(long, [*keys, "_side"], "_x", [0.5, 0.95])
+    of = lambda c, k: F.max(F.when(F.col("_side") == c, F.col("q")[k]))
+    out = out.join(q.groupBy(*keys).agg(*[of(c, k).alias(f"{c}_loss_{name}") for c in (before, after) for k, name in enumerate(("median", "p95"))]), keys)
     return out.withColumns({f"{name}_change": F.col(f"{after}_loss_{name}") - F.col(f"{before}_loss_{name}") for name in ("mean", "p95")})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from flowlens.functions.stats import clean
 
 #: Columns that say where and when a flow was seen, or what it was.
-ENVIRONMENT = ["id", "Flow ID", "Src IP", "Src Port", "Dst IP", "Dst Port", "Protocol", "Timestamp", "Label", "Attempted Category"]
+ENVIRONMENT = ["id", "Flow ID", "Src IP", "Dst IP", "Src Port", "Dst Port", "Protocol", "Timestamp", "Label", "Attempted Category"]
 
 #: The curated feature sets of the flow meter's columns.
 STABLE_STATS = [

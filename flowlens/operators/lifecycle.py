@@ -8,6 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import keep
+
+from .quantiles import exact_quantiles
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -107,7 +111,8 @@ def spread_by_loss(rows: DataFrame, group: str, loss: str, key: str, k: int) ->
 def refreshed_threshold(new: DataFrame, pool: DataFrame, group: str, loss: str, quantile: float) -> DataFrame:
     """The quantile of a group's new and pooled losses together."""
     both = new.select(group, loss).unionByName(pool.select(group, loss))
-    return both.groupBy(group).agg(F.expr(f"percentile({loss}, {quantile}D)").alias("threshold"), F.count(F.lit(1)).alias("n"))
+    q = exact_quantiles(both, [group], loss, [quantile]).select(group, F.col("q")[0].alias("threshold"))
+    return q.join(both.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
 
 
 def small_learners(assigned: DataFrame, least: int, trigger: int) -> DataFrame:
@@ -119,11 +124,12 @@ def small_learners(assigned: DataFrame, least: int, trigger: int) -> DataFrame:
 
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, community by label propagation over a, b, weight: each round a node takes the label of most weight around it, its
-    own counting as the smallest edge; ties go to the smaller label. Every round is checkpointed."""
+    own counting as the smallest edge; ties go to the smaller label. Every round is a table."""
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).where("a <> b")
+    both = keep(both, "both-ways")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
-        labels = best.checkpoint()
+        labels = keep(best, "communities")
     return labels

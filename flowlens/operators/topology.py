@@ -5,10 +5,13 @@ A graph table always has a key column (a learner, a label, a window or a constan
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import ensure_checkpoints
+from flowlens.session import discard, keep
 
 
 def endpoint(ip: Column, port: Column) -> Column:
@@ -115,20 +118,22 @@ def components(edge: DataFrame, key: str) -> DataFrame:
     """key, node, component: the smallest node that edges reach in either direction, per key.
 
     Labels spread by minimum and are then followed one step further, so rounds grow with the logarithm of a component's
-    width. Each round is checkpointed to the shared folder, so a lost executor doesn't replay earlier rounds.
+    width. Each round is a table in the shared folder, deleted when the next one stands.
     """
-    ensure_checkpoints(edge.sparkSession)
     both = edge.select(key, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("p"))
-    both = both.select(key, "p.a", "p.b").distinct().checkpoint()
-    labels = both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    both = keep(both.select(key, "p.a", "p.b").distinct(), "both-ways")
+    held = keep(both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
+        labels = held.select(key, "node", "component")
         near = both.join(labels.select(key, F.col("node").alias("b"), "component"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("component").alias("_near"))
         hooked = labels.join(near, [key, "node"]).select(key, "node", F.least("component", "_near").alias("_new"), F.col("component").alias("_old"))
         far = labels.select(key, F.col("node").alias("_new"), F.col("component").alias("_far"))
-        after = hooked.join(far, [key, "_new"], "left").select(key, "node", F.least("_new", F.coalesce("_far", "_new")).alias("component"), "_old").checkpoint()
-        labels = after.select(key, "node", "component")
+        after = keep(hooked.join(far, [key, "_new"], "left").select(key, "node", F.least("_new", F.coalesce("_far", "_new")).alias("component"), "_old"), "labels")
+        discard(held)
+        held = after
         if after.where("component <> _old").isEmpty():
-            return labels
+            discard(both)
+            return after.select(key, "node", "component")
 
 
 def component_stats(labels: DataFrame, key: str) -> DataFrame:
@@ -196,23 +201,43 @@ def rule_rates(rows: DataFrame, rules: tuple[str, ...], attacks: str = "attacks"
     return out.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp"), "tpr": rate("tp", "fn"), "precision": rate("tp", "fp"), "flagged": F.col("tp") + F.col("fp")})
 
 
+def _window_graph(group: pa.Table) -> pa.Table:
+    """The figures of one window's graph. Its rows are bounded by the window's size."""
+    ends = pa.concat_arrays([group.column("src").combine_chunks(), group.column("dst").combine_chunks()]).dictionary_encode().indices.to_numpy()
+    rows, nodes = group.num_rows, int(ends.max()) + 1
+    edge = np.unique(ends[:rows].astype(np.int64) * nodes + ends[rows:])
+    src, dst = edge // nodes, edge % nodes
+    label = np.arange(nodes)
+    while True:  # the smaller label of an edge's ends, then the label's label
+        after = label.copy()
+        low = np.minimum(label[src], label[dst])
+        np.minimum.at(after, src, low)
+        np.minimum.at(after, dst, low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    sizes = np.bincount(label)
+    attacks = rows - int(pc.sum(group.column("benign")).as_py())
+    rest = max(1, nodes - 1)
+    return pa.table(
+        {
+            "window_id": group.column("window_id")[:1], "rows": [rows], "attack_ratio": [attacks / rows], "is_attack_window": pa.array([int(attacks > 0)], pa.int32()), "nodes": [nodes], "edges": [len(edge)],
+            "reciprocity": [float(np.isin(dst * nodes + src, edge).mean())], "hub_out_ratio": [np.bincount(src).max() / rest], "hub_in_ratio": [np.bincount(dst).max() / rest],
+            "frag_ratio": [np.count_nonzero(sizes) / nodes], "largest_cc_ratio": [sizes.max() / nodes],
+        }
+    )
+
+
 def window_graphs(df: DataFrame, size: int, index: str = "row_index") -> DataFrame:
     """Each block of `size` rows as a graph of ip:port endpoints: rows, attack_ratio, is_attack_window, nodes, edges, reciprocity
     (edges with an opposite one; a self-loop is its own), hub_out_ratio, hub_in_ratio, frag_ratio (components per node),
-    largest_cc_ratio. df has benign as 0/1."""
-    ensure_checkpoints(df.sparkSession)
+    largest_cc_ratio. df has benign as 0/1. A window is one group of at most `size` rows, so its graph fits one task; windows are
+    dealt over all tasks in one shuffle."""
     src, dst = endpoint(F.col("src_ip"), F.col("src_port")), endpoint(F.col("dst_ip"), F.col("dst_port"))
-    blocks = df.select(F.floor(F.col(index) / size).alias("window_id"), src.alias("src"), dst.alias("dst"), "benign")
-    edge = blocks.groupBy("window_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("benign")).alias("attacks")).checkpoint()  # all below reads it
-    rows = edge.groupBy("window_id").agg(F.sum("n").alias("rows"), (F.sum("attacks") / F.sum("n")).alias("attack_ratio"), F.count(F.lit(1)).alias("edges"))
-    nodes = degrees(edge, ["window_id"]).groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("_o"), F.max("in_degree").alias("_i"))
-    back = with_reverse(edge.select("window_id", "src", "dst", "n"), ["window_id"]).groupBy("window_id").agg(F.avg((F.col("back") > 0).cast("double")).alias("reciprocity"))
-    parts = components(edge, "window_id").groupBy("window_id", "component").agg(F.count(F.lit(1)).alias("_n")).groupBy("window_id").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_l"))
-    rest = F.greatest(F.lit(1), F.col("nodes") - 1)
-    return rows.join(nodes, "window_id").join(back, "window_id").join(parts, "window_id").select(
-        "window_id", "rows", "attack_ratio", (F.col("attack_ratio") > 0).cast("int").alias("is_attack_window"), "nodes", "edges", "reciprocity", (F.col("_o") / rest).alias("hub_out_ratio"),
-        (F.col("_i") / rest).alias("hub_in_ratio"), (F.col("_c") / F.col("nodes")).alias("frag_ratio"), (F.col("_l") / F.col("nodes")).alias("largest_cc_ratio"),
-    )
+    blocks = df.select(F.floor(F.col(index) / size).alias("window_id"), src.alias("src"), dst.alias("dst"), F.col("benign").cast("int").alias("benign"))
+    shape = "window_id long, rows long, attack_ratio double, is_attack_window int, nodes long, edges long, reciprocity double, hub_out_ratio double, hub_in_ratio double, frag_ratio double, largest_cc_ratio double"
+    return blocks.groupBy("window_id").applyInArrow(_window_graph, shape)
 
 
 def window_rules(windows: DataFrame, quiet: float = 0.001) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import base_label, is_benign, label_year
 from flowlens.operators import aggregates as A
 from flowlens.operators import evaluation as V
+from flowlens.operators.quantiles import exact_quantiles
 from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, events, flows, indexed_flows, losses, table
 
 from .registry import register
@@ -75,7 +76,7 @@ register("ag19_gini", lambda s, d: rounded(A.gini(flows(s, d), "learner", "l_qua
 register("ag20_column_stats", lambda s, d: rounded(A.column_stats(flows(s, d).select("l_quantity", "bwd", F.when(F.col("l_linenumber") == 3, None).otherwise(F.col("l_tax")).alias("tax")), ["l_quantity", "bwd", "tax"]), 5), W + """, u AS (SELECT unnest(['l_quantity', 'bwd', 'tax']) AS feature, unnest([l_quantity, bwd, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END]) AS x FROM base)
     SELECT feature, count(x) AS n, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(min(x), 5) AS low, round(max(x), 5) AS high, round(avg((x = 0)::INT), 5) AS zero_ratio, CAST(sum((x IS NULL)::INT) AS BIGINT) AS missing FROM u GROUP BY feature""")
 register("ag22_histogram", lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_orderkey").agg(_n().alias("lines")).groupBy("lines").agg(_n().alias("orders"))), "SELECT lines, count(*) AS orders FROM (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) GROUP BY 1")
-register("ag23_exact_quantiles", lambda s, d: rounded(events(s, d).groupBy("label").agg(*[F.expr(f"percentile(value, {q}D)").alias(f"q{int(q * 100)}") for q in (0.05, 0.5, 0.95)])),
+register("ag23_exact_quantiles", lambda s, d: rounded(exact_quantiles(events(s, d), ["label"], "value", [0.05, 0.5, 0.95]).select("label", *[F.col("q")[k].alias(f"q{p}") for k, p in enumerate((5, 50, 95))])),
          "SELECT event_type AS label, round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1")
 register("ag24_grouping_sets", lambda s, d: rounded(flows(s, d).select(base_label(F.col("label")).alias("base"), label_year(F.col("label")).alias("year"), "bwd").groupingSets([["base"], ["year"], ["base", "year"]], "base", "year").agg(_n().alias("n"), F.avg("bwd").alias("mean"))),
          W + "SELECT base_label AS base, year_tag AS year, count(*) AS n, round(avg(bwd), 6) AS mean FROM base GROUP BY GROUPING SETS ((base_label), (year_tag), (base_label, year_tag))")
@@ -89,7 +90,13 @@ register("ag29_top_variance", lambda s, d: rounded(A.column_stats(flows(s, d), [
          W + "SELECT feature, round(std, 3) AS std FROM (SELECT feature, stddev_pop(x) AS std FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'bwd']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax, bwd]) AS x FROM base) GROUP BY 1) ORDER BY 2 DESC LIMIT 2")
 register("ag30_correlation_matrix", lambda s, d: rounded(flows(s, d).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "bwd"), ("l_discount", "bwd"))]), 5),
          W + "SELECT round(corr(l_quantity, l_extendedprice), 5) AS l_quantity__l_extendedprice, round(corr(l_quantity, bwd), 5) AS l_quantity__bwd, round(corr(l_discount, bwd), 5) AS l_discount__bwd FROM base")
-register("ag31_six_stats", lambda s, d: rounded(flows(s, d).groupBy("learner").agg(F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("std"), F.expr("percentile(l_extendedprice, array(0.1D, 0.5D, 0.9D, 0.25D, 0.75D))").alias("q")).select("learner", "mean", "std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"), (F.col("q")[4] - F.col("q")[3]).alias("iqr")), 3),
+def _six_stats(rows):
+    q = exact_quantiles(rows, ["learner"], "l_extendedprice", [0.1, 0.25, 0.5, 0.75, 0.9]).select("learner", *[F.col("q")[k].alias(c) for k, c in enumerate(("p10", "_a", "median", "_b", "p90"))])
+    means = rows.groupBy("learner").agg(F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("std"))
+    return means.join(q, "learner").withColumn("iqr", F.col("_b") - F.col("_a")).drop("_a", "_b")
+
+
+register("ag31_six_stats", lambda s, d: rounded(_six_stats(flows(s, d)), 3),
          W + "SELECT learner, round(avg(l_extendedprice), 3) AS mean, round(stddev_pop(l_extendedprice), 3) AS std, round(quantile_cont(l_extendedprice, 0.1), 3) AS p10, round(quantile_cont(l_extendedprice, 0.5), 3) AS median, round(quantile_cont(l_extendedprice, 0.9), 3) AS p90, round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 3) AS iqr FROM base GROUP BY learner")
 register("ag33_weighted_mean", lambda s, d: rounded(flows(s, d).groupBy(base_label(F.col("label")).alias("base")).agg((F.sum(F.col("l_tax") * F.col("l_quantity")) / F.sum("l_quantity")).alias("tax"), F.expr("mode() within group (order by l_linenumber)").alias("usual_line"))),
          W + ", m AS (SELECT base_label, l_linenumber, count(*) AS n FROM base GROUP BY 1, 2), k AS (SELECT base_label, l_linenumber, row_number() OVER (PARTITION BY base_label ORDER BY n DESC, l_linenumber) AS r FROM m) SELECT b.base_label AS base, round(sum(l_tax * l_quantity) / sum(l_quantity), 6) AS tax, CAST(max(k.l_linenumber) AS BIGINT) AS usual_line FROM base b JOIN k ON k.base_label = b.base_label AND k.r = 1 GROUP BY 1")
@@ -130,7 +137,7 @@ register("wn8_previews", lambda s, d: rounded(indexed_flows(s, d).withColumn("r"
 register("wn13_fifo_buffer", lambda s, d: indexed_flows(s, d).where("learner = 'UNKNOWN'").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.col("row_index").desc()))).groupBy("label", (F.col("r") <= 50).alias("kept")).agg(_n().alias("n"), F.min("row_index").cast("long").alias("first")), W + "SELECT label, r <= 50 AS kept, count(*) AS n, min(row_index) AS first FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_index DESC) AS r FROM base WHERE learner = 'UNKNOWN') GROUP BY 1, 2")
 register("wn15_quantile_bands", lambda s, d: table(s, d, "supplier").join(F.broadcast(table(s, d, "supplier").agg(F.expr("percentile(s_acctbal, array(0.5D, 0.8D))").alias("q"))), how="cross").select("s_suppkey", F.when(F.col("s_acctbal") >= F.col("q")[1], "HIGH").when(F.col("s_acctbal") >= F.col("q")[0], "MEDIUM").otherwise("LOW").alias("band")),
          "SELECT s_suppkey, CASE WHEN s_acctbal >= (SELECT quantile_cont(s_acctbal, 0.8) FROM supplier) THEN 'HIGH' WHEN s_acctbal >= (SELECT quantile_cont(s_acctbal, 0.5) FROM supplier) THEN 'MEDIUM' ELSE 'LOW' END AS band FROM supplier")
-register("wn22_low_loss_keep", lambda s, d: losses(s, d).join(losses(s, d).groupBy("learner").agg(F.expr("percentile(loss, 0.25D)").alias("q")), "learner").where("loss <= q").groupBy("learner").agg(_n().alias("n")), f"WITH {LOSSES_SQL}, q AS (SELECT learner, quantile_cont(loss, 0.25) AS q FROM losses GROUP BY 1) SELECT learner, count(*) AS n FROM losses JOIN q USING (learner) WHERE loss <= q GROUP BY 1")
+register("wn22_low_loss_keep", lambda s, d: losses(s, d).join(exact_quantiles(losses(s, d), ["learner"], "loss", [0.25]), "learner").where("loss <= q[0]").groupBy("learner").agg(_n().alias("n")), f"WITH {LOSSES_SQL}, q AS (SELECT learner, quantile_cont(loss, 0.25) AS q FROM losses GROUP BY 1) SELECT learner, count(*) AS n FROM losses JOIN q USING (learner) WHERE loss <= q GROUP BY 1")
 register("ml31_roc_curve", lambda s, d: rounded(V.curve(events(s, d).select(F.round("value", 1).alias("score"), (F.col("label") == "error").cast("int").alias("y")), "score", "y")), """WITH e AS (SELECT round(value, 1) AS threshold, (event_type = 'error')::INT AS y FROM events), c AS (SELECT threshold, sum(y) AS p, sum(1-y) AS q FROM e GROUP BY 1), k AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(q) OVER (ORDER BY threshold DESC) AS fp FROM c)
     SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / (SELECT sum(y) FROM e), 6) AS tpr, round(fp / (SELECT sum(1-y) FROM e), 6) AS fpr, round(tp/(tp+fp), 6) AS "precision" FROM k""")
 register("ml26_fpr_thresholds", lambda s, d: rounded(V.threshold_for_fpr(V.curve(events(s, d).select("value", (F.col("label") == "error").cast("int").alias("y")), "value", "y"), [0.01, 0.05, 0.1])), """WITH e AS (SELECT value AS threshold, (event_type = 'error')::INT AS y FROM events), c AS (SELECT threshold, sum(y) AS p, sum(1-y) AS q FROM e GROUP BY 1), k AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(q) OVER (ORDER BY threshold DESC) AS fp FROM c),

@@ -12,13 +12,13 @@ from flowlens.operators import evaluation as V
 from flowlens.operators import overlap as O
 from flowlens.operators import qualification as Q
 from flowlens.operators import topology as T
-from flowlens.session import ensure_checkpoints
+from flowlens.session import keep
 from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, flows, indexed_flows, losses, table
 
 from .aggregate_queries import benign_flows, rounded, stability_sql
 from .registry import register
 
-W, X = f"WITH {FLOWS_SQL} ", f"WITH {LOSSES_SQL} "
+W, X, WR = f"WITH {FLOWS_SQL} ", f"WITH {LOSSES_SQL} ", f"WITH RECURSIVE {FLOWS_SQL} "
 
 
 def _n():
@@ -65,42 +65,41 @@ register("gr13_graph_stats", lambda s, d: rounded(T.graph_stats(_hosts(s, d), ["
 
 
 def _trade(s, d):
-    """Customers and suppliers of small orders: a sparse graph with many components, keyed by the order's month."""
-    lines = table(s, d, "lineitem").where("l_quantity = 1").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.date_format("o_orderdate", "MM").alias("month"))
-    return lines.join(orders, "l_orderkey").groupBy("month", "src", "dst").agg(_n().alias("n"))
+    """Customers and suppliers of every order line: a sparse graph with many components, keyed by the order's day."""
+    lines = table(s, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return lines.join(orders, "l_orderkey").groupBy("day", "src", "dst").agg(_n().alias("n"))
 
 
-_CC = """WITH RECURSIVE e AS (SELECT DISTINCT strftime(o_orderdate, '%m') AS month, concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity = 1),
-  b AS (SELECT month, src AS x, dst AS y FROM e UNION SELECT month, dst, src FROM e), r(month, x, y) AS (SELECT month, x, x FROM b UNION SELECT r.month, r.x, b.y FROM r JOIN b ON r.month = b.month AND r.y = b.x),
-  c AS (SELECT month, x AS node, min(y) AS component FROM r GROUP BY ALL)"""
-register("gr10_components", lambda s, d: T.components(_trade(s, d), "month"), _CC + " SELECT * FROM c")
-register("gr10_component_stats", lambda s, d: rounded(T.component_stats(T.components(_trade(s, d), "month"), "month")), _CC + ", n AS (SELECT month, component, count(*) AS n FROM c GROUP BY ALL) SELECT month, count(*) AS components, round(max(n) / sum(n), 6) AS largest_ratio, round(1 - max(n) / sum(n), 6) AS fragment_ratio FROM n GROUP BY month")
+_CC = """WITH RECURSIVE e AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  b AS (SELECT day, src AS x, dst AS y FROM e UNION SELECT day, dst, src FROM e), r(day, x, y) AS (SELECT day, x, x FROM b UNION SELECT r.day, r.x, b.y FROM r JOIN b ON r.day = b.day AND r.y = b.x),
+  c AS (SELECT day, x AS node, min(y) AS component FROM r GROUP BY ALL)"""
+register("gr10_components", lambda s, d: T.components(_trade(s, d), "day"), _CC + " SELECT * FROM c")
+register("gr10_component_stats", lambda s, d: rounded(T.component_stats(T.components(_trade(s, d), "day"), "day")), _CC + ", n AS (SELECT day, component, count(*) AS n FROM c GROUP BY ALL) SELECT day, count(*) AS components, round(max(n) / sum(n), 6) AS largest_ratio, round(1 - max(n) / sum(n), 6) AS fragment_ratio FROM n GROUP BY day")
 
 
-def endpoint_graph_sql(key: str, where: str = "true", rounds: int = 16) -> str:
-    """CTE gs: of the graph of ip:port endpoints for each value k of key, its counts, degrees, opposite edges and weak components.
-    A component's label is the smallest node, spread by one step in each round."""
+def endpoint_graph_sql(key: str, where: str = "true") -> str:
+    """CTE gs (of a WITH RECURSIVE): of the graph of ip:port endpoints for each value k of key, its counts, degrees, opposite edges
+    and weak components. A component's label is the smallest node; it spreads for as long as any label changes."""
     out = f""", e AS MATERIALIZED (SELECT {key} AS k, concat(src_ip, ':', src_port) AS src, concat(dst_ip, ':', dst_port) AS dst, count(*) AS n, sum(1 - benign) AS attacks FROM base WHERE {where} GROUP BY ALL),
-  bw AS MATERIALIZED (SELECT k, src AS x, dst AS y FROM e UNION SELECT k, dst, src FROM e UNION SELECT k, src, src FROM e UNION SELECT k, dst, dst FROM e), cl0 AS MATERIALIZED (SELECT k, x AS node, min(y) AS c FROM bw GROUP BY 1, 2)"""
-    for r in range(1, rounds + 1):
-        out += f", cl{r} AS MATERIALIZED (SELECT b.k, b.x AS node, min(l.c) AS c FROM bw b JOIN cl{r - 1} l ON l.k = b.k AND l.node = b.y GROUP BY 1, 2)"
-    return out + f""", g1 AS (SELECT k, count(*) AS nodes FROM cl{rounds} GROUP BY 1), g2 AS (SELECT k, count(*) AS edges, sum(n) AS rows, sum(attacks) AS attacks FROM e GROUP BY 1), g3 AS (SELECT k, max(o) AS max_out FROM (SELECT k, src, count(*) AS o FROM e GROUP BY 1, 2) GROUP BY 1),
+  bw AS MATERIALIZED (SELECT k, src AS x, dst AS y FROM e UNION SELECT k, dst, src FROM e UNION SELECT k, src, src FROM e UNION SELECT k, dst, dst FROM e),
+  cl(k, node, c) USING KEY (k, node) AS (SELECT k, x, min(y) FROM bw GROUP BY 1, 2
+    UNION SELECT b.k, b.x, min(l.c) FROM cl l JOIN bw b ON b.k = l.k AND b.y = l.node JOIN recurring.cl now ON now.k = b.k AND now.node = b.x WHERE l.c < now.c GROUP BY 1, 2)"""
+    return out + f""", g1 AS (SELECT k, count(*) AS nodes FROM cl GROUP BY 1), g2 AS (SELECT k, count(*) AS edges, sum(n) AS rows, sum(attacks) AS attacks FROM e GROUP BY 1), g3 AS (SELECT k, max(o) AS max_out FROM (SELECT k, src, count(*) AS o FROM e GROUP BY 1, 2) GROUP BY 1),
   g4 AS (SELECT k, max(i) AS max_in FROM (SELECT k, dst, count(*) AS i FROM e GROUP BY 1, 2) GROUP BY 1), g5 AS (SELECT a.k, sum((b.src IS NOT NULL)::INT) AS opposite, sum((b.src IS NOT NULL AND a.src <> a.dst)::INT) AS opposite_other FROM e a LEFT JOIN e b ON a.k = b.k AND a.src = b.dst AND a.dst = b.src GROUP BY 1),
-  g6 AS (SELECT k, count(*) AS components, max(c) AS largest FROM (SELECT k, c AS name, count(*) AS c FROM cl{rounds} GROUP BY 1, 2) GROUP BY 1),
+  g6 AS (SELECT k, count(*) AS components, max(c) AS largest FROM (SELECT k, c AS name, count(*) AS c FROM cl GROUP BY 1, 2) GROUP BY 1),
   gs AS (SELECT * FROM g1 JOIN g2 USING (k) JOIN g3 USING (k) JOIN g4 USING (k) JOIN g5 USING (k) JOIN g6 USING (k))"""
 
 
 def _attack_graphs(s, d):
     """The attack flows of each base label as a graph of endpoints."""
-    ensure_checkpoints(s)
     rows = flows(s, d).where(~is_benign(F.col("label"))).withColumn("base", base_label(F.col("label")))
-    edge = T.edges(rows, ["base"], T.endpoint(F.col("src_ip"), F.col("src_port")), T.endpoint(F.col("dst_ip"), F.col("dst_port"))).checkpoint()
+    edge = keep(T.edges(rows, ["base"], T.endpoint(F.col("src_ip"), F.col("src_port")), T.endpoint(F.col("dst_ip"), F.col("dst_port"))), "edges")
     stats = T.anomaly_flags(T.graph_metrics(edge, "base"))
     return rounded(stats.select("base", "nodes", "edges", "density", "components", "largest_ratio", "reciprocity", "max_out_ratio", "max_in_ratio", "flags"))
 
 
-register("gr14_anomaly_flags", _attack_graphs, W + endpoint_graph_sql("base_label", "benign = 0") + """, x AS (SELECT k AS base, nodes, edges, edges / (nodes * (nodes - 1)) AS density, components, largest / nodes AS largest_ratio, opposite_other / edges AS reciprocity, max_out / greatest(1, nodes - 1) AS max_out_ratio, max_in / greatest(1, nodes - 1) AS max_in_ratio FROM gs),
+register("gr14_anomaly_flags", _attack_graphs, WR + endpoint_graph_sql("base_label", "benign = 0") + """, x AS (SELECT k AS base, nodes, edges, edges / (nodes * (nodes - 1)) AS density, components, largest / nodes AS largest_ratio, opposite_other / edges AS reciprocity, max_out / greatest(1, nodes - 1) AS max_out_ratio, max_in / greatest(1, nodes - 1) AS max_in_ratio FROM gs),
   f AS (SELECT base, concat_ws('|', CASE WHEN max_out_ratio >= 0.25 THEN 'STRONG_SOURCE_HUB' END, CASE WHEN max_in_ratio >= 0.25 THEN 'STRONG_SINK_HUB' END, CASE WHEN reciprocity <= 0.01 THEN 'VERY_LOW_RECIPROCITY' END, CASE WHEN components >= greatest(8, floor(0.1 * nodes)) THEN 'HIGH_FRAGMENTATION' END,
     CASE WHEN largest_ratio <= 0.35 THEN 'SMALL_GIANT_COMPONENT' END, CASE WHEN density >= 0.02 AND nodes > 200 THEN 'UNUSUALLY_DENSE' END) AS flags FROM x)
   SELECT base, nodes, edges, round(density, 6) AS density, components, round(largest_ratio, 6) AS largest_ratio, round(reciprocity, 6) AS reciprocity, round(max_out_ratio, 6) AS max_out_ratio, round(max_in_ratio, 6) AS max_in_ratio, CASE WHEN flags = '' THEN 'NO_STRONG_TOPO_ANOMALY' ELSE flags END AS flags FROM x JOIN f USING (base)""")
@@ -109,9 +108,8 @@ register("gr14_anomaly_flags", _attack_graphs, W + endpoint_graph_sql("base_labe
 def _edge_rule_rates(s, d, hub=0.01):
     """The rules of flows, worked out on edges, each of which stands for its flows. No endpoint of these flows reaches the
     default share of 0.25, so the query asks for a hundredth."""
-    ensure_checkpoints(s)
     rows = benign_flows(s, d).select(T.endpoint(F.col("src_ip"), F.col("src_port")).alias("src"), T.endpoint(F.col("dst_ip"), F.col("dst_port")).alias("dst"), "benign")
-    edge = rows.groupBy("src", "dst").agg(_n().alias("n"), F.sum("benign").alias("benign"), F.sum(1 - F.col("benign")).alias("attacks")).checkpoint()
+    edge = keep(rows.groupBy("src", "dst").agg(_n().alias("n"), F.sum("benign").alias("benign"), F.sum(1 - F.col("benign")).alias("attacks")), "edges")
     return rounded(T.rule_rates(T.edge_rules(edge, hub), T.FLOW_RULES))
 
 
@@ -126,7 +124,7 @@ register("gr15_flow_rules", _edge_rule_rates, W + """, p AS (SELECT DISTINCT con
   rl AS (SELECT benign, a AS rule_source_hub, k AS rule_sink_hub, l AS rule_low_reciprocity, k OR l AS rule_sink_or_low_recip, a OR k OR l AS rule_src_or_sink_or_low_recip FROM fl)""" + rates_sql("rl", T.FLOW_RULES))
 
 #: Windows of 2000 flows; of these flows' windows none is nearly free of attacks, so those with at most 0.7 count as quiet.
-_WIN = W + endpoint_graph_sql("CAST(floor(row_index / 2000) AS BIGINT)") + """, wn AS (SELECT k AS window_id, CAST(rows AS BIGINT) AS rows, attacks / rows AS attack_ratio, CAST(attacks > 0 AS BIGINT) AS is_attack_window, nodes, edges, opposite / edges AS reciprocity, max_out / greatest(1, nodes - 1) AS hub_out_ratio, max_in / greatest(1, nodes - 1) AS hub_in_ratio, components / nodes AS frag_ratio, largest / nodes AS largest_cc_ratio FROM gs)"""
+_WIN = WR + endpoint_graph_sql("CAST(floor(row_index / 2000) AS BIGINT)") + """, wn AS (SELECT k AS window_id, CAST(rows AS BIGINT) AS rows, attacks / rows AS attack_ratio, CAST(attacks > 0 AS BIGINT) AS is_attack_window, nodes, edges, opposite / edges AS reciprocity, max_out / greatest(1, nodes - 1) AS hub_out_ratio, max_in / greatest(1, nodes - 1) AS hub_in_ratio, components / nodes AS frag_ratio, largest / nodes AS largest_cc_ratio FROM gs)"""
 _WIN_RULES = """, q AS (SELECT quantile_cont(reciprocity, 0.10) AS recip_low, quantile_cont(hub_in_ratio, 0.95) AS in_high, quantile_cont(hub_out_ratio, 0.95) AS out_high, quantile_cont(frag_ratio, 0.95) AS frag_high, quantile_cont(largest_cc_ratio, 0.05) AS lcc_low FROM wn WHERE attack_ratio <= 0.7),
   wr AS (SELECT window_id, hub_in_ratio >= in_high AND reciprocity <= recip_low AS rule_win_sink_lowrecip, hub_out_ratio >= out_high AND reciprocity <= recip_low AS rule_win_src_lowrecip, frag_ratio >= frag_high AND largest_cc_ratio <= lcc_low AS rule_win_frag_lcc FROM wn, q),
   wq AS (SELECT *, rule_win_sink_lowrecip OR rule_win_src_lowrecip OR rule_win_frag_lcc AS rule_win_combo FROM wr)"""
@@ -221,11 +219,11 @@ register("ml13_route_confidence", lambda s, d: rounded(O.confidence_by_learner(O
 
 def learner_risks(s, d):
     """The rows of the vector table routed to its one-class learners; windows of 50 rows."""
-    table_ = losses(s, d)
-    assigned = O.route(table_)
+    table_ = keep(losses(s, d), "losses")
+    assigned = keep(O.route(table_), "assigned")
     stable = A.stability(assigned.withColumnRenamed("assigned_learner", "learner"), "learner", "row_index", 50)
-    risks = V.learner_risk(table_, assigned, O.overlap_risk(O.jaccard(O.accepted(table_))), stable)
-    return rounded(risks.withColumn("own_loss_median", F.col("own_loss_median") + 1e-9), 5)  # a mean of two numbers of 6 places may be a tie
+    risks = V.learner_risk(table_, assigned, O.overlap_risk(O.jaccard(keep(O.accepted(table_).select("row_index", "learner"), "accepted"))), stable)
+    return rounded(risks.withColumn("own_loss_median", F.round("own_loss_median", 7)), 5, keep=("own_loss_median",))  # the mean of two losses of 6 places
 
 
 _BAND = lambda c: f"CASE WHEN {c} >= 0.75 THEN 'HIGH' WHEN {c} >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -238,7 +236,7 @@ _RISK = X + _JAC + _ASSIGNED + stability_sql("asg", 50) + """, oj AS (SELECT lea
   r2 AS (SELECT *, 0.55 * (1 - benign_accept_rate) + 0.30 * ex + 0.15 * mr AS risk_score, 0.70 * (1 - benign_prob_mean) + 0.20 * ex + 0.10 * mr AS risk_score_v2, 0.65 * (1 - benign_prob_mean) + 0.35 * (1 - benign_prob_p10) AS risk_benign_v3, 0.60 * ex + 0.40 * coalesce(1 / (1 + exp(-1.5 * (tail_heaviness - 2.0))), 0.5) AS risk_self_v3, 1 - size_confidence AS risk_size_v3 FROM r1),
   r3 AS (SELECT *, 0.35 * risk_benign_v3 + 0.25 * risk_self_v3 + 0.20 * risk_overlap_v3 + 0.15 * risk_stability_v3 + 0.05 * risk_size_v3 AS risk_score_v3_raw FROM r2), r4 AS (SELECT *, 0.5 + size_confidence * (risk_score_v3_raw - 0.5) AS risk_score_v3 FROM r3)"""
 _RISK_COLS = "assignment_share own_threshold own_loss_mean own_loss_median own_loss_p95 own_exceed_rate benign_accept_rate benign_prob_mean benign_prob_p10 benign_margin_median benign_margin_p10 risk_score risk_score_v2 risk_benign_v3 risk_self_v3 risk_overlap_v3 risk_stability_v3 risk_size_v3 tail_heaviness size_confidence risk_score_v3_raw risk_score_v3".split()
-register("ml20_learner_risk", learner_risks, _RISK + " SELECT learner, n, " + ", ".join(f"round({c}{' + 1e-9' if c == 'own_loss_median' else ''}, 5) AS {c}" for c in _RISK_COLS) + f""", {_BAND("risk_score")} AS risk_band, {_BAND("risk_score_v2")} AS risk_band_v2, {_BAND("risk_score_v3")} AS risk_band_v3,
+register("ml20_learner_risk", learner_risks, _RISK + " SELECT learner, n, " + ", ".join(f"round({c}, {7 if c == 'own_loss_median' else 5}) AS {c}" for c in _RISK_COLS) + f""", {_BAND("risk_score")} AS risk_band, {_BAND("risk_score_v2")} AS risk_band_v2, {_BAND("risk_score_v3")} AS risk_band_v3,
   CASE WHEN risk_score_v3 >= (SELECT quantile_cont(risk_score_v3, 0.8) FROM r4) THEN 'HIGH' WHEN risk_score_v3 >= (SELECT quantile_cont(risk_score_v3, 0.5) FROM r4) THEN 'MEDIUM' ELSE 'LOW' END AS risk_band_v3_quantile FROM r4""")
 
 # joins, sets, order

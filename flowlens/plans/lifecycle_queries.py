@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from flowlens.operators import lifecycle as L
 from flowlens.operators import overlap as O
 from flowlens.operators import topology as T
-from flowlens.session import ensure_checkpoints
 from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, flows, losses
 
 from .aggregate_queries import rounded
@@ -56,7 +55,6 @@ register("ml19_small_learners", lambda s, d: L.small_learners(flows(s, d).withCo
 
 
 def _communities(s, d):
-    ensure_checkpoints(s)
     return L.label_communities(O.jaccard(O.accepted(losses(s, d))).where("both > 0").select(F.col("learner_a").alias("a"), F.col("learner_b").alias("b"), F.round("jaccard", 6).alias("weight")))
 
 

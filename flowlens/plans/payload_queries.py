@@ -12,12 +12,12 @@ from flowlens.operators import features as P
 from flowlens.operators import overlap as O
 from flowlens.operators import qualification as Q
 from flowlens.operators import topology as T
-from flowlens.session import ensure_checkpoints
+from flowlens.session import keep
 from flowlens.sources import sinks as K
 from flowlens.sources.testdata import FLOWS_SQL, LOSSES_SQL, events, flows, indexed_flows, losses, table
 
 from .aggregate_queries import PROFILE_SQL, benign_flows, rounded
-from .graph_queries import _JAC, _QUAL, endpoint_graph_sql
+from .graph_queries import _JAC, _QUAL, WR, endpoint_graph_sql
 from .lifecycle_queries import _windows as loss_windows
 from .model_queries import work_folder
 from .registry import register
@@ -50,18 +50,36 @@ def _profile(name, env=None):
     return lambda s, d: rounded(_totals(P.project(f := flows(s, d), P.profile_columns(f, name, env or _ENV, _SETS))), 4)
 
 
+def _catalog(profile):
+    """Each metric column of a profile: its kind, and its least and greatest value over the groups."""
+    found = [(name, kind) for name, kind, _ in P.metric_catalog(profile) if kind != "text"]
+    long = profile.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.col(n).alias("x")) for n, k in found])).alias("p")).select("p.*")
+    return long.groupBy("name", "kind").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def _catalog_sql() -> str:
+    found = [("attack_ratio", "ratio", "1 - avg(benign)")]
+    for c in ("l_tax", "bwd"):
+        std = f"coalesce(stddev_samp({c}), 0)"
+        found += [(f"{c}__mean", "mean", f"avg({c})"), (f"{c}__std", "std", std), (f"{c}__cv", "cv", f"CASE WHEN avg({c}) = 0 THEN 0 ELSE abs({std} / avg({c})) END")]
+    each = " UNION ALL ".join(f"SELECT '{n}' AS name, '{k}' AS kind, {x} AS x FROM base GROUP BY learner" for n, k, x in found)
+    return f"SELECT name, kind, round(min(x), 4) AS low, round(max(x), 4) AS high FROM ({each}) GROUP BY 1, 2"
+
+
 register("pf11_all_numeric", _profile("all_numeric_no_env"), W + _totals_sql("l_linenumber l_quantity l_extendedprice l_discount l_tax fwd bwd"))
 register("pf11_curated", _profile("stable_stats_no_env"), W + _totals_sql("l_tax l_quantity"))
 register("pf11_empty_set_falls_back", _profile("compact_stats_no_env"), W + _totals_sql("l_linenumber l_quantity l_extendedprice l_discount l_tax fwd bwd"))
 register("pf12_ports_kept", _profile("all_numeric_no_env", ["l_orderkey", "l_partkey", "l_suppkey", "protocol", "l_extendedprice"]), W + _totals_sql("l_linenumber l_quantity l_discount l_tax src_port dst_port fwd bwd"))
-register("pf19_excluded_names", lambda s, d: s.createDataFrame([(c,) for c in P.allowed([*indexed_flows(s, d).columns, "Index_x", "attack_ratio", "unphased"])], "feature string"),
-         "SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate', 'ts', 'protocol', 'src_ip', 'dst_ip', 'src_port', 'dst_port', 'fwd', 'bwd', 'learner']) AS feature")
+register(
+    "pf19_excluded_names",
+    lambda s, d: rounded(_totals(f.select(*P.numeric_columns(f.select(*P.allowed(f.columns)), []))) if (f := indexed_flows(s, d).withColumns({"Index_x": F.col("row_index"), "attack_ratio": F.col("l_tax"), "unphased": F.col("bwd")})) else None, 4),
+    W + _totals_sql("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax protocol src_port dst_port fwd bwd").removeprefix("WITH "),
+)
 register("pf20_reindex", lambda s, d: rounded(_totals(P.reindex(flows(s, d).select("bwd", F.when(F.col("l_linenumber") > 3, F.col("l_tax")).alias("l_tax"), "fwd"), ["l_tax", "nowhere", "bwd"])), 4),
          W + "SELECT 'l_tax' AS feature, round(sum(CASE WHEN l_linenumber > 3 THEN l_tax ELSE 0 END), 4) AS total FROM base UNION ALL SELECT 'nowhere', 0.0 UNION ALL SELECT 'bwd', round(sum(bwd), 4) FROM base")
 register("pf23_run_search", lambda s, d: table(s, d, "customer").select(F.concat(F.lit("run_"), F.lower("c_mktsegment"), F.lit("_"), F.col("c_custkey").cast("string")).alias("run")).where(F.contains("run", F.lit("build"))).groupBy().agg(_n().alias("n"), F.min("run").alias("first")),
          "SELECT count(*) AS n, min(run) AS \"first\" FROM (SELECT concat('run_', lower(c_mktsegment), '_', c_custkey) AS run FROM customer) WHERE contains(run, 'build')")
-register("pf28_metric_catalog", lambda s, d: s.createDataFrame(P.metric_catalog(A.feature_profile(flows(s, d), ["learner"], ["l_tax", "bwd"]).withColumn("attack_ratio", F.lit(0.0))), "name string, kind string, holds string").select("name", "kind"),
-         "SELECT unnest(['learner', 'l_tax__mean', 'l_tax__std', 'l_tax__cv', 'bwd__mean', 'bwd__std', 'bwd__cv', 'attack_ratio']) AS name, unnest(['text', 'mean', 'std', 'cv', 'mean', 'std', 'cv', 'ratio']) AS kind")
+register("pf28_metric_catalog", lambda s, d: rounded(_catalog(A.feature_profile(flows(s, d), ["learner"], ["l_tax", "bwd"]).join(A.group_profile(flows(s, d), "learner").select("learner", "attack_ratio"), "learner")), 4), W + _catalog_sql())
 register("tk8_top_groups", lambda s, d: rounded(P.top_groups(flows(s, d), base_label(F.col("label")), {"outlier": F.col("bwd") > 45, "zero": F.col("bwd") == 0}, "outlier", 2)),
          W + "SELECT base_label AS \"group\", count(*) AS rows, CAST(sum((bwd > 45)::INT) AS BIGINT) AS outlier_rows, CAST(sum((bwd = 0)::INT) AS BIGINT) AS zero_rows, round(avg((bwd > 45)::INT), 6) AS outlier_ratio, round(avg((bwd = 0)::INT), 6) AS zero_ratio FROM base GROUP BY 1 ORDER BY outlier_ratio DESC, rows DESC, 1 LIMIT 2")
 
@@ -127,8 +145,8 @@ _EP = """WITH e AS (SELECT user_id % 20 AS learner, event_id, CASE WHEN event_ty
 register("ag49_fit_trace", lambda s, d: rounded(V.fit_trace(_epochs(s, d)).drop("epoch_losses", "epoch_val_losses")), _EP)
 register("ag49_increment_trace", lambda s, d: rounded(V.increment_trace_stats(losses(s, d).select("learner", F.col("loss").alias("before"), (F.col("loss") * 0.5 + 0.1).alias("after")), ["learner"]), 5),
          X + "SELECT learner, count(*) AS n, round(avg(loss), 5) AS before_loss_mean, round(quantile_cont(loss, 0.5), 5) AS before_loss_median, round(quantile_cont(loss, 0.95), 5) AS before_loss_p95, round(avg(loss * 0.5 + 0.1), 5) AS after_loss_mean, round(quantile_cont(loss * 0.5 + 0.1, 0.5), 5) AS after_loss_median, round(quantile_cont(loss * 0.5 + 0.1, 0.95), 5) AS after_loss_p95, round(avg(loss * 0.5 + 0.1) - avg(loss), 5) AS mean_change, round(quantile_cont(loss * 0.5 + 0.1, 0.95) - quantile_cont(loss, 0.95), 5) AS p95_change FROM losses GROUP BY 1")
-register("ag52_robustness", lambda s, d: rounded(V.robustness(table(s, d, "supplier").select((F.col("s_suppkey") % 7).alias("feature"), (0.5 + F.abs("s_acctbal") / 20000).alias("auc")), ["feature"])),
-         "WITH r AS (SELECT s_suppkey % 7 AS feature, 0.5 + abs(s_acctbal) / 20000 AS auc FROM supplier) SELECT feature, count(*) AS run_count, round(avg(auc), 6) AS auc_mean, round(quantile_cont(auc, 0.5), 6) AS auc_median, round(stddev_pop(auc), 6) AS auc_std, round(min(auc), 6) AS auc_min, round(max(auc), 6) AS auc_max, round(avg((auc >= 0.80)::INT), 6) AS share_80, round(avg((auc >= 0.90)::INT), 6) AS share_90, round(avg((auc >= 0.95)::INT), 6) AS share_95 FROM r GROUP BY 1")
+register("ag52_robustness", lambda s, d: rounded(V.robustness(table(s, d, "supplier").select((F.col("s_suppkey") % 7).alias("feature"), (0.5 + F.abs("s_acctbal") / 25000).alias("auc")), ["feature"]), 7),
+         "WITH r AS (SELECT s_suppkey % 7 AS feature, 0.5 + abs(s_acctbal) / 25000 AS auc FROM supplier) SELECT feature, count(*) AS run_count, round(avg(auc), 7) AS auc_mean, round(quantile_cont(auc, 0.5), 7) AS auc_median, round(stddev_pop(auc), 7) AS auc_std, round(min(auc), 7) AS auc_min, round(max(auc), 7) AS auc_max, round(avg((auc >= 0.80)::INT), 7) AS share_80, round(avg((auc >= 0.90)::INT), 7) AS share_90, round(avg((auc >= 0.95)::INT), 7) AS share_95 FROM r GROUP BY 1")
 register("ag55_run_rows", lambda s, d: rounded(V.run_row(table(s, d, "customer").select(F.col("c_custkey").alias("run"), ((F.col("c_custkey") % 89) / 100).alias("fpr"), ((F.col("c_custkey") % 97) / 100).alias("fnr"), (F.col("c_custkey") % 5).alias("windows"), ((F.col("c_custkey") % 4) / 2).alias("seconds"), (F.col("c_custkey") * 10).alias("rows")))),
          "SELECT c_custkey AS run, round((c_custkey % 89) / 100, 6) AS fpr, round((c_custkey % 97) / 100, 6) AS fnr, round(1 - (c_custkey % 97) / 100, 6) AS tpr, c_custkey % 5 AS windows, round(CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 4) / 2 / (c_custkey % 5) ELSE 0 END, 6) AS avg_window_s, round(CASE WHEN c_custkey % 5 > 0 THEN c_custkey * 10 / (c_custkey % 5) ELSE 0 END, 6) AS avg_window_rows, round(CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 10 / ((c_custkey % 4) / 2) END, 6) AS flows_per_s FROM customer")
 
@@ -178,13 +196,12 @@ def _viewer(s, d):
 
 
 def _internal(s, d):
-    ensure_checkpoints(s)
-    edge = T.edges(flows(s, d), ["learner"], T.endpoint(F.col("src_ip"), F.col("src_port")), T.endpoint(F.col("dst_ip"), F.col("dst_port"))).checkpoint()
+    edge = keep(T.edges(flows(s, d), ["learner"], T.endpoint(F.col("src_ip"), F.col("src_port")), T.endpoint(F.col("dst_ip"), F.col("dst_port"))), "edges")
     return rounded(T.internal_topology(edge, "learner"), 5)
 
 
 _GINI = "CASE WHEN sum({x}) = 0 THEN 0 ELSE 2 * sum(i * {x}) / (max(n) * sum({x})) - (max(n) + 1) / max(n) END"
-register("gr18_internal_topology", _internal, W + endpoint_graph_sql("learner") + """, od AS (SELECT k, src AS node, count(*) AS o, sum(n) AS so FROM e GROUP BY 1, 2), idg AS (SELECT k, dst AS node, count(*) AS i, sum(n) AS si FROM e GROUP BY 1, 2),
+register("gr18_internal_topology", _internal, WR + endpoint_graph_sql("learner") + """, od AS (SELECT k, src AS node, count(*) AS o, sum(n) AS so FROM e GROUP BY 1, 2), idg AS (SELECT k, dst AS node, count(*) AS i, sum(n) AS si FROM e GROUP BY 1, 2),
   ud AS (SELECT k, node, count(DISTINCT other) + max((other = node)::INT) AS deg FROM (SELECT k, src AS node, dst AS other FROM e UNION SELECT k, dst, src FROM e) GROUP BY 1, 2),
   h1 AS (SELECT k, sum(e.n) AS samples, max(e.n) AS top1, ln(sum(e.n)) - sum(e.n * ln(e.n)) / sum(e.n) AS edge_w_entropy FROM e GROUP BY 1), h2 AS (SELECT k, sum(n) AS top5 FROM (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS r FROM e) WHERE r <= 5 GROUP BY 1),
   ho AS (SELECT k, count(*) AS us, max(so) AS mso, ln(sum(o)) - sum(o * ln(o)) / sum(o) AS out_deg_entropy FROM od GROUP BY 1), hi AS (SELECT k, count(*) AS ut, max(si) AS msi, ln(sum(i)) - sum(i * ln(i)) / sum(i) AS in_deg_entropy FROM idg GROUP BY 1),
@@ -201,7 +218,8 @@ _CATALOG_SQL = ", cat(metric, axis, lo, hi) AS (VALUES " + ", ".join(f"('{m}', '
 _LONG_SQL = ", ql AS (SELECT learner, unnest([" + ", ".join(f"'{m}'" for m in Q.METRICS) + "]) AS metric, unnest([" + ", ".join(f"{m}__score" for m in Q.METRICS) + "]) AS score FROM qw)"
 register("qa2_semantic_tags", lambda s, d: Q.semantic_tags(Q.long_metrics(Q.metrics(flows(s, d)))).select("learner", "metric", "axis", "score", "tag"),
          _QUAL + _LONG_SQL + _CATALOG_SQL + " SELECT learner, ql.metric, axis, score, CASE WHEN score >= 80 THEN hi WHEN score >= 50 THEN CASE WHEN starts_with(hi, '偏') THEN hi ELSE concat('偏', hi) END WHEN score >= 20 THEN CASE WHEN starts_with(lo, '偏') THEN lo ELSE concat('偏', lo) END ELSE lo END AS tag FROM ql JOIN cat USING (metric) WHERE score IS NOT NULL")
-register("qa3_metric_catalog", lambda s, d: Q.catalog(s).groupBy("axis").agg(_n().alias("metrics"), F.min("metric").alias("first")), "WITH z AS (SELECT 1)" + _CATALOG_SQL + ' SELECT axis, count(*) AS metrics, min(metric) AS "first" FROM cat GROUP BY 1')
+register("qa3_metric_catalog", lambda s, d: rounded(Q.long_metrics(Q.metrics(flows(s, d))).join(F.broadcast(Q.catalog(s)), "metric").groupBy("axis").agg(F.count_distinct("metric").alias("metrics"), F.min("score").alias("low"), F.max("score").alias("high"))),  # 22 rows
+         _QUAL + _LONG_SQL + _CATALOG_SQL + " SELECT axis, count(DISTINCT ql.metric) AS metrics, round(min(score), 6) AS low, round(max(score), 6) AS high FROM ql JOIN cat USING (metric) WHERE score IS NOT NULL GROUP BY 1")
 
 
 def _audit(s, d):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -38,10 +39,29 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() writes to the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+#: Lets Spark delete an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: worked out once, its lineage ends, a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes tables of keep() that nothing reads any more."""
+    for df in kept:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:
