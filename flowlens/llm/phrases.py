@@ -11,24 +11,27 @@ stand in the level tables; the cut with the lowest a * a / (left * right) is the
 candidate that holds it occurs nearly as often. Each language's best phrases come from two rounds of ranks, so that no task sorts all
 phrases of one language.
 
-Tasks count in a table of bounded size and hand on partial counts: a gram that a third of all rows have is a row of each task.
+Tasks number the words of a chunk of texts, count its grams as arrays of numbers and hand on partial counts: a gram that a third of
+all rows have is a row of each chunk.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop, save
-from .words import Memo, slices
+from .words import slices
 
-_CUT = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
+#: What stands between pieces in a list of words: a byte that no UTF-8 text has.
+_BREAK = b"\xff"
+_TO_BREAK = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _BREAK * 10)
 #: Bits of a level's bitmap at most: 8 MB.
 BITMAP = 2**26
 #: The language of rows without one.
@@ -36,79 +39,99 @@ NO_LANGUAGE = "und"
 _SEED = 42  # of Spark's xxhash64
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """The words of each piece of a text, as UTF-8 with A-Z lower-cased."""
+def words_and_breaks(text: str | None) -> list[bytes]:
+    """The words of a text, as UTF-8 with A-Z lower-cased, with _BREAK between pieces."""
     if not text:
         return []
-    data = text.encode("utf-8", "surrogatepass").lower()
-    return [words for piece in _CUT.split(data) if (words := piece.split())]  # what is left of white space is \x20 and \x09
-
-
-def _level(size: int, bits: np.ndarray | None, most: int = 64_000_000):
-    """Per task: (lang, gram, n) of grams of `size` words; at size 1 also each language's number of words, with a null gram. What is
-    held goes on when it passes about `most` bytes."""
-
-    def out(held: dict[str, dict[bytes, int]], totals: dict[str, int]) -> pa.RecordBatch:
-        grams = [g for found in held.values() for g in found] + [None] * len(totals)
-        langs = [lang for lang, found in held.items() for _ in found] + list(totals)
-        n = [x for found in held.values() for x in found.values()] + list(totals.values())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+    data = text.encode("utf-8", "surrogatepass").lower().translate(_TO_BREAK)
+    return data.replace(_BREAK, b" \xff ").split()  # what is left of white space is \x20 and \x09
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they come; 0 is the break."""
+
+    def __init__(self):
+        super().__init__({_BREAK: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _turn(h: np.ndarray) -> np.ndarray:
+    return (h << np.uint64(21)) | (h >> np.uint64(43))
+
+
+def _count(lang: str, ids: np.ndarray, words: list[bytes], size: int, bits: np.ndarray | None) -> pa.RecordBatch:
+    """The grams of `size` words in a chunk of one language: lang, gram, n."""
+    spelled = pa.array(words, pa.binary())
+    if size == 1:
+        n = np.bincount(ids, minlength=len(words))
+        total, n[0] = int(n[1:].sum()), 0
+        found = np.flatnonzero(n)
+        grams, n = spelled.take(pa.array(found)), n[found]
+    else:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words))
+        places = max(0, len(ids) - size + 2)  # of grams one word shorter
+        h, whole = np.full(places, xxhash.xxh64_intdigest(lang.encode(), _SEED), np.uint64), np.ones(places, bool)
+        for k in range(size - 1):
+            part = ids[k : k + places]
+            h, whole = _turn(h) ^ hashes[part], whole & (part > 0)
+        h &= np.uint64(len(bits) * 8 - 1)
+        frequent = whole & (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(frequent[:-1] & frequent[1:])
+        code = ids[at].astype(np.int64)
+        for k in range(1, size):
+            code = code * len(words) + ids[at + k]
+            if k < size - 1:
+                code = np.unique(code, return_inverse=True)[1].ravel()
+        _, first, n = np.unique(code, return_index=True, return_counts=True)
+        at = at[first]
+        parts = [spelled.take(pa.array(ids[at + k])) for k in range(size)]
+        grams = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if len(at) else pa.array([], pa.binary())
+    out = [pa.array([lang] * len(grams), pa.string()), grams.cast(pa.string()), pa.array(n, pa.int64())]
+    if size == 1:
+        out = [pa.concat_arrays([x, pa.array([y], x.type)]) for x, y in zip(out, (lang, None, total), strict=True)]
+    return pa.RecordBatch.from_arrays(out, names=["lang", "gram", "n"])
+
+
+def _level(size: int, bits: np.ndarray | None, most: int = 2_000_000):
+    """Per task: (lang, gram, n) of grams of `size` words, counted in chunks of about `most` words; at size 1 also each language's number
+    of words, with a null gram."""
 
     def run(batches):
-        held: dict[str, dict[bytes, int]] = {}
-        totals: dict[str, int] = {}
-        frequent: dict[str, Memo] = {}
-        mask, bytes_held = (len(bits) * 8 - 1 if bits is not None else 0), 0
-
-        def asker(lang: str) -> Memo:
-            head = f"{lang}\t".encode()
+        held: dict[str, tuple[list[np.ndarray], _Numbers]] = {}
+        tokens, end = 0, np.zeros(1, np.int32)
 
-            def in_bitmap(gram: bytes) -> bool:
-                h = xxhash.xxh64_intdigest(head + gram, _SEED) & mask
-                return bool(bits[h >> 3] >> (h & 7) & 1)
-
-            return Memo(in_bitmap)
+        def out():
+            for lang, (parts, numbers) in held.items():
+                yield _count(lang, np.concatenate(parts), list(numbers), size, bits)
 
         for batch in (part for whole in batches for part in slices(whole)):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts = held.setdefault(lang, {})
-                if size > 1 and lang not in frequent:
-                    frequent[lang] = asker(lang)
-                asked = frequent.get(lang)
-                for words in pieces(text):
-                    if size == 1:
-                        totals[lang] = totals.get(lang, 0) + len(words)
-                        grams = words
-                    elif len(words) < size:
-                        continue
-                    else:
-                        below = words if size == 2 else [b" ".join(words[k : k + size - 1]) for k in range(len(words) - size + 2)]
-                        known = [asked[g] for g in below]
-                        grams = [g + b" " + w for g, w, x, y in zip(below, words[size - 1 :], known, known[1:], strict=False) if x and y]
-                    for g in grams:
-                        if g in counts:
-                            counts[g] += 1
-                        else:
-                            counts[g] = 1
-                            bytes_held += 150 + len(g)
-                if asked is not None:
-                    asked.trim()
-                if len(frequent) > 64:
-                    frequent.clear()
-                if bytes_held > most:
-                    yield out(held, totals)
-                    held, totals, bytes_held = {}, {}, 0
-        if held:
-            yield out(held, totals)
+                parts, numbers = held.setdefault(lang, ([end], _Numbers()))
+                words = words_and_breaks(text)
+                parts += [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), end]
+                tokens += len(words)
+                if tokens >= most:
+                    yield from out()
+                    held, tokens = {}, 0
+        yield from out()
 
     return run
 
 
+def _gram_hash(lang: Column, gram: Column) -> Column:
+    """The hash of a language and a gram that _count works out: words are folded in one by one."""
+    turned = lambda h: F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43))
+    return F.aggregate(F.split(gram, " ", -1), F.xxhash64(lang), lambda h, w: turned(h).bitwiseXOR(F.xxhash64(w)))
+
+
 def _bitmap(frequent: DataFrame) -> np.ndarray:
     """Bits set for the hashes of (lang, gram); they are put together by Spark, so the driver sees at most BITMAP / 64 numbers."""
     wanted = 32 * frequent.count()
     size = min(BITMAP, max(2**12, 1 << (wanted - 1).bit_length() if wanted else 0))
-    h = F.xxhash64(F.concat_ws("\t", "lang", "gram")).bitwiseAND(F.lit(size - 1))
+    h = _gram_hash(F.col("lang"), F.col("gram")).bitwiseAND(F.lit(size - 1))
     bits = frequent.select(h.alias("h")).selectExpr("shiftright(h, 6) at", "shiftleft(1L, int(h & 63)) bit")
     rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
