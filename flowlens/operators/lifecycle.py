@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.labels import is_benign, label_year
+from flowlens.functions.stats import clean
 from flowlens.session import keep
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, running_counts
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ def batch_reason(gate: Gate) -> Column:
 
 
 #: The batch tests that come before the cap on retrains.
-_BEFORE_CAP = ("benign_conf_filter", "freeze_benign_incremental", "new_learner_cooldown", "increment_gap_not_met", "increment_min_samples")
+BEFORE_CAP = ("benign_conf_filter", "freeze_benign_incremental", "new_learner_cooldown", "increment_gap_not_met", "increment_min_samples")
 
 
 def gate_batches(batches: DataFrame, gate: Gate) -> DataFrame:
@@ -73,7 +75,7 @@ def gate_batches(batches: DataFrame, gate: Gate) -> DataFrame:
         return out
     before = Window.partitionBy("learner").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum(F.col("reason").isNull().cast("long")).over(before), F.lit(0)) >= gate.most_retrains
-    early = F.coalesce(F.col("reason").isin(*_BEFORE_CAP), F.lit(False))
+    early = F.coalesce(F.col("reason").isin(*BEFORE_CAP), F.lit(False))
     return out.withColumn("_done", done).withColumn("reason", F.when(early, F.col("reason")).when(F.col("_done"), "max_retrain_per_learner").otherwise(F.col("reason"))).drop("_done")
 
 
@@ -94,18 +96,22 @@ def increment_trace(rows: DataFrame, gate: Gate) -> DataFrame:
     return out.select("learner", "row_index", "window_id", "passed_confidence", F.coalesce("reason", F.when(~F.col("passed_confidence"), "benign_conf_filter").otherwise("")).alias("reason"))
 
 
-def newest(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
-    """A pool of the newest `cap` rows of each group."""
-    w = Window.partitionBy(group).orderBy(F.col(order).desc())
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+def drift_scores(pool: DataFrame, rows: DataFrame, features: list[str], least: int) -> DataFrame:
+    """learner, drift: how far new rows lie from the pool: 0.7 of the mean |change of mean| and 0.3 of the mean |change of deviation|, each
+    over the pool's deviation + 1e-6. Learners with fewer than `least` pooled rows, or without new ones, have none."""
+    of = lambda df, side: df.select("learner", F.lit(side).alias("_side"), *[clean(F.col(f"`{c}`").cast("double")).alias(f"_f{k}") for k, c in enumerate(features)])
+    both, wide = of(pool, "old").unionByName(of(rows, "new")), range(len(features))
+    stat = lambda f, side, k: f(F.when(F.col("_side") == side, F.col(f"_f{k}"))).alias(f"_{f.__name__}_{side}_{k}")
+    n = both.groupBy("learner").agg(F.count(F.when(F.col("_side") == "old", 1)).alias("_old"), F.count(F.when(F.col("_side") == "new", 1)).alias("_new"), *[stat(f, side, k) for f in (F.avg, F.stddev_pop) for side in ("old", "new") for k in wide])
+    shift = lambda f: sum((F.abs(F.col(f"_{f}_new_{k}") - F.col(f"_{f}_old_{k}")) / (F.col(f"_stddev_pop_old_{k}") + 1e-6) for k in wide), F.lit(0.0)) / len(features)
+    return n.where((F.col("_old") >= least) & (F.col("_new") > 0)).select("learner", (0.7 * shift("avg") + 0.3 * shift("stddev_pop")).alias("drift"))
 
 
-def spread_by_loss(rows: DataFrame, group: str, loss: str, key: str, k: int) -> DataFrame:
-    """k rows of each group at even places along its losses, first and last included; all of a group of up to k rows."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(loss, key)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    places = F.transform(F.sequence(F.lit(0), F.lit(max(1, k) - 1)), lambda j: F.floor(j * (F.col("_n") - 1) / max(1, k - 1)))
-    return ranked.where((F.col("_n") <= k) | F.array_contains(places, F.col("_i").cast("long"))).drop("_i", "_n")
+def newest(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
+    """A pool of the newest `cap` rows of each group; order tells the rows of a group apart. No task orders a group."""
+    placed = running_counts(rows.withColumn("_one", F.lit(1).cast("long")), [group], order, ["_one"])
+    n = placed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(n, group).where(F.col("_one_before") >= F.col("_n") - cap).drop("_one", "_one_before", "_n")
 
 
 def refreshed_threshold(new: DataFrame, pool: DataFrame, group: str, loss: str, quantile: float) -> DataFrame:
@@ -133,3 +139,23 @@ def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
         best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
         labels = keep(best, "communities")
     return labels
+
+
+def initial_rows(rows: DataFrame, ratio: float, least: int = 5000, benign_only: bool = True, year: str = "", count: int = 0, least_class: int = 1) -> DataFrame:
+    """The rows (row_index from 0 without gaps, label and more) that the first learners are made of.
+
+    The first max(floor(n * ratio), least) rows, but not the last row; with `count` benign rows wanted, as far as the count-th of them.
+    benign_only leaves benign rows, of one year if named, and the first `count` of them. Labels with fewer than least_class rows go."""
+    n = rows.count()
+    end = min(max(int(n * ratio), least), max(0, n - 1))
+    wanted = is_benign(F.col("label")) & (label_year(F.col("label")) == year if year else F.lit(True))
+    if benign_only and count > 0:
+        able = rows.where(wanted).select("row_index", F.lit(0).alias("_g"), F.lit(1).cast("long").alias("_one"))
+        last = running_counts(able, ["_g"], "row_index", ["_one"]).where(F.col("_one_before") < count).agg(F.max("row_index")).first()[0]  # of the first `count`
+        if last is not None:
+            end = min(max(end, last + 1), n - 1)
+            wanted = wanted & (F.col("row_index") <= last)
+    first = rows.where(F.col("row_index") < end)
+    first = first.where(wanted) if benign_only else first
+    large = first.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_class).select("label")
+    return first.join(F.broadcast(large), "label", "left_semi")  # a row for each label

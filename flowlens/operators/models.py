@@ -1,8 +1,9 @@
-"""One-class models of learners: scaling, isolation forest, autoencoder, tail thresholds, clustering of what is unknown.
+"""One-class models of learners: scaling, isolation forest, autoencoder, tail thresholds.
 
-A learner is fitted on a capped sample of its rows (`most_rows`, a parameter), inside applyInPandas, so learners are
-fitted side by side on executors; its parameters are a row of a table. Scoring sends that table to the tasks and emits a
-loss for every row and learner.
+A learner's scales and threshold come from all its rows; its model is fitted on a sample (`most_rows`, a parameter) inside
+applyInPandas, so learners are fitted side by side on executors. Its parameters are a row of a table. Scoring sends that table to the
+tasks and emits a loss for every row and learner; the table has a row for each learner, some 100 kB each, so learners must number
+hundreds, not millions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.stats import clean
+from flowlens.session import keep
+
 from .cleaning import sample_per_group
+from .quantiles import exact_quantiles
 
 
 def scale_stats(df: DataFrame, features: list[str]) -> DataFrame:
@@ -37,11 +42,15 @@ def tail_threshold(losses: np.ndarray, quantile: float = 0.95, risk: float = 1e-
     if len(peaks) < 30:
         return float(np.quantile(x, fallback))
     shape, scale = fit_pareto(peaks)
+    return pareto_limit(at, shape, scale, len(peaks) / (risk * len(x)), float(np.quantile(x, 0.99)), float(np.quantile(x, fallback)))
+
+
+def pareto_limit(at: float, shape: float, scale: float, ratio: float, least: float, fallback: float) -> float:
+    """What is exceeded with the wanted probability, `ratio` times rarer than `at`; at least `least`, `fallback` without a sound fit."""
     if not np.isfinite(scale) or scale <= 0:
-        return float(np.quantile(x, fallback))
-    ratio = len(peaks) / (risk * len(x))
+        return float(fallback)
     found = at + (scale * np.log(ratio) if abs(shape) < 1e-9 else scale / shape * (ratio**shape - 1))
-    return float(max(found, np.quantile(x, 0.99))) if np.isfinite(found) else float(np.quantile(x, fallback))
+    return float(max(found, least)) if np.isfinite(found) else float(fallback)
 
 
 def fit_pareto(peaks: np.ndarray, grid: int = 400) -> tuple[float, float]:
@@ -68,44 +77,56 @@ def fit_pareto(peaks: np.ndarray, grid: int = 400) -> tuple[float, float]:
 
 
 class Forest:
-    """Isolation forest; the loss of a row is 2^(-depth / expected depth), near 1 for rows that are alone."""
+    """Isolation forest; the loss of a row is 2^(-depth / expected depth), near 1 for rows that are alone. Trees are arrays of
+    nodes (feature, cut, children; a leaf has its depth), so that rows go down all trees together."""
 
     def __init__(self, x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.n = min(sample, len(x))
         most = int(np.ceil(np.log2(max(2, self.n))))
-        self.trees = [self._split(x[rng.choice(len(x), self.n, False)], most, rng) for _ in range(trees)]
-
-    def _split(self, x, depth, rng):
+        grown: list[list[tuple]] = []
+        for _ in range(trees):
+            nodes: list[tuple] = []
+            self._grow(x[rng.choice(len(x), self.n, False)], 0, most, rng, nodes)
+            grown.append(nodes)
+        width = max(map(len, grown), default=1)
+        empty = (0, np.inf, 0, 0, 0.0)
+        table = np.array([nodes + [empty] * (width - len(nodes)) for nodes in grown], np.float64).reshape(len(grown), width, 5)
+        table[:, :, 2:4] += np.arange(len(grown))[:, None, None] * width  # nodes are numbered over all trees
+        self.feature, self.low, self.high = (table[:, :, k].ravel().astype(np.int32) for k in (0, 2, 3))
+        self.cut, self.depth, self.steps, self.width = table[:, :, 1].ravel(), table[:, :, 4].ravel(), most, width
+
+    def _grow(self, x, depth, most, rng, nodes) -> int:
+        me = len(nodes)
+        nodes.append((0, np.inf, me, me, depth + self._expected(len(x))))  # a leaf leads to itself
         wide = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else []
-        if depth == 0 or len(x) <= 1 or not len(wide):
-            return len(x)
-        f = int(rng.choice(wide))
-        at = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-        left = x[:, f] < at
-        return f, at, self._split(x[left], depth - 1, rng), self._split(x[~left], depth - 1, rng)
+        if depth < most and len(x) > 1 and len(wide):
+            f = int(rng.choice(wide))
+            cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+            left = x[:, f] < cut
+            low = self._grow(x[left], depth + 1, most, rng, nodes)
+            nodes[me] = (f, cut, low, self._grow(x[~left], depth + 1, most, rng, nodes), 0.0)
+        return me
 
     @staticmethod
     def _expected(n: int) -> float:
         return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
-    def loss(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-
-        def walk(node, rows, depth):
-            if not len(rows):
-                return
-            if isinstance(node, int):
-                total[rows] += depth + self._expected(node)
-                return
-            f, at, left, right = node
-            low = x[rows, f] < at
-            walk(left, rows[low], depth + 1)
-            walk(right, rows[~low], depth + 1)
+    def loss(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+        roots = np.arange(0, len(self.feature), self.width, dtype=np.int32)[:, None]
+        out = np.empty(len(x))
+        for at in range(0, len(x), block):
+            rows = x[at : at + block]
+            flat, line, node = rows.ravel(), np.arange(len(rows), dtype=np.int32) * x.shape[1], np.repeat(roots, len(rows), axis=1)
+            for _ in range(self.steps):
+                down = flat.take(self.feature.take(node) + line) < self.cut.take(node)
+                node = np.where(down, self.low.take(node), self.high.take(node))
+            out[at : at + block] = self.depth.take(node).mean(axis=0)
+        return 2 ** (-out / max(1e-9, self._expected(self.n)))
 
-        for tree in self.trees:
-            walk(tree, np.arange(len(x)), 0)
-        return 2 ** (-total / len(self.trees) / max(1e-9, self._expected(self.n)))
+    def more(self, x: np.ndarray, epochs: int, seed: int = 0) -> Forest:
+        """A forest has no steps to go on from: it is grown anew."""
+        return Forest(x, len(self.feature) // self.width, 256, seed)
 
 
 class Autoencoder:
@@ -116,6 +137,14 @@ class Autoencoder:
         sizes = [x.shape[1], wide, narrow, wide, x.shape[1]]
         self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
         self.b = [np.zeros(b) for b in sizes[1:]]
+        self._train(x, epochs, rate, rng)
+
+    def more(self, x: np.ndarray, epochs: int, rate: float = 0.01, seed: int = 0) -> Autoencoder:
+        """The same network, trained on from its weights."""
+        self._train(x, epochs, rate, np.random.default_rng(seed))
+        return self
+
+    def _train(self, x, epochs, rate, rng):
         m = [np.zeros_like(p) for p in self.w + self.b]
         v = [np.zeros_like(p) for p in self.w + self.b]
         t = 0
@@ -151,21 +180,123 @@ BACKENDS = {"iforest": Forest, "ae": Autoencoder}
 PARAMS = "learner string, n long, threshold double, params binary"
 
 
+def matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
+    return np.nan_to_num(pdf[features].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def group_scales(df: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """learner, n, mean, std (arrays, population; a deviation of 0 is 1) over all rows of each group; what is no number counts as 0."""
+    of = [clean(F.col(f"`{c}`").cast("double")) for c in features]
+    out = df.groupBy(F.col(group).cast("string").alias("learner")).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.avg, of)).alias("mean"), F.array(*map(F.stddev_pop, of)).alias("std"))
+    return out.withColumn("std", F.transform("std", lambda v: F.when(v == 0, 1.0).otherwise(v)))
+
+
 def fit_learners(df: DataFrame, group: str, key: str, features: list[str], backend: str = "iforest", most_rows: int = 5000, quantile: float = 0.95, risk: float = 1e-3, seed: int = 0) -> DataFrame:
-    """One row of parameters for each value of `group`."""
+    """One row of parameters for each value of `group`. Scales and thresholds come from all its rows; only the model is fitted on a
+    sample, `most_rows` rows at most."""
     kind = BACKENDS[backend]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.nan_to_num(pdf[features].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        std[std == 0] = 1
-        z = (x - mean) / std
-        model = kind(z, seed=seed)
-        limit = tail_threshold(model.loss(z), quantile, risk)
-        return pd.DataFrame({"learner": [str(pdf[group].iloc[0])], "n": [len(x)], "threshold": [limit], "params": [pickle.dumps((mean, std, model))]})
+        mean, std = np.array(pdf["_mean"].iloc[0]), np.array(pdf["_std"].iloc[0])
+        model = kind((matrix(pdf, features) - mean) / std, seed=seed)
+        return pd.DataFrame({"learner": [str(pdf["_learner"].iloc[0])], "n": [int(pdf["_n"].iloc[0])], "threshold": [float("nan")], "params": [pickle.dumps((mean, std, model))]})
+
+    rows = df.select(F.col(group).cast("string").alias("_learner"), key, *features)
+    scales = group_scales(rows, "_learner", features).select(F.col("learner").alias("_learner"), F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    capped = sample_per_group(rows, ["_learner"], key, most_rows, seed).join(F.broadcast(scales), "_learner")  # a row for each learner
+    params = keep(capped.groupBy("_learner").applyInPandas(fit, PARAMS), "fitted")
+    losses = keep(own_losses(rows, "_learner", features, params.collect()), "own-losses")
+    limits = tail_thresholds(losses, "learner", "loss", quantile, risk)
+    return params.drop("threshold").join(F.broadcast(limits), "learner").select("learner", "n", "threshold", "params")
 
-    capped = sample_per_group(df, [group], key, most_rows, seed).select(group, *features)
-    return capped.groupBy(group).applyInPandas(fit, PARAMS)
+
+def own_losses(df: DataFrame, group: str, features: list[str], params: list) -> DataFrame:
+    """learner, loss of each row at its own group's model."""
+    packed = {r["learner"]: bytes(r["params"]) for r in params}
+
+    def score(batches):
+        models = {name: pickle.loads(raw) for name, raw in packed.items()}
+        for pdf in batches:
+            for name, part in pdf.groupby(group):
+                if name in models:
+                    mean, std, model = models[name]
+                    yield pd.DataFrame({"learner": name, "loss": model.loss((matrix(part, features) - mean) / std)})
+
+    return df.select(group, *features).mapInPandas(score, "learner string, loss double")
+
+
+def with_own_loss(df: DataFrame, features: list[str], params: list) -> DataFrame:
+    """df (learner, features and more) with loss at the learner's own model; rows of learners without a model are left out."""
+    packed = {r["learner"]: bytes(r["params"]) for r in params}
+
+    def score(batches):
+        models = {name: pickle.loads(raw) for name, raw in packed.items()}
+        for pdf in batches:
+            for name, part in pdf.groupby("learner"):
+                if name in models:
+                    mean, std, model = models[name]
+                    yield part.assign(loss=model.loss((matrix(part, features) - mean) / std))
+
+    plain = df.drop("loss")
+    return plain.mapInPandas(score, ", ".join(f"`{c}` {t}" for c, t in plain.dtypes) + ", loss double")
+
+
+def tail_thresholds(losses: DataFrame, group: str, loss: str, quantile: float = 0.95, risk: float = 1e-3, fallback: float = 0.995, grid: int = 64, rounds: int = 5) -> DataFrame:
+    """learner, threshold: tail_threshold() of each group's losses, of any number. Quantiles come by ranges; the law's likelihood is
+    a sum over peaks, which tasks work out for a grid of points, refined `rounds` times around the best one. The driver holds a
+    grid for each group."""
+    sound = losses.select(F.col(group).alias("_g"), F.col(loss).alias("_x")).where("_x is not null and not isnan(_x) and abs(_x) < double('infinity')")
+    sound = keep(sound, "losses")
+    probs = [min(0.99, quantile), quantile, 0.99, fallback]
+    at = exact_quantiles(sound, ["_g"], "_x", probs, "_q").join(sound.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "_g")
+    peaks = sound.join(F.broadcast(at.select("_g", F.col("_q")[1].alias("_at"))), "_g").where("_x > _at").select("_g", (F.col("_x") - F.col("_at")).alias("_x"))
+    peaks = keep(peaks, "peaks")
+    found = at.join(peaks.groupBy("_g").agg(F.count(F.lit(1)).alias("k"), F.avg("_x").alias("mean"), F.max("_x").alias("top")), "_g", "left").collect()  # a row for each learner
+    groups = {r["_g"]: r for r in found}
+    fitted = {g: r for g, r in groups.items() if r["_n"] >= 100 and (r["k"] or 0) >= 30}
+    span = {g: (-r["mean"] / r["top"] * 0.999, 20.0) for g, r in fitted.items()}
+    best: dict[str, float] = {}
+
+    def sums(points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Of each group and point t the sum of log(1 + t * peak / mean peak)."""
+        scaled = {g: t / fitted[g]["mean"] for g, t in points.items()}
+
+        def run(batches):
+            total = {g: np.zeros(len(t)) for g, t in scaled.items()}
+            for pdf in batches:
+                for g, part in pdf.groupby("_g"):
+                    for low in range(0, len(part) if g in scaled else 0, 8192):
+                        total[g] += np.log1p(np.outer(scaled[g], part["_x"].to_numpy()[low : low + 8192])).sum(axis=1)
+            yield pd.DataFrame({"_g": [g for g in total for _ in total[g]], "k": [k for t in total.values() for k in range(len(t))], "s": [v for t in total.values() for v in t]})
+
+        rows = peaks.mapInPandas(run, "_g string, k int, s double").groupBy("_g", "k").agg(F.sum("s").alias("s")).collect()
+        out = {g: np.zeros(len(t)) for g, t in points.items()}
+        for r in rows:
+            out[r["_g"]][r["k"]] = r["s"]
+        return out
+
+    for _ in range(rounds if fitted else 0):
+        points = {g: np.linspace(low, high, grid) for g, (low, high) in span.items()}
+        for g, s in sums(points).items():
+            t, shape = points[g], s / fitted[g]["k"]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = np.where(np.abs(t) < 1e-7, -2.0, -np.log(shape / t) - shape - 1)
+            best[g] = float(t[np.nanargmax(value)])
+            step = (span[g][1] - span[g][0]) / grid
+            span[g] = (max(best[g] - 2 * step, -fitted[g]["mean"] / fitted[g]["top"] * 0.999), best[g] + 2 * step)
+    last = sums({g: np.array([t]) for g, t in best.items()}) if best else {}
+    rows = []
+    for g, r in groups.items():
+        if r["_n"] < 100:
+            limit = r["_q"][0]
+        elif g not in fitted:
+            limit = r["_q"][3]
+        else:
+            shape = 0.0 if abs(best[g]) < 1e-7 else float(last[g][0] / r["k"])
+            scale = r["mean"] if shape == 0 else shape / best[g] * r["mean"]
+            limit = pareto_limit(r["_q"][1], shape, scale, r["k"] / (risk * r["_n"]), r["_q"][2], r["_q"][3])
+        rows.append((g, float(limit)))
+    return losses.sparkSession.createDataFrame(rows, "learner string, threshold double")
 
 
 def score_learners(df: DataFrame, key: str, features: list[str], params: list) -> DataFrame:
@@ -175,7 +306,7 @@ def score_learners(df: DataFrame, key: str, features: list[str], params: list) -
     def score(batches):
         models = [(name, limit, *pickle.loads(raw)) for name, limit, raw in packed]
         for pdf in batches:
-            x = np.nan_to_num(pdf[features].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
+            x = matrix(pdf, features)
             for name, limit, mean, std, model in models:
                 yield pd.DataFrame({key: pdf[key], "learner": name, "loss": model.loss((x - mean) / std), "threshold": limit})
 
@@ -184,7 +315,7 @@ def score_learners(df: DataFrame, key: str, features: list[str], params: list) -
 
 
 def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Cluster numbers of a bounded buffer's rows, -1 for noise. Distances are worked out block by block."""
+    """Cluster numbers of a few rows, -1 for noise; the plain form that clusters.density_clusters is held against."""
     n = len(x)
     near: list[np.ndarray] = []
     for at in range(0, n, 512):
@@ -205,21 +336,3 @@ def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
                         todo.append(j)
         found += 1
     return label
-
-
-def new_classes(buffer: DataFrame, key: str, features: list[str], eps: float, least: int, least_class: int, most_buffer: int) -> DataFrame:
-    """key, cluster for rows of the unknown buffer that form a new class. The buffer is the newest `most_buffer` rows by key:
-    the bound that lets one task cluster it."""
-    kind = buffer.schema[key].dataType.simpleString()
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.nan_to_num(pdf[features].to_numpy(float))
-        std = x.std(axis=0)
-        std[std == 0] = 1
-        label = dbscan((x - x.mean(axis=0)) / std, eps, least)
-        sizes = np.bincount(label[label >= 0], minlength=1)
-        ok = (label >= 0) & (sizes[np.maximum(label, 0)] >= least_class)
-        return pd.DataFrame({key: pdf[key][ok], "cluster": label[ok]})
-
-    newest = buffer.select(key, *features).orderBy(F.col(key).desc()).limit(most_buffer).withColumn("_all", F.lit(0))
-    return newest.groupBy("_all").applyInPandas(cluster, f"{key} {kind}, cluster long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.operators import increments as I
 from flowlens.operators import lifecycle as L
 from flowlens.operators import overlap as O
 from flowlens.operators import topology as T
@@ -43,7 +44,7 @@ register(
 )
 register(
     "ml15_history_pool",
-    lambda s, d: L.spread_by_loss(L.newest(losses(s, d), "learner", "row_index", 120), "learner", "loss", "row_index", 10).select("learner", "row_index"),
+    lambda s, d: I.spread_by_loss(L.newest(losses(s, d), "learner", "row_index", 120), 10).select("learner", "row_index"),
     X + ", p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY row_index DESC) AS r FROM losses) WHERE r <= 120), k AS (SELECT learner, row_index, row_number() OVER (PARTITION BY learner ORDER BY loss, row_index) - 1 AS i, count(*) OVER (PARTITION BY learner) AS n FROM p) SELECT learner, row_index FROM k WHERE n <= 10 OR i IN (SELECT CAST(floor(j * (n - 1) / 9) AS BIGINT) FROM (SELECT unnest(range(10)) AS j))",
 )
 register(

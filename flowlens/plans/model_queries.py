@@ -22,7 +22,6 @@ from flowlens.sources import run_store as R
 from flowlens.sources.testdata import FLOWS_SQL, events, flows, indexed_flows, table
 from flowlens.streaming import event_windows as T
 from flowlens.streaming.blocks import BlockStream
-from flowlens.streaming.open_set import OpenSet
 
 from .aggregate_queries import benign_flows, rounded
 from .registry import register
@@ -91,7 +90,6 @@ def _scored(s, d, backend):
 
 register("ml3_isolation_forest", lambda s, d: _scored(s, d, "iforest"))
 register("ml2_autoencoder", lambda s, d: _scored(s, d, "ae"))
-register("ml7_new_classes", lambda s, d: M.new_classes(indexed_flows(s, d).where("learner = 'UNKNOWN'"), "row_index", ["l_quantity", "bwd"], 0.3, 8, 20, 2000).groupBy("cluster").agg(_n().alias("n")))
 
 
 def _assembled(s, d):
@@ -152,16 +150,3 @@ register("st1_block_windows", lambda s, d: BlockStream(s, work_folder(s), 300).r
          f"SELECT min(event_id) AS window_left, max(event_id) + 1 AS window_right, strftime(max(ts), {_FMT}) AS window_end_time, count(*) AS rows, CAST(sum((event_type = 'error')::INT) AS BIGINT) AS attacks FROM events GROUP BY floor(event_id / 300)")
 register("st5_running_state", lambda s, d: T.run_to_table(T.running_mean(_event_stream(s, d), "event_type", "value"), work_folder(s), "update").withColumn("mean", F.round("mean", 6)),
          "SELECT event_type, count(*) AS n, round(list_reduce(list(value ORDER BY ts), lambda m, x: 0.8 * m + 0.2 * x), 6) AS mean FROM events GROUP BY 1")
-
-
-def _open_set(s, d):
-    root = work_folder(s)
-    rows = indexed_flows(s, d).select("row_index", "label", *_FEATURES)
-    rows.withColumn("part", F.floor(F.col("row_index") * 4 / F.lit(rows.count()))).repartition(4, "part").write.partitionBy("part").parquet(f"{root}/in")
-    loop = OpenSet(s, f"{root}/state", _FEATURES, trigger=100, least_class=20, most_buffer=1000, most_rows=500, eps=0.6)
-    loop.start(rows.where("row_index < 1500").withColumn("base", base_label(F.col("label"))).where("base <> 'PORTSCAN'"), "base")
-    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    return loop.run(stream).groupBy("assigned_learner").agg(_n().alias("n"))
-
-
-register("ml18_open_set_stream", _open_set)
