@@ -11,7 +11,7 @@ The base counts come with them: words, code points in words, symbols, duplicate
 
 A null or empty text has no words, fails the base rule and is not kept. Very long texts are read whole. A null or unknown
 language takes the script's band. A row for each row, repeated ones too; an empty table gives none. fertility_rules gives
-back the columns it is asked to keep, keep_sound all; names that clash with the measures' are the caller's to rename.
+back the columns it is asked to keep, keep_sound all; a column to keep that has the name of a measure is left out, as the measure takes its place.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import base64
 import bisect
 import functools
 import math
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,15 +149,24 @@ class Speller:
         self.model, self.is_byte = _model(path or default_path())
         self.multi = _ranks(multi or default_multi())
         self.hashes = Memo(hash_word)
-        self.pieces = Memo(self._spell)
+        self.pieces = Memo(lambda word: self._spell([word])[0], most=120_000_000)
 
-    def _spell(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        return np.array([*self.model.encode(text), self.COUNT + len(self.multi.encode_ordinary(f" {text}"))], "<u4").tobytes()
+    def _spell(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        ids = self.model.encode(texts, num_threads=1)
+        return [array("I", [*own, self.COUNT + len(self.multi.encode_ordinary(f" {text}"))]).tobytes() for own, text in zip(ids, texts, strict=True)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Spells the words of a text that aren't known yet together, which takes less than one by one."""
+        new = [w for w in dict.fromkeys(words) if w not in self.pieces]
+        for word, spelled in zip(new, self._spell(new), strict=True):
+            self.pieces[word] = spelled
+            self.pieces.note(word, spelled)
 
     def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float, float]:
         """n_tokens, code points per token in each vocabulary, byte-fallback share, entropy in bits."""
         self.pieces.trim()
+        self._learn(words)
         ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), "<u4")
         counts = ids >= self.COUNT
         multi, ids = int((ids[counts] - np.uint32(self.COUNT)).sum(dtype=np.int64)), ids[~counts]
@@ -232,6 +242,7 @@ def fertility_rules(
 ) -> DataFrame:
     """The columns `keep` of docs (which has text and may have lang) and those of FERTILITY, a row for each row."""
     bands = BANDS if bands is None else bands
+    keep = tuple(c for c in keep if c not in {x.split()[0] for x in FERTILITY.split(", ")})
     has_lang = "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string"
     columns = list(dict.fromkeys([*keep, "text", *["lang"] * has_lang]))
 

@@ -116,3 +116,9 @@ def test_a_doc_id_with_two_texts(spark):
         assert len(got) == 6 and seen[1] == 1 and sorted(seen.values()) in ([1, 1, 1, 3, 3], [1, 1, 1, 2, 2]) and (seen[2] == seen[4]) and (seen[3] == seen[5])
     kept = near_dedup.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
     assert len(kept) == 2 and len({r["doc_id"] for r in kept}) == 2
+
+
+def test_kept_columns_that_clash_with_measures(docs):
+    got = fertility.fertility_rules(docs.withColumn("n_words", F.lit("clash")), keep=("doc_id", "n_words", "source"))
+    assert got.columns.count("n_words") == 1 and got.columns[:2] == ["doc_id", "source"] and got.schema["n_words"].dataType.simpleString() == "bigint"
+    assert got.count() == len(TEXTS)
