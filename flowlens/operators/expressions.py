@@ -1,11 +1,14 @@
-"""Synthesised features: expression trees over columns, compiled to Spark columns, and a search for good ones.
+"""Synthesised features: expression trees over columns, written as text and read back, compiled to Spark columns, and searches for
+good ones.
 
-A generation's trees are compiled into one select, so the data is read once for all of them.
+A generation's trees are compiled into one select, so the data is read once for all of them. There are two dialects: tables of operators
+by name, with how many arguments each takes, how it is written and the column that it makes.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -17,14 +20,14 @@ from .evaluation import auc
 #: The operators' names and the small numbers that keep a quotient and a root defined.
 _QUOTIENT, _ROOT = 1e-6, 1e-12
 
-#: By name: how many arguments, how it is written, and the column it makes of its arguments' columns.
-OPERATORS: dict[str, tuple[int, str, Callable[..., Column]]] = {
+Dialect = dict[str, tuple[int, str, Callable[..., Column]]]
+OPERATORS: Dialect = {
     "+": (2, "({} + {})", lambda a, b: a + b),
     "-": (2, "({} - {})", lambda a, b: a - b),
     "*": (2, "({} * {})", lambda a, b: a * b),
     "/": (2, "({} / {})", lambda a, b: a / (F.abs(b) + _QUOTIENT)),
-    "max": (2, "max({}, {})", F.greatest),
-    "min": (2, "min({}, {})", F.least),
+    "max": (2, "({} max {})", F.greatest),
+    "min": (2, "({} min {})", F.least),
     "abs": (1, "abs({})", F.abs),
     "sqrt_abs": (1, "sqrt_abs({})", lambda a: F.sqrt(F.abs(a) + _ROOT)),
     "log1p_abs": (1, "log1p_abs({})", lambda a: F.log1p(F.abs(a))),
@@ -32,6 +35,22 @@ OPERATORS: dict[str, tuple[int, str, Callable[..., Column]]] = {
 }
 
 
+#: Fixed value: what stands for a divisor nearer to 0 in the second dialect.
+_LEAST = 1e-8
+WORDS: Dialect = {
+    "add": (2, "({} add {})", lambda a, b: a + b),
+    "sub": (2, "({} sub {})", lambda a, b: a - b),
+    "mul": (2, "({} mul {})", lambda a, b: a * b),
+    "div": (2, "({} div {})", lambda a, b: a / F.when(F.abs(b) < _LEAST, _LEAST).otherwise(b)),
+    "abs": (1, "abs({})", F.abs),
+    "log1p": (1, "log1p({})", lambda a: F.log1p(F.abs(a))),
+    "sqrt": (1, "sqrt({})", lambda a: F.sqrt(F.abs(a))),
+    "neg": (1, "neg({})", lambda a: -a),
+}
+#: Fixed value: what binds less comes first; equal operators without brackets group from the right.
+_LOOSEST_FIRST = ["max", "min", "+", "-", "*", "/", "add", "sub", "mul", "div"]
+
+
 class Apply(NamedTuple):
     """An operator and its arguments. A leaf is no node of its own: a string is a column's name, a float a constant."""
 
@@ -42,9 +61,9 @@ class Apply(NamedTuple):
 Tree = Apply | str | float
 
 
-def apply(operator: str, *arguments: Tree) -> Apply:
-    if len(arguments) != OPERATORS[operator][0]:
-        raise ValueError(f"{operator} takes {OPERATORS[operator][0]} arguments")
+def apply(operator: str, *arguments: Tree, dialect: Dialect = OPERATORS) -> Apply:
+    if len(arguments) != dialect[operator][0]:
+        raise ValueError(f"{operator} takes {dialect[operator][0]} arguments")
     return Apply(operator, arguments)
 
 
@@ -54,16 +73,93 @@ def subtrees(tree: Tree) -> list[tuple[tuple[int, ...], Tree]]:
     return [((), tree), *below]
 
 
-def text(tree: Tree) -> str:
+def text(tree: Tree, dialect: Dialect = OPERATORS) -> str:
     if isinstance(tree, Apply):
-        return OPERATORS[tree.operator][1].format(*map(text, tree.arguments))
-    return tree if isinstance(tree, str) else f"{tree:g}"
-
-
-def column(tree: Tree) -> Column:
+        return dialect[tree.operator][1].format(*(text(x, dialect) for x in tree.arguments))
+    return tree if isinstance(tree, str) else f"{tree:.6g}"
+
+
+_NUMBER = re.compile(r"[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?(?=[ )]|$)", re.I)
+
+
+def parse(written: str, columns: list[str], dialect: Dialect = OPERATORS) -> Tree:
+    """The tree that text() writes so. Column names may hold spaces, signs and brackets: the longest name that fits a place counts. An
+    operator between two arguments stands between spaces; brackets may be left out. ValueError says where a text can't be read."""
+    names = sorted(columns, key=lambda c: (-len(c), c))
+    infix = [x for x in _LOOSEST_FIRST if x in dialect]
+    prefix = [x for x, (n, _, _) in dialect.items() if n == 1 and x != "neg" or x == "neg" and dialect is not OPERATORS]
+    at = 0
+
+    def skip() -> None:
+        nonlocal at
+        while written[at : at + 1] == " ":
+            at += 1
+
+    def fail(wanted: str) -> ValueError:
+        return ValueError(f"{wanted} expected at {at} in {written!r}")
+
+    def close() -> None:
+        nonlocal at
+        skip()
+        if written[at : at + 1] != ")":
+            raise fail("')'")
+        at += 1
+
+    def leaf() -> Tree:
+        nonlocal at
+        skip()
+        for name in names:
+            end = at + len(name)
+            if written.startswith(name, at) and (end == len(written) or written[end] in " )"):
+                at = end
+                return name
+        for name in prefix:
+            if written.startswith(f"{name}(", at):
+                at += len(name) + 1
+                inner = binary(0)
+                close()
+                return apply(name, inner, dialect=dialect)
+        number = _NUMBER.match(written, at)
+        if number:
+            at = number.end()
+            return float(number[0])
+        signed = _NUMBER.match(written, at + 1)  # a bracket may begin with a number below 0
+        if written.startswith("(-", at) and "neg" in dialect and not (signed and written[signed.end() : signed.end() + 1] == " "):
+            at += 2
+            inner = binary(0)
+            close()
+            return apply("neg", inner, dialect=dialect)
+        if written.startswith("-", at) and "neg" in dialect:
+            at += 1
+            return apply("neg", leaf(), dialect=dialect)
+        if written.startswith("(", at):
+            at += 1
+            inner = binary(0)
+            close()
+            return inner
+        raise fail("a column, a number or '('")
+
+    def binary(level: int) -> Tree:
+        nonlocal at
+        if level == len(infix):
+            return leaf()
+        left = binary(level + 1)
+        if written.startswith(f" {infix[level]} ", at):
+            at += len(infix[level]) + 2
+            return apply(infix[level], left, binary(level), dialect=dialect)
+        return left
+
+    tree = binary(0)
+    skip()
+    if at < len(written):
+        raise fail("the end")
+    return tree
+
+
+def column(tree: Tree, dialect: Dialect = OPERATORS) -> Column:
     """Every tree has a value on every row whose columns have one."""
     if isinstance(tree, Apply):
-        return OPERATORS[tree.operator][2](*map(column, tree.arguments))
+        return dialect[tree.operator][2](*(column(x, dialect) for x in tree.arguments))
     return F.col(f"`{tree}`").cast("double") if isinstance(tree, str) else F.lit(float(tree))
 
 
@@ -75,11 +171,11 @@ def replaced(tree: Tree, path: tuple[int, ...], new: Tree) -> Tree:
     return Apply(tree.operator, tuple(replaced(x, rest, new) if i == k else x for i, x in enumerate(tree.arguments)))
 
 
-def grow(rng: random.Random, features: list[str], depth: int) -> Tree:
+def grow(rng: random.Random, features: list[str], depth: int, dialect: Dialect = OPERATORS) -> Tree:
     if depth <= 0 or rng.random() < 0.25:
         return rng.choice(features) if rng.random() < 0.85 else round(rng.uniform(-2, 2), 2)
-    operator = rng.choice(sorted(OPERATORS))
-    return apply(operator, *(grow(rng, features, depth - 1) for _ in range(OPERATORS[operator][0])))
+    operator = rng.choice(sorted(dialect))
+    return apply(operator, *(grow(rng, features, depth - 1, dialect) for _ in range(dialect[operator][0])), dialect=dialect)
 
 
 def score_trees(df: DataFrame, trees: list[Tree], positive: str) -> list[float | None]:
@@ -110,3 +206,39 @@ def search(df: DataFrame, features: list[str], positive: str, population: int =
                 child = replaced(child, rng.choice(subtrees(child))[0], grow(rng, features, 2))
             living.append(child)
     return [(t, known[t]) for t in sorted(known, key=order)]
+
+
+def split_scores(df: DataFrame, trees: list[Tree], positive: str, key: str, seed: int = 1, test: float = 0.3, dialect: Dialect = OPERATORS) -> dict[Tree, tuple[float, ...]]:
+    """Of each tree the AUC and the oriented AUC on the training part and on the test part; 0.5 where all values are equal.
+
+    The parts are cut within each class by the order of an md5 of seed and key, so a tree's figures are the same on every run. What is
+    no number counts as 0, infinities as 1,000,000 with their sign."""
+    part = F.when(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") < test * 2**32, "test").otherwise("train")
+    sound = lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), x)))
+    each = [F.struct(F.lit(i).alias("tree"), F.round(sound(column(t, dialect)), 9).alias("x")) for i, t in enumerate(trees)]
+    rows = df.select(F.col(positive).alias("y"), part.alias("part"), F.explode(F.array(*each)).alias("p")).select("y", "part", "p.*")
+    found = {(r["tree"], r["part"]): (r["auc"], r["oriented_auc"]) for r in auc(rows, ["tree", "part"], "x", "y").collect()}  # two rows for each tree
+    return {t: (*found.get((i, "train"), (0.5, 0.5)), *found.get((i, "test"), (0.5, 0.5))) for i, t in enumerate(trees)}
+
+
+def search_split(
+    df: DataFrame, features: list[str], positive: str, key: str, population: int = 16, generations: int = 3, elite: int = 4, mutation: float = 0.3, crossover: float = 0.7, top: int = 10, seed: int = 1
+) -> list[tuple[str, float, float, float, float]]:
+    """The `top` expressions in the second dialect by oriented AUC on the test part, then on the training part: text and the four figures
+    of split_scores. A generation keeps its `elite` best by the training part; children come from its best quarter."""
+    rng, known = random.Random(seed), {}
+    living = [grow(rng, features, 3, WORDS) for _ in range(population)]
+    for _ in range(generations):
+        new = [t for t in dict.fromkeys(living) if t not in known]
+        known |= split_scores(df, new, positive, key, seed, dialect=WORDS) if new else {}
+        ranked = sorted(living, key=lambda t: (-known[t][1], text(t, WORDS)))
+        parents, living = ranked[: max(2, population // 4)], ranked[:elite]
+        while len(living) < population:
+            child = rng.choice(parents)
+            if rng.random() < crossover:
+                child = replaced(child, rng.choice(subtrees(child))[0], rng.choice(subtrees(rng.choice(parents)))[1])
+            if rng.random() < mutation:
+                child = replaced(child, rng.choice(subtrees(child))[0], grow(rng, features, 3, WORDS))
+            living.append(child)
+    best = sorted(known, key=lambda t: (-known[t][3], -known[t][1], text(t, WORDS)))[:top]
+    return [(text(t, WORDS), *known[t]) for t in best]

@@ -176,7 +176,46 @@ class Autoencoder:
         return ((self._forward(x)[-1] - x) ** 2).mean(axis=1)
 
 
-BACKENDS = {"iforest": Forest, "ae": Autoencoder}
+class OneClassSvm:
+    """A half space that holds most rows, in random Fourier features of a Gaussian kernel; the loss is how far a row lies outside of it.
+    Trained by averaged stochastic steps on |w|^2 / 2 - rho + mean(max(0, rho - w.phi)) / nu."""
+
+    def __init__(self, x: np.ndarray, nu: float = 0.05, width: int = 256, gamma: float | None = None, epochs: int = 20, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        gamma = gamma or 1.0 / max(1e-9, x.shape[1] * max(float(x.var()), 1e-9))  # the usual scale
+        self.turn, self.shift = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], width)), rng.uniform(0, 2 * np.pi, width)
+        self.w, self.rho = np.zeros(width), 0.0
+        self._train(x, nu, epochs, rng)
+
+    def _features(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2 / len(self.shift)) * np.cos(x @ self.turn + self.shift)
+
+    def _train(self, x, nu, epochs, rng):
+        w, rho, step = self.w.copy(), self.rho, 0
+        w_sum, rho_sum, kept = np.zeros_like(w), 0.0, 0
+        for epoch in range(epochs):
+            order = rng.permutation(len(x))
+            for at in range(0, len(x), 64):
+                phi = self._features(x[order[at : at + 64]])
+                step += 1
+                rate = 1.0 / (10 + step)
+                out = (phi @ w < rho).astype(float) / (nu * len(phi))
+                w -= rate * (w - out @ phi)
+                rho -= rate * (out.sum() - 1)
+                if 2 * epoch >= epochs:
+                    w_sum, rho_sum, kept = w_sum + w, rho_sum + rho, kept + 1
+        if kept:
+            self.w, self.rho = w_sum / kept, rho_sum / kept
+
+    def loss(self, x: np.ndarray) -> np.ndarray:
+        return self.rho - self._features(x) @ self.w
+
+    def more(self, x: np.ndarray, epochs: int, seed: int = 0) -> OneClassSvm:
+        self._train(x, 0.05, epochs, np.random.default_rng(seed))
+        return self
+
+
+BACKENDS = {"iforest": Forest, "ae": Autoencoder, "ocsvm": OneClassSvm}
 PARAMS = "learner string, n long, threshold double, params binary"
 
 

@@ -73,6 +73,23 @@ _TREE = E.apply("/", E.apply("-", "l_quantity", "bwd"), E.apply("max", "l_linenu
 _NAME = E.text(_TREE)
 register("ex_expression_auc", lambda s, d: rounded(V.auc(benign_flows(s, d).select(F.lit(_NAME).alias("tree"), F.round(E.column(_TREE), 9).alias("x"), (1 - F.col("benign")).alias("y")), ["tree"], "x", "y")), W + f""", u AS (SELECT 1 - benign AS y, round((l_quantity - bwd) / (abs(greatest(l_linenumber, 2.0::DOUBLE)) + 1e-6), 9) AS x FROM base), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rk FROM u),
   a AS (SELECT (sum(rk*y) - sum(y)*(sum(y)+1)/2) / (sum(y)*sum(1-y)) AS auc FROM r) SELECT '{_NAME}' AS tree, round(auc, 6) AS auc, round(greatest(auc, 1-auc), 6) AS oriented_auc FROM a""")
+#: Expressions as text; two column names hold spaces, and signs that are operators elsewhere.
+_WRITTEN = {
+    "ratio": "((Flow Bytes/s - bwd) / (log1p_abs(bwd) + 1))", "loose": "Flow Bytes/s max bwd - Tax Rate - 2 * bwd", "roots": "(sqrt_abs(bwd) min (-Tax Rate))", "plain": "abs((bwd - 25.5))",
+}
+
+
+def _parsed(s, d):
+    """Sums of expressions that are read from text."""
+    rows = flows(s, d).select(F.col("l_quantity").alias("Flow Bytes/s"), F.col("l_tax").alias("Tax Rate"), "bwd")
+    trees = {k: E.parse(t, rows.columns) for k, t in _WRITTEN.items()}
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(E.text(t)).alias("expression"), E.column(t).alias("x")) for k, t in trees.items()])
+    return rounded(rows.select(F.explode(each).alias("p")).select("p.*").groupBy("name", "expression").agg(F.sum("x").alias("total")), 3)
+
+
+register("ex_parsed_expressions", _parsed, W + """, x AS (SELECT (l_quantity - bwd) / (abs(ln(1 + abs(bwd)) + 1) + 1e-6) AS a, greatest(l_quantity, bwd - (l_tax - 2 * bwd)) AS b, least(sqrt(abs(bwd) + 1e-12), -l_tax) AS c, abs(bwd - 25.5) AS d FROM base)
+  SELECT unnest(['ratio', 'loose', 'roots', 'plain']) AS name, unnest(['((Flow Bytes/s - bwd) / (log1p_abs(bwd) + 1))', '(Flow Bytes/s max (bwd - (Tax Rate - (2 * bwd))))', '(sqrt_abs(bwd) min (-Tax Rate))', 'abs((bwd - 25.5))']) AS expression, unnest([round(sum(a), 3), round(sum(b), 3), round(sum(c), 3), round(sum(d), 3)]) AS total FROM x""")
+register("ml33_feature_search", lambda s, d: s.createDataFrame([(t, *[round(v, 6) for v in figures]) for t, *figures in E.search_split(benign_flows(s, d, indexed_flows).withColumn("attack", 1 - F.col("benign")), ["l_quantity", "bwd", "l_tax"], "attack", "row_index", population=10, generations=2)], "expression string, auc_train double, auc_abs_train double, auc_test double, auc_abs_test double"))
 register("ml32_feature_search", lambda s, d: s.createDataFrame([(E.text(t), len(E.subtrees(t)), round(v, 6)) for t, v in E.search(benign_flows(s, d).withColumn("attack", 1 - F.col("benign")), ["l_quantity", "bwd", "l_tax"], "attack")[:5]], "expression string, nodes int, fitness double"))
 
 # models

@@ -139,8 +139,8 @@ def test_curve_and_auc_agree(spark):
 def test_expressions(spark):
     tree = E.apply("/", E.apply("neg", "a b"), E.apply("max", 0.0, E.apply("log1p_abs", "c")))
     got = spark.createDataFrame([(2.0, 0.0)], "`a b` double, c double").select(E.column(tree).alias("x")).first()["x"]
-    assert got == pytest.approx(-2 / 1e-6) and E.text(tree) == "((-a b) / max(0, log1p_abs(c)))"
-    assert len(E.subtrees(tree)) == 7 and E.text(E.replaced(tree, (1, 1), "d")) == "((-a b) / max(0, d))"
+    assert got == pytest.approx(-2 / 1e-6) and E.text(tree) == "((-a b) / (0 max log1p_abs(c)))"
+    assert len(E.subtrees(tree)) == 7 and E.text(E.replaced(tree, (1, 1), "d")) == "((-a b) / (0 max d))"
     with pytest.raises(ValueError):
         E.apply("abs", "a", "b")
     df = spark.createDataFrame([(float(k), float(k % 5), int(k > 20)) for k in range(40)], "a double, b double, y int")
