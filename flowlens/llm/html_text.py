@@ -11,8 +11,9 @@ suffixes ranked by doubling, to the depth of `least` tokens, which is all that s
 for. A run of tokens that some other page of the host has as well, outside its article, is covered and goes; unique runs
 stay.
 
-Over tables the same runs are found by the hashes of the windows of `least` tokens, which are the suffixes cut at that
-depth: a window is shared if the least and the largest page that have it on the host differ. Pages are told apart by
+Over tables suffixes are named by the same doubling: a suffix's name at twice the depth is a hash of its name and of the name of the
+suffix that begins where it ends, up to `least` tokens, so equal names are equal ranks and no host need be sorted in one place. A
+name is shared if the least and the largest page that have it on the host differ. Pages are told apart by
 page_id, those without one by url and html. Only hosts with an open page are searched, and only open pages wait for the
 answer. They lie in chunks of about `chunk_bytes` of html; a chunk names each of its windows once, so a passage on all
 pages of a large host makes no task large, and no host is cut. Chunks and partitions don't change the result.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import save
 from .url_filter import host_of
-from .words import Memo, hash_word, mix, slices, window_hashes
+from .words import Memo, hash_word, mix, slices
 
 FURNITURE, ARTICLE, PLAIN = range(3)
 
@@ -200,8 +201,17 @@ def _text(blocks: list[tuple[int, str]], shared: dict[int, np.ndarray] | None =
     return "\n\n".join(said)
 
 
+def doubled_names(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """For each place with `depth` tokens left a 64-bit name of its suffix cut at that depth, by prefix doubling."""
+    names, length = mix(tokens), 1
+    while length < depth and len(names):
+        step = min(length, depth - length)
+        names, length = mix(mix(names[: max(0, len(names) - step)]) + names[step:]), length + step
+    return names
+
+
 def _windows(blocks: list[tuple[int, str]], host: str | None, least: int, memo: Memo) -> tuple[np.ndarray, dict[int, slice]]:
-    """The hash, with the host, of each window of a page's loose tokens, and where each block's words lie among the tokens."""
+    """The name, with the host, of each suffix of a page's loose tokens at `least` tokens, and where each block's words lie among the tokens."""
     memo.trim()
     tokens: list[int] = []
     spots = {}
@@ -212,7 +222,7 @@ def _windows(blocks: list[tuple[int, str]], host: str | None, least: int, memo:
             tokens += [memo[w] for w in words]
             tokens.append(0)  # blocks of a page are parted by the same mark, so menus repeat as a whole
     own = np.uint64(hash_word((host or "").encode("utf-8", "surrogatepass")))
-    return mix(window_hashes(np.array(tokens, np.uint64), least) + own).view(np.int64), spots
+    return mix(doubled_names(np.array(tokens, np.uint64), least) + own).view(np.int64), spots
 
 
 def _words_memo() -> Memo:

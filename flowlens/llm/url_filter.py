@@ -43,9 +43,9 @@ _TOPS, _SUBS = ("example", "example.org", "example.net", "example.com"), ("", "w
 
 
 @functools.lru_cache(maxsize=1)
-def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table (url, 1 to block), made by a rule from the words above: both classes use the same kinds of hosts, tops,
-    paths and neutral words, so only unwanted words tell them apart."""
+def labelled_urls(unwanted: tuple[str, ...] = tuple(UNWANTED), neutral: tuple[str, ...] = tuple(NEUTRAL)) -> list[tuple[str, int]]:
+    """The labelled table (url, 1 to block), made by a rule from words: both classes use the same kinds of hosts, tops, paths and
+    neutral words, so only unwanted words tell them apart. Words that are left out are nowhere in the table."""
     out, turn = [], 0
 
     def pick(choices):
@@ -55,25 +55,25 @@ def labelled_urls() -> list[tuple[str, int]]:
 
     def page() -> str:
         number = zlib.crc32(f"page {turn}".encode()) % 10_000
-        return pick((f"{pick(('en', 'de', 'fr', 'es'))}/{number}", f"{pick(('en', 'de', 'fr', 'es'))}/{number}.html", f"{pick(NEUTRAL)}/{number}/", f"{pick(NEUTRAL)}/{pick(NEUTRAL)}", f"{number}?page=2&ref=x", ""))
+        return pick((f"{pick(('en', 'de', 'fr', 'es'))}/{number}", f"{pick(('en', 'de', 'fr', 'es'))}/{number}.html", f"{pick(neutral)}/{number}/", f"{pick(neutral)}/{pick(neutral)}", f"{number}?page=2&ref=x", ""))
 
     def add(name: str, path: str, bad: int) -> None:
         out.append((f"{pick(('http', 'https'))}://{pick(_SUBS)}{name}.{pick(_TOPS)}/{path}", bad))
 
-    for word in UNWANTED:
+    for word in unwanted:
         for _ in range(6):
-            add(f"{word}-{pick(UNWANTED)}", page(), 1)
+            add(f"{word}-{pick(unwanted)}", page(), 1)
             add(f"{word}-{pick('abcxyz0123456789')}", page(), 1)
-            add(f"{pick(NEUTRAL)}-{word}", page(), 1)
-            add(f"{pick(UNWANTED)}{word}", page(), 1)
-            add(f"{word}{pick(NEUTRAL)}", page(), 1)
-            add(pick(NEUTRAL) + pick(NEUTRAL), f"{word}/{page()}", 1)
-    for word in NEUTRAL:
+            add(f"{pick(neutral)}-{word}", page(), 1)
+            add(f"{pick(unwanted)}{word}", page(), 1)
+            add(f"{word}{pick(neutral)}", page(), 1)
+            add(pick(neutral) + pick(neutral), f"{word}/{page()}", 1)
+    for word in neutral:
         for _ in range(6):
-            add(f"{word}-{pick(NEUTRAL)}", page(), 0)
+            add(f"{word}-{pick(neutral)}", page(), 0)
             add(f"{word}-{pick('abcxyz0123456789')}", page(), 0)
-            add(f"{pick(NEUTRAL)}{word}", page(), 0)
-            add(word, f"{pick(NEUTRAL)}/{page()}", 0)
+            add(f"{pick(neutral)}{word}", page(), 0)
+            add(word, f"{pick(neutral)}/{page()}", 0)
     for k in range(1000):
         name = "".join(pick(_PAIRS) for _ in range(1 + k % 5))
         add(name if k % 3 else f"{name}-{pick(_PAIRS)}{pick(_PAIRS)}", page(), 0)

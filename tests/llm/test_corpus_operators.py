@@ -273,6 +273,24 @@ def test_url_model_holds_out():
     assert not any(map(says, ("http://m.thonth.example.org/fr/6073?page=2", "https://wiki.example.org/wiki/Photosynthesis", "https://www.cityherald.example/news/2024/council-vote", "https://tiontion.example.net/de/7701/", "http://a.io/", "nothing")))
 
 
+def leave_words_out(part, parts=5):
+    """The share of URLs blocked, of good ones and of bad ones made of words that the model has never seen."""
+    of = lambda words: [tuple(w for k, w in enumerate(words) if (k % parts == part) == left) for left in (False, True)]
+    (bad, new_bad), (good, new_good) = of(url_filter.UNWANTED), of(url_filter.NEUTRAL)
+    w, threshold = url_filter.train(tuple(url_filter.labelled_urls(bad, good)))
+    blocked = {0: [], 1: []}
+    for url, y in url_filter.labelled_urls(new_bad, new_good):
+        blocked[y].append(url_filter.probability(w, url_filter.grams(*url_filter.split_url(url))) >= threshold)
+    url_filter.labelled_urls.cache_clear()
+    return np.mean(blocked[0]), np.mean(blocked[1])
+
+
+def test_url_model_on_words_it_has_never_seen():
+    """Good hosts of new words stay; new unwanted words are found only as far as their letters are like those of known ones."""
+    good, bad = zip(*(leave_words_out(k) for k in (0, 1)), strict=True)
+    assert max(good) <= 0.1 and np.mean(bad) > 2 * np.mean(good)
+
+
 def test_urls_by_brute_force(spark, table):
     """Host, path, the longest rule and the verdict of every page, by plain string work."""
     w, threshold = url_filter.train(tuple(url_filter.labelled_urls()))
@@ -383,6 +401,18 @@ def test_scores_know_every_repeated_pair(spark):
     assert len(rare) == 120 and np.mean(rare) > -12
 
 
+def test_names_by_doubling_are_ranks():
+    """Suffixes have one name exactly if they have one rank at that depth."""
+    rng = np.random.default_rng(7)
+    for depth in (1, 2, 3, 5, 8):
+        tokens = rng.integers(0, 3, 300).astype(np.uint64)
+        names, ranks = html_text.doubled_names(tokens, depth), html_text.suffix_ranks(tokens.astype(np.int64), depth)
+        assert len(names) == 300 - depth + 1
+        pairs = set(zip(names.tolist(), ranks[: len(names)].tolist(), strict=True))
+        assert len(pairs) == len(set(names.tolist())) and len({r for _, r in pairs}) == len(pairs)
+    assert len(html_text.doubled_names(np.array([], np.uint64), 8)) == len(html_text.doubled_names(np.array([1], np.uint64), 8)) == 0
+
+
 def test_html_repeats_over_a_whole_host(spark):
     """A passage on two pages goes however large their host is, and a page given twice is still one page."""
     passage = "<p>Please read the terms of use of this site before you go on.</p>"
