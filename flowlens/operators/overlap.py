@@ -32,9 +32,13 @@ def pair_counts(acc: DataFrame) -> DataFrame:
 
 def jaccard(acc: DataFrame) -> DataFrame:
     """All pairs of learners with counts, intersection, union, Jaccard and both acceptance rates."""
-    n = acc.groupBy("learner").agg(F.count_distinct("row_index").alias("n"))
+    return jaccard_from_counts(acc.groupBy("learner").agg(F.count_distinct("row_index").alias("n")), pair_counts(acc))
+
+
+def jaccard_from_counts(n: DataFrame, both: DataFrame) -> DataFrame:
+    """jaccard() from counters: learner, n and learner_a, learner_b, both."""
     a, b = n.select(F.col("learner").alias("learner_a"), F.col("n").alias("count_a")), n.select(F.col("learner").alias("learner_b"), F.col("n").alias("count_b"))
-    out = a.join(b, F.col("learner_a") < F.col("learner_b")).join(pair_counts(acc), ["learner_a", "learner_b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    out = a.join(b, F.col("learner_a") < F.col("learner_b")).join(both, ["learner_a", "learner_b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     union = F.col("count_a") + F.col("count_b") - F.col("both")
     return out.withColumns({"either": union, "jaccard": F.when(union > 0, F.col("both") / union).otherwise(0.0), "a_to_b": F.col("both") / F.col("count_a"), "b_to_a": F.col("both") / F.col("count_b")})
 

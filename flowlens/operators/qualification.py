@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.stats import concentration, log_score, normal_entropy, richness
 
-from .topology import degrees, edges, endpoint, graph_stats
+from flowlens.session import keep
+
+from .topology import degrees, endpoint, graph_stats
 
 #: Kinds of keys that are counted.
 _KINDS = ("dst_port", "src_port", "endpoint_edge", "host_edge", "dst_host", "src_endpoint", "dst_endpoint")
@@ -30,11 +32,11 @@ def key_counts(df: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group, "p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def temporal_metrics(df: DataFrame, group: str, time: str = "ts", local_bins: int = 100) -> DataFrame:
+def temporal_metrics(df: DataFrame, group: str, time: str = "ts", local_bins: int = 100, ends: DataFrame | None = None) -> DataFrame:
     """burst: concentration over bins of the group's own span and how little of the whole span it fills. spread: entropy over
-    occupied bins of the whole span. uniformity: entropy over occupied own bins."""
+    occupied bins of the whole span. uniformity: entropy over occupied own bins. ends: group, _low, _high if they are known."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    ends = df.groupBy(group).agg(F.min(us).alias("_low"), F.max(us).alias("_high"))
+    ends = df.groupBy(group).agg(F.min(us).alias("_low"), F.max(us).alias("_high")) if ends is None else ends
     whole = ends.agg(F.min("_low").alias("_w0"), F.max("_high").alias("_w1"))
     # bins of the whole span: an hour each, 128 to 2048 of them
     bins = F.greatest(F.lit(128), F.least(F.lit(2048), F.floor((F.col("_w1") - F.col("_w0")) / 1e6 / 3600)))
@@ -55,21 +57,26 @@ def metrics(df: DataFrame, group: str = "learner") -> DataFrame:
 
     df has src_ip, dst_ip, src_port, dst_port, ts, fwd, bwd. low_reciprocity is null where a group has no packets.
     """
-    counts = key_counts(df, group).withColumn("total", F.sum("n").over(Window.partitionBy(group, "kind")))
+    held = keep(key_counts(df, group), "key-counts")  # edges and degrees come from it as well
+    counts = held.withColumn("total", F.sum("n").over(Window.partitionBy(group, "kind")))
     by = counts.groupBy(group, "kind").agg(
         normal_entropy(F.col("n"), F.col("total")).alias("h"), F.max(F.col("n") / F.col("total")).alias("top"), F.count(F.lit(1)).alias("u"), F.max("total").alias("flows")
     )
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
     flat = by.groupBy(group).agg(F.max("flows").alias("flows"), *[of(k, v).alias(f"_{k}_{v}") for k in _KINDS for v in ("h", "top", "u")])
-    endpoint_edges = edges(df, [group], endpoint(F.col("src_ip"), F.col("src_port")), endpoint(F.col("dst_ip"), F.col("dst_port")))
-    hosts = degrees(edges(df, [group], F.col("src_ip"), F.col("dst_ip")), [group]).groupBy(group).agg(
+    ends = F.split("key", " -> ")
+    edge = lambda kind: held.where(F.col("kind") == kind).select(group, ends[0].alias("src"), ends[1].alias("dst"), "n")
+    endpoint_edges = edge("endpoint_edge")
+    hosts = degrees(edge("host_edge"), [group]).groupBy(group).agg(
         (F.max("in_degree") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("host_max_in_degree_ratio"), (F.max("out_degree") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("host_max_out_degree_ratio")
     )
     points = graph_stats(endpoint_edges, [group]).select(
         group, "leaf_ratio", F.col("nodes").alias("_nodes"), "edge_per_node", F.col("max_in_ratio").alias("max_in_degree_ratio"), F.col("max_out_ratio").alias("max_out_degree_ratio")
     )
-    packets = df.groupBy(group).agg(F.sum(F.least("fwd", "bwd")).alias("_min"), F.sum(F.col("fwd") + F.col("bwd")).alias("_sum"))
-    wide = flat.join(hosts, group).join(points, group).join(packets, group).join(temporal_metrics(df, group), group)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    sums = keep(df.groupBy(group).agg(F.sum(F.least("fwd", "bwd")).alias("_min"), F.sum(F.col("fwd") + F.col("bwd")).alias("_sum"), F.min(us).alias("_low"), F.max(us).alias("_high")), "sums")
+    times = temporal_metrics(df, group, ends=sums.select(group, "_low", "_high"))
+    wide = flat.join(hosts, group).join(points, group).join(sums.select(group, "_min", "_sum"), group).join(times, group)
     col = lambda k, v: F.col(f"_{k}_{v}")
     reuse = F.col("flows") / col("endpoint_edge", "u")
     raw: dict[str, tuple[Column, Column | None]] = {

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from flowlens.session import discard, keep
 
+from .aggregates import group_profile
+
 
 def endpoint(ip: Column, port: Column) -> Column:
     """ip:port; a port that is no number is 0."""
@@ -80,6 +82,15 @@ def neighbours(edge: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, "p.node", "p.other").distinct().groupBy(*key, "node").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
+def learner_views(rows: DataFrame, label: str = "label", learner: str = "learner", least: int = 300, most: int = 50, unknown: tuple[str, ...] = ("", "UNKNOWN")) -> DataFrame:
+    """learner, place, total, attack_ratio, dominant_label, dominant_ratio of the `most` learners with most flows that have `least` flows
+    and a name; in the order of their attack ratio, then of flows and name."""
+    views = group_profile(rows, learner, label).where((F.col("total") >= least) & ~F.col(learner).isin(*unknown))
+    views = views.orderBy(F.col("total").desc(), learner).limit(most)
+    order = Window.orderBy(F.col("attack_ratio").desc(), F.col("total").desc(), learner)  # at most `most` rows
+    return views.select(learner, F.row_number().over(order).cast("long").alias("place"), "total", "attack_ratio", "dominant_label", "dominant_ratio")
+
+
 def with_reverse(edge: DataFrame, key: list[str]) -> DataFrame:
     """Adds back: the flows of the opposite edge, 0 without one."""
     other = edge.select(*key, F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("n").alias("_b"))

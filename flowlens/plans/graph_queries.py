@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import base_label, is_benign
 from flowlens.functions.stats import concentration, log_score, normal_entropy, richness
 from flowlens.operators import aggregates as A
+from flowlens.operators import claims as K
 from flowlens.operators import evaluation as V
 from flowlens.operators import overlap as O
 from flowlens.operators import qualification as Q
@@ -272,16 +273,15 @@ def _owners(s, d):
 
 
 register("jn19_quota_claims", lambda s, d: _claims(s, d).groupBy("claimer", "label").agg(_n().alias("n"), F.min("row_index").cast("long").alias("first")), W + """, u AS (SELECT row_index, label, row_number() OVER (PARTITION BY label ORDER BY row_index) AS r FROM base WHERE learner = 'UNKNOWN'), q AS (SELECT learner, label, CAST(ceil(count(*) / 20) AS BIGINT) AS quota FROM base WHERE learner <> 'UNKNOWN' GROUP BY ALL),
-  c AS (SELECT *, sum(quota) OVER (PARTITION BY label ORDER BY learner) AS hi FROM q) SELECT c.learner AS claimer, u.label, count(*) AS n, min(row_index) AS first FROM u JOIN c ON u.label = c.label AND u.r > hi - quota AND u.r <= hi GROUP BY ALL""".replace("AS first", 'AS "first"'))
+  o AS (SELECT learner, min(row_index) AS born FROM base WHERE learner <> 'UNKNOWN' GROUP BY 1), c AS (SELECT q.*, sum(quota) OVER (PARTITION BY label ORDER BY born) AS hi FROM q JOIN o USING (learner))
+  SELECT c.learner AS claimer, u.label, count(*) AS n, min(row_index) AS first FROM u JOIN c ON u.label = c.label AND u.r > hi - quota AND u.r <= hi GROUP BY ALL""".replace("AS first", 'AS "first"'))
 
 
 def _claims(s, d):
-    """Each learner in turn claims UNKNOWN rows of a label up to its quota: a running sum of quotas against row numbers."""
+    """Learners in the order of their first flow claim UNKNOWN flows of each label up to a twentieth of their own."""
     f = indexed_flows(s, d)
-    unknown = f.where("learner = 'UNKNOWN'").select("row_index", "label", F.row_number().over(Window.partitionBy("label").orderBy("row_index")).alias("r"))
-    quota = f.where("learner <> 'UNKNOWN'").groupBy("learner", "label").agg(F.ceil(_n() / 20).alias("quota"))
-    quota = quota.withColumn("hi", F.sum("quota").over(Window.partitionBy("label").orderBy("learner"))).withColumnRenamed("learner", "claimer")
-    return unknown.join(quota, "label").where((F.col("r") > F.col("hi") - F.col("quota")) & (F.col("r") <= F.col("hi")))
+    created = f.where("learner <> 'UNKNOWN'").groupBy("learner", "label").agg(F.ceil(_n() / 20).alias("need"), F.min("row_index").alias("born"))
+    return K.claim_rows(f.where("learner = 'UNKNOWN'"), K.births_of(created))
 
 
 register("st4_set_operations", lambda s, d: _sets(s, d), "WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000) SELECT 'both' AS what, k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'first', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'either', k FROM (SELECT k FROM a UNION SELECT k FROM b)")
