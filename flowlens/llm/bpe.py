@@ -157,25 +157,25 @@ class PairIndexBpe:
 
 
 class TextEncoder:
-    """Texts to ids, with bounded memories of chunks and words. `merge` gives the ids of words not seen before; the pair
-    index gets those of a stretch of texts together, the library one by one."""
+    """Texts to ids, with one bounded memory of words and of chunks of words and signs. `merge` gives the ids of words not seen
+    before; the pair index gets those of a stretch of texts together, the library one by one."""
 
     def __init__(self, bpe: PairIndexBpe, merge=None):
         self.bpe, self.merge, self.together = bpe, merge or bpe.merge_words, merge is None
-        self.words = Memo(lambda w: self.merge([w.encode("utf-8")])[0])
-        self.chunks = Memo(self._chunk)
+        self.known = Memo(self._chunk, most=160_000_000)
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():  # one word
-            return self.words[chunk]
-        return b"".join(map(self.words.__getitem__, self.bpe.pattern.findall(chunk)))
+        words = [chunk] if chunk.isalpha() else self.bpe.pattern.findall(chunk)
+        if words == [chunk]:
+            return self.merge([chunk.encode("utf-8")])[0]
+        return b"".join(map(self.known.__getitem__, words))
 
     def _learn(self, words) -> None:
-        new = [w for w in words if w not in self.words]
+        new = [w for w in words if w not in self.known]
         if new:
             for word, ids in zip(new, self.merge([w.encode("utf-8") for w in new]), strict=True):
-                self.words[word] = ids
-                self.words.note(word, ids)
+                self.known[word] = ids
+                self.known.note(word, ids)
 
     def _plain(self, text: str) -> bool:
         try:
@@ -210,18 +210,17 @@ class TextEncoder:
             at = end
 
     def _stretch(self, texts):
-        self.chunks.trim()
-        self.words.trim()
+        self.known.trim()
         split, new = [], set()
         for text in texts:
             plain = not text or (self._plain(text) and not (self.bpe.specials and self.bpe.specials.search(text)))
             if plain:
                 chunks = (text or "").lower().split()
                 if not self.together:
-                    yield b"".join(map(self.chunks.__getitem__, chunks))
+                    yield b"".join(map(self.known.__getitem__, chunks))
                     continue
                 split.append(chunks)
-                new.update([c for c in set(chunks) if c not in self.chunks])
+                new.update([c for c in set(chunks) if c not in self.known])
             elif self.together:
                 split.append(text)
             else:
@@ -229,7 +228,7 @@ class TextEncoder:
         if new:
             self._learn({w for c in new for w in self.bpe.pattern.findall(c)})
         for chunks in split:
-            yield self._odd(chunks) if isinstance(chunks, str) else b"".join(map(self.chunks.__getitem__, chunks))
+            yield self._odd(chunks) if isinstance(chunks, str) else b"".join(map(self.known.__getitem__, chunks))
 
 
 @functools.lru_cache(maxsize=2)

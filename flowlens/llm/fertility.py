@@ -149,7 +149,7 @@ class Speller:
         self.model, self.is_byte = _model(path or default_path())
         self.multi = _ranks(multi or default_multi())
         self.hashes = Memo(hash_word)
-        self.pieces = Memo(lambda word: self._spell([word])[0], most=120_000_000)
+        self.pieces = Memo(lambda word: self._spell([word])[0], most=80_000_000)
 
     def _spell(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]

@@ -37,15 +37,20 @@ def kd_shards(rows: DataFrame, shards: int, dimensions: list[str], size: str = "
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
     rows has doc_id, a long `size` and the dimensions as non-negative long values (nulls count as 0). Rows equal in
-    doc_id and size may come repeatedly; each gets its own slot. An empty table gives none.
+    doc_id and size may come repeatedly; each gets its own slot. An empty table gives none. Other columns come back as they are,
+    whatever their names; those named shard or slot give way to the results.
     """
     spark = rows.sparkSession
+    given = [c for c in rows.columns if c not in ("shard", "slot")]
+    inside = {c: f"u{k}" for k, c in enumerate(given)}  # no name of the caller's meets one of ours
+    rows = rows.select(*[F.col(f"`{c}`").alias(u) for c, u in inside.items()])
+    dimensions, size, doc_id = [inside[d] for d in dimensions], inside[size], inside["doc_id"]
     dims = [F.coalesce(F.col(d), F.lit(0)) for d in dimensions]
     mask = F.lit(2**_HASH - 1)
     base = rows.select(
         "*",
         *[d.cast("long").alias(f"d{i}") for i, d in enumerate(dims)],
-        F.xxhash64(F.lit(11), "doc_id", F.monotonically_increasing_id()).bitwiseAND(mask).alias("h"),
+        F.xxhash64(F.lit(11), doc_id, F.monotonically_increasing_id()).bitwiseAND(mask).alias("h"),
         F.lit(0).alias("cell"),
     )
     base = save(base, "kd-base")
@@ -104,8 +109,8 @@ def kd_shards(rows: DataFrame, shards: int, dimensions: list[str], size: str = "
     placed = placed.withColumn("part", F.pmod(F.col("h"), F.lit(buckets)))
     each = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = each.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", "doc_id")) - 1
-    out = placed.withColumn("own", own).join(before, ["shard", "part"]).select(*rows.columns, "shard", (F.col("base") + F.col("own")).cast("long").alias("slot"))
+    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", doc_id)) - 1
+    out = placed.withColumn("own", own).join(before, ["shard", "part"]).select(*[F.col(u).alias(c) for c, u in inside.items()], "shard", (F.col("base") + F.col("own")).cast("long").alias("slot"))
     out = save(out, "kd-shards")
     drop(base)
     return out

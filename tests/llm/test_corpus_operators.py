@@ -159,6 +159,43 @@ def test_shards(spark, table):
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 8 for r in rows)
 
 
+def plain_shards(rows, shards):
+    """doc_id -> shard: cells split in turn at the weighted quantile of their widest dimension. rows: doc_id, size, x, y; no value twice."""
+    low, top = [min(r[k] for r in rows) for k in (2, 3)], [max(r[k] for r in rows) for k in (2, 3)]
+    place = lambda r, k: math.floor((r[2 + k] - low[k]) * ((2**24 - 1) / (top[k] - low[k])))
+    out = {}
+
+    def split(cell, first, m):
+        if m == 1:
+            out.update((r[0], first) for r in cell)
+            return
+        width = [max(place(r, k) for r in cell) - min(place(r, k) for r in cell) for k in (0, 1)]
+        k = 0 if width[0] >= width[1] else 1
+        goal, below, order = sum(r[1] for r in cell) * (m // 2) / m, 0, sorted(cell, key=lambda r: place(r, k))
+        cut = len(order)
+        for i, r in enumerate(order):
+            if below + r[1] > goal and not below + r[1] - goal < goal - below:
+                cut = i
+                break
+            below += r[1]
+        split(order[:cut], first, m // 2)
+        split(order[cut:], first + m // 2, m - m // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 24])
+def test_shards_are_those_of_a_plain_tree(spark, shards):
+    rng = random.Random(shards)
+    x, y = rng.sample(range(10**6), 700), rng.sample(range(3 * 10**6), 700)
+    rows = [(k, rng.randint(8, 400), x[k], y[k]) for k in range(700)]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, size long, x long, y long, h int, cell string").repartition(5)
+    got = kd_shards.kd_shards(df, shards, ["x", "y"]).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == plain_shards(rows, shards)
+    assert got[0].asDict().keys() == {"doc_id", "size", "x", "y", "h", "cell", "shard", "slot"} and {r["cell"] for r in got} == {"z"}
+
+
 def test_shards_split_a_single_value(spark):
     df = spark.range(4800).selectExpr("id as doc_id", "'same text' as text", "'one' as source", "'en' as lang", "9L as n_chars")
     n = Counter(r["shard"] for r in kd_shards.document_shards(df, 24).collect())
@@ -347,6 +384,24 @@ def test_toxicity_held_out(spark):
     assert len(chain.weights[2]) == len(chain.features) + 2
 
 
+def test_chain_scores_by_brute_force(spark, table):
+    """Each category's probability from the features that a text has and the probabilities of the categories before it."""
+    docs = table("documents")
+    chain = toxicity.fit_chain(docs, toxicity.chain_labels(table("labels")), toxicity.CATEGORIES, per_category=40)
+    names, n = {v: k for k, v in chain.features.items()}, len(chain.features)
+    got = {r["doc_id"]: r for r in toxicity.judge_toxicity(docs, chain).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        has = {f for w in (r["text"] or "").lower().split() for f in toxicity.features_of(w)}
+        earlier = []
+        for c, w, b in zip(chain.categories, chain.weights, chain.biases, strict=True):
+            z = b + sum(w[k] for k in range(n) if names[k] in has) + sum(w[n + j] * p for j, p in enumerate(earlier))
+            earlier.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+            assert got[r["doc_id"]][f"p_{c}"] == pytest.approx(earlier[-1], abs=1e-9)
+        assert got[r["doc_id"]]["toxic"] == (earlier[-1] >= 0.5)
+    assert all(len(w) == n + j for j, w in enumerate(chain.weights)) and any(abs(w[n:]).max() > 0 for w in chain.weights[1:])
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
