@@ -21,7 +21,8 @@ _REST = r"trim(CASE WHEN trim(label) RLIKE '^20\\d{2}\\|' THEN substring(trim(la
 SQL_FUNCTIONS = [
     ("is_benign_label", "label STRING", "BOOLEAN", f"upper({_REST}) = 'BENIGN' OR upper({_REST}) LIKE 'BENIGN|%'"),
     ("label_year_tag", "label STRING", "STRING", r"CASE WHEN trim(label) RLIKE '^20\\d{2}\\|' THEN left(trim(label), 4) END"),
-    ("norm_entropy", "counts ARRAY<DOUBLE>", "DOUBLE", "CASE WHEN size(counts) <= 1 THEN 0D ELSE least(1D, greatest(0D, aggregate(counts, 0D, (s, n) -> s - n / aggregate(counts, 0D, (a, b) -> a + b) * ln(n / aggregate(counts, 0D, (a, b) -> a + b))) / ln(size(counts)))) END"),
+    ("norm_entropy", "counts ARRAY<DOUBLE>", "DOUBLE", "CASE WHEN size(counts) <= 1 THEN 0D ELSE least(1D, greatest(0D, aggregate(counts, 0D, (s, n) "
+        "-> s - n / aggregate(counts, 0D, (a, b) -> a + b) * ln(n / aggregate(counts, 0D, (a, b) -> a + b))) / ln(size(counts)))) END"),
     ("safe_div", "a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN b = 0 THEN 0D ELSE a / b END"),
     ("soft_probability", "margin DOUBLE, k DOUBLE", "DOUBLE", "1 / (1 + exp(-k * margin))"),
 ]

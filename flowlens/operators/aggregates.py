@@ -37,7 +37,8 @@ def protocol_mix(df: DataFrame, group: str, protocol: str = "protocol") -> DataF
     of = lambda test: F.sum(F.coalesce(test, F.lit(False)).cast("long"))
     mix = df.groupBy(group).agg(n.alias("n"), share(of(F.col(protocol) == 6), n).alias("tcp"), share(of(F.col(protocol) == 17), n).alias("udp"))
     mix = mix.withColumn("other", F.round(1 - F.col("tcp") - F.col("udp"), 12)).withColumn("concentration", F.greatest("tcp", "udp"))
-    kind = F.when(F.col("tcp") >= 0.8, "TCP_CLUSTER").when(F.col("udp") >= 0.8, "UDP_CLUSTER").when(F.col("other") >= 0.6, "OTHER_CLUSTER").otherwise("MIXED_CLUSTER")
+    kind = F.when(F.col("tcp") >= 0.8, "TCP_CLUSTER").when(F.col("udp") >= 0.8, "UDP_CLUSTER").when(F.col("other") >= 0.6,
+        "OTHER_CLUSTER").otherwise("MIXED_CLUSTER")
     return mix.withColumn("kind", kind)
 
 
@@ -51,19 +52,23 @@ def port_stats(df: DataFrame, group: str, target: str = "dst_port", source: str
     """Of the target ports their number of rows, distinct ones, normal entropy, concentration (1 - entropy), sum of squared
     shares, and the top port (ties: the smallest; 0 without ports) with its share; of the source ports entropy and distinct
     ones; and the class of the group. Ports that are null don't count."""
-    parts = F.array(F.struct(F.lit("t").alias("side"), F.col(target).cast("long").alias("port")), F.struct(F.lit("s").alias("side"), F.col(source).cast("long").alias("port")))
+    parts = F.array(F.struct(F.lit("t").alias("side"), F.col(target).cast("long").alias("port")), F.struct(F.lit("s").alias("side"),
+        F.col(source).cast("long").alias("port")))
     n = df.select(group, F.explode(parts).alias("p")).groupBy(group, "p.side", "p.port").agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("n", F.when(F.col("port").isNotNull(), F.col("n")))
     of = lambda side: F.when(F.col("side") == side, F.col("n"))
     t = of("t")
     out = n.groupBy(group).agg(
-        F.coalesce(F.sum(t), F.lit(0)).alias("n"), F.count(t).alias("ports"), _counts_entropy(t).alias("entropy"), F.coalesce(F.sum(t * t) / (F.sum(t) * F.sum(t)), F.lit(0.0)).alias("hhi"),
+        F.coalesce(F.sum(t), F.lit(0)).alias("n"), F.count(t).alias("ports"), _counts_entropy(t).alias("entropy"),
+            F.coalesce(F.sum(t * t) / (F.sum(t) * F.sum(t)), F.lit(0.0)).alias("hhi"),
         F.max(F.struct(t.alias("n"), (-F.col("port")).alias("port"))).alias("_top"), F.coalesce(F.max(t) / F.sum(t), F.lit(0.0)).alias("top_share"),
         _counts_entropy(of("s")).alias("source_entropy"), F.count(of("s")).alias("source_ports"),
     )
-    kind = F.when(F.col("ports") <= 0, "UNKNOWN").when((F.col("top_share") < 0.15) & (F.col("ports") >= 200), "PORT_SCAN_LIKE").when((F.col("top_share") > 0.9) & (F.col("ports") <= 3), "SINGLE_PORT").otherwise("SERVICE_LIKE")
+    kind = F.when(F.col("ports") <= 0, "UNKNOWN").when((F.col("top_share") < 0.15) & (F.col("ports") >= 200),
+        "PORT_SCAN_LIKE").when((F.col("top_share") > 0.9) & (F.col("ports") <= 3), "SINGLE_PORT").otherwise("SERVICE_LIKE")
     top = F.when(F.col("_top.n").isNotNull(), -F.col("_top.port")).otherwise(F.lit(0)).cast("long")
-    return out.select(group, "n", "ports", "entropy", F.when(F.col("n") > 0, 1 - F.col("entropy")).otherwise(0.0).alias("concentration"), "hhi", top.alias("top_port"), "top_share", "source_entropy", "source_ports", kind.alias("kind"))
+    return out.select(group, "n", "ports", "entropy", F.when(F.col("n") > 0, 1 - F.col("entropy")).otherwise(0.0).alias("concentration"), "hhi",
+        top.alias("top_port"), "top_share", "source_entropy", "source_ports", kind.alias("kind"))
 
 
 def temporal_stats(df: DataFrame, group: str, time: str = "ts", bins: int = 256) -> DataFrame:
@@ -73,8 +78,10 @@ def temporal_stats(df: DataFrame, group: str, time: str = "ts", bins: int = 256)
     us = F.unix_micros(F.col(time).cast("timestamp"))
     whole = df.agg(F.min(us).alias("_w0"), F.max(us).alias("_w1")).where("_w0 is not null")
     rows = df.select(group, us.alias("_t")).join(F.broadcast(whole), how="cross")  # one row
-    at = F.when(F.col("_w1") == F.col("_w0"), bins - 1).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_t") - F.col("_w0")) * bins / (F.col("_w1") - F.col("_w0")))))
-    n = rows.groupBy(group, F.when(F.col("_t").isNotNull(), at).alias("_bin")).agg(F.count("_t").alias("_n"), F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.first("_w0").alias("_w0"), F.first("_w1").alias("_w1"))
+    at = F.when(F.col("_w1") == F.col("_w0"), bins - 1).otherwise(F.least(F.lit(bins - 1),
+        F.floor((F.col("_t") - F.col("_w0")) * bins / (F.col("_w1") - F.col("_w0")))))
+    n = rows.groupBy(group, F.when(F.col("_t").isNotNull(), at).alias("_bin")).agg(F.count("_t").alias("_n"), F.min("_t").alias("_low"),
+        F.max("_t").alias("_high"), F.first("_w0").alias("_w0"), F.first("_w1").alias("_w1"))
     c = F.when(F.col("_bin").isNotNull(), F.col("_n"))
     out = n.groupBy(group).agg(
         F.sum("_n").alias("n"), ((F.max("_high") - F.min("_low")) / 1e6).alias("_span"), ((F.first("_w1") - F.first("_w0")) / 1e6).alias("_all"),
@@ -98,7 +105,8 @@ def stability(df: DataFrame, group: str, index: str, size: int) -> DataFrame:
     n = df.where(F.col(index) >= 0).groupBy(group, F.floor(F.col(index) / size).alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
     windows = n.agg((F.max("_w") + 1).alias("_all"))
     n = n.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_n")))  # a row for each window
-    per = n.groupBy(group).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"), F.map_from_entries(F.collect_list(F.struct("_rank", "_n"))).alias("_at"))
+    per = n.groupBy(group).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"),
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_n"))).alias("_at"))
     per = per.join(F.broadcast(windows), how="cross")
     place = 0.95 * (F.col("_all") - 1)
     value = lambda i: F.coalesce(F.try_element_at("_at", (i - (F.col("_all") - F.col("_k")) + 1).cast("int")), F.lit(0))
@@ -132,7 +140,8 @@ def group_profile(df: DataFrame, group: str, label: str = "label") -> DataFrame:
 def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Pearson and Spearman (on average ranks) of each feature with the target; constant columns and those with fewer than
     two values are left out."""
-    rows = df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("p"))
+    rows = df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
+        F.col(c).cast("double").alias("x")) for c in features])).alias("p"))
     rows = rows.select("y", "p.feature", "p.x").where("x is not null and y is not null and not isnan(x)")
 
     def ranked(value: str) -> DataFrame:  # average ranks from counts of equal values, so no task sorts all rows of a feature
@@ -145,7 +154,8 @@ def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
         *[F.expr(f"{f}({a}, {b})").alias(f"{k}_{f}") for k, a, b in (("p", "x", "y"), ("s", "rank_x", "rank_y")) for f in ("covar_pop",)],
         *[F.stddev_pop(c).alias(f"sd_{c}") for c in ("x", "y", "rank_x", "rank_y")],
     ).where("n >= 2 and x0 < x1 and y0 < y1")
-    return out.select("feature", (F.col("p_covar_pop") / (F.col("sd_x") * F.col("sd_y"))).alias("pearson"), (F.col("s_covar_pop") / (F.col("sd_rank_x") * F.col("sd_rank_y"))).alias("spearman"))
+    return out.select("feature", (F.col("p_covar_pop") / (F.col("sd_x") * F.col("sd_y"))).alias("pearson"),
+        (F.col("s_covar_pop") / (F.col("sd_rank_x") * F.col("sd_rank_y"))).alias("spearman"))
 
 
 def gini(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -170,7 +180,9 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 def binary_rates(df: DataFrame, attack: Column, flagged: Column, group: list[str] | None = None) -> DataFrame:
     """tp, fp, tn, fn and the rates; a rate without a base is null."""
     n = lambda test: F.sum(test.cast("long"))
-    out = df.groupBy(*(group or [])).agg(n(attack & flagged).alias("tp"), n(~attack & flagged).alias("fp"), n(~attack & ~flagged).alias("tn"), n(attack & ~flagged).alias("fn"))
+    out = df.groupBy(*(group or [])).agg(n(attack & flagged).alias("tp"), n(~attack & flagged).alias("fp"), n(~attack & ~flagged).alias("tn"),
+        n(attack & ~flagged).alias("fn"))
     rate = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
     total = reduce(Column.__add__, [F.col(c) for c in ("tp", "fp", "tn", "fn")])
-    return out.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp"), "tpr": rate("tp", "fn"), "tnr": rate("tn", "fp"), "accuracy": F.when(total > 0, (F.col("tp") + F.col("tn")) / total)})
+    return out.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp"), "tpr": rate("tp", "fn"), "tnr": rate("tn", "fp"),
+        "accuracy": F.when(total > 0, (F.col("tp") + F.col("tn")) / total)})

@@ -38,13 +38,15 @@ def claim_rows(unowned: DataFrame, births: list[tuple[str, int, dict[str, int]]]
     placed = keep(placed.select("row_index", "label", F.col("_one_before").alias("_at")), "unowned")
     available = {r["label"]: r["n"] for r in placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
     ranges = unowned.sparkSession.createDataFrame(claim_ranges(available, births), "claimer string, label string, _from long, _to long")
-    return placed.join(F.broadcast(ranges), "label").where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("row_index", "label", "claimer")
+    return placed.join(F.broadcast(ranges), "label").where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("row_index",
+        "label", "claimer")
 
 
 def births_of(created: DataFrame) -> list[tuple[str, int, dict[str, int]]]:
     """What claim_rows takes, from created (learner, label, need, born): learners by their smallest `born`, labels by need and name."""
     order = created.groupBy("learner").agg(F.min("born").alias("born"), F.sum("need").alias("samples"))
-    rows = created.select("learner", "label", "need").join(order, "learner").orderBy("born", "learner", F.col("need").desc(), "label").collect()  # a row for each learner and label
+    rows = created.select("learner", "label", "need").join(order, "learner").orderBy("born", "learner", F.col("need").desc(),
+        "label").collect()  # a row for each learner and label
     out: dict[str, tuple[str, int, dict[str, int]]] = {}
     for r in rows:
         out.setdefault(r["learner"], (r["learner"], r["samples"], {}))[2][r["label"]] = r["need"]

@@ -146,7 +146,8 @@ def iqr_outlier(df: DataFrame, column: str) -> DataFrame:
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null and NaN become the column's median, 0 where there is none."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*")
-    med = exact_quantiles(long, ["column"], "x", [0.5], "m").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("m")[0]))).alias("_m"))  # one row
+    med = exact_quantiles(long, ["column"], "x", [0.5], "m").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("column",
+        F.col("m")[0]))).alias("_m"))  # one row
     filled = {c: F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.try_element_at("_m", F.lit(c)), F.lit(0.0)) for c in columns}
     return df.join(F.broadcast(med), how="cross").withColumns(filled).drop("_m")
 

@@ -32,7 +32,8 @@ def _scaled(rows: DataFrame, key: str, features: list[str]) -> tuple[DataFrame,
     features with the widest range."""
     names = [f"_f{k}" for k in range(len(features))]
     plain = rows.select(F.col(key).alias("_key"), *[clean(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(features, names, strict=True)])
-    stats = plain.agg(*[F.struct(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("low"), F.max(n).alias("high")).alias(n) for n in names]).first()
+    stats = plain.agg(*[F.struct(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("low"),
+        F.max(n).alias("high")).alias(n) for n in names]).first()
     scale = [(stats[n]["mean"] or 0.0, stats[n]["std"] or 1.0) for n in names]
     width = [((stats[n]["high"] or 0.0) - (stats[n]["low"] or 0.0)) / s for n, (_, s) in zip(names, scale, strict=True)]
     widest = sorted(range(len(names)), key=lambda k: (-width[k], k))[:_GRID]
@@ -73,7 +74,8 @@ def density_clusters(rows: DataFrame, key: str, features: list[str], eps: float,
     own = spots.join(weights, "cell")
     sparse = own.where(F.col("cell_w") < least)
     other = spots.select(F.col("cell").alias("b"), F.col("x").alias("y"), F.col("w").alias("y_w"))
-    counted = sparse.join(pairs.where(F.col("a_w") < least).select(F.col("a").alias("cell"), "b"), "cell").join(other, "b").where(_squared(F.col("x"), F.col("y")) <= limit)
+    counted = sparse.join(pairs.where(F.col("a_w") < least).select(F.col("a").alias("cell"), "b"), "cell").join(other, "b").where(_squared(F.col("x"),
+        F.col("y")) <= limit)
     extra = counted.groupBy("id").agg(F.sum("y_w").alias("more"))
     marked = own.join(extra, "id", "left").withColumn("core", F.col("cell_w") + F.coalesce("more", F.lit(0)) >= least)
     marked = keep(marked.select("id", "x", "w", "cell", "core"), "marked")
@@ -90,10 +92,12 @@ def density_clusters(rows: DataFrame, key: str, features: list[str], eps: float,
     meets = F.exists("a_tips", lambda p: F.exists("b_tips", lambda q: _squared(p, q) <= limit))
     touching = keep(touching.withColumn("meets", meets), "touching")
     # up to 2 d spots may all be tips; a pair of boxes further apart than eps is settled as well
-    gap = F.aggregate(F.zip_with(F.zip_with("a_low", "b_high", lambda p, q: p - q), F.zip_with("b_low", "a_high", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v * v)
+    gap = F.aggregate(F.zip_with(F.zip_with("a_low", "b_high", lambda p, q: p - q), F.zip_with("b_low", "a_high", lambda p, q: p - q), lambda p,
+        q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v * v)
     open_ = touching.where(~F.col("meets") & ((F.col("a_spots") > 2) | (F.col("b_spots") > 2)) & (gap <= limit))
     left = open_.join(core.select(F.col("cell").alias("a"), F.col("x").alias("p")), "a").where(_to_box(F.col("p"), F.col("b_low"), F.col("b_high")) <= limit)
-    both = left.join(core.select(F.col("cell").alias("b"), F.col("x").alias("q")), "b").where((_to_box(F.col("q"), F.col("a_low"), F.col("a_high")) <= limit) & (_squared(F.col("p"), F.col("q")) <= limit))
+    both = left.join(core.select(F.col("cell").alias("b"), F.col("x").alias("q")), "b").where((_to_box(F.col("q"), F.col("a_low"),
+        F.col("a_high")) <= limit) & (_squared(F.col("p"), F.col("q")) <= limit))
     edges = touching.where("meets").select("a", "b").unionAll(both.select("a", "b").distinct())
     named = lambda c: F.concat_ws(",", F.col(c))
     alone = box.select(named("cell").alias("src"), named("cell").alias("dst"))
@@ -105,7 +109,8 @@ def density_clusters(rows: DataFrame, key: str, features: list[str], eps: float,
     # the others: core spots of their own cell are all within eps
     border = marked.where("not core").select("id", "x", "cell")
     inside = border.join(cored.select("cell", "cluster").distinct(), "cell").select("id", "cluster")
-    beside = border.join(pairs.select(F.col("a").alias("cell"), "b"), "cell").join(cored.select(F.col("cell").alias("b"), F.col("x").alias("y"), "cluster"), "b").where(_squared(F.col("x"), F.col("y")) <= limit)
+    beside = border.join(pairs.select(F.col("a").alias("cell"), "b"), "cell").join(cored.select(F.col("cell").alias("b"), F.col("x").alias("y"),
+        "cluster"), "b").where(_squared(F.col("x"), F.col("y")) <= limit)
     taken = inside.unionAll(beside.select("id", "cluster")).groupBy("id").agg(F.min("cluster").alias("cluster"))
     found = cored.select("id", "cluster", F.lit(True).alias("core")).unionAll(taken.select("id", "cluster", F.lit(False)))
     found = found.join(spots.select("id", F.col("x").alias("_x")), "id")

@@ -29,7 +29,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
 
 def _quality(both: DataFrame, labels: DataFrame) -> float:
     one, two = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    by = both.join(one, "a").join(two, "b").groupBy(F.col("ca").alias("c")).agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    by = both.join(one, "a").join(two, "b").groupBy(F.col("ca").alias("c")).agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("ca") == F.col("cb"),
+        F.col("weight")).otherwise(0.0)).alias("inside"))
     got = by.groupBy().agg(F.sum("all").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("all") * F.col("all")).alias("squares")).first()
     return 0.0 if not got["m"] else got["inside"] / got["m"] - got["squares"] / got["m"] ** 2
 
@@ -39,12 +40,15 @@ def _wanted(both: DataFrame, labels: DataFrame, total: float) -> DataFrame:
     degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
     held = labels.join(degree, "node")
     size = held.groupBy("community").agg(F.sum("k").alias("size"))
-    near = both.where("a <> b").join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    near = both.where("a <> b").join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"),
+        "community").agg(F.sum("weight").alias("w"))
     own = held.select("node", "community", F.lit(0.0).alias("w"))
-    choices = near.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(size, "community").join(held.select("node", F.col("community").alias("now"), "k"), "node")
+    choices = near.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(size, "community").join(held.select("node",
+        F.col("community").alias("now"), "k"), "node")
     stays = F.col("community") == F.col("now")
     value = F.round(F.col("w") - F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0.0)) / total, 12)
-    best = choices.groupBy("node").agg(F.min(F.struct((-value).alias("less"), "community")).alias("best"), F.first("now").alias("community"), F.max(F.when(stays, value)).alias("now_value"))
+    best = choices.groupBy("node").agg(F.min(F.struct((-value).alias("less"), "community")).alias("best"), F.first("now").alias("community"),
+        F.max(F.when(stays, value)).alias("now_value"))
     gain = -F.col("best.less") - F.col("now_value")
     return best.select("node", "community", F.col("best.community").alias("to"), gain.alias("gain")).where(F.col("gain") > 1e-9)
 
@@ -55,8 +59,10 @@ def _settled(both: DataFrame, labels: DataFrame, total: float, best: float, roun
     for _ in range(rounds):
         wanted = keep(_wanted(both, labels, total), "wanted")
         rank = lambda c: F.struct(F.col("gain"), F.xxhash64(c), F.col(c))
-        around = both.where("a <> b").join(wanted.select(F.col("node").alias("b"), "gain"), "b").groupBy(F.col("a").alias("node")).agg(F.max(rank("b")).alias("rival"))
-        first = wanted.join(around, "node", "left").where(F.col("rival").isNull() | (F.struct(F.col("gain"), F.xxhash64("node"), F.col("node").alias("b")) > F.col("rival")))
+        around = both.where("a <> b").join(wanted.select(F.col("node").alias("b"), "gain"),
+            "b").groupBy(F.col("a").alias("node")).agg(F.max(rank("b")).alias("rival"))
+        first = wanted.join(around, "node", "left").where(F.col("rival").isNull() | (F.struct(F.col("gain"), F.xxhash64("node"),
+            F.col("node").alias("b")) > F.col("rival")))
         for movers in (first.select("node", "to"), wanted.orderBy(F.col("gain").desc(), "node").limit(1).select("node", "to")):
             after = keep(labels.join(movers, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "labels")
             quality = _quality(both, after)
@@ -85,12 +91,16 @@ def modularity_communities(edges: DataFrame, nodes: DataFrame | None = None, rou
         labels, best = _settled(both, labels, total, best, rounds)
         while True:  # communities become nodes
             start = best
-            one, two = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-            level = keep(both.join(one, "a").join(two, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
-            upper, best = _settled(level, level.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")), total, best, rounds)
+            one, two = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"),
+                F.col("community").alias("cb"))
+            level = keep(both.join(one, "a").join(two, "b").groupBy(F.col("ca").alias("a"),
+                F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
+            upper, best = _settled(level, level.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")), total,
+                best, rounds)
             if best <= start + 1e-9:
                 break
-            labels = keep(labels.withColumnRenamed("community", "_c").join(upper.select(F.col("node").alias("_c"), "community"), "_c").select("node", "community"), "labels")
+            labels = keep(labels.withColumnRenamed("community", "_c").join(upper.select(F.col("node").alias("_c"), "community"), "_c").select("node",
+                "community"), "labels")
         if best <= before + 1e-9:
             break
     name = labels.groupBy("community").agg(F.min("node").alias("_name"))

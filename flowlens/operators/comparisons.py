@@ -30,7 +30,8 @@ def fixed_fpr_rates(scored: DataFrame, score: str, positive: str, targets: list[
     """target, threshold, tp, fp, tn, fn, fpr, tpr, fnr, precision: the threshold is the quantile 1 - target of the benign scores (of
     `benign` if given, else of scored); a row counts as an attack from the threshold on. A rate without a base is 0."""
     calm = (scored.where(F.col(positive) == 0) if benign is None else benign).select(F.col(score).alias("_s"))
-    q = exact_quantiles(calm, [], "_s", [1 - t for t in targets], "_q").select(F.explode(F.arrays_zip(F.array(*map(F.lit, targets)).alias("target"), F.col("_q").alias("threshold"))).alias("z")).select("z.target", "z.threshold")
+    q = exact_quantiles(calm, [], "_s", [1 - t for t in targets], "_q").select(F.explode(F.arrays_zip(F.array(*map(F.lit, targets)).alias("target"),
+        F.col("_q").alias("threshold"))).alias("z")).select("z.target", "z.threshold")
     rows = scored.select(F.col(score).alias("_s"), F.col(positive).cast("int").alias("_y")).join(F.broadcast(q), how="cross")  # a row for each target
     n = lambda y, hit: F.sum(((F.col("_y") == y) & ((F.col("_s") >= F.col("threshold")) == hit)).cast("long"))
     out = rows.groupBy("target", "threshold").agg(n(1, True).alias("tp"), n(0, True).alias("fp"), n(0, False).alias("tn"), n(1, False).alias("fn"))
@@ -47,11 +48,13 @@ def best_f1(scored: DataFrame, score: str, positive: str) -> DataFrame:
     return ranked.agg(F.max(F.struct("f1", "threshold")).alias("b")).select("b.threshold", "b.f1")
 
 
-def one_class_rows(rows: DataFrame, train: Column, test: Column, attack: Column, key: str, features: list[str], backends: list[str], most_rows: int = 5000, seed: int = 1) -> DataFrame:
+def one_class_rows(rows: DataFrame, train: Column, test: Column, attack: Column, key: str, features: list[str], backends: list[str],
+    most_rows: int = 5000, seed: int = 1) -> DataFrame:
     """backend, key, part (train or test), is_attack (0 or 1), loss, threshold: each model is fitted on the benign training rows (scales
     and threshold from all of them, the model on a sample) and scores training and test rows."""
     learn = keep(rows.where(train & ~attack).select(key, F.lit("benign").alias("_one"), *features), "one-class-train")
-    seen = rows.select(key, *features, F.when(test, "test").when(train & ~attack, "train").alias("part"), attack.cast("int").alias("is_attack")).where("part is not null")
+    seen = rows.select(key, *features, F.when(test, "test").when(train & ~attack, "train").alias("part"),
+        attack.cast("int").alias("is_attack")).where("part is not null")
     seen = keep(seen, "one-class-rows")
     parts = []
     for name in backends:
@@ -67,11 +70,13 @@ def cross_tests(scored: DataFrame) -> DataFrame:
     test = scored.where("part = 'test'").join(F.broadcast(p95), "backend")  # a row for each model
     hit, y = F.col("loss") > F.col("p95"), F.col("is_attack") == 1
     n = lambda t: F.sum(t.cast("long"))
-    c = test.groupBy("backend", "p95").agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), F.count(F.lit(1)).alias("n"), F.avg((F.col("loss") > F.col("threshold")).cast("double")).alias("over"))
+    c = test.groupBy("backend", "p95").agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), F.count(F.lit(1)).alias("n"),
+        F.avg((F.col("loss") > F.col("threshold")).cast("double")).alias("over"))
     rate = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(a) + F.col(b))
     area = auc(test.select("backend", F.round("loss", 12).alias("s"), "is_attack"), ["backend"], "s", "is_attack").select("backend", "auc")
     out = c.join(area, "backend", "left")
     return out.select(
-        "backend", ((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n")).alias("accuracy"), rate("tp", "fp").alias("precision"), rate("tp", "fn").alias("recall"),
+        "backend", ((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n")).alias("accuracy"), rate("tp", "fp").alias("precision"), rate("tp",
+            "fn").alias("recall"),
         (2 * F.col("tp") / F.greatest(F.lit(1), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"), "auc", "p95", "over",
     )

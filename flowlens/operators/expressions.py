@@ -180,12 +180,14 @@ def grow(rng: random.Random, features: list[str], depth: int, dialect: Dialect =
 
 def score_trees(df: DataFrame, trees: list[Tree], positive: str) -> list[float | None]:
     """The fitness of each tree: its oriented AUC less 0.0025 for each node beyond the first; None without both classes."""
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), column(t).alias("x"), F.col(positive).alias("y")) for i, t in enumerate(trees)])).alias("p")).select("p.*").where("x is not null and not isnan(x)")
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), column(t).alias("x"), F.col(positive).alias("y")) for i,
+        t in enumerate(trees)])).alias("p")).select("p.*").where("x is not null and not isnan(x)")
     found = {r["tree"]: r["oriented_auc"] for r in auc(rows, ["tree"], "x", "y").collect()}  # a row for each tree
     return [found[i] - 0.0025 * (len(subtrees(t)) - 1) if i in found else None for i, t in enumerate(trees)]
 
 
-def search(df: DataFrame, features: list[str], positive: str, population: int = 12, generations: int = 3, most_nodes: int = 25, seed: int = 1) -> list[tuple[Tree, float]]:
+def search(df: DataFrame, features: list[str], positive: str, population: int = 12, generations: int = 3, most_nodes: int = 25,
+    seed: int = 1) -> list[tuple[Tree, float]]:
     """The trees of all generations with their fitness, the best first (ties by their text). A generation's new trees are scored in
     one pass; the next one keeps the best quarter and fills up with children of tournament winners, some of them mutated."""
     rng, known = random.Random(seed), {}
@@ -208,12 +210,14 @@ def search(df: DataFrame, features: list[str], positive: str, population: int =
     return [(t, known[t]) for t in sorted(known, key=order)]
 
 
-def split_scores(df: DataFrame, trees: list[Tree], positive: str, key: str, seed: int = 1, test: float = 0.3, dialect: Dialect = OPERATORS) -> dict[Tree, tuple[float, ...]]:
+def split_scores(df: DataFrame, trees: list[Tree], positive: str, key: str, seed: int = 1, test: float = 0.3,
+    dialect: Dialect = OPERATORS) -> dict[Tree, tuple[float, ...]]:
     """Of each tree the AUC and the oriented AUC on the training part and on the test part; 0.5 where all values are equal.
 
     The parts are cut within each class by the order of an md5 of seed and key, so a tree's figures are the same on every run. What is
     no number counts as 0, infinities as 1,000,000 with their sign."""
-    part = F.when(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") < test * 2**32, "test").otherwise("train")
+    part = F.when(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") < test * 2**32,
+        "test").otherwise("train")
     sound = lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), x)))
     each = [F.struct(F.lit(i).alias("tree"), F.round(sound(column(t, dialect)), 9).alias("x")) for i, t in enumerate(trees)]
     rows = df.select(F.col(positive).alias("y"), part.alias("part"), F.explode(F.array(*each)).alias("p")).select("y", "part", "p.*")
@@ -222,7 +226,8 @@ def split_scores(df: DataFrame, trees: list[Tree], positive: str, key: str, seed
 
 
 def search_split(
-    df: DataFrame, features: list[str], positive: str, key: str, population: int = 16, generations: int = 3, elite: int = 4, mutation: float = 0.3, crossover: float = 0.7, top: int = 10, seed: int = 1
+    df: DataFrame, features: list[str], positive: str, key: str, population: int = 16, generations: int = 3, elite: int = 4, mutation: float = 0.3,
+        crossover: float = 0.7, top: int = 10, seed: int = 1
 ) -> list[tuple[str, float, float, float, float]]:
     """The `top` expressions in the second dialect by oriented AUC on the test part, then on the training part: text and the four figures
     of split_scores. A generation keeps its `elite` best by the training part; children come from its best quarter."""

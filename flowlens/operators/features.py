@@ -32,20 +32,23 @@ COMPACT_STATS = [
     "Fwd Packet Length Mean", "Fwd Packet Length Std", "Bwd Packet Length Min", "Bwd Packet Length Max", "Bwd Packet Length Mean", "Bwd Packet Length Std",
     "Flow Bytes/s", "Flow Packets/s", "Flow IAT Mean", "Flow IAT Std", "Fwd IAT Mean", "Fwd IAT Std", "Bwd IAT Mean", "Bwd IAT Std",
     "Packet Length Mean", "Packet Length Std", "SYN Flag Count", "ACK Flag Count", "PSH Flag Count", "Average Packet Size", "FWD Init Win Bytes",
-    "Bwd Header Length", "Fwd Bulk Rate Avg", "Bwd Bulk Rate Avg", "flow_bytes_s_missing_flag", "Active Mean", "Active Std", "Active Max", "Idle Mean", "Idle Std",
+    "Bwd Header Length", "Fwd Bulk Rate Avg", "Bwd Bulk Rate Avg", "flow_bytes_s_missing_flag", "Active Mean", "Active Std", "Active Max", "Idle "
+        "Mean", "Idle Std",
 ]
 PROFILES: dict[str, list[str] | None] = {"all_numeric_no_env": None, "stable_stats_no_env": STABLE_STATS, "compact_stats_no_env": COMPACT_STATS}
 
 #: What a synthesised feature may not be made of: columns of these names, and columns whose name has one of these parts.
 EXCLUDED = {"row_index", "assigned_learner", "phase", "learner_name", "is_attack_learner", "attack_ratio"}
-EXCLUDED_PARTS = ["label", "attack", "target", "year_tag", "dataset", "source_file", "row_index", "index", "assigned_learner", "learner_name", "phase", "fold", "split"]
+EXCLUDED_PARTS = ["label", "attack", "target", "year_tag", "dataset", "source_file", "row_index", "index", "assigned_learner", "learner_name",
+    "phase", "fold", "split"]
 
 
 def numeric_columns(df: DataFrame, left_out: list[str]) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in left_out]
 
 
-def profile_columns(df: DataFrame, profile: str = "all_numeric_no_env", environment: list[str] | None = None, profiles: dict[str, list[str] | None] | None = None) -> list[str]:
+def profile_columns(df: DataFrame, profile: str = "all_numeric_no_env", environment: list[str] | None = None, profiles: dict[str,
+    list[str] | None] | None = None) -> list[str]:
     """The numeric columns of a profile, in the profile's order; all numeric ones outside the environment if the curated set has
     none of the table's, or the profile isn't known."""
     numeric = numeric_columns(df, ENVIRONMENT if environment is None else environment)
@@ -73,8 +76,10 @@ def reindex(df: DataFrame, columns: list[str], keep: list[str] | None = None, fi
 
 #: How a profile column's name ends, and what it holds; the first that fits counts.
 SUFFIXES = [
-    ("__mean", "mean of the feature over the group's rows"), ("__std", "sample deviation, 0 for one row"), ("__cv", "|deviation / mean|, 0 where the mean is 0"),
-    ("__min", "least value"), ("__max", "greatest value"), ("_ratio", "share, 0 to 1"), ("_count", "number of rows"), ("_entropy", "entropy over its greatest possible value"),
+    ("__mean", "mean of the feature over the group's rows"), ("__std", "sample deviation, 0 for one row"), ("__cv", "|deviation / mean|, 0 where the "
+        "mean is 0"),
+    ("__min", "least value"), ("__max", "greatest value"), ("_ratio", "share, 0 to 1"), ("_count", "number of rows"), ("_entropy", "entropy over its "
+        "greatest possible value"),
 ]
 
 

@@ -52,7 +52,8 @@ def fit_guards(rows: DataFrame, features: list[str], guard: Guard, seed: int = 0
         if len(x) < least:
             return pd.DataFrame({"learner": [], "seed_count": [], "cutoff": [], "guard": []})
         model = Forest(x, guard.trees, 256, seed)
-        return pd.DataFrame({"learner": [pdf["learner"].iloc[0]], "seed_count": [len(x)], "cutoff": [float(np.quantile(model.loss(x), 1 - guard.quantile))], "guard": [pickle.dumps(model)]})
+        return pd.DataFrame({"learner": [pdf["learner"].iloc[0]], "seed_count": [len(x)], "cutoff": [float(np.quantile(model.loss(x),
+            1 - guard.quantile))], "guard": [pickle.dumps(model)]})
 
     capped = sample_per_group(rows.select("learner", "row_index", *features), ["learner"], "row_index", guard.most_rows, seed)
     return capped.groupBy("learner").applyInPandas(fit, "learner string, seed_count long, cutoff double, guard binary")
@@ -137,7 +138,8 @@ def history_sample(pool: DataFrame, rate: float, most: int, decay: float = 0.0,
     return ranked.where(F.col("_i") < F.col("_k")).drop("_rank", "_i", "_n", "_k")
 
 
-def grow(update: DataFrame, features: list[str], params: list, epochs: int = 5, quantile: float = 0.95, risk: float = 1e-3, anchor_share: float | None = None, seed: int = 0) -> DataFrame:
+def grow(update: DataFrame, features: list[str], params: list, epochs: int = 5, quantile: float = 0.95, risk: float = 1e-3,
+    anchor_share: float | None = None, seed: int = 0) -> DataFrame:
     """learner, threshold, params, rows, and the mean, median and 0.95 quantile of the losses before and after, of learners trained on
     from what they are. update: learner, row_index, features, is_new; bounded for each learner by subsample and history_sample.
 
@@ -163,9 +165,12 @@ def grow(update: DataFrame, features: list[str], params: list, epochs: int = 5,
             k = min(len(order), max(1, round(len(order) * anchor_share))) if len(order) else 0
             picked = order[np.unique(np.linspace(0, max(0, len(order) - 1), num=max(1, k), dtype=int))] if k else order
             of = np.concatenate([after[~pdf["is_new"].to_numpy()], after[picked]])
-        stats = {f"{side}_loss_{what}": [float(f(v))] for side, v in (("before", before), ("after", after)) for what, f in (("mean", np.mean), ("median", np.median), ("p95", lambda v: np.quantile(v, 0.95)))}
-        return pd.DataFrame({"learner": [name], "threshold": [tail_threshold(of, quantile, risk)], "params": [pickle.dumps((mean, std, model))], "rows": [len(x)], **stats})
+        stats = {f"{side}_loss_{what}": [float(f(v))] for side, v in (("before", before), ("after", after)) for what, f in (("mean", np.mean),
+            ("median", np.median), ("p95", lambda v: np.quantile(v, 0.95)))}
+        return pd.DataFrame({"learner": [name], "threshold": [tail_threshold(of, quantile, risk)], "params": [pickle.dumps((mean, std, model))],
+            "rows": [len(x)], **stats})
 
-    shape = "learner string, threshold double, params binary, rows long, " + ", ".join(f"{s}_loss_{w} double" for s in ("before", "after") for w in ("mean", "median", "p95"))
+    shape = "learner string, threshold double, params binary, rows long, " + ", ".join(f"{s}_loss_{w} double" for s in ("before",
+        "after") for w in ("mean", "median", "p95"))
     known = update.where(F.col("learner").isin(list(packed)))
     return keep(known.groupBy("learner").applyInPandas(fit, shape), "grown")

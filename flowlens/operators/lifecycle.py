@@ -76,7 +76,8 @@ def gate_batches(batches: DataFrame, gate: Gate) -> DataFrame:
     before = Window.partitionBy("learner").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum(F.col("reason").isNull().cast("long")).over(before), F.lit(0)) >= gate.most_retrains
     early = F.coalesce(F.col("reason").isin(*BEFORE_CAP), F.lit(False))
-    return out.withColumn("_done", done).withColumn("reason", F.when(early, F.col("reason")).when(F.col("_done"), "max_retrain_per_learner").otherwise(F.col("reason"))).drop("_done")
+    return out.withColumn("_done", done).withColumn("reason", F.when(early, F.col("reason")).when(F.col("_done"),
+        "max_retrain_per_learner").otherwise(F.col("reason"))).drop("_done")
 
 
 def increment_trace(rows: DataFrame, gate: Gate) -> DataFrame:
@@ -93,17 +94,21 @@ def increment_trace(rows: DataFrame, gate: Gate) -> DataFrame:
     batches = batches.withColumn("birth_window", F.min("window_id").over(Window.partitionBy("learner")))
     gated = gate_batches(batches, gate).select("learner", "window_id", "reason")
     out = rows.join(gated, ["learner", "window_id"])
-    return out.select("learner", "row_index", "window_id", "passed_confidence", F.coalesce("reason", F.when(~F.col("passed_confidence"), "benign_conf_filter").otherwise("")).alias("reason"))
+    return out.select("learner", "row_index", "window_id", "passed_confidence", F.coalesce("reason", F.when(~F.col("passed_confidence"),
+        "benign_conf_filter").otherwise("")).alias("reason"))
 
 
 def drift_scores(pool: DataFrame, rows: DataFrame, features: list[str], least: int) -> DataFrame:
     """learner, drift: how far new rows lie from the pool: 0.7 of the mean |change of mean| and 0.3 of the mean |change of deviation|, each
     over the pool's deviation + 1e-6. Learners with fewer than `least` pooled rows, or without new ones, have none."""
-    of = lambda df, side: df.select("learner", F.lit(side).alias("_side"), *[clean(F.col(f"`{c}`").cast("double")).alias(f"_f{k}") for k, c in enumerate(features)])
+    of = lambda df, side: df.select("learner", F.lit(side).alias("_side"), *[clean(F.col(f"`{c}`").cast("double")).alias(f"_f{k}") for k,
+        c in enumerate(features)])
     both, wide = of(pool, "old").unionByName(of(rows, "new")), range(len(features))
     stat = lambda f, side, k: f(F.when(F.col("_side") == side, F.col(f"_f{k}"))).alias(f"_{f.__name__}_{side}_{k}")
-    n = both.groupBy("learner").agg(F.count(F.when(F.col("_side") == "old", 1)).alias("_old"), F.count(F.when(F.col("_side") == "new", 1)).alias("_new"), *[stat(f, side, k) for f in (F.avg, F.stddev_pop) for side in ("old", "new") for k in wide])
-    shift = lambda f: sum((F.abs(F.col(f"_{f}_new_{k}") - F.col(f"_{f}_old_{k}")) / (F.col(f"_stddev_pop_old_{k}") + 1e-6) for k in wide), F.lit(0.0)) / len(features)
+    n = both.groupBy("learner").agg(F.count(F.when(F.col("_side") == "old", 1)).alias("_old"), F.count(F.when(F.col("_side") == "new",
+        1)).alias("_new"), *[stat(f, side, k) for f in (F.avg, F.stddev_pop) for side in ("old", "new") for k in wide])
+    shift = lambda f: sum((F.abs(F.col(f"_{f}_new_{k}") - F.col(f"_{f}_old_{k}")) / (F.col(f"_stddev_pop_old_{k}") + 1e-6) for k in wide),
+        F.lit(0.0)) / len(features)
     return n.where((F.col("_old") >= least) & (F.col("_new") > 0)).select("learner", (0.7 * shift("avg") + 0.3 * shift("stddev_pop")).alias("drift"))
 
 
@@ -151,7 +156,8 @@ def initial_rows(rows: DataFrame, ratio: float, least: int = 5000, benign_only:
     wanted = is_benign(F.col("label")) & (label_year(F.col("label")) == year if year else F.lit(True))
     if benign_only and count > 0:
         able = rows.where(wanted).select("row_index", F.lit(0).alias("_g"), F.lit(1).cast("long").alias("_one"))
-        last = running_counts(able, ["_g"], "row_index", ["_one"]).where(F.col("_one_before") < count).agg(F.max("row_index")).first()[0]  # of the first `count`
+        last = running_counts(able, ["_g"], "row_index",
+            ["_one"]).where(F.col("_one_before") < count).agg(F.max("row_index")).first()[0]  # of the first `count`
         if last is not None:
             end = min(max(end, last + 1), n - 1)
             wanted = wanted & (F.col("row_index") <= last)

@@ -25,7 +25,8 @@ from .quantiles import exact_quantiles
 def scale_stats(df: DataFrame, features: list[str]) -> DataFrame:
     """feature, mean, std (population; 0 becomes 1): one pass."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("p"))
-    return rows.groupBy("p.feature").agg(F.avg("p.x").alias("mean"), F.stddev_pop("p.x").alias("std")).withColumn("std", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
+    return rows.groupBy("p.feature").agg(F.avg("p.x").alias("mean"), F.stddev_pop("p.x").alias("std")).withColumn("std", F.when(F.col("std") == 0,
+        1.0).otherwise(F.col("std")))
 
 
 def tail_threshold(losses: np.ndarray, quantile: float = 0.95, risk: float = 1e-3, fallback: float = 0.995) -> float:
@@ -226,11 +227,13 @@ def matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
 def group_scales(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     """learner, n, mean, std (arrays, population; a deviation of 0 is 1) over all rows of each group; what is no number counts as 0."""
     of = [clean(F.col(f"`{c}`").cast("double")) for c in features]
-    out = df.groupBy(F.col(group).cast("string").alias("learner")).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.avg, of)).alias("mean"), F.array(*map(F.stddev_pop, of)).alias("std"))
+    out = df.groupBy(F.col(group).cast("string").alias("learner")).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.avg, of)).alias("mean"),
+        F.array(*map(F.stddev_pop, of)).alias("std"))
     return out.withColumn("std", F.transform("std", lambda v: F.when(v == 0, 1.0).otherwise(v)))
 
 
-def fit_learners(df: DataFrame, group: str, key: str, features: list[str], backend: str = "iforest", most_rows: int = 5000, quantile: float = 0.95, risk: float = 1e-3, seed: int = 0) -> DataFrame:
+def fit_learners(df: DataFrame, group: str, key: str, features: list[str], backend: str = "iforest", most_rows: int = 5000, quantile: float = 0.95,
+    risk: float = 1e-3, seed: int = 0) -> DataFrame:
     """One row of parameters for each value of `group`. Scales and thresholds come from all its rows; only the model is fitted on a
     sample, `most_rows` rows at most."""
     kind = BACKENDS[backend]
@@ -238,10 +241,12 @@ def fit_learners(df: DataFrame, group: str, key: str, features: list[str], backe
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, std = np.array(pdf["_mean"].iloc[0]), np.array(pdf["_std"].iloc[0])
         model = kind((matrix(pdf, features) - mean) / std, seed=seed)
-        return pd.DataFrame({"learner": [str(pdf["_learner"].iloc[0])], "n": [int(pdf["_n"].iloc[0])], "threshold": [float("nan")], "params": [pickle.dumps((mean, std, model))]})
+        return pd.DataFrame({"learner": [str(pdf["_learner"].iloc[0])], "n": [int(pdf["_n"].iloc[0])], "threshold": [float("nan")],
+            "params": [pickle.dumps((mean, std, model))]})
 
     rows = df.select(F.col(group).cast("string").alias("_learner"), key, *features)
-    scales = group_scales(rows, "_learner", features).select(F.col("learner").alias("_learner"), F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    scales = group_scales(rows, "_learner", features).select(F.col("learner").alias("_learner"), F.col("n").alias("_n"), F.col("mean").alias("_mean"),
+        F.col("std").alias("_std"))
     capped = sample_per_group(rows, ["_learner"], key, most_rows, seed).join(F.broadcast(scales), "_learner")  # a row for each learner
     params = keep(capped.groupBy("_learner").applyInPandas(fit, PARAMS), "fitted")
     losses = keep(own_losses(rows, "_learner", features, params.collect()), "own-losses")
@@ -280,7 +285,8 @@ def with_own_loss(df: DataFrame, features: list[str], params: list) -> DataFrame
     return plain.mapInPandas(score, ", ".join(f"`{c}` {t}" for c, t in plain.dtypes) + ", loss double")
 
 
-def tail_thresholds(losses: DataFrame, group: str, loss: str, quantile: float = 0.95, risk: float = 1e-3, fallback: float = 0.995, grid: int = 64, rounds: int = 5) -> DataFrame:
+def tail_thresholds(losses: DataFrame, group: str, loss: str, quantile: float = 0.95, risk: float = 1e-3, fallback: float = 0.995, grid: int = 64,
+    rounds: int = 5) -> DataFrame:
     """learner, threshold: tail_threshold() of each group's losses, of any number. Quantiles come by ranges; the law's likelihood is
     a sum over peaks, which tasks work out for a grid of points, refined `rounds` times around the best one. The driver holds a
     grid for each group."""
@@ -290,7 +296,8 @@ def tail_thresholds(losses: DataFrame, group: str, loss: str, quantile: float =
     at = exact_quantiles(sound, ["_g"], "_x", probs, "_q").join(sound.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "_g")
     peaks = sound.join(F.broadcast(at.select("_g", F.col("_q")[1].alias("_at"))), "_g").where("_x > _at").select("_g", (F.col("_x") - F.col("_at")).alias("_x"))
     peaks = keep(peaks, "peaks")
-    found = at.join(peaks.groupBy("_g").agg(F.count(F.lit(1)).alias("k"), F.avg("_x").alias("mean"), F.max("_x").alias("top")), "_g", "left").collect()  # a row for each learner
+    found = at.join(peaks.groupBy("_g").agg(F.count(F.lit(1)).alias("k"), F.avg("_x").alias("mean"), F.max("_x").alias("top")), "_g",
+        "left").collect()  # a row for each learner
     groups = {r["_g"]: r for r in found}
     fitted = {g: r for g, r in groups.items() if r["_n"] >= 100 and (r["k"] or 0) >= 30}
     span = {g: (-r["mean"] / r["top"] * 0.999, 20.0) for g, r in fitted.items()}
@@ -306,7 +313,8 @@ def tail_thresholds(losses: DataFrame, group: str, loss: str, quantile: float =
                 for g, part in pdf.groupby("_g"):
                     for low in range(0, len(part) if g in scaled else 0, 8192):
                         total[g] += np.log1p(np.outer(scaled[g], part["_x"].to_numpy()[low : low + 8192])).sum(axis=1)
-            yield pd.DataFrame({"_g": [g for g in total for _ in total[g]], "k": [k for t in total.values() for k in range(len(t))], "s": [v for t in total.values() for v in t]})
+            yield pd.DataFrame({"_g": [g for g in total for _ in total[g]], "k": [k for t in total.values() for k in range(len(t))],
+                "s": [v for t in total.values() for v in t]})
 
         rows = peaks.mapInPandas(run, "_g string, k int, s double").groupBy("_g", "k").agg(F.sum("s").alias("s")).collect()
         out = {g: np.zeros(len(t)) for g, t in points.items()}

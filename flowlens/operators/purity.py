@@ -41,7 +41,8 @@ class PurityGate:
 
 
 #: The reasons, in the order in which they are given.
-REASONS = ["benign_accept_rate_exceed", "benign_prob_mean_exceed", "benign_prob_p90_exceed", "mixed_benign_prob_band", "mixed_structure_splitable", "mixed_route_inconsistent"]
+REASONS = ["benign_accept_rate_exceed", "benign_prob_mean_exceed", "benign_prob_p90_exceed", "mixed_benign_prob_band", "mixed_structure_splitable",
+    "mixed_route_inconsistent"]
 
 
 def benign_figures(rows: DataFrame, losses: DataFrame, soft_k: float) -> DataFrame:
@@ -49,18 +50,22 @@ def benign_figures(rows: DataFrame, losses: DataFrame, soft_k: float) -> DataFra
     each row's best benign probability, 1 / (1 + exp(-k * margin)). rows: row_index, cluster; losses with scaled thresholds."""
     margin = (F.col("threshold") - F.col("loss")) / (F.abs("threshold") + 1e-12)
     best = losses.where("is_benign").groupBy("row_index").agg(F.max(margin).alias("m"), F.max((F.col("loss") <= F.col("threshold")).cast("int")).alias("taken"))
-    p = keep(rows.select("row_index", "cluster").join(best, "row_index").select("cluster", "taken", (1 / (1 + F.exp(-soft_k * F.col("m")))).alias("p")), "probabilities")
+    p = keep(rows.select("row_index", "cluster").join(best, "row_index").select("cluster", "taken", (1 / (1 +
+        F.exp(-soft_k * F.col("m")))).alias("p")), "probabilities")
     q = exact_quantiles(p, ["cluster"], "p", [0.1, 0.9])
     sums = p.groupBy("cluster").agg(F.avg("taken").alias("benign_accept_rate"), F.avg("p").alias("benign_prob_mean"))
-    return sums.join(q, "cluster").select("cluster", "benign_accept_rate", "benign_prob_mean", F.col("q")[0].alias("benign_prob_p10"), F.col("q")[1].alias("benign_prob_p90"))
+    return sums.join(q, "cluster").select("cluster", "benign_accept_rate", "benign_prob_mean", F.col("q")[0].alias("benign_prob_p10"),
+        F.col("q")[1].alias("benign_prob_p90"))
 
 
 def route_figures(rows: DataFrame, losses: DataFrame) -> DataFrame:
     """cluster, route_multi_accept_ratio (rows that two learners or more take), route_top1_share (of the learner with most rows, a row
     going to the largest margin, ties to the smaller name)."""
     margin = (F.col("threshold") - F.col("loss")) / (F.abs("threshold") + 1e-12)
-    each = losses.select("row_index", "learner", margin.alias("m")).groupBy("row_index").agg(F.sum((F.col("m") >= 0).cast("long")).alias("taken"), F.min(F.struct((-F.col("m")).alias("down"), "learner")).alias("won"))
-    won = rows.select("row_index", "cluster").join(each, "row_index").groupBy("cluster", F.col("won.learner").alias("learner")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("taken") >= 2).cast("long")).alias("multi"))
+    each = losses.select("row_index", "learner", margin.alias("m")).groupBy("row_index").agg(F.sum((F.col("m") >= 0).cast("long")).alias("taken"),
+        F.min(F.struct((-F.col("m")).alias("down"), "learner")).alias("won"))
+    won = rows.select("row_index", "cluster").join(each, "row_index").groupBy("cluster",
+        F.col("won.learner").alias("learner")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("taken") >= 2).cast("long")).alias("multi"))
     return won.groupBy("cluster").agg((F.sum("multi") / F.sum("n")).alias("route_multi_accept_ratio"), (F.max("n") / F.sum("n")).alias("route_top1_share"))
 
 
@@ -70,7 +75,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 def _mean_vectors(rows: DataFrame, group: list[str], width: int) -> DataFrame:
     """group, n, centre, square (the mean squared length)."""
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("z")[k]) for k in range(width)]).alias("centre"), F.avg(_dot(F.col("z"), F.col("z"))).alias("square"))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("z")[k]) for k in range(width)]).alias("centre"),
+        F.avg(_dot(F.col("z"), F.col("z"))).alias("square"))
 
 
 def split_figures(rows: DataFrame, features: list[str], rounds: int = 10) -> DataFrame:
@@ -84,7 +90,8 @@ def split_figures(rows: DataFrame, features: list[str], rounds: int = 10) -> Dat
     width = len(features)
     x = F.array(*[clean(F.col(f"`{c}`").cast("double")) for c in features])
     held = rows.select("row_index", "cluster", x.alias("x"))
-    stats = held.groupBy("cluster").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(width)]).alias("mean"), F.array(*[F.stddev_pop(F.col("x")[k]) for k in range(width)]).alias("std"))
+    stats = held.groupBy("cluster").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(width)]).alias("mean"),
+        F.array(*[F.stddev_pop(F.col("x")[k]) for k in range(width)]).alias("std"))
     stats = stats.withColumn("widest", F.array_position("std", F.array_max("std")).cast("int"))
     z = F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "std", lambda a, s: a / (s + 1e-6))
     scaled = keep(held.join(F.broadcast(stats), "cluster").select("row_index", "cluster", z.alias("z"), "widest"), "scaled")  # a row for each cluster
@@ -93,7 +100,8 @@ def split_figures(rows: DataFrame, features: list[str], rounds: int = 10) -> Dat
         centres = keep(_mean_vectors(parts, ["cluster", "child"], width), "centres")
         two = centres.groupBy("cluster").agg(*[F.max(F.when(F.col("child") == c, F.struct("centre", "n", "square"))).alias(f"c{c}") for c in (0, 1)])
         parts = scaled.join(F.broadcast(two), "cluster")
-        far = [F.when(F.col(f"c{c}").isNull(), float("inf")).otherwise(_dot(F.col("z"), F.col("z")) - 2 * _dot(F.col("z"), F.col(f"c{c}.centre")) + _dot(F.col(f"c{c}.centre"), F.col(f"c{c}.centre"))) for c in (0, 1)]
+        far = [F.when(F.col(f"c{c}").isNull(), float("inf")).otherwise(_dot(F.col("z"), F.col("z")) - 2 * _dot(F.col("z"), F.col(f"c{c}.centre")) +
+            _dot(F.col(f"c{c}.centre"), F.col(f"c{c}.centre"))) for c in (0, 1)]
         if step < rounds:
             parts = parts.withColumn("child", (far[1] < far[0]).cast("int")).select("row_index", "cluster", "z", "widest", "child")
     parts = parts.withColumns({"child": (far[1] < far[0]).cast("int"), "near": F.least(*far)})
@@ -104,11 +112,13 @@ def split_figures(rows: DataFrame, features: list[str], rounds: int = 10) -> Dat
     other = F.when(F.col("child") == 0, to[1]).otherwise(to[0])
     s = F.when((own_n <= 1) | (F.greatest(own, other) <= 0), 0.0).otherwise((other - own) / F.greatest(own, other))
     out = parts.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.least(F.sum("child"), F.sum(1 - F.col("child"))).alias("_small"), F.sum("near").alias("_two"), F.sum(_dot(F.col("z"), F.col("z"))).alias("_one"), F.avg(s).alias("_s"),
+        F.count(F.lit(1)).alias("n"), F.least(F.sum("child"), F.sum(1 - F.col("child"))).alias("_small"), F.sum("near").alias("_two"),
+            F.sum(_dot(F.col("z"), F.col("z"))).alias("_one"), F.avg(s).alias("_s"),
     )
     split = (F.col("_small") > 0) & (F.col("_one") > 1e-9)
     return out.select(
-        "cluster", "n", (F.col("_small") / F.col("n")).alias("structure_child_ratio"), F.when(split, 1 - F.col("_two") / F.col("_one")).otherwise(0.0).alias("structure_split_gain"),
+        "cluster", "n", (F.col("_small") / F.col("n")).alias("structure_child_ratio"), F.when(split,
+            1 - F.col("_two") / F.col("_one")).otherwise(0.0).alias("structure_split_gain"),
         F.when(split & (F.col("_small") > 1), F.col("_s")).otherwise(0.0).alias("structure_silhouette"),
     )
 
@@ -121,7 +131,8 @@ def judge_clusters(rows: DataFrame, losses: DataFrame, features: list[str], gate
     rows = keep(rows, "clusters")
     scaled = keep(losses.withColumn("threshold", F.col("threshold") * F.when(F.col("is_benign"), benign_scale).otherwise(1.0)), "cluster-losses")
     n = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    anchors = scaled.groupBy().agg(F.count_distinct("learner").alias("learners"), F.coalesce(F.max(F.col("is_benign").cast("int")), F.lit(0)).alias("anchored")).first()
+    anchors = scaled.groupBy().agg(F.count_distinct("learner").alias("learners"), F.coalesce(F.max(F.col("is_benign").cast("int")),
+        F.lit(0)).alias("anchored")).first()
     if not anchors["anchored"]:
         out = n.withColumns({c: F.lit(None).cast("double") for c in FIGURES})
         return out.select("cluster", "n", *FIGURES, F.array(F.lit("no_benign_anchor_skip")).alias("reasons"), F.lit(True).alias("passed"))
@@ -149,4 +160,5 @@ def judge_clusters(rows: DataFrame, losses: DataFrame, features: list[str], gate
     return out
 
 
-FIGURES = ["benign_accept_rate", "benign_prob_mean", "benign_prob_p10", "benign_prob_p90", "structure_child_ratio", "structure_split_gain", "structure_silhouette", "route_multi_accept_ratio", "route_top1_share"]
+FIGURES = ["benign_accept_rate", "benign_prob_mean", "benign_prob_p10", "benign_prob_p90", "structure_child_ratio", "structure_split_gain",
+    "structure_silhouette", "route_multi_accept_ratio", "route_top1_share"]

@@ -42,14 +42,18 @@ def temporal_metrics(df: DataFrame, group: str, time: str = "ts", local_bins: in
     bins = F.greatest(F.lit(128), F.least(F.lit(2048), F.floor((F.col("_w1") - F.col("_w0")) / 1e6 / 3600)))
     rows = df.select(group, us.alias("_t")).join(ends, group).join(F.broadcast(whole), how="cross")
     at = lambda low, high, n: F.when(high == low, 0).otherwise(F.least(n - 1, F.floor((F.col("_t") - low) * n / (high - low))))
-    rows = rows.select(group, at(F.col("_low"), F.col("_high"), F.lit(local_bins)).cast("long").alias("own"), at(F.col("_w0"), F.col("_w1"), bins).cast("long").alias("whole"), (F.col("_high") - F.col("_low")).alias("_span"), (F.col("_w1") - F.col("_w0")).alias("_all"))
-    n = rows.select(group, "_span", "_all", F.explode(F.array(F.struct(F.lit("own").alias("kind"), F.col("own").alias("bin")), F.struct(F.lit("whole").alias("kind"), F.col("whole").alias("bin")))).alias("p"))
+    rows = rows.select(group, at(F.col("_low"), F.col("_high"), F.lit(local_bins)).cast("long").alias("own"), at(F.col("_w0"), F.col("_w1"),
+        bins).cast("long").alias("whole"), (F.col("_high") - F.col("_low")).alias("_span"), (F.col("_w1") - F.col("_w0")).alias("_all"))
+    n = rows.select(group, "_span", "_all", F.explode(F.array(F.struct(F.lit("own").alias("kind"), F.col("own").alias("bin")),
+        F.struct(F.lit("whole").alias("kind"), F.col("whole").alias("bin")))).alias("p"))
     n = n.groupBy(group, "p.kind", "p.bin", "_span", "_all").agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("total", F.sum("n").over(Window.partitionBy(group, "kind")))
-    by = n.groupBy(group, "kind").agg(concentration(F.col("n"), F.col("total")).alias("hhi"), normal_entropy(F.col("n"), F.col("total")).alias("entropy"), F.max("_span").alias("_span"), F.max("_all").alias("_all"))
+    by = n.groupBy(group, "kind").agg(concentration(F.col("n"), F.col("total")).alias("hhi"), normal_entropy(F.col("n"),
+        F.col("total")).alias("entropy"), F.max("_span").alias("_span"), F.max("_all").alias("_all"))
     own, all_ = by.where("kind = 'own'"), by.where("kind = 'whole'").select(group, F.col("entropy").alias("temporal_global_spread"))
     fill = F.when(F.col("_all") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("_span") / F.col("_all")))
-    return own.select(group, (0.5 * F.col("hhi") + 0.5 * (1 - fill)).alias("temporal_burst"), F.col("entropy").alias("temporal_intra_uniformity")).join(all_, group)
+    return own.select(group, (0.5 * F.col("hhi") + 0.5 * (1 - fill)).alias("temporal_burst"),
+        F.col("entropy").alias("temporal_intra_uniformity")).join(all_, group)
 
 
 def metrics(df: DataFrame, group: str = "learner") -> DataFrame:
@@ -60,7 +64,8 @@ def metrics(df: DataFrame, group: str = "learner") -> DataFrame:
     held = keep(key_counts(df, group), "key-counts")  # edges and degrees come from it as well
     counts = held.withColumn("total", F.sum("n").over(Window.partitionBy(group, "kind")))
     by = counts.groupBy(group, "kind").agg(
-        normal_entropy(F.col("n"), F.col("total")).alias("h"), F.max(F.col("n") / F.col("total")).alias("top"), F.count(F.lit(1)).alias("u"), F.max("total").alias("flows")
+        normal_entropy(F.col("n"), F.col("total")).alias("h"), F.max(F.col("n") / F.col("total")).alias("top"), F.count(F.lit(1)).alias("u"),
+            F.max("total").alias("flows")
     )
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
     flat = by.groupBy(group).agg(F.max("flows").alias("flows"), *[of(k, v).alias(f"_{k}_{v}") for k in _KINDS for v in ("h", "top", "u")])
@@ -68,13 +73,16 @@ def metrics(df: DataFrame, group: str = "learner") -> DataFrame:
     edge = lambda kind: held.where(F.col("kind") == kind).select(group, ends[0].alias("src"), ends[1].alias("dst"), "n")
     endpoint_edges = edge("endpoint_edge")
     hosts = degrees(edge("host_edge"), [group]).groupBy(group).agg(
-        (F.max("in_degree") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("host_max_in_degree_ratio"), (F.max("out_degree") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("host_max_out_degree_ratio")
+        (F.max("in_degree") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("host_max_in_degree_ratio"),
+            (F.max("out_degree") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("host_max_out_degree_ratio")
     )
     points = graph_stats(endpoint_edges, [group]).select(
-        group, "leaf_ratio", F.col("nodes").alias("_nodes"), "edge_per_node", F.col("max_in_ratio").alias("max_in_degree_ratio"), F.col("max_out_ratio").alias("max_out_degree_ratio")
+        group, "leaf_ratio", F.col("nodes").alias("_nodes"), "edge_per_node", F.col("max_in_ratio").alias("max_in_degree_ratio"),
+            F.col("max_out_ratio").alias("max_out_degree_ratio")
     )
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    sums = keep(df.groupBy(group).agg(F.sum(F.least("fwd", "bwd")).alias("_min"), F.sum(F.col("fwd") + F.col("bwd")).alias("_sum"), F.min(us).alias("_low"), F.max(us).alias("_high")), "sums")
+    sums = keep(df.groupBy(group).agg(F.sum(F.least("fwd", "bwd")).alias("_min"), F.sum(F.col("fwd") + F.col("bwd")).alias("_sum"),
+        F.min(us).alias("_low"), F.max(us).alias("_high")), "sums")
     times = temporal_metrics(df, group, ends=sums.select(group, "_low", "_high"))
     wide = flat.join(hosts, group).join(points, group).join(sums.select(group, "_min", "_sum"), group).join(times, group)
     col = lambda k, v: F.col(f"_{k}_{v}")
@@ -110,8 +118,10 @@ def metrics(df: DataFrame, group: str = "learner") -> DataFrame:
 
 
 METRICS = (
-    "dst_port_entropy dst_port_richness src_port_entropy dst_port_top1_concentration endpoint_edge_entropy top1_endpoint_edge_share edge_reuse_ratio host_edge_entropy dst_host_concentration "
-    "host_max_in_degree_ratio host_max_out_degree_ratio src_dst_endpoint_asymmetry src_endpoint_concentration dst_endpoint_concentration max_in_degree_ratio max_out_degree_ratio leaf_ratio "
+    "dst_port_entropy dst_port_richness src_port_entropy dst_port_top1_concentration endpoint_edge_entropy top1_endpoint_edge_share edge_reuse_ratio "
+        "host_edge_entropy dst_host_concentration "
+    "host_max_in_degree_ratio host_max_out_degree_ratio src_dst_endpoint_asymmetry src_endpoint_concentration dst_endpoint_concentration "
+        "max_in_degree_ratio max_out_degree_ratio leaf_ratio "
     "edge_per_node low_reciprocity temporal_burst temporal_global_spread temporal_intra_uniformity"
 ).split()
 
@@ -153,12 +163,14 @@ AXES = {
     "structure": "拓扑形态", "density": "连接密度", "unidirectional": "单向性", "burst": "时间突发", "time_global": "全局时间分散", "time_uniformity": "窗内时间均匀",
 }
 WEAKER = "偏"
-REMOVED = ["port_pair_entropy", "dst_port_hhi_concentration", "endpoint_edge_regular", "top5_endpoint_edge_share", "hub_in_strength", "hub_out_strength", "temporal_regular", "temporal_entropy"]
+REMOVED = ["port_pair_entropy", "dst_port_hhi_concentration", "endpoint_edge_regular", "top5_endpoint_edge_share", "hub_in_strength",
+    "hub_out_strength", "temporal_regular", "temporal_entropy"]
 
 
 def catalog(spark: SparkSession) -> DataFrame:
     """metric, axis, axis_name, tag_low, tag_high: a row for each of the 22 metrics."""
-    return spark.createDataFrame([(m, axis, AXES[axis], low, high) for m, axis, low, high in CATALOG], "metric string, axis string, axis_name string, tag_low string, tag_high string")
+    return spark.createDataFrame([(m, axis, AXES[axis], low, high) for m, axis, low, high in CATALOG], "metric string, axis string, axis_name string, "
+        "tag_low string, tag_high string")
 
 
 def semantic_tags(long: DataFrame) -> DataFrame:
@@ -190,7 +202,8 @@ def audit(df: DataFrame, assigned: DataFrame, profiles: DataFrame, least: int =
     found = qualify(joined.join(F.broadcast(n.where("reason is null").select("learner")), "learner", "left_semi")).drop("flows")
     listed = n.join(profiles, "learner", "left")
     gone = profiles.join(joined.select("learner").distinct(), "learner", "left_anti")
-    gone = gone.select("learner", F.lit(0).cast("long").alias("flow_count"), F.lit(None).cast("int").alias("place"), F.lit("no_stream_assignment_join").alias("reason"), "total", "attack_ratio", "dominant_label", "dominant_ratio")
+    gone = gone.select("learner", F.lit(0).cast("long").alias("flow_count"), F.lit(None).cast("int").alias("place"),
+        F.lit("no_stream_assignment_join").alias("reason"), "total", "attack_ratio", "dominant_label", "dominant_ratio")
     return listed.unionByName(gone).join(found, "learner", "left")
 
 
@@ -261,7 +274,8 @@ RULES: list[tuple[str, str, list[tuple[str, float | None, float | None]], list[t
         ("dst_port_entropy", 90, None), ("dst_port_richness", 70, None), ("dst_port_top1_concentration", None, 15),
         ("dst_endpoint_concentration", None, 15), ("endpoint_edge_entropy", 90, None), ("low_reciprocity", None, 75)], []),
     ("heartbleed-like-small-sample", "caution", [
-        ("endpoint_edge_entropy", None, 20), ("top1_endpoint_edge_share", 80, None), ("dst_port_top1_concentration", 95, None), ("src_port_entropy", None, 25)], []),
+        ("endpoint_edge_entropy", None, 20), ("top1_endpoint_edge_share", 80, None), ("dst_port_top1_concentration", 95, None), ("src_port_entropy",
+            None, 25)], []),
     ("diffuse-one-way-drdos-udp-syn-family", "attack", _DIFFUSE, []),
     ("drdos-dns-ldap-ntp-like", "attack", [*_DIFFUSE, ("src_port_entropy", 65, 85)], []),
     ("drdos-snmp-ssdp-tftp-like", "attack", [*_DIFFUSE, ("src_port_entropy", 85, 98)], []),

@@ -28,7 +28,8 @@ def running_counts(counted: DataFrame, group: list[str], value: str, sums: list[
     within = Window.partitionBy("_part", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     by_part = ranged.groupBy("_part", *group).agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
-    bases = by_part.select(F.col("_part").alias("_of"), *[F.col(g).alias(f"_g_{g}") for g in group], *[F.coalesce(F.sum(f"_s_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in sums])
+    bases = by_part.select(F.col("_part").alias("_of"), *[F.col(g).alias(f"_g_{g}") for g in group], *[F.coalesce(F.sum(f"_s_{s}").over(earlier),
+        F.lit(0)).alias(f"_b_{s}") for s in sums])
     same = reduce(lambda a, b: a & b, [_same(g, f"_g_{g}") for g in group], F.col("_part") == F.col("_of"))
     out = ranged.withColumns({f"_r_{s}": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}).join(bases, same)
     return out.select(*counted.columns, *[(F.col(f"_r_{s}") + F.col(f"_b_{s}")).alias(f"{s}_before") for s in sums])
@@ -42,10 +43,12 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, probs: list[f
     placed = running_counts(counted, group, "_v", ["_n"])
     totals = placed.groupBy(*group).agg(F.max(F.col("_n_before") + F.col("_n")).alias("_all"))
     if group:
-        placed = placed.join(totals.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_all"), reduce(lambda a, b: a & b, [_same(g, f"_g_{g}") for g in group]))
+        placed = placed.join(totals.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_all"), reduce(lambda a, b: a & b, [_same(g,
+            f"_g_{g}") for g in group]))
     else:
         placed = placed.join(F.broadcast(totals), how="cross")  # one row
-    at = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)]), lambda x: F.struct(x["k"].alias("k"), (x["p"] * (F.col("_all") - 1)).alias("place")))
+    at = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)]),
+        lambda x: F.struct(x["k"].alias("k"), (x["p"] * (F.col("_all") - 1)).alias("place")))
     covers = lambda place: (F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n"))
     low, high = (lambda x: F.floor(x["place"])), (lambda x: F.ceil(x["place"]))
     hits = placed.select(*group, "_v", "_n_before", "_n", F.explode(F.filter(at, lambda x: covers(low(x)) | covers(high(x)))).alias("_at"))

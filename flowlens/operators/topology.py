@@ -78,11 +78,13 @@ def degrees(edge: DataFrame, key: list[str]) -> DataFrame:
 
 def neighbours(edge: DataFrame, key: list[str]) -> DataFrame:
     """Per node: distinct neighbours in either direction; a self-loop makes a node its own neighbour."""
-    both = edge.select(*key, F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("p"))
+    both = edge.select(*key, F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"),
+        F.col("src").alias("other")))).alias("p"))
     return both.select(*key, "p.node", "p.other").distinct().groupBy(*key, "node").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
-def learner_views(rows: DataFrame, label: str = "label", learner: str = "learner", least: int = 300, most: int = 50, unknown: tuple[str, ...] = ("", "UNKNOWN")) -> DataFrame:
+def learner_views(rows: DataFrame, label: str = "label", learner: str = "learner", least: int = 300, most: int = 50, unknown: tuple[str, ...] = ("",
+    "UNKNOWN")) -> DataFrame:
     """learner, place, total, attack_ratio, dominant_label, dominant_ratio of the `most` learners with most flows that have `least` flows
     and a name; in the order of their attack ratio, then of flows and name."""
     views = group_profile(rows, learner, label).where((F.col("total") >= least) & ~F.col(learner).isin(*unknown))
@@ -101,7 +103,8 @@ def graph_stats(edge: DataFrame, key: list[str]) -> DataFrame:
     """Nodes, edges, density, largest degree shares, leaf share, edges per node, reciprocity by edges and by flows."""
     deg = degrees(edge, key).join(neighbours(edge, key), [*key, "node"])
     nodes = deg.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("_o"), F.max("in_degree").alias("_i"), F.sum((F.col("neighbours") <= 1).cast("long")).alias("_leaf")
+        F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("_o"), F.max("in_degree").alias("_i"),
+            F.sum((F.col("neighbours") <= 1).cast("long")).alias("_leaf")
     )
     both = F.col("back") > 0
     flows = with_reverse(edge, key).groupBy(*key).agg(
@@ -131,15 +134,18 @@ def components(edge: DataFrame, key: str) -> DataFrame:
     Labels spread by minimum and are then followed one step further, so rounds grow with the logarithm of a component's
     width. Each round is a table in the shared folder, deleted when the next one stands.
     """
-    both = edge.select(key, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("p"))
+    both = edge.select(key, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"),
+        F.col("src").alias("b")))).alias("p"))
     both = keep(both.select(key, "p.a", "p.b").distinct(), "both-ways")
     held = keep(both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         labels = held.select(key, "node", "component")
-        near = both.join(labels.select(key, F.col("node").alias("b"), "component"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        near = both.join(labels.select(key, F.col("node").alias("b"), "component"), [key, "b"]).groupBy(key,
+            F.col("a").alias("node")).agg(F.min("component").alias("_near"))
         hooked = labels.join(near, [key, "node"]).select(key, "node", F.least("component", "_near").alias("_new"), F.col("component").alias("_old"))
         far = labels.select(key, F.col("node").alias("_new"), F.col("component").alias("_far"))
-        after = keep(hooked.join(far, [key, "_new"], "left").select(key, "node", F.least("_new", F.coalesce("_far", "_new")).alias("component"), "_old"), "labels")
+        after = keep(hooked.join(far, [key, "_new"], "left").select(key, "node", F.least("_new", F.coalesce("_far", "_new")).alias("component"),
+            "_old"), "labels")
         discard(held)
         held = after
         if after.where("component <> _old").isEmpty():
@@ -157,7 +163,8 @@ def component_stats(labels: DataFrame, key: str) -> DataFrame:
 def graph_metrics(edge: DataFrame, key: str) -> DataFrame:
     """graph_stats with the number of weak components, the largest one's share of nodes and components per node. The edges
     are read several times, so save them first if they are costly to make."""
-    parts = components(edge, key).groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("components"), F.max("_n").alias("_largest"))
+    parts = components(edge, key).groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("components"),
+        F.max("_n").alias("_largest"))
     out = graph_stats(edge, [key]).join(parts, key)
     return out.withColumns({"largest_ratio": F.col("_largest") / F.col("nodes"), "component_ratio": F.col("components") / F.col("nodes")}).drop("_largest")
 
@@ -182,12 +189,14 @@ def edge_rules(edge: DataFrame, hub: float = 0.25) -> DataFrame:
     degrees. Hubs are few (each is tied to at least that share of the nodes)."""
     deg = degrees(edge, [])
     rest = deg.agg(F.greatest(F.lit(1), F.count(F.lit(1)) - 1).alias("_rest"))
-    hubs = deg.join(F.broadcast(rest), how="cross").select("node", (F.col("out_degree") / F.col("_rest") >= hub).alias("_s"), (F.col("in_degree") / F.col("_rest") >= hub).alias("_k")).where("_s or _k")
+    hubs = deg.join(F.broadcast(rest), how="cross").select("node", (F.col("out_degree") / F.col("_rest") >= hub).alias("_s"),
+        (F.col("in_degree") / F.col("_rest") >= hub).alias("_k")).where("_s or _k")
     end = lambda c, flag, name: hubs.where(flag).select(F.col("node").alias(c), F.lit(True).alias(name))
     out = with_reverse(edge, []).join(end("src", "_s", "_src"), "src", "left").join(end("dst", "_k", "_sink"), "dst", "left")
     source, sink, low = F.coalesce("_src", F.lit(False)), F.coalesce("_sink", F.lit(False)), F.col("back") == 0
     return out.withColumns(
-        {"rule_source_hub": source, "rule_sink_hub": sink, "rule_low_reciprocity": low, "rule_sink_or_low_recip": sink | low, "rule_src_or_sink_or_low_recip": source | sink | low}
+        {"rule_source_hub": source, "rule_sink_hub": sink, "rule_low_reciprocity": low, "rule_sink_or_low_recip": sink | low,
+            "rule_src_or_sink_or_low_recip": source | sink | low}
     ).drop("_src", "_sink", "back")
 
 
@@ -205,11 +214,13 @@ def flow_rules(df: DataFrame, hub: float = 0.25) -> DataFrame:
 def rule_rates(rows: DataFrame, rules: tuple[str, ...], attacks: str = "attacks", benign: str = "benign") -> DataFrame:
     """A row for each rule: tp, tn, fp, fn, fpr, fnr, tpr, precision, flagged. rows: rule columns (null counts as false) and how
     many attack and benign flows each row stands for. A rate without a base is 0."""
-    parts = rows.select(attacks, benign, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(r), F.lit(False)).alias("hit")) for r in rules])).alias("p"))
+    parts = rows.select(attacks, benign, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(r),
+        F.lit(False)).alias("hit")) for r in rules])).alias("p"))
     n = lambda c, hit: F.sum(F.when(F.col("p.hit") == hit, F.col(c)).otherwise(0))
     out = parts.groupBy("p.rule").agg(n(attacks, True).alias("tp"), n(benign, False).alias("tn"), n(benign, True).alias("fp"), n(attacks, False).alias("fn"))
     rate = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(a) + F.col(b))
-    return out.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp"), "tpr": rate("tp", "fn"), "precision": rate("tp", "fp"), "flagged": F.col("tp") + F.col("fp")})
+    return out.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp"), "tpr": rate("tp", "fn"), "precision": rate("tp", "fp"),
+        "flagged": F.col("tp") + F.col("fp")})
 
 
 def _window_graph(group: pa.Table) -> pa.Table:
@@ -233,8 +244,10 @@ def _window_graph(group: pa.Table) -> pa.Table:
     rest = max(1, nodes - 1)
     return pa.table(
         {
-            "window_id": group.column("window_id")[:1], "rows": [rows], "attack_ratio": [attacks / rows], "is_attack_window": pa.array([int(attacks > 0)], pa.int32()), "nodes": [nodes], "edges": [len(edge)],
-            "reciprocity": [float(np.isin(dst * nodes + src, edge).mean())], "hub_out_ratio": [np.bincount(src).max() / rest], "hub_in_ratio": [np.bincount(dst).max() / rest],
+            "window_id": group.column("window_id")[:1], "rows": [rows], "attack_ratio": [attacks / rows],
+                "is_attack_window": pa.array([int(attacks > 0)], pa.int32()), "nodes": [nodes], "edges": [len(edge)],
+            "reciprocity": [float(np.isin(dst * nodes + src, edge).mean())], "hub_out_ratio": [np.bincount(src).max() / rest],
+                "hub_in_ratio": [np.bincount(dst).max() / rest],
             "frag_ratio": [np.count_nonzero(sizes) / nodes], "largest_cc_ratio": [sizes.max() / nodes],
         }
     )
@@ -255,7 +268,8 @@ def window_rules(windows: DataFrame, quiet: float = 0.001) -> DataFrame:
     """Adds the window rules, whose limits are quantiles of the windows with an attack_ratio of at most `quiet`. Without such a
     window no rule holds."""
     calm = windows.where(F.col("attack_ratio") <= quiet)
-    limits = {"_r": ("reciprocity", 0.10), "_i": ("hub_in_ratio", 0.95), "_o": ("hub_out_ratio", 0.95), "_f": ("frag_ratio", 0.95), "_l": ("largest_cc_ratio", 0.05)}
+    limits = {"_r": ("reciprocity", 0.10), "_i": ("hub_in_ratio", 0.95), "_o": ("hub_out_ratio", 0.95), "_f": ("frag_ratio", 0.95),
+        "_l": ("largest_cc_ratio", 0.05)}
     q = calm.agg(*[F.expr(f"percentile({c}, {at}D)").alias(k) for k, (c, at) in limits.items()])  # a row for each window
     low = F.col("reciprocity") <= F.col("_r")
     tests = {
@@ -278,31 +292,41 @@ def internal_topology(edge: DataFrame, key: str) -> DataFrame:
     spread = lambda x: F.when(F.sum(x) > 0, F.ln(F.sum(x)) - F.sum(F.when(x > 0, x * F.ln(x)).otherwise(0.0)) / F.sum(x)).otherwise(0.0)
     share = lambda t: F.avg(t.cast("double"))
     nodes = deg.groupBy(key).agg(
-        F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("max_out_degree"), F.max("in_degree").alias("max_in_degree"), F.max("out_flows").alias("max_out_strength"), F.max("in_flows").alias("max_in_strength"),
-        spread(F.col("out_degree")).alias("out_deg_entropy"), spread(F.col("in_degree")).alias("in_deg_entropy"), share(F.col("out_degree") > 0).alias("src_endpoint_ratio"), share(F.col("in_degree") > 0).alias("dst_endpoint_ratio"),
+        F.count(F.lit(1)).alias("nodes"), F.max("out_degree").alias("max_out_degree"), F.max("in_degree").alias("max_in_degree"),
+            F.max("out_flows").alias("max_out_strength"), F.max("in_flows").alias("max_in_strength"),
+        spread(F.col("out_degree")).alias("out_deg_entropy"), spread(F.col("in_degree")).alias("in_deg_entropy"),
+            share(F.col("out_degree") > 0).alias("src_endpoint_ratio"), share(F.col("in_degree") > 0).alias("dst_endpoint_ratio"),
         share(F.col("_deg") <= 1).alias("leaf_ratio"), share(F.col("_deg") >= 10).alias("high_deg_tail_ratio"),
     )
-    one_sided = deg.select(key, F.explode(F.array(F.struct(F.lit("out").alias("side"), F.col("out_degree").alias("v")), F.struct(F.lit("in").alias("side"), F.col("in_degree").alias("v")))).alias("p")).select(key, "p.*").where("v > 0")
+    one_sided = deg.select(key, F.explode(F.array(F.struct(F.lit("out").alias("side"), F.col("out_degree").alias("v")),
+        F.struct(F.lit("in").alias("side"), F.col("in_degree").alias("v")))).alias("p")).select(key, "p.*").where("v > 0")
     equal = one_sided.groupBy(key, "side", "v").agg(F.count(F.lit(1)).alias("n"))  # distinct degrees only
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key, "side").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     equal = equal.withColumn("_w", F.col("v") * F.col("n") * (2 * before + F.col("n") + 1))
     gini = equal.groupBy(key, "side").agg((F.sum("_w") / (F.sum("n") * F.sum(F.col("v") * F.col("n"))) - (F.sum("n") + 1) / F.sum("n")).alias("g"))
-    gini = gini.groupBy(key).agg(F.max(F.when(F.col("side") == "out", F.col("g"))).alias("out_deg_gini"), F.max(F.when(F.col("side") == "in", F.col("g"))).alias("in_deg_gini"))
+    gini = gini.groupBy(key).agg(F.max(F.when(F.col("side") == "out", F.col("g"))).alias("out_deg_gini"), F.max(F.when(F.col("side") == "in",
+        F.col("g"))).alias("in_deg_gini"))
     n = F.col("n")
     weights = edge.groupBy(key).agg(F.count(F.lit(1)).alias("edges"), F.sum(n).alias("samples"), F.max(n).alias("_top"), spread(n).alias("edge_w_entropy"))
     ranked = edge.groupBy(key, "n").agg(F.count(F.lit(1)).alias("c"))  # distinct weights only
     above = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     five = ranked.withColumn("_t", F.greatest(F.lit(0), F.least(F.col("c"), 5 - above)) * n).groupBy(key).agg(F.sum("_t").alias("_five"))
     both = F.col("back") > 0
-    back = with_reverse(edge, [key]).groupBy(key).agg(share(both & (F.col("src") != F.col("dst"))).alias("reciprocity"), (F.sum(F.when(both, F.least("n", "back")).otherwise(0)) / F.sum("n")).alias("weighted_reciprocity"))
-    parts = components(edge, key).groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("components_weak"), F.max("_n").alias("_largest"))
+    back = with_reverse(edge, [key]).groupBy(key).agg(share(both & (F.col("src") != F.col("dst"))).alias("reciprocity"), (F.sum(F.when(both,
+        F.least("n", "back")).otherwise(0)) / F.sum("n")).alias("weighted_reciprocity"))
+    parts = components(edge, key).groupBy(key,
+        "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("components_weak"), F.max("_n").alias("_largest"))
     out = nodes.join(weights, key).join(five, key).join(gini, key).join(back, key).join(parts, key)
     c, rest = F.col, F.greatest(F.lit(1), F.col("nodes") - 1)
     return out.select(
-        key, "samples", "nodes", "edges", F.when(c("nodes") > 1, c("edges") / (c("nodes") * (c("nodes") - 1))).otherwise(0.0).alias("density"), "components_weak", (c("_largest") / c("nodes")).alias("largest_component_ratio"), "reciprocity",
-        "max_out_degree", "max_in_degree", (c("max_out_degree") / rest).alias("hub_out_ratio"), (c("max_in_degree") / rest).alias("hub_in_ratio"), "max_out_strength", "max_in_strength",
-        (c("max_out_strength") / c("samples")).alias("hub_out_strength_ratio"), (c("max_in_strength") / c("samples")).alias("hub_in_strength_ratio"), "weighted_reciprocity",
-        (c("_top") / c("samples")).alias("top1_edge_share"), (c("_five") / c("samples")).alias("top5_edge_share"), "out_deg_entropy", "in_deg_entropy", "edge_w_entropy", "out_deg_gini", "in_deg_gini",
+        key, "samples", "nodes", "edges", F.when(c("nodes") > 1, c("edges") / (c("nodes") * (c("nodes") - 1))).otherwise(0.0).alias("density"),
+            "components_weak", (c("_largest") / c("nodes")).alias("largest_component_ratio"), "reciprocity",
+        "max_out_degree", "max_in_degree", (c("max_out_degree") / rest).alias("hub_out_ratio"), (c("max_in_degree") / rest).alias("hub_in_ratio"),
+            "max_out_strength", "max_in_strength",
+        (c("max_out_strength") / c("samples")).alias("hub_out_strength_ratio"), (c("max_in_strength") / c("samples")).alias("hub_in_strength_ratio"),
+            "weighted_reciprocity",
+        (c("_top") / c("samples")).alias("top1_edge_share"), (c("_five") / c("samples")).alias("top5_edge_share"), "out_deg_entropy",
+            "in_deg_entropy", "edge_w_entropy", "out_deg_gini", "in_deg_gini",
         (c("samples") / c("edges")).alias("edge_reuse_ratio"), (c("edges") / c("nodes")).alias("edge_per_node"), "src_endpoint_ratio", "dst_endpoint_ratio",
         F.abs(c("src_endpoint_ratio") - c("dst_endpoint_ratio")).alias("src_dst_asymmetry"), "leaf_ratio", "high_deg_tail_ratio",
     )

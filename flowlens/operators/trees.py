@@ -87,7 +87,8 @@ def _macro_f1(rows: DataFrame) -> tuple[float, float]:
     return sum(hit.values()) / max(1, sum(true.values())), float(np.mean([2 * hit[c] / (said[c] + true[c]) for c in classes]))
 
 
-def tree_report(df: DataFrame, label: str, key: str, numeric: list[str], categorical: list[str] | None = None, depth: int = 6, least: int = 2, seed: int = 42, top: int = 30) -> dict:
+def tree_report(df: DataFrame, label: str, key: str, numeric: list[str], categorical: list[str] | None = None, depth: int = 6, least: int = 2,
+    seed: int = 42, top: int = 30) -> dict:
     """What a balanced decision tree makes of a table: classes, cross-validated accuracy and F1 (mean and population deviation over up to 5
     stratified folds), AUC if there are two classes, training accuracy and F1, the `top` importances, the rules as text, and confusion
     (class, guess, n of the folds). Fewer than 2 rows in a class, or one class, leave the folds out."""
@@ -99,22 +100,26 @@ def tree_report(df: DataFrame, label: str, key: str, numeric: list[str], categor
     report = {"n": sum(counts.values()), "classes": counts, "folds": n_folds if n_folds >= 2 else 0, "confusion": [], "auc": None}
     if n_folds >= 2:
         cut = keep(folds(rows, "y", "_key", n_folds, seed), "folds")
-        parts = [kind.fit(cut.where(F.col("fold") != k)).transform(cut.where(F.col("fold") == k)).select("fold", "y", "prediction", vector_to_array("probability").alias("p")) for k in range(n_folds)]
+        parts = [kind.fit(cut.where(F.col("fold") != k)).transform(cut.where(F.col("fold") == k)).select("fold", "y", "prediction",
+            vector_to_array("probability").alias("p")) for k in range(n_folds)]
         out = keep(reduce(DataFrame.unionByName, parts), "fold-scores")
         scores = [_macro_f1(out.where(F.col("fold") == k)) for k in range(n_folds)]
         for name, values in zip(("accuracy", "f1"), zip(*scores, strict=True), strict=True):
             report |= {f"cv_{name}_mean": float(np.mean(values)), f"cv_{name}_std": float(np.std(values))}
-        report["confusion"] = sorted((classes[int(r["y"])], classes[int(r["prediction"])], r["n"]) for r in out.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n")).collect())
+        report["confusion"] = sorted((classes[int(r["y"])], classes[int(r["prediction"])], r["n"]) for r in out.groupBy("y",
+            "prediction").agg(F.count(F.lit(1)).alias("n")).collect())
         if len(classes) == 2:
             report["auc"] = auc(out.select(F.lit(0).alias("g"), F.col("p")[1].alias("s"), F.col("y").cast("int").alias("y")), ["g"], "s", "y").first()["auc"]
     model = kind.fit(rows)
     accuracy, f1 = _macro_f1(model.transform(rows).select("y", "prediction"))
     weights = model.featureImportances.toArray() if names else []
-    report |= {"train_accuracy": accuracy, "train_f1": f1, "importances": [(names[k], float(weights[k])) for k in sorted(range(len(weights)), key=lambda k: (-weights[k], names[k])) if weights[k] > 1e-9][:top]}
+    report |= {"train_accuracy": accuracy, "train_f1": f1, "importances": [(names[k], float(weights[k])) for k in sorted(range(len(weights)),
+        key=lambda k: (-weights[k], names[k])) if weights[k] > 1e-9][:top]}
     return report | {"rules": rule_text(nodes(model)[0], names, classes)}
 
 
-def forest_explanations(df: DataFrame, group: str, key: str, features: list[str], least: int = 50, test: float = 0.3, trees: int = 20, depth: int = 5, top: int = 5, seed: int = 1) -> DataFrame:
+def forest_explanations(df: DataFrame, group: str, key: str, features: list[str], least: int = 50, test: float = 0.3, trees: int = 20, depth: int = 5,
+    top: int = 5, seed: int = 1) -> DataFrame:
     """learner, positives, negatives, reason, auc (of the rows held out), features (the `top` names and importances): each group against all
     others by a forest; groups with fewer than `least` rows on a side are named with a reason. One forest a group: for hundreds."""
     made, names = assemble(df, features)
@@ -129,12 +134,14 @@ def forest_explanations(df: DataFrame, group: str, key: str, features: list[str]
         mine = rows.withColumn("y", (F.col("learner") == learner).cast("double"))
         mine = mine.withColumn("w", F.when(F.col("y") == 1, total / 2 / n).otherwise(total / 2 / (total - n)))
         model = RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed).fit(mine.where("not held"))
-        scored = model.transform(mine.where("held")).select(F.lit(0).alias("g"), F.round(vector_to_array("probability")[1], 9).alias("s"), F.col("y").cast("int").alias("y"))
+        scored = model.transform(mine.where("held")).select(F.lit(0).alias("g"), F.round(vector_to_array("probability")[1], 9).alias("s"),
+            F.col("y").cast("int").alias("y"))
         got = auc(scored, ["g"], "s", "y").first()
         weight = model.featureImportances.toArray()
         best = sorted(range(len(names)), key=lambda k: (-weight[k], names[k]))[:top]
         out.append((learner, n, total - n, None, got["auc"] if got else None, [(names[k], float(weight[k])) for k in best]))
-    return df.sparkSession.createDataFrame(out, "learner string, positives long, negatives long, reason string, auc double, features array<struct<feature string, importance double>>")
+    return df.sparkSession.createDataFrame(out, "learner string, positives long, negatives long, reason string, auc double, features "
+        "array<struct<feature string, importance double>>")
 
 
 # boosted trees
@@ -151,7 +158,8 @@ class Paths:
             at = [tree[k] for k in sorted(tree)]
             self.trees.append((
                 np.array([0 if x["left"] is None else x["feature"] for x in at]), np.array([np.inf if x["left"] is None else x["cut"] for x in at]),
-                np.array([i if x["left"] is None else ids[x["left"]] for i, x in enumerate(at)]), np.array([i if x["left"] is None else ids[x["right"]] for i, x in enumerate(at)]), np.array([x["value"] for x in at], float),
+                np.array([i if x["left"] is None else ids[x["left"]] for i, x in enumerate(at)]),
+                    np.array([i if x["left"] is None else ids[x["right"]] for i, x in enumerate(at)]), np.array([x["value"] for x in at], float),
             ))
         self.base = sum(w * t[4][0] for w, t in zip(weights, self.trees, strict=True))
 
@@ -169,10 +177,12 @@ class Paths:
         return out
 
 
-def boosted(rows: DataFrame, positive: str, features: list[str], trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 1) -> tuple[GBTClassifier, Paths]:
+def boosted(rows: DataFrame, positive: str, features: list[str], trees: int = 20, depth: int = 4, rate: float = 0.1,
+    seed: int = 1) -> tuple[GBTClassifier, Paths]:
     """Boosted trees on a 0/1 column, and their paths. The value that paths explain is the model's margin."""
     x = array_to_vector(F.array(*[clean(F.col(f"`{c}`").cast("double")) for c in features]))
-    model = GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.85, seed=seed).fit(rows.select(F.col(positive).cast("double").alias("_y"), x.alias("features")))
+    model = GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.85,
+        seed=seed).fit(rows.select(F.col(positive).cast("double").alias("_y"), x.alias("features")))
     return model, Paths(nodes(model), list(model.treeWeights), len(features))
 
 
@@ -191,7 +201,8 @@ def mean_credits(rows: DataFrame, group: str, features: list[str], paths: Paths)
             yield pd.DataFrame({"g": name, "feature": features, "n": n, "a": absolute, "s": plain})
 
     out = rows.select(F.col(group).cast("string").alias(group), *features).mapInPandas(run, "g string, feature string, n long, a double, s double")
-    return out.groupBy(F.col("g").alias(group), "feature").agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("mean_abs"), (F.sum("s") / F.sum("n")).alias("mean"))
+    return out.groupBy(F.col("g").alias(group), "feature").agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("mean_abs"),
+        (F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def class_attributions(rows: DataFrame, label: str, features: list[str], top: int = 20, **options) -> DataFrame:
@@ -223,7 +234,8 @@ def fusion_scores(df: DataFrame, positive: str, key: str, features: list[str], f
     kind = LogisticRegression(labelCol="y", weightCol="w", regParam=0.01, maxIter=50, standardization=False)
     n = max(2, min(folds_, *counts.values()))
     cut = keep(folds(rows, "y", key, n, seed), "folds")
-    parts = [kind.fit(cut.where(F.col("fold") != k)).transform(cut.where(F.col("fold") == k)).select(key, F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score")) for k in range(n)]
+    parts = [kind.fit(cut.where(F.col("fold") != k)).transform(cut.where(F.col("fold") == k)).select(key, F.col("y").cast("int").alias("y"),
+        vector_to_array("probability")[1].alias("score")) for k in range(n)]
     return reduce(DataFrame.unionByName, parts), dict(zip(names, map(float, kind.fit(rows).coefficients), strict=True))
 
 
@@ -233,7 +245,10 @@ def threshold_table(scored: DataFrame, score: str, positive: str, targets: list[
     points = curve(scored, score, positive)
     total = points.agg(F.max("tp").alias("p"), F.max("fp").alias("q"))
     points = keep(points.join(F.broadcast(total), how="cross"), "roc")  # one row
-    near = [points.agg(F.min_by(F.struct("threshold", "tp", "fp", "tpr", "fpr", "precision", "p", "q"), F.struct(F.round(F.abs(F.col("fpr") - t), 12), -F.col("threshold"))).alias("b")).select(F.lit("").alias("note"), F.lit(t).alias("target"), "b.*") for t in targets]
-    best = points.agg(F.min_by(F.struct("threshold", "tp", "fp", "tpr", "fpr", "precision", "p", "q"), F.struct(F.round(F.col("fpr") - F.col("tpr"), 12), -F.col("threshold"))).alias("b"))
+    near = [points.agg(F.min_by(F.struct("threshold", "tp", "fp", "tpr", "fpr", "precision", "p", "q"), F.struct(F.round(F.abs(F.col("fpr") - t), 12),
+        -F.col("threshold"))).alias("b")).select(F.lit("").alias("note"), F.lit(t).alias("target"), "b.*") for t in targets]
+    best = points.agg(F.min_by(F.struct("threshold", "tp", "fp", "tpr", "fpr", "precision", "p", "q"), F.struct(F.round(F.col("fpr") - F.col("tpr"),
+        12), -F.col("threshold"))).alias("b"))
     out = reduce(DataFrame.unionByName, [*near, best.select(F.lit("best_youden").alias("note"), F.lit(None).cast("double").alias("target"), "b.*")])
-    return out.select("note", "target", "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("q") - F.col("fp")).alias("tn"), "tpr", "fpr", (1 - F.col("tpr")).alias("fnr"), "precision")
+    return out.select("note", "target", "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("q") - F.col("fp")).alias("tn"),
+        "tpr", "fpr", (1 - F.col("tpr")).alias("fnr"), "precision")

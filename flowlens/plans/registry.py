@@ -22,7 +22,8 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 #: Modules that register queries when they are imported.
-MODULES = ("cleaning_queries", "aggregate_queries", "graph_queries", "model_queries", "report_queries", "lifecycle_queries", "payload_queries", "open_set_queries", "learning_queries", "run_queries")
+MODULES = ("cleaning_queries", "aggregate_queries", "graph_queries", "model_queries", "report_queries", "lifecycle_queries", "payload_queries",
+    "open_set_queries", "learning_queries", "run_queries")
 
 
 def _load() -> None:

@@ -36,9 +36,11 @@ def _n():
 
 _YAML = """
 paths: {data_dir: in, output_dir: out}
-runtime: {cpu_only: true, max_rows: 0, seed: 42, year_include: ['2017', '2019'], attack_type_exclude: [portscan], protocol_include: [tcp, udp], year_benign_exclude: ['2019']}
+runtime: {cpu_only: true, max_rows: 0, seed: 42, year_include: ['2017', '2019'], attack_type_exclude: [portscan], protocol_include: [tcp, udp],
+    year_benign_exclude: ['2019']}
 stream: {init_known_mode: benign_only, init_ratio: 0.01, window_size: 10000}
-tsieve: {batch_size: 256, increment_epochs: 1, increment_min_samples: 100, init_epochs: 5, lr: 0.001, max_increment_samples: 1000, max_train_per_class: 20000, min_class_samples: 300, new_class_epochs: 4}
+tsieve: {batch_size: 256, increment_epochs: 1, increment_min_samples: 100, init_epochs: 5, lr: 0.001, max_increment_samples: 1000,
+    max_train_per_class: 20000, min_class_samples: 300, new_class_epochs: 4}
 tmagnifier: {cluster_trigger_size: 120, dbscan_eps: 1.3, dbscan_min_samples: 10, max_unknown_buffer: 30000, new_class_min_size: 500}
 """
 
@@ -53,7 +55,8 @@ def _configured(s, d):
     return rounded(rows.groupBy("label", "protocol").agg(_n().alias("n")))
 
 
-register("sc14_configured_flows", _configured, W + "SELECT label, CAST(protocol AS BIGINT) AS protocol, count(*) AS n FROM base WHERE year_tag IN ('2017', '2019') AND NOT (benign = 1 AND year_tag = '2019') AND base_label <> 'PORTSCAN' AND protocol IN (6, 17) GROUP BY 1, 2")
+register("sc14_configured_flows", _configured, W + "SELECT label, CAST(protocol AS BIGINT) AS protocol, count(*) AS n FROM base WHERE year_tag IN "
+    "('2017', '2019') AND NOT (benign = 1 AND year_tag = '2019') AND base_label <> 'PORTSCAN' AND protocol IN (6, 17) GROUP BY 1, 2")
 
 # performance
 
@@ -63,14 +66,17 @@ _LOG = ["detect", "cluster", "create", "retrain", "window"]
 def _averages(s, d):
     """Events as the log of a run: a window for every 50 of them; windows of odd number took no time."""
     e = events(s, d).groupBy(F.floor(F.col("row_index") / 50).alias("w")).agg(_n().alias("rows"), F.sum("value").alias("v"))
-    return rounded(P.window_averages(e.select("rows", *[(F.when(F.col("w") % 2 == 0, F.col("v")).otherwise(0.0) * k).alias(f"{name}_seconds") for k, name in enumerate(_LOG)])), 2)
+    return rounded(P.window_averages(e.select("rows", *[(F.when(F.col("w") % 2 == 0, F.col("v")).otherwise(0.0) * k).alias(f"{name}_seconds") for k,
+        name in enumerate(_LOG)])), 2)
 
 
 _SUMS = ", ".join(f"round(sum(v) * {k}, 2) AS {n}_seconds_total, round(sum(v) * {k} / count(*), 2) AS avg_{n}_seconds" for k, n in enumerate(_LOG))
 register(
     "ag56_performance",
     _averages,
-    f"WITH e AS (SELECT event_id // 50 AS w, count(*) AS n, CASE WHEN event_id // 50 % 2 = 0 THEN sum(value) ELSE 0 END AS v FROM events GROUP BY 1) SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS rows, {_SUMS}, CAST(NULL AS DOUBLE) AS rows_per_s_detect, round(sum(n) / (sum(v) * 4), 2) AS rows_per_s_window FROM e",
+    f"WITH e AS (SELECT event_id // 50 AS w, count(*) AS n, CASE WHEN event_id // 50 % 2 = 0 THEN sum(value) ELSE 0 END AS v FROM events GROUP BY 1) "
+        f"SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS rows, {_SUMS}, CAST(NULL AS DOUBLE) AS rows_per_s_detect, round(sum(n) / (sum(v) * "
+            f"4), 2) AS rows_per_s_window FROM e",
 )
 
 
@@ -92,8 +98,12 @@ def _profiled(s, d):
 
 
 register("qp3_profiled_audit", _profiled, _QUAL + ", l AS (SELECT unnest([" + ", ".join(f"{m}__score" for m in Q.METRICS) + "]) AS score FROM qw)"
-         + " SELECT 'metrics' AS stage, count(*) AS rows, true AS timed FROM qw UNION ALL SELECT 'tags', count(*), true FROM l WHERE score IS NOT NULL UNION ALL SELECT 'rules', (SELECT count(*) FROM qw WHERE "
-         + "1 = 0 OR " + " OR ".join("(" + " AND ".join(f"{m}__score >= {a if a is not None else -1} AND {m}__score <= {b if b is not None else 101}" for m, a, b in needed) + (" AND (" + " OR ".join(f"({m}__score >= {a if a is not None else -1} AND {m}__score <= {b if b is not None else 101})" for m, a, b in support) + ")" if support else "") + ")" for _, _, needed, support in Q.RULES)
+         + " SELECT 'metrics' AS stage, count(*) AS rows, true AS timed FROM qw UNION ALL SELECT 'tags', count(*), true FROM l WHERE score IS NOT "
+             "NULL UNION ALL SELECT 'rules', (SELECT count(*) FROM qw WHERE "
+         + "1 = 0 OR " + " OR ".join("(" + " AND ".join(f"{m}__score >= {a if a is not None else -1} AND {m}__score "
+             f"<= {b if b is not None else 101}" for m, a, b in needed) + (" AND (" + " OR ".join(f"({m}__score "
+                 f">= {a if a is not None else -1} AND {m}__score <= {b if b is not None else 101})" for m, a, b in support) +
+                     ")" if support else "") + ")" for _, _, needed, support in Q.RULES)
          + "), true")
 
 # functions by name
@@ -102,16 +112,20 @@ register("qp3_profiled_audit", _profiled, _QUAL + ", l AS (SELECT unnest([" + ",
 def _registered(s, d):
     register_functions(s)
     flows(s, d).select("label", "learner", "fwd", "bwd").createOrReplaceTempView("flowlens_flows")
-    counted = s.sql("SELECT learner, is_benign_label(label) AS benign, label_year_tag(label) AS year, safe_div(sum(bwd), sum(fwd)) AS ratio, soft_probability(avg(bwd) / 50, 4D) AS p FROM flowlens_flows GROUP BY ALL")
-    entropy = s.sql("SELECT learner, norm_entropy(collect_list(CAST(n AS DOUBLE))) AS h FROM (SELECT learner, label, count(*) AS n FROM flowlens_flows GROUP BY ALL) GROUP BY learner")
+    counted = s.sql("SELECT learner, is_benign_label(label) AS benign, label_year_tag(label) AS year, safe_div(sum(bwd), sum(fwd)) AS ratio, "
+        "soft_probability(avg(bwd) / 50, 4D) AS p FROM flowlens_flows GROUP BY ALL")
+    entropy = s.sql("SELECT learner, norm_entropy(collect_list(CAST(n AS DOUBLE))) AS h FROM (SELECT learner, label, count(*) AS n FROM "
+        "flowlens_flows GROUP BY ALL) GROUP BY learner")
     return rounded(counted.join(entropy, "learner"), 5)
 
 
 register(
     "fn_registered",
     _registered,
-    W + """, h AS (SELECT learner, -sum(p * ln(p)) / ln(count(*)) AS h FROM (SELECT learner, count(*) / sum(count(*)) OVER (PARTITION BY learner) AS p FROM base GROUP BY learner, label) GROUP BY 1)
-  SELECT b.learner, b.benign = 1 AS benign, year_tag AS year, round(sum(bwd) / sum(fwd), 5) AS ratio, round(1 / (1 + exp(-4 * avg(bwd) / 50)), 5) AS p, round(max(h), 5) AS h FROM base b JOIN h USING (learner) GROUP BY 1, 2, 3""",
+    W + """, h AS (SELECT learner, -sum(p * ln(p)) / ln(count(*)) AS h FROM (SELECT learner, count(*) / sum(count(*)) OVER (PARTITION BY learner) AS p
+        FROM base GROUP BY learner, label) GROUP BY 1)
+  SELECT b.learner, b.benign = 1 AS benign, year_tag AS year, round(sum(bwd) / sum(fwd), 5) AS ratio, round(1 / (1 + exp(-4 * avg(bwd) / 50)),
+      5) AS p, round(max(h), 5) AS h FROM base b JOIN h USING (learner) GROUP BY 1, 2, 3""",
 )
 
 
@@ -130,28 +144,44 @@ def _view_links(s, d):
     """The compact graph of hosts of each learner that has a view."""
     rows = flows(s, d)
     names = T.learner_views(rows, least=900, most=4).select("learner")
-    return T.compact(T.edges(rows.join(F.broadcast(names), "learner", "left_semi"), ["learner"], F.col("src_ip"), F.col("dst_ip")), "learner", 60, 80)[0]  # at most four names
+    return T.compact(T.edges(rows.join(F.broadcast(names), "learner", "left_semi"), ["learner"], F.col("src_ip"), F.col("dst_ip")), "learner", 60,
+        80)[0]  # at most four names
 
 
 register("gr7_learner_views", lambda s, d: rounded(T.learner_views(flows(s, d), least=900, most=4)),
-         W + PROFILE_SQL + ", t AS (SELECT * FROM profile WHERE learner <> 'UNKNOWN' AND total >= 900 ORDER BY total DESC, learner LIMIT 4), m AS (SELECT learner, max(c) AS top FROM pc GROUP BY 1) SELECT learner, row_number() OVER (ORDER BY attack_ratio DESC, total DESC, learner) AS place, CAST(total AS BIGINT) AS total, round(attack_ratio, 6) AS attack_ratio, dominant_label, round(top / total, 6) AS dominant_ratio FROM t JOIN m USING (learner)")
-register("gr7_view_links", _view_links, W + PROFILE_SQL + """, v AS (SELECT learner FROM profile WHERE learner <> 'UNKNOWN' AND total >= 900 ORDER BY total DESC, learner LIMIT 4), e AS (SELECT learner, src_ip AS src, dst_ip AS dst, count(*) AS n FROM base WHERE learner IN (SELECT learner FROM v) GROUP BY ALL),
-  t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY n DESC, src, dst) AS r FROM e) WHERE r <= 60), k AS (SELECT * FROM (SELECT learner, node, row_number() OVER (PARTITION BY learner ORDER BY sum(n) DESC, node) AS r FROM (SELECT learner, src AS node, n FROM t UNION ALL SELECT learner, dst, n FROM t) GROUP BY learner, node) WHERE r <= 80)
+         W + PROFILE_SQL + ", t AS (SELECT * FROM profile WHERE learner <> 'UNKNOWN' AND total >= 900 ORDER BY total DESC, learner LIMIT 4), m AS "
+             "(SELECT learner, max(c) AS top FROM pc GROUP BY 1) SELECT learner, row_number() OVER (ORDER BY attack_ratio DESC, total DESC, learner) "
+                 "AS place, CAST(total AS BIGINT) AS total, round(attack_ratio, 6) AS attack_ratio, dominant_label, round(top / total, 6) AS "
+                     "dominant_ratio FROM t JOIN m USING (learner)")
+register("gr7_view_links", _view_links, W + PROFILE_SQL + """, v AS (SELECT learner FROM profile WHERE learner <> 'UNKNOWN'
+    AND total >= 900 ORDER BY total DESC, learner LIMIT 4), e AS (SELECT learner, src_ip AS src, dst_ip AS dst, count(*) AS n FROM base
+        WHERE learner IN (SELECT learner FROM v) GROUP BY ALL),
+  t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY n DESC, src, dst) AS r FROM e) WHERE r <= 60), k AS (SELECT *
+      FROM (SELECT learner, node, row_number() OVER (PARTITION BY learner ORDER BY sum(n) DESC, node) AS r FROM (SELECT learner, src AS node, n FROM t
+          UNION ALL SELECT learner, dst, n FROM t) GROUP BY learner, node) WHERE r <= 80)
   SELECT learner, src, dst, n FROM t WHERE (learner, src) IN (SELECT learner, node FROM k) AND (learner, dst) IN (SELECT learner, node FROM k)""")
-register("tk6_top_pairs", lambda s, d: rounded(O.jaccard(O.accepted(losses(s, d))).orderBy(F.col("jaccard").desc(), F.col("both").desc(), "learner_a", "learner_b").limit(20).select("learner_a", "learner_b", "both", "jaccard")),
-         X + _JAC + ' SELECT learner_a, learner_b, "both", round(jaccard, 6) AS jaccard FROM jx ORDER BY jx.jaccard DESC, "both" DESC, learner_a, learner_b LIMIT 20')
-register("tk6_top_correlations", lambda s, d: rounded(A.correlations(benign_flows(s, d), ["l_quantity", "l_discount", "bwd", "l_linenumber", "l_tax"], "benign").orderBy(F.abs("pearson").desc(), "feature").limit(3).select("feature", "pearson"), 5),
-         W + "SELECT feature, round(p, 5) AS pearson FROM (SELECT feature, corr(x, benign) AS p FROM (SELECT benign, unnest(['l_quantity', 'l_discount', 'bwd', 'l_linenumber', 'l_tax']) AS feature, unnest([l_quantity, l_discount, bwd, l_linenumber, l_tax]) AS x FROM base) GROUP BY 1) ORDER BY abs(p) DESC, 1 LIMIT 3")
+register("tk6_top_pairs", lambda s, d: rounded(O.jaccard(O.accepted(losses(s, d))).orderBy(F.col("jaccard").desc(), F.col("both").desc(), "learner_a",
+    "learner_b").limit(20).select("learner_a", "learner_b", "both", "jaccard")),
+         X + _JAC + ' SELECT learner_a, learner_b, "both", round(jaccard, 6) AS jaccard FROM jx ORDER BY jx.jaccard DESC, "both" DESC, learner_a, '
+             'learner_b LIMIT 20')
+register("tk6_top_correlations", lambda s, d: rounded(A.correlations(benign_flows(s, d), ["l_quantity", "l_discount", "bwd", "l_linenumber", "l_tax"],
+    "benign").orderBy(F.abs("pearson").desc(), "feature").limit(3).select("feature", "pearson"), 5),
+         W + "SELECT feature, round(p, 5) AS pearson FROM (SELECT feature, corr(x, benign) AS p FROM (SELECT benign, unnest(['l_quantity', "
+             "'l_discount', 'bwd', 'l_linenumber', 'l_tax']) AS feature, unnest([l_quantity, l_discount, bwd, l_linenumber, l_tax]) AS x FROM base) "
+                 "GROUP BY 1) ORDER BY abs(p) DESC, 1 LIMIT 3")
 
 
 def _three(s, d):
     """Customers, suppliers and nations under one set of column names, in order."""
-    of = lambda t: S.trim_names(table(s, d, t).withColumnRenamed(f"{t[0]}_name", f" {t[0]}_name "), {f"{t[0]}_name": "name", f"{t[0]}_nationkey": "nation", f"{t[0]}_comment": "note"})
+    of = lambda t: S.trim_names(table(s, d, t).withColumnRenamed(f"{t[0]}_name", f" {t[0]}_name "), {f"{t[0]}_name": "name",
+        f"{t[0]}_nationkey": "nation", f"{t[0]}_comment": "note"})
     a, b, c = S.align([of("customer"), of("supplier"), of("nation")], ["name", "nation"])
     return rounded(S.in_order([a, b, c]).groupBy("file_no", "nation").agg(_n().alias("n"), F.min("name").alias("first")))
 
 
-register("sc5_three_way", _three, """SELECT 0::BIGINT AS file_no, c_nationkey::BIGINT AS nation, count(*) AS n, min(c_name) AS "first" FROM customer GROUP BY 2 UNION ALL SELECT 1, s_nationkey, count(*), min(s_name) FROM supplier GROUP BY 2 UNION ALL SELECT 2, n_nationkey, count(*), min(n_name) FROM nation GROUP BY 2""")
+register("sc5_three_way", _three, """SELECT 0::BIGINT AS file_no, c_nationkey::BIGINT AS nation, count(*) AS n, min(c_name) AS "first" FROM customer
+    GROUP BY 2 UNION ALL SELECT 1, s_nationkey, count(*), min(s_name) FROM supplier GROUP BY 2 UNION ALL SELECT 2, n_nationkey, count(*), min(n_name)
+        FROM nation GROUP BY 2""")
 
 # every table of a run
 
@@ -174,10 +204,12 @@ def _all_tables(s, d):
         "dataset_label_feature_attack_correlation": A.correlations(benign_flows(s, d), ["l_quantity", "bwd"], "benign"),
         "dataset_network_topology": T.graph_stats(T.edges(rows, ["label"], F.col("src_ip"), F.col("dst_ip")), ["label"]),
         "learner_count_over_time": run.window_log(),
-        "learner_creation_distribution": creations.join(rows.select("row_index", "label"), "row_index").groupBy("assigned_learner", "label").agg(_n().alias("n")),
+        "learner_creation_distribution": creations.join(rows.select("row_index", "label"), "row_index").groupBy("assigned_learner",
+            "label").agg(_n().alias("n")),
         "learner_train_batch_label_distribution": run.label_counts(),
         "learner_label_distribution": profile,
-        "learner_creation_flow_previews": C.first_per_group(creations.join(rows, "row_index").select("row_index", "assigned_learner", "src_ip", "dst_ip", "dst_port", "label"), ["assigned_learner"], ["row_index"], 10),
+        "learner_creation_flow_previews": C.first_per_group(creations.join(rows, "row_index").select("row_index", "assigned_learner", "src_ip",
+            "dst_ip", "dst_port", "label"), ["assigned_learner"], ["row_index"], 10),
         "learner_feature_attack_ratio_correlation": A.feature_profile(assigned, ["learner"], ["l_quantity", "bwd"]),
         "learner_registry": known,
         "metrics": V.assignment_risk(assigned),

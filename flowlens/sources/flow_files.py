@@ -72,7 +72,8 @@ def in_order(tables: list[DataFrame], name: str = "file_no") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn(name, F.lit(i)) for i, t in enumerate(tables)])
 
 
-def read_flow_csv(spark: SparkSession, paths: list[str], schema: str, renames: dict[str, str] | None = None, label: str = "Label", bad_lines: str = "DROPMALFORMED") -> DataFrame:
+def read_flow_csv(spark: SparkSession, paths: list[str], schema: str, renames: dict[str, str] | None = None, label: str = "Label",
+    bad_lines: str = "DROPMALFORMED") -> DataFrame:
     """The files as one table with source_file and year-tagged labels. The schema is given, never inferred; malformed lines
     are dropped, or kept apart with bad_lines='PERMISSIVE' and a _corrupt_record column in the schema."""
     df = spark.read.schema(schema).csv(paths, header=True, mode=bad_lines, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=False)

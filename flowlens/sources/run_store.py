@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 #: Fixed: artifact names that may be read by name.
 ARTIFACTS = frozenset(
-    "metrics.json metric_catalog.json performance_metrics.json run_summary.txt config.yaml dataset_label_distribution.csv dataset_label_feature_attack_correlation.csv dataset_network_topology.json "
-    "learner_count_over_time.csv learner_label_distribution.csv learner_feature_attack_ratio_correlation.csv learner_risk_scores.csv learner_network_topology.json learner_topology_metric_audit.json "
-    "learner_aggregated_distribution.csv debug_true_overlap_pairs.csv learner_train_batch_label_distribution.csv learner_creation_flow_previews.json sample_learner_assignments.csv".split()
+    "metrics.json metric_catalog.json performance_metrics.json run_summary.txt config.yaml dataset_label_distribution.csv "
+        "dataset_label_feature_attack_correlation.csv dataset_network_topology.json "
+    "learner_count_over_time.csv learner_label_distribution.csv learner_feature_attack_ratio_correlation.csv learner_risk_scores.csv "
+        "learner_network_topology.json learner_topology_metric_audit.json "
+    "learner_aggregated_distribution.csv debug_true_overlap_pairs.csv learner_train_batch_label_distribution.csv learner_creation_flow_previews.json "
+        "sample_learner_assignments.csv".split()
 )
 _RUN_ID = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.-]*$")
 
@@ -44,17 +47,20 @@ class RunStore:
         """run, started, complete (it has metrics), newest first by the time in its name."""
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*").load(f"{self.root}/*/*").select("path", "length")
         run = files.select(F.split_part("path", F.lit("/"), F.lit(-2)).alias("run"), F.split_part("path", F.lit("/"), F.lit(-1)).alias("file"))
-        return run.groupBy("run").agg(F.max((F.col("file") == "metrics.json").cast("int")).cast("boolean").alias("complete")).withColumn("started", run_time(F.col("run"))).orderBy(F.col("started").desc_nulls_last(), "run")
+        return run.groupBy("run").agg(F.max((F.col("file") == "metrics.json").cast("int")).cast("boolean").alias("complete")).withColumn("started",
+            run_time(F.col("run"))).orderBy(F.col("started").desc_nulls_last(), "run")
 
     def metrics(self) -> DataFrame:
         """Key figures of all runs that have metrics."""
-        df = self.spark.read.json(f"{self.root}/*/metrics.json", multiLine=True).withColumn("run", F.split_part(F.col("_metadata.file_path"), F.lit("/"), F.lit(-2)))
+        df = self.spark.read.json(f"{self.root}/*/metrics.json", multiLine=True).withColumn("run", F.split_part(F.col("_metadata.file_path"),
+            F.lit("/"), F.lit(-2)))
         return df
 
 
 def run_time(run):
     """The time in a run id like 20240131_235959_name, or null."""
-    return F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(run, r"(\d{8})_(\d{6})", 1), F.regexp_extract(run, r"(\d{8})_(\d{6})", 2)), F.lit("yyyyMMdd HHmmss"))
+    return F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(run, r"(\d{8})_(\d{6})", 1), F.regexp_extract(run, r"(\d{8})_(\d{6})", 2)),
+        F.lit("yyyyMMdd HHmmss"))
 
 
 def leaderboard(runs: DataFrame, k: int = 10) -> DataFrame:

@@ -25,7 +25,8 @@ def with_row_index(df: DataFrame, time: str, ties: list[str], name: str = "row_i
     before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
     base = base.select(F.col("_day").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy("_day").orderBy(time, *ties)) - 1
-    return day.withColumn("_own", own).join(base, F.col("_day").eqNullSafe(F.col("_of"))).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_of", "_base", "_own")
+    return day.withColumn("_own", own).join(base, F.col("_day").eqNullSafe(F.col("_of"))).withColumn(name, F.col("_base") +
+        F.col("_own")).drop("_day", "_of", "_base", "_own")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a scored stream: row_index, ts, label (error is the attack), value, k from the JSON text."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("row_index"), "ts", "user_id", F.col("event_type").alias("label"), "value", F.get_json_object("props", "$.k").cast("int").alias("k")
+        F.col("event_id").alias("row_index"), "ts", "user_id", F.col("event_type").alias("label"), "value", F.get_json_object("props",
+            "$.k").cast("int").alias("k")
     )
 
 
@@ -101,13 +103,16 @@ def losses(spark: SparkSession, sf_dir: str, quantile: float = 0.9) -> DataFrame
     and the quantile of a learner's own rows as its threshold. Learners 0 and 1 count as benign."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("axis", "x"))
     c = centroids(spark, sf_dir)
-    loss = v.join(c, "axis").groupBy(F.col("vec_id").alias("row_index"), "label", "learner").agg(F.round(F.sum((F.col("x").cast("double") - F.col("centre")) ** 2), 6).alias("loss"))
-    own = loss.where(F.concat(F.lit("NEW_"), F.col("label").cast("string")) == F.col("learner")).groupBy("learner").agg(F.round(F.expr(f"percentile(loss, {quantile}D)"), 6).alias("threshold"))
+    loss = v.join(c, "axis").groupBy(F.col("vec_id").alias("row_index"), "label",
+        "learner").agg(F.round(F.sum((F.col("x").cast("double") - F.col("centre")) ** 2), 6).alias("loss"))
+    own = loss.where(F.concat(F.lit("NEW_"),
+        F.col("label").cast("string")) == F.col("learner")).groupBy("learner").agg(F.round(F.expr(f"percentile(loss, {quantile}D)"), 6).alias("threshold"))
     return loss.join(own, "learner").withColumn("is_benign", F.col("learner").isin("NEW_0", "NEW_1"))
 
 
 LOSSES_SQL = """vecs AS (SELECT vec_id, label, unnest(range(64)) AS axis, unnest(embedding)::DOUBLE AS x FROM embeddings),
 centroids AS (SELECT concat('NEW_', label) AS learner, axis, avg(x) AS centre FROM vecs GROUP BY ALL),
-loss0 AS (SELECT v.vec_id AS row_index, v.label, c.learner, round(sum((v.x - c.centre) ** 2), 6) AS loss FROM vecs v JOIN centroids c USING (axis) GROUP BY ALL),
+loss0 AS (SELECT v.vec_id AS row_index, v.label, c.learner, round(sum((v.x - c.centre) ** 2), 6) AS loss FROM vecs v JOIN centroids c USING (axis)
+    GROUP BY ALL),
 thr AS (SELECT learner, round(quantile_cont(loss, 0.9), 6) AS threshold FROM loss0 WHERE concat('NEW_', label) = learner GROUP BY learner),
 losses AS (SELECT l.*, t.threshold, l.learner IN ('NEW_0', 'NEW_1') AS is_benign FROM loss0 l JOIN thr t USING (learner))"""

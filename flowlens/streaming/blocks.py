@@ -18,7 +18,8 @@ Summary = Callable[[DataFrame, str], DataFrame]
 def block_log(rows: DataFrame, block: str) -> DataFrame:
     """window_left, window_right, window_end_time, rows, attacks of each block; rows has row_index, ts, attack (0/1)."""
     return rows.groupBy(block).agg(
-        F.min("row_index").alias("window_left"), (F.max("row_index") + 1).alias("window_right"), F.max("ts").alias("window_end_time"), F.count(F.lit(1)).alias("rows"), F.sum("attack").cast("long").alias("attacks")
+        F.min("row_index").alias("window_left"), (F.max("row_index") + 1).alias("window_right"), F.max("ts").alias("window_end_time"),
+            F.count(F.lit(1)).alias("rows"), F.sum("attack").cast("long").alias("attacks")
     )
 
 

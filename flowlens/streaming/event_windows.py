@@ -19,7 +19,8 @@ def event_stream(spark: SparkSession, folder: str, schema, files: str = "*.parqu
 
 def windowed(stream: DataFrame, window: Column, late: str, keys: list[str], value: str, time: str = "ts") -> DataFrame:
     """start, end, keys, n, total of each window; rows later than `late` behind the newest are dropped."""
-    out = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    out = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(window.alias("w"),
+        *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 

@@ -102,7 +102,8 @@ class OpenSet:
 
     def _registry(self, fitted: DataFrame, birth: int, last: int) -> DataFrame:
         out = fitted.withColumns({"birth": F.lit(birth).cast("long"), "last_trained": F.lit(last).cast("long"), "retrains": F.lit(0)})
-        return out.withColumns({"seed_count": F.lit(None).cast("long"), "cutoff": F.lit(None).cast("double"), "guard": F.lit(None).cast("binary")}).select(*[f.split()[0] for f in REGISTRY.split(", ")])
+        return out.withColumns({"seed_count": F.lit(None).cast("long"), "cutoff": F.lit(None).cast("double"),
+            "guard": F.lit(None).cast("binary")}).select(*[f.split()[0] for f in REGISTRY.split(", ")])
 
     def _with_guards(self, registry: DataFrame, rows: DataFrame) -> DataFrame:
         """registry with a guard for each of its learners that has enough rows."""
@@ -115,7 +116,8 @@ class OpenSet:
 
     def start(self, known: DataFrame, group: str) -> None:
         """Learners of the known groups (row_index, group, features); names with BENIGN are benign."""
-        rows = keep(known.select("row_index", F.col(group).alias("learner"), *(["label"] if "label" in known.columns and group != "label" else []), *self.features), "known")
+        rows = keep(known.select("row_index", F.col(group).alias("learner"), *(["label"] if "label" in known.columns and group != "label" else []),
+            *self.features), "known")
         fitted = fit_learners(rows, "learner", "row_index", self.features, self.backend, self.most_rows, self.quantile, self.risk)
         last = rows.agg(F.max("row_index")).first()[0] or 0
         self._put(self._with_guards(self._registry(fitted, 0, last), rows), "learners", -1)
@@ -154,14 +156,16 @@ class OpenSet:
         gone: list[str] = []
         if self.small_rows:
             held = self._small(number, mine, created_rows)
-            gone = self._too_small(number, [r["learner"] for r in known] + ([r["learner"] for r in born.select("learner").collect()] if born is not None else []), labels, created_rows)
+            gone = self._too_small(number, [r["learner"] for r in known] +
+                ([r["learner"] for r in born.select("learner").collect()] if born is not None else []), labels, created_rows)
             log["destroyed"] = len(gone)
             if gone:
                 back = held.where(F.col("learner").isin(gone)).select(*rows.columns)
                 buffer = self._fifo(buffer.unionByName(back), number, more=True)
                 table = table.where(~F.col("learner").isin(gone))
                 born = born.where(~F.col("learner").isin(gone)) if born is not None else None
-                buffer, again, second, next_id, more_c, more_n = self._cluster(buffer, [r for r in known if r["learner"] not in gone], next_id, number, span[1], log)
+                buffer, again, second, next_id, more_c, more_n = self._cluster(buffer, [r for r in known if r["learner"] not in gone], next_id,
+                    number, span[1], log)
                 clustered, created = clustered + more_c, created + more_n
                 if again is not None:
                     created_rows.append(again)
@@ -181,7 +185,8 @@ class OpenSet:
         table = table if born is None else table.unionByName(born)
         trained = time.perf_counter()
         if self.gate is not None:
-            table = self._increment(number, mine.where(F.col("learner") != UNKNOWN), losses, [r for r in known if r["learner"] not in gone], table, creations, span, log)
+            table = self._increment(number, mine.where(F.col("learner") != UNKNOWN), losses, [r for r in known if r["learner"] not in gone], table,
+                creations, span, log)
         learners = self._put(table, "learners", number).count()
         buffered = self._put(buffer, "buffer", number).count()
         now = time.perf_counter()
@@ -232,7 +237,8 @@ class OpenSet:
         names = F.create_map(*[x for c, k in numbers.items() for x in (F.lit(c).cast("long"), F.lit(f"NEW_{k}"))])
         made = keep(found.where(F.col("cluster").isin(list(numbers))).withColumn("learner", F.element_at(names, F.col("cluster"))).drop("cluster"), "created")
         size = made.groupBy("learner").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= self.least_fit).select("learner")
-        fitted = fit_learners(made.join(F.broadcast(size), "learner", "left_semi"), "learner", "row_index", self.features, self.backend, self.most_rows, self.quantile, self.risk)
+        fitted = fit_learners(made.join(F.broadcast(size), "learner", "left_semi"), "learner", "row_index", self.features, self.backend,
+            self.most_rows, self.quantile, self.risk)
         born = keep(self._with_guards(self._registry(fitted, number, last), made), "born")
         # numbers go on when a class is too small for a learner; its rows are used up all the same
         rest = keep(buffer.join(made.select("row_index"), "row_index", "left_anti"), "buffer")
@@ -247,7 +253,8 @@ class OpenSet:
         for x in created:
             new = new.unionByName(x.select(*columns))
         rows = self._state("small", number - 1, new.schema).unionByName(new)
-        large = self._deltas("labels", "learner string, label string, n long", number - 1).groupBy("learner").agg(F.sum("n").alias("_n")).where(F.col("_n") >= self.small_rows)
+        large = self._deltas("labels", "learner string, label string, n long",
+            number - 1).groupBy("learner").agg(F.sum("n").alias("_n")).where(F.col("_n") >= self.small_rows)
         rows = keep(rows.join(F.broadcast(large), "learner", "left_anti"), "small")  # a row for each learner
         n = rows.groupBy("learner").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < self.small_rows).select("learner")
         return rows.join(F.broadcast(n), "learner", "left_semi")
@@ -268,7 +275,8 @@ class OpenSet:
         scored = with_own_loss(rows, self.features, known)
         return I.spread_by_loss(scored, self.pool_rows).select("learner", "row_index", *self.features)
 
-    def _increment(self, number: int, mine: DataFrame, losses: DataFrame, known: list, table: DataFrame, creations: DataFrame | None, span, log: dict) -> DataFrame:
+    def _increment(self, number: int, mine: DataFrame, losses: DataFrame, known: list, table: DataFrame, creations: DataFrame | None, span,
+        log: dict) -> DataFrame:
         """The registry after learners have been trained on rows of this block; writes the trace, the losses and the pools."""
         gate, spark = self.gate, self.spark
         names = sorted(r["learner"] for r in known)
@@ -279,24 +287,29 @@ class OpenSet:
         pick = lambda test, c: F.max(F.when(test, F.col(c)))
         to = mine.where(F.col("learner").isin(names)).select("row_index", F.col("learner").alias("_to"))
         stats = to.join(scaled, "row_index").groupBy("row_index", F.col("_to").alias("learner")).agg(
-            pick(own, "loss").alias("loss"), pick(own, "threshold").alias("threshold"), pick(own, "is_benign").alias("is_benign"), pick(first, "loss").alias("benign_loss"), pick(first, "threshold").alias("benign_threshold"),
+            pick(own, "loss").alias("loss"), pick(own, "threshold").alias("threshold"), pick(own, "is_benign").alias("is_benign"), pick(first,
+                "loss").alias("benign_loss"), pick(first, "threshold").alias("benign_threshold"),
             F.max(F.when(F.col("is_benign"), 1 / (1 + F.exp(-4 * margin)))).alias("benign_prob"),
         )
         sure = F.lit(True) if gate.benign_confidence is None else F.coalesce(~F.col("is_benign") | (F.col("benign_loss") <= F.col("benign_threshold") * gate.benign_confidence), F.lit(True))
         rows = stats.join(mine.drop("learner"), "row_index").withColumn("passed", sure)
         if gate.route_rows is not None:
-            rows = rows.join(route_confidence(losses, to.withColumnRenamed("_to", "assigned_learner"), self.benign_scale).select("row_index", F.col("keep").alias("route_keep"), F.col("gap").isNotNull().alias("route_valid")), "row_index", "left")
+            rows = rows.join(route_confidence(losses, to.withColumnRenamed("_to", "assigned_learner"), self.benign_scale).select("row_index",
+                F.col("keep").alias("route_keep"), F.col("gap").isNotNull().alias("route_valid")), "row_index", "left")
         rows = keep(rows, "own-rows")
         pools = self._state("pools", number - 1, rows.select("learner", "row_index", *self.features).schema)
         ok = F.col("passed")
         aggs = [
-            F.max("is_benign").alias("is_benign"), F.sum(ok.cast("long")).alias("kept"), F.max("row_index").alias("latest"), F.avg(F.when(ok, (F.col("loss") > F.col("threshold")).cast("double"))).alias("exceed"),
+            F.max("is_benign").alias("is_benign"), F.sum(ok.cast("long")).alias("kept"), F.max("row_index").alias("latest"), F.avg(F.when(ok,
+                (F.col("loss") > F.col("threshold")).cast("double"))).alias("exceed"),
             F.avg(F.when(ok, F.col("benign_prob"))).alias("benign_prob"),
         ]
         if gate.route_rows is not None:
             sound = ok & F.coalesce(F.col("route_valid"), F.lit(False))
-            aggs += [F.avg(F.when(sound, F.col("route_keep").cast("double"))).alias("confident_ratio"), F.sum((ok & F.coalesce("route_keep", F.lit(True))).cast("long")).alias("route_kept")]
-        state = spark.createDataFrame([(r["learner"], r["birth"], r["last_trained"], r["retrains"]) for r in known], "learner string, birth_window long, last_trained long, retrains int")
+            aggs += [F.avg(F.when(sound, F.col("route_keep").cast("double"))).alias("confident_ratio"), F.sum((ok & F.coalesce("route_keep",
+                F.lit(True))).cast("long")).alias("route_kept")]
+        state = spark.createDataFrame([(r["learner"], r["birth"], r["last_trained"], r["retrains"]) for r in known], "learner string, birth_window "
+            "long, last_trained long, retrains int")
         batches = rows.groupBy("learner").agg(*aggs).join(F.broadcast(state), "learner").withColumn("window_id", F.lit(number).cast("long"))
         if gate.least_drift is not None:
             batches = batches.join(F.broadcast(L.drift_scores(pools, rows.where("passed"), self.features, self.drift_rows)), "learner", "left")
@@ -320,19 +333,24 @@ class OpenSet:
         enough = F.coalesce("_left", F.lit(0)) >= (gate.least_rows if self.guard is not None else 1)
         able = ready.where(enough & ~F.col("route_out") & ~F.col("guard_out")).select("learner", "row_index", "loss", *self.features)
         chosen = keep(I.subsample(able, self.most_new, self.low_share, self.stratified), "chosen")
-        old = I.history_sample(with_own_loss(pools.join(chosen.select("learner").distinct(), "learner", "left_semi"), self.features, known), self.history_rate, self.history_rows, self.decay) if self.history_rows else pools.where("false")
-        update = chosen.select("learner", "row_index", *self.features, F.lit(True).alias("is_new")).unionByName(old.select("learner", "row_index", *self.features, F.lit(False).alias("is_new")))
+        old = I.history_sample(with_own_loss(pools.join(chosen.select("learner").distinct(), "learner", "left_semi"), self.features, known),
+            self.history_rate, self.history_rows, self.decay) if self.history_rows else pools.where("false")
+        update = chosen.select("learner", "row_index", *self.features, F.lit(True).alias("is_new")).unionByName(old.select("learner", "row_index",
+            *self.features, F.lit(False).alias("is_new")))
         grown = I.grow(update, self.features, known, self.epochs, self.quantile, self.risk, self.anchor_share)
         self._put(grown.drop("params").withColumn("window_id", F.lit(number).cast("long")), "increments", number)
         log["retrained"] = grown.count()
 
         # why each accepted row does or doesn't train
-        marks = ready.select("row_index", "route_out", "guard_out", (~enough).alias("few")).join(chosen.select("row_index", F.lit(True).alias("used")), "row_index", "left")
+        marks = ready.select("row_index", "route_out", "guard_out", (~enough).alias("few")).join(chosen.select("row_index",
+            F.lit(True).alias("used")), "row_index", "left")
         why = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("passed"), "benign_conf_filter")
-        why = why.when(F.col("few"), I.GUARD_LEFT_FEW).when(F.col("guard_out"), I.GUARD_FILTERED).when(F.col("route_out"), I.ROUTE_FILTERED).when(F.col("used").isNull(), I.SUBSAMPLED).otherwise("")
+        why = why.when(F.col("few"), I.GUARD_LEFT_FEW).when(F.col("guard_out"), I.GUARD_FILTERED).when(F.col("route_out"),
+            I.ROUTE_FILTERED).when(F.col("used").isNull(), I.SUBSAMPLED).otherwise("")
         trace = rows.join(F.broadcast(batches.select("learner", "reason")), "learner").join(marks, "row_index", "left")
         used = F.coalesce("used", F.lit(False))
-        self._put(trace.select("learner", "row_index", "label", F.lit(span[0]).alias("window_left"), F.lit(span[1] + 1).alias("window_right"), "passed", used.alias("used"), why.alias("reason")), "trace", number)
+        self._put(trace.select("learner", "row_index", "label", F.lit(span[0]).alias("window_left"), F.lit(span[1] + 1).alias("window_right"),
+            "passed", used.alias("used"), why.alias("reason")), "trace", number)
 
         # pools take what passed, with the losses of the models of this block's start
         pool = pools.unionByName(rows.where("passed").select("learner", "row_index", *self.features)).where(F.col("learner").isin(names))
@@ -343,11 +361,14 @@ class OpenSet:
         latest = batches.select("learner", "latest")
         new = grown.select("learner", F.col("threshold").alias("_t"), F.col("params").alias("_p")).join(latest, "learner")
         out = table.join(F.broadcast(new), "learner", "left")  # a row for each learner
-        out = out.withColumns({"threshold": F.coalesce("_t", "threshold"), "params": F.coalesce("_p", "params"), "last_trained": F.when(F.col("_t").isNotNull(), F.col("latest")).otherwise(F.col("last_trained")), "retrains": F.col("retrains") + F.col("_t").isNotNull().cast("int")})
+        out = out.withColumns({"threshold": F.coalesce("_t", "threshold"), "params": F.coalesce("_p", "params"),
+            "last_trained": F.when(F.col("_t").isNotNull(), F.col("latest")).otherwise(F.col("last_trained")), "retrains": F.col("retrains") +
+                F.col("_t").isNotNull().cast("int")})
         out = out.drop("_t", "_p", "latest")
         if self.guard is not None and self._new_guards is not None:
             made = self._new_guards.select("learner", F.col("seed_count").alias("_s"), F.col("cutoff").alias("_c"), F.col("guard").alias("_g"))
-            out = out.join(F.broadcast(made), "learner", "left").withColumns({"seed_count": F.coalesce("seed_count", "_s"), "cutoff": F.coalesce("cutoff", "_c"), "guard": F.coalesce("guard", "_g")}).drop("_s", "_c", "_g")
+            out = out.join(F.broadcast(made), "learner", "left").withColumns({"seed_count": F.coalesce("seed_count", "_s"),
+                "cutoff": F.coalesce("cutoff", "_c"), "guard": F.coalesce("guard", "_g")}).drop("_s", "_c", "_g")
         out = keep(out.select(*[f.split()[0] for f in REGISTRY.split(", ")]), "registry")
         discard(rows, batches, ready, chosen)
         return out
@@ -364,7 +385,8 @@ class OpenSet:
         lack = large.where(~F.col("learner").isin(list(have))) if have else large
         self._new_guards = keep(I.fit_guards(pools.join(F.broadcast(lack), "learner", "left_semi"), self.features, self.guard), "guards")
         judged = I.guarded(able, self.features, [*have.values(), *self._new_guards.collect()])
-        return ready.drop("guard_out").join(judged.select("row_index", (~F.col("guard_keep")).alias("guard_out")), "row_index", "left").withColumn("guard_out", F.coalesce("guard_out", F.lit(False)))
+        return ready.drop("guard_out").join(judged.select("row_index", (~F.col("guard_keep")).alias("guard_out")), "row_index",
+            "left").withColumn("guard_out", F.coalesce("guard_out", F.lit(False)))
 
     # what a run leaves
 
@@ -389,11 +411,13 @@ class OpenSet:
         flow = self._deltas("assignments", "row_index long, learner string, phase string").join(gone, "learner", "left")
         flow = flow.select("row_index", F.when(F.col("_gone").isNull(), F.col("learner")).otherwise(UNKNOWN).alias("learner"))
         out = flow.join(made, "row_index", "left")
-        return out.select("row_index", F.coalesce("_made", "learner").alias("assigned_learner"), F.when(F.col("_made").isNotNull(), "creation").otherwise("stream").alias("phase"))
+        return out.select("row_index", F.coalesce("_made", "learner").alias("assigned_learner"), F.when(F.col("_made").isNotNull(),
+            "creation").otherwise("stream").alias("phase"))
 
     def accept_counts(self) -> DataFrame:
         """learner, n: how many rows each learner took, assigned to it or not."""
-        return self._deltas("accepts", "learner string, n long").join(F.broadcast(self._gone()), "learner", "left_anti").groupBy("learner").agg(F.sum("n").alias("n"))
+        return self._deltas("accepts", "learner string, n long").join(F.broadcast(self._gone()), "learner",
+            "left_anti").groupBy("learner").agg(F.sum("n").alias("n"))
 
     def pair_counts(self) -> DataFrame:
         """learner_a < learner_b, both: how many rows both took."""
@@ -405,14 +429,16 @@ class OpenSet:
 
     def label_counts(self) -> DataFrame:
         """learner, label, n of all rows so far; UNKNOWN has what is buffered, fell out of the buffer or was dropped."""
-        known = self._deltas("labels", "learner string, label string, n long").join(F.broadcast(self._gone()), "learner", "left_anti").select("learner", "label", "n")
+        known = self._deltas("labels", "learner string, label string, n long").join(F.broadcast(self._gone()), "learner",
+            "left_anti").select("learner", "label", "n")
         waiting = self.spark.read.parquet(self._path("buffer", self._last())).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
         for name in ("overflow0", "overflow1", "rejected"):
             waiting = waiting.unionByName(self._deltas(name, "label string, n long").select("label", "n"))
         return known.unionByName(waiting.select(F.lit(UNKNOWN).alias("learner"), "label", "n")).groupBy("learner", "label").agg(F.sum("n").alias("n"))
 
     def trace(self) -> DataFrame:
-        return self._deltas("trace", "learner string, row_index long, label string, window_left long, window_right long, passed boolean, used boolean, reason string").drop("batch")
+        return self._deltas("trace", "learner string, row_index long, label string, window_left long, window_right long, passed boolean, used "
+            "boolean, reason string").drop("batch")
 
     def pools(self) -> DataFrame:
         return self.spark.read.parquet(self._path("pools", self._last()))
@@ -421,7 +447,8 @@ class OpenSet:
         return self.spark.read.schema(REGISTRY).parquet(self._path("learners", self._last()))
 
     def increment_losses(self) -> DataFrame:
-        return self._deltas("increments", "learner string, threshold double, rows long, " + ", ".join(f"{s}_loss_{w} double" for s in ("before", "after") for w in ("mean", "median", "p95")) + ", window_id long").drop("batch")
+        return self._deltas("increments", "learner string, threshold double, rows long, " + ", ".join(f"{s}_loss_{w} double" for s in ("before",
+            "after") for w in ("mean", "median", "p95")) + ", window_id long").drop("batch")
 
     def window_log(self) -> DataFrame:
         """A row for each block, with counts and seconds by stage."""

@@ -78,9 +78,11 @@ def window_averages(log: DataFrame) -> DataFrame:
     """One row: windows, rows, <stage>_seconds_total and avg_<stage>_seconds (0 without windows) of a log with a row for each window, and
     rows_per_s of the first stage and of whole windows (null on 0 seconds)."""
     n = F.count(F.lit(1))
-    out = log.agg(n.alias("windows"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(f"{s}_seconds"), F.lit(0.0)).alias(f"{s}_seconds_total") for s in STAGES])
+    out = log.agg(n.alias("windows"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(f"{s}_seconds"),
+        F.lit(0.0)).alias(f"{s}_seconds_total") for s in STAGES])
     out = out.withColumns({f"avg_{s}_seconds": F.when(F.col("windows") > 0, F.col(f"{s}_seconds_total") / F.col("windows")).otherwise(0.0) for s in STAGES})
-    return out.withColumns({"rows_per_s_detect": rate(F.col("rows"), F.col("detect_seconds_total")), "rows_per_s_window": rate(F.col("rows"), F.col("window_seconds_total"))})
+    return out.withColumns({"rows_per_s_detect": rate(F.col("rows"), F.col("detect_seconds_total")), "rows_per_s_window": rate(F.col("rows"),
+        F.col("window_seconds_total"))})
 
 
 def benchmark(spark: SparkSession, timers: Timers, flows: int, stream_flows: int) -> DataFrame:
@@ -88,7 +90,8 @@ def benchmark(spark: SparkSession, timers: Timers, flows: int, stream_flows: int
     s = timers.seconds
     rows = [
         ("inference", stream_flows, s.get("stream_inference", 0.0)), ("end_to_end", flows, s.get("wall_clock_total", 0.0)),
-        ("qualification", timers.rows.get("qualification_total", 0), s.get("qualification_total", 0.0)), ("pipeline_core", flows, sum(s.get(k, 0.0) for k in CORE)),
+        ("qualification", timers.rows.get("qualification_total", 0), s.get("qualification_total", 0.0)), ("pipeline_core", flows, sum(s.get(k,
+            0.0) for k in CORE)),
     ]
     df = spark.createDataFrame(rows, "name string, rows long, seconds double")
     return df.withColumn("flows_per_s", F.when(F.col("rows") > 0, rate(F.col("rows"), F.col("seconds"))))
