@@ -91,7 +91,7 @@ def script_of(text: str) -> str:
     return names[int(np.bincount(kinds[letters], minlength=14).argmax())]
 
 
-def base_counts(text: str | None, words: list[bytes], memo: Memo) -> tuple[int, int, int, int, int]:
+def base_counts(text: str | None, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if not text:
         return 0, 0, 0, 0, 0
@@ -104,7 +104,7 @@ def base_counts(text: str | None, words: list[bytes], memo: Memo) -> tuple[int,
         dup = len(lines) - len(set(lines))
     repeated = 0
     if n > 5:
-        hashes = window_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, n), 5)
+        hashes = window_hashes(np.fromiter(map(hash_word, words), np.uint64, n), 5)
         order = np.argsort(hashes, kind="stable")
         same = hashes[order][1:] == hashes[order][:-1]
         if same.any():
@@ -148,7 +148,6 @@ class Speller:
     def __init__(self, path: str | None = None, multi: str | None = None):
         self.model, self.is_byte = _model(path or default_path())
         self.multi = _ranks(multi or default_multi())
-        self.hashes = Memo(hash_word)
         self.pieces = Memo(lambda word: self._spell([word])[0], most=80_000_000)
 
     def _spell(self, words: list[bytes]) -> list[bytes]:
@@ -156,17 +155,16 @@ class Speller:
         ids = self.model.encode(texts, num_threads=1)
         return [array("I", [*own, self.COUNT + len(self.multi.encode_ordinary(f" {text}"))]).tobytes() for own, text in zip(ids, texts, strict=True)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Spells the words of a text that aren't known yet together, which takes less than one by one."""
-        new = [w for w in dict.fromkeys(words) if w not in self.pieces]
-        for word, spelled in zip(new, self._spell(new), strict=True):
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Spells the words of some texts that aren't known yet together, which takes a fraction of one by one."""
+        self.pieces.trim()
+        new = [w for w in set().union(*texts) if w not in self.pieces]
+        for word, spelled in zip(new, self._spell(new) if new else [], strict=True):
             self.pieces[word] = spelled
             self.pieces.note(word, spelled)
 
     def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float, float]:
         """n_tokens, code points per token in each vocabulary, byte-fallback share, entropy in bits."""
-        self.pieces.trim()
-        self._learn(words)
         ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), "<u4")
         counts = ids >= self.COUNT
         multi, ids = int((ids[counts] - np.uint32(self.COUNT)).sum(dtype=np.int64)), ids[~counts]
@@ -211,10 +209,15 @@ FERTILITY = (
 )
 
 
-def _judge(own: Speller, bands: dict[str, Band], text: str | None, lang: str | None, entropy_cap: float) -> tuple:
-    own.hashes.trim()
-    words = word_bytes(text)
-    base = base_counts(text, words, own.hashes)
+def _judge(own: Speller, bands: dict[str, Band], texts: list[str | None], langs: list[str | None], entropy_cap: float) -> list[tuple]:
+    """FERTILITY's values of each text; the texts' words are held at a time."""
+    words = [word_bytes(x) for x in texts]
+    own.learn(words)
+    return [_judge_one(own, bands, *x, entropy_cap) for x in zip(texts, words, langs, strict=True)]
+
+
+def _judge_one(own: Speller, bands: dict[str, Band], text: str | None, words: list[bytes], lang: str | None, entropy_cap: float) -> tuple:
+    base = base_counts(text, words)
     failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
     found = own.measures(words, base[1])
     name = lang if lang in bands else script_of(text or "")
@@ -231,7 +234,7 @@ def keep_sound(docs: DataFrame, bands: dict[str, Band] | None = None, path: str
         own = Speller(path, multi)
         for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column("lang").to_pylist() if has_lang else [None] * batch.num_rows
-            keep = [_judge(own, bands, text, lang, entropy_cap)[-1] for text, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
+            keep = [x[-1] for x in _judge(own, bands, batch.column("text").to_pylist(), langs, entropy_cap)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -250,7 +253,7 @@ def fertility_rules(
         own = Speller(path, multi)
         for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column("lang").to_pylist() if has_lang else [None] * batch.num_rows
-            rows = [_judge(own, bands, text, lang, entropy_cap) for text, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
+            rows = _judge(own, bands, batch.column("text").to_pylist(), langs, entropy_cap)
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), *[pa.float64()] * 4, pa.string(), pa.bool_()]
             made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             names = [x.split()[0] for x in FERTILITY.split(", ")]

@@ -165,7 +165,8 @@ def cut_pieces(docs: DataFrame, capacity: int, end: int, path: str | None = None
 def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None, bucket_rows: int = 50_000) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed as often as they come. An empty table gives none.
+    A null or empty text is the end id alone. Repeated rows are packed as often as they come. An empty table gives none. A very long
+    text is encoded whole and cut into pieces of `capacity`. Other columns are not read, so no name clashes.
     """
     spark = docs.sparkSession
     pieces = save(cut_pieces(docs, capacity, end, path), "pieces")

@@ -95,7 +95,7 @@ def _count(lang: str, ids: np.ndarray, words: list[bytes], size: int, bits: np.n
     return pa.RecordBatch.from_arrays(out, names=["lang", "gram", "n"])
 
 
-def _level(size: int, bits: np.ndarray | None, most: int = 2_000_000):
+def _level(size: int, bits: np.ndarray | None, most: int = 1_400_000):
     """Per task: (lang, gram, n) of grams of `size` words, counted in chunks of about `most` words; at size 1 also each language's number
     of words, with a null gram."""
 

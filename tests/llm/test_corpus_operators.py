@@ -357,16 +357,15 @@ def test_urls_by_brute_force(spark, table):
 
 
 def test_base_counts():
-    memo = fertility.Memo(fertility.hash_word)
     text = "a b c d e x a b c d e\n# $\n\n# $\n"
-    assert fertility.base_counts(text, fertility.word_bytes(text), memo) == (15, 15, 4, 1, 10)
+    assert fertility.base_counts(text, fertility.word_bytes(text)) == (15, 15, 4, 1, 10)
     rng = random.Random(4)
     for _ in range(50):
         words = [rng.choice("ab") for _ in range(rng.randint(0, 40))]
         windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
         covered = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
         text = " ".join(words)
-        assert fertility.base_counts(text, fertility.word_bytes(text), memo)[4] == len(covered)
+        assert fertility.base_counts(text, fertility.word_bytes(text))[4] == len(covered)
 
 
 def test_fertility_keeps_sound_texts(spark, table):

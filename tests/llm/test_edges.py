@@ -122,3 +122,22 @@ def test_kept_columns_that_clash_with_measures(docs):
     got = fertility.fertility_rules(docs.withColumn("n_words", F.lit("clash")), keep=("doc_id", "n_words", "source"))
     assert got.columns.count("n_words") == 1 and got.columns[:2] == ["doc_id", "source"] and got.schema["n_words"].dataType.simpleString() == "bigint"
     assert got.count() == len(TEXTS)
+
+
+def test_pipeline_of_odd_rows(spark, docs, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage; an empty table stays empty."""
+    import corpus_pipeline
+
+    labels = [(k, 1, 0) for k in (1, 4, 8)] + [(5, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (docs, empty):
+        have = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, have, str(tmp_path))
+            assert after.columns == rows.columns, name
+            after.write.parquet(str(tmp_path / f"{name}-{rows is docs}"))
+            have = spark.read.parquet(str(tmp_path / f"{name}-{rows is docs}"))
+        pieces = corpus_pipeline.STAGES[-1][1](spark, have, str(tmp_path)).collect()
+        ids = [r["doc_id"] for r in have.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) and {r["doc_id"] for r in pieces} == set(ids)
+        assert not {2, 3, 7} & set(ids) and (4 in ids) == (rows is docs) and ids.count(5) <= 1
