@@ -1,4 +1,10 @@
-"""A training corpus from documents: toxic ones out, unsound ones out, one of each near-duplicate group, then packed."""
+"""A training corpus from documents: toxic ones out, unsound ones out, one of each near-duplicate group, then packed.
+
+Every stage takes all rows that the stage before it kept and gives back the columns that it got, whatever others there are; the last
+gives the packed pieces. A null or empty text is not toxic, fails the base rule of the quality rules and so ends there. Of repeated rows,
+and of rows with one doc_id, near_dedup keeps one. A null lang takes the band of the text's script. Very long texts are read whole. An
+empty table gives an empty one; without labels nothing is toxic.
+"""
 
 from __future__ import annotations
 
