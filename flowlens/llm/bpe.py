@@ -160,9 +160,9 @@ class TextEncoder:
     """Texts to ids, with one bounded memory of words and of chunks of words and signs. `merge` gives the ids of words not seen
     before; the pair index gets those of a stretch of texts together, the library one by one."""
 
-    def __init__(self, bpe: PairIndexBpe, merge=None):
+    def __init__(self, bpe: PairIndexBpe, merge=None, held: int = 160_000_000):
         self.bpe, self.merge, self.together = bpe, merge or bpe.merge_words, merge is None
-        self.known = Memo(self._chunk, most=160_000_000)
+        self.known = Memo(self._chunk, most=held)
 
     def _chunk(self, chunk: str) -> bytes:
         words = [chunk] if chunk.isalpha() else self.bpe.pattern.findall(chunk)
@@ -236,10 +236,10 @@ def vocabulary(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-def encoder(path: str, by_library: bool = False) -> TextEncoder:
+def encoder(path: str, by_library: bool = False, held: int = 160_000_000) -> TextEncoder:
     """A new one for each task: the vocabulary is of a fixed size and stays with the worker, what has been encoded goes."""
     bpe = vocabulary(path)
-    return TextEncoder(bpe, bpe.library_words if by_library else None)
+    return TextEncoder(bpe, bpe.library_words if by_library else None, held)
 
 
 def decode(bpe: PairIndexBpe, ids: bytes) -> str:

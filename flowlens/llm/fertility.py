@@ -145,10 +145,10 @@ class Speller:
     #: Marks the entry behind a word's piece ids that holds its number of tokens in the second vocabulary.
     COUNT = 1 << 31
 
-    def __init__(self, path: str | None = None, multi: str | None = None):
+    def __init__(self, path: str | None = None, multi: str | None = None, held: int = 80_000_000):
         self.model, self.is_byte = _model(path or default_path())
         self.multi = _ranks(multi or default_multi())
-        self.pieces = Memo(lambda word: self._spell([word])[0], most=80_000_000)
+        self.pieces = Memo(lambda word: self._spell([word])[0], most=held)
 
     def _spell(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -225,13 +225,13 @@ def _judge_one(own: Speller, bands: dict[str, Band], text: str | None, words: li
     return (*base, failed, *found, name, ok)
 
 
-def keep_sound(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None = None, multi: str | None = None, entropy_cap: float = 8.0) -> DataFrame:
-    """docs, with all its columns, without the rows that fertility_rules doesn't keep."""
+def keep_sound(docs: DataFrame, bands: dict[str, Band] | None = None, path: str | None = None, multi: str | None = None, entropy_cap: float = 8.0, held: int = 80_000_000) -> DataFrame:
+    """docs, with all its columns, without the rows that fertility_rules doesn't keep. held: bytes of spelled words that a task remembers."""
     bands = BANDS if bands is None else bands
     has_lang = "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string"
 
     def run(batches):
-        own = Speller(path, multi)
+        own = Speller(path, multi, held)
         for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column("lang").to_pylist() if has_lang else [None] * batch.num_rows
             keep = [x[-1] for x in _judge(own, bands, batch.column("text").to_pylist(), langs, entropy_cap)]

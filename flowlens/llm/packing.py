@@ -141,12 +141,12 @@ def places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def cut_pieces(docs: DataFrame, capacity: int, end: int, path: str | None = None) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int, end: int, path: str | None = None, held: int = 160_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only if over capacity."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path or default_path(), by_library=True)
+        enc = encoder(path or default_path(), by_library=True, held=held)
         for batch in (part for whole in batches for part in slices(whole)):
             rows = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
@@ -162,14 +162,15 @@ def cut_pieces(docs: DataFrame, capacity: int, end: int, path: str | None = None
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None, bucket_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None, bucket_rows: int = 50_000, held: int = 160_000_000) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come. An empty table gives none. A very long
     text is encoded whole and cut into pieces of `capacity`. Other columns are not read, so no name clashes.
+    held: bytes of encoded words that a task remembers.
     """
     spark = docs.sparkSession
-    pieces = save(cut_pieces(docs, capacity, end, path), "pieces")
+    pieces = save(cut_pieces(docs, capacity, end, path, held), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     plan = spark.createDataFrame(
         places(plan_packing(counts, capacity)) or [(0, 0, 0, 1, 0, 0)],
