@@ -17,6 +17,10 @@ from flowlens.llm.shared import save, table
 from flowlens.llm.toxicity import CATEGORIES, chain_labels, drop_toxic, fit_chain
 
 
+#: Bytes of words that a task of a stage remembers: the stages share their workers' memory.
+HELD = 24_000_000
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labelled ones, doesn't call toxic."""
     return drop_toxic(docs, fit_chain(docs, chain_labels(table(spark, sf_dir, "labels")), CATEGORIES))
@@ -24,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the fertility bands."""
-    return keep_sound(docs)
+    return keep_sound(docs, held=HELD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of what is left."""
-    return pack(docs, capacity=4096, end=1)
+    return pack(docs, capacity=4096, end=1, held=HELD)
 
 
 STAGES = [
