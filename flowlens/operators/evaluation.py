@@ -118,6 +118,7 @@ def learner_risk(losses: DataFrame, assigned: DataFrame, overlap: DataFrame, sta
     out = out.withColumn("risk_score_v3_raw", 0.35 * F.col("risk_benign_v3") + 0.25 * F.col("risk_self_v3") + 0.2 * F.col("risk_overlap_v3") +
         0.15 * F.col("risk_stability_v3") + 0.05 * F.col("risk_size_v3"))
     out = out.withColumn("risk_score_v3", 0.5 + F.col("size_confidence") * (F.col("risk_score_v3_raw") - 0.5))  # small learners are drawn to 0.5
+    out = keep(out, "risks")  # a row for each learner
     cuts = out.agg(F.expr("percentile(risk_score_v3, array(0.5D, 0.8D))").alias("_c"))  # a row for each learner
     out = out.join(F.broadcast(cuts), how="cross")
     out = out.withColumns({
