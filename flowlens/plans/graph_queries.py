@@ -86,17 +86,16 @@ register("gr13_graph_stats", lambda s, d: rounded(T.graph_stats(_hosts(s, d), ["
 
 
 def _trade(s, d):
-    """Customers and suppliers of every order line: a sparse graph with many components, keyed by the order's day."""
-    lines = table(s, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("src"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return lines.join(orders, "l_orderkey").groupBy("day", "src", "dst").agg(_n().alias("n"))
+    """Customers and priorities of every order: a sparse graph with many components, keyed by the order's day."""
+    name = F.concat(F.lit("p"), F.left("o_orderpriority", F.lit(1)), F.lit("-"), (F.col("o_orderkey") % 7).cast("string"))
+    rows = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("c"), "o_custkey").alias("src"), name.alias("dst"))
+    return rows.groupBy("day", "src", "dst").agg(_n().alias("n"))
 
 
-_CC = """WITH RECURSIVE e AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-  b AS (SELECT day, src AS x, dst AS y FROM e UNION SELECT day, dst, src FROM e), r(day, x, y) AS (SELECT day, x, x FROM b UNION SELECT r.day, r.x,
-      b.y FROM r JOIN b ON r.day = b.day AND r.y = b.x),
+_CC = """WITH RECURSIVE e AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, concat('c', o_custkey) AS src,
+    concat('p', left(o_orderpriority, 1), '-', o_orderkey % 7) AS dst FROM orders),
+  b AS (SELECT day, src AS x, dst AS y FROM e UNION SELECT day, dst, src FROM e), r(day, x, y) AS (SELECT day, x, x FROM b
+    UNION SELECT r.day, r.x, b.y FROM r JOIN b ON r.day = b.day AND r.y = b.x),
   c AS (SELECT day, x AS node, min(y) AS component FROM r GROUP BY ALL)"""
 register("gr10_components", lambda s, d: T.components(_trade(s, d), "day"), _CC + " SELECT * FROM c")
 register("gr10_component_stats", lambda s, d: rounded(T.component_stats(T.components(_trade(s, d), "day"), "day")), _CC + ", n AS (SELECT day, "
