@@ -28,3 +28,30 @@ def test_running_mean_of_keys_larger_than_a_frame(spark, tmp_path):
     got = {r["key"]: (r["n"], r["mean"]) for r in RunningMean(spark, f"{tmp_path}/state", "key", "value", ["ts", "id"]).run(stream).collect()}
     assert got["a"][0] == 50_000 and abs(got["a"][1] - expected) < 1e-9
     assert got["b"] == (2, None)
+
+
+def test_blocks_that_learn_nothing_go_together(spark, sf_dir, tmp_path):
+    """Counters and log lines are the same for a micro-batch a block and for one micro-batch of all blocks."""
+    from flowlens.plans.open_set_queries import _blocks, _kept_losses
+    from flowlens.streaming.open_set import OpenSet
+
+    rows = spark.range(500).select(F.col("id").alias("row_index"), (F.col("id") % 3).cast("string").alias("label"))
+    of, found = _kept_losses(spark, sf_dir), []
+    for name, file, block in (("one", 200, 0), ("all", 400, 200)):
+        run = OpenSet(spark, f"{tmp_path}/{name}/state", [], trigger=None, scorer=of, block=block)
+        run.run(_blocks(spark, rows, f"{tmp_path}/{name}", file))
+        assert run._last() + 1 == (3 if name == "one" else 2)
+        log = run.window_log().select("window_left", "window_right", "rows", "buffered")
+        found.append([sorted(map(tuple, t.collect())) for t in (log, run.accept_counts(), run.pair_counts(), run.label_counts())])
+    assert found[0] == found[1] and len(found[0][0]) == 3 and found[0][0][2][3] > found[0][0][0][3]
+
+
+def test_files_come_in_the_order_of_their_part(spark, tmp_path):
+    import os
+
+    from flowlens.streaming.event_windows import in_order
+
+    spark.range(60).select("id", (11 - F.col("id") % 12).alias("part")).repartition(4, "part").write.partitionBy("part").parquet(f"{tmp_path}/in")
+    in_order(spark, f"{tmp_path}/in", "part")
+    at = {k: {os.stat(f"{tmp_path}/in/part={k}/{f}").st_mtime for f in os.listdir(f"{tmp_path}/in/part={k}") if f.endswith(".parquet")} for k in range(12)}
+    assert all(max(at[k]) < min(at[k + 1]) for k in range(11))
