@@ -89,3 +89,37 @@ def test_rules_fire_at_their_default_limits(spark):
     assert not got[99]["rule_win_combo"]
     noisy = topology.window_rules(df.withColumn("attack_ratio", F.lit(0.5)))
     assert not any(r["rule_win_combo"] for r in noisy.collect())
+
+
+def test_components_move_a_few_times_the_edges(spark, monkeypatch):
+    """A chain of 3,000 nodes in mixed order and a random graph against a plain search; what the rounds keep is bounded by the edges."""
+    import random
+
+    from flowlens.operators import topology
+
+    rng, kept, keep = random.Random(5), [], topology.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        kept.append(out.count())
+        return out
+
+    names = [f"n{k:04d}" for k in range(3000)]
+    rng.shuffle(names)
+    rows = [("chain", a, b) for a, b in zip(names, names[1:])] + [("random", f"r{rng.randrange(400)}", f"r{rng.randrange(400)}") for _ in range(250)]
+    monkeypatch.setattr(topology, "keep", counted)
+    got = {(r["g"], r["node"]): r["component"] for r in topology.components(spark.createDataFrame(rows, "g string, src string, dst string"), "g").collect()}
+    near = {}
+    for g, a, b in rows:
+        near.setdefault((g, a), set()).add(b)
+        near.setdefault((g, b), set()).add(a)
+    expected = {}
+    for g, start in sorted(near):
+        todo = [] if (g, start) in expected else [start]
+        while todo:
+            node = todo.pop()
+            if (g, node) not in expected:
+                expected[g, node] = start
+                todo += near[g, node]
+    assert got == expected
+    assert sum(kept) < 9 * len(rows)
