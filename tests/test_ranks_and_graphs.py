@@ -123,3 +123,17 @@ def test_components_move_a_few_times_the_edges(spark, monkeypatch):
                 todo += near[g, node]
     assert got == expected
     assert sum(kept) < 9 * len(rows)
+
+
+def test_folds_order_no_label_in_one_task(spark):
+    """The folds are those of a plain sort by md5 of each label's keys; a window over labels has a row for each range only."""
+    import hashlib
+    import re
+
+    from flowlens.operators.cleaning import folds
+
+    rows = [("a" if k % 10 else "b", k) for k in range(2000)]
+    out = folds(spark.createDataFrame(rows, "label string, id long"), "label", "id", 5, 42)
+    plain = {k: i % 5 for label in "ab" for i, k in enumerate(sorted((k for x, k in rows if x == label), key=lambda k: (hashlib.md5(f"42|{k}".encode()).hexdigest(), k)))}
+    assert {r["id"]: r["fold"] for r in out.collect()} == plain
+    assert not re.search(r"windowspecdefinition\(label#\d+, (?!_part#)", out._jdf.queryExecution().toString())
