@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flowlens.operators import expressions as E
+from flowlens.operators import qualification as Q
+from flowlens.operators.aggregates import group_profile
 from flowlens.operators.evaluation import auc
+from flowlens.sources.testdata import indexed_flows
 
 
 def _rows(spark, n=400):
@@ -40,3 +43,18 @@ def test_a_search_reads_equal_rows_once(spark, monkeypatch):
     name, *figures = best[0]
     again = whole(df, [E.parse(name, ["a", "b"], E.WORDS)], "y", "row_index", dialect=E.WORDS)
     assert np.allclose(next(iter(again.values())), figures)
+
+
+def _names(monkeypatch, module):
+    """The names of the tables that a module keeps."""
+    made, whole = [], module.keep
+    monkeypatch.setattr(module, "keep", lambda df, name: made.append(name) or whole(df, name))
+    return made
+
+
+def test_an_audit_joins_its_flows_once(spark, sf_dir, monkeypatch):
+    made = _names(monkeypatch, Q)
+    rows = indexed_flows(spark, sf_dir)
+    profiles = group_profile(rows, "learner").select("learner", "total", "attack_ratio", "dominant_label", "dominant_ratio")
+    Q.audit(rows.drop("learner"), rows.select("row_index", "learner"), profiles, 100, 4)
+    assert made.count("assigned-flows") == 1
