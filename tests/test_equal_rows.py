@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from flowlens.operators import comparisons as C
 from flowlens.operators import expressions as E
+from flowlens.operators import models, quantiles, topology
 from flowlens.operators import qualification as Q
+from flowlens.operators import trees as T
 from flowlens.operators.aggregates import group_profile
+from flowlens.operators.cleaning import sample_per_group
 from flowlens.operators.evaluation import auc
 from flowlens.sources.testdata import indexed_flows
 
@@ -58,3 +64,55 @@ def test_an_audit_joins_its_flows_once(spark, sf_dir, monkeypatch):
     profiles = group_profile(rows, "learner").select("learner", "total", "attack_ratio", "dominant_label", "dominant_ratio")
     Q.audit(rows.drop("learner"), rows.select("row_index", "learner"), profiles, 100, 4)
     assert made.count("assigned-flows") == 1
+
+
+def test_attributions_read_rows_once(spark, monkeypatch):
+    made = _names(monkeypatch, T)
+    df = _rows(spark).withColumn("kind", F.when(F.col("a") > 1, "far").otherwise("near"))
+    out = T.class_attributions(df, "kind", ["a", "b"], top=1, trees=2, depth=2).collect()
+    assert made.count("attributed") == 1 and {r["feature"] for r in out} == {"a"}
+
+
+def test_thresholds_of_counted_losses(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.exponential(1, 4000), 2)
+    df = spark.createDataFrame([("one", float(v)) for v in x], "learner string, loss double")
+    counted = df.groupBy("learner", "loss").agg(F.count(F.lit(1)).alias("n"))
+    got = [models.tail_thresholds(t, "learner", "loss", rows=n).first()["threshold"] for t, n in ((df, None), (counted, "n"))]
+    assert np.isclose(*got) and np.isclose(got[0], models.tail_threshold(x), rtol=1e-3)
+
+
+def test_a_sample_is_cut_by_shares_first(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), "id")
+    cut = sample_per_group(df, ["g"], "id", 40, 7)
+    assert "_share" in cut._jdf.queryExecution().analyzed().toString()
+    rank = {i: hashlib.md5(f"7|{i}".encode()).hexdigest() for i in range(3000)}
+    for g in (0, 1):
+        assert {r["id"] for r in cut.where(F.col("g") == g).collect()} == set(sorted(range(g, 3000, 2), key=lambda i: rank[i])[:40])
+
+
+def test_scores_carry_columns(spark, monkeypatch):
+    made = _names(monkeypatch, C)
+    out = C.one_class_rows(_rows(spark), F.col("row_index") < 300, F.col("row_index") >= 300, F.col("y") == 1, "row_index", ["a", "b"], ["iforest"], 50)
+    assert made.count("one-class-scores") == 1
+    assert out.columns == ["backend", "row_index", "loss", "threshold", "part", "is_attack"] and out.where("part = 'test'").count() == 100
+
+
+def test_small_tables_are_not_dealt_out(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, float(i), 1) for i in range(90)], "g int, v double, n int")
+    made = _names(monkeypatch, quantiles)
+    short = sorted(map(tuple, quantiles.running_counts(df, ["g"], "v", ["n"]).collect()))
+    assert "ranged" not in made
+    monkeypatch.setattr(quantiles, "RANGE_ROWS", 10)
+    assert sorted(map(tuple, quantiles.running_counts(df, ["g"], "v", ["n"]).collect())) == short and "ranged" in made
+
+
+def test_the_last_edges_are_joined_by_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    pairs = [(int(k), f"n{a}", f"n{b}") for k, a, b in zip(rng.integers(0, 3, 150), rng.integers(0, 90, 150), rng.integers(0, 90, 150), strict=True)]
+    edge = spark.createDataFrame(pairs, "g int, src string, dst string")
+    made = _names(monkeypatch, topology)
+    short = sorted(map(tuple, topology.components(edge, "g").collect()))
+    assert "pointers" not in made
+    monkeypatch.setattr(topology, "LAST_EDGES", 0)
+    assert sorted(map(tuple, topology.components(edge, "g").collect())) == short and "pointers" in made
