@@ -87,6 +87,37 @@ def test_forests_skip_small_groups(spark, table):
     assert both["attack"]["auc"] > 0.95 and len(both["attack"]["features"]) == 1
 
 
+def test_bins_and_draws_are_of_all_rows(spark):
+    """A forest trains on counts of bins: cuts are exact over all rows, rows are drawn one by one, the same for any partitions."""
+    rng = np.random.default_rng(3)
+    values = [(k, [float(k % 7), float(rng.normal())], k % 2) for k in range(30_000)] + [(30_000, [99.0, 0.0], 1)]  # 99 occurs once
+    rows = spark.createDataFrame(values, "id long, x array<double>, y int")
+    few, many = trees.bin_cuts(rows, 2)
+    assert few == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 52.5]
+    assert many == pytest.approx(np.quantile([v[1][1] for v in values], np.arange(1, 32) / 32))
+    got, again = (sorted((r["y"], tuple(r["features"]), r["n"], r["drawn_0"], r["drawn_1"]) for r in trees.bin_counts(x, ["y"], [few, many], {"n": F.lit(1)},
+        ["id"], 2, 1).collect()) for x in (rows.repartition(3), rows.repartition(11)))
+    assert got == again and sum(r[2] for r in got) == len(values) and len(got) < 2 * 8 * 32
+    each = trees.bin_counts(rows, ["id"], [[], few], {"n": F.lit(1)}, ["id"], 2, 1)  # a row for each row
+    draws = each.agg(F.avg("drawn_0"), F.var_pop("drawn_0"), F.corr("drawn_0", "drawn_1")).first()
+    assert draws[0] == pytest.approx(1, abs=0.03) and draws[1] == pytest.approx(1, abs=0.05) and abs(draws[2]) < 0.03
+    want = dict.fromkeys(((v[2], sum(v[1][0] > c for c in few), sum(v[1][1] > c for c in many)) for v in values), 0)
+    for v in values:
+        want[v[2], sum(v[1][0] > c for c in few), sum(v[1][1] > c for c in many)] += 1
+    assert {(r[0], *map(int, r[1])): r[2] for r in got} == want
+
+
+def test_explanations_read_rows_a_bounded_number_of_times(spark, table, monkeypatch):
+    """However many groups there are, forests are fit on counts of bins, not on rows; and they don't depend on the partitions."""
+    sizes = []
+    whole = trees.bagged_trees
+    monkeypatch.setattr(trees, "bagged_trees", lambda counts, *a: sizes.append(counts.count()) or whole(counts, *a))
+    many = table.where("a is not null").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "*").select((F.col("id") * 10 + F.col("k")).alias("id"), F.round("a", 1).alias("a"), "`b c`", "label")
+    got, again = (trees.forest_explanations(x, "label", "id", ["a", "b c"], least=20, trees=3).collect() for x in (many, many.repartition(7)))
+    assert got == again and len(sizes) == 4 and max(sizes) < 250
+    assert all(r["auc"] > 0.95 for r in got) and sum(r["positives"] for r in got) == 5400
+
+
 def test_fusion_scores_every_row_once(spark, table):
     scored, weights = trees.fusion_scores(table, "y", "id", ["a", "b c"])
     rows = scored.collect()
