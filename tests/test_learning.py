@@ -5,11 +5,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from flowlens.operators import communities, comparisons, trees
+from flowlens.operators import communities, comparisons, evaluation, trees
 from flowlens.operators import expressions as E
+from flowlens.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +89,18 @@ def test_forests_skip_small_groups(spark, table):
     assert both["attack"]["auc"] > 0.95 and len(both["attack"]["features"]) == 1
 
 
+def _mllib_cuts(x, most=32):
+    """MLlib's walk over a feature's values, without its sample."""
+    values, counts = np.unique(x, return_counts=True)
+    n, aim, cuts = counts[0], len(x) / most, []
+    for k in range(1, len(values)):
+        gap, n = abs(n - aim), n + counts[k]
+        if gap < abs(n - aim):
+            cuts.append((values[k - 1] + values[k]) / 2)
+            aim += len(x) / most
+    return cuts
+
+
 def test_bins_and_draws_are_of_all_rows(spark):
     """A forest trains on counts of bins: cuts are exact over all rows, rows are drawn one by one, the same for any partitions."""
     rng = np.random.default_rng(3)
@@ -94,7 +108,10 @@ def test_bins_and_draws_are_of_all_rows(spark):
     rows = spark.createDataFrame(values, "id long, x array<double>, y int")
     few, many = trees.bin_cuts(rows, 2)
     assert few == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 52.5]
-    assert many == pytest.approx(np.quantile([v[1][1] for v in values], np.arange(1, 32) / 32))
+    assert many == _mllib_cuts([v[1][1] for v in values]) and len(many) == 31
+    # a frequent value takes the room of several bins; the cuts that it leaves are between the next values
+    skewed = [float(k if k >= 600 else 5) for k in range(1000)]
+    assert trees.bin_cuts(spark.createDataFrame([([v, 0.0],) for v in skewed], "x array<double>"), 2) == [_mllib_cuts(skewed), []]
     got, again = (sorted((r["y"], tuple(r["features"]), r["n"], r["drawn_0"], r["drawn_1"]) for r in trees.bin_counts(x, ["y"], [few, many], {"n": F.lit(1)},
         ["id"], 2, 1).collect()) for x in (rows.repartition(3), rows.repartition(11)))
     assert got == again and sum(r[2] for r in got) == len(values) and len(got) < 2 * 8 * 32
@@ -107,6 +124,31 @@ def test_bins_and_draws_are_of_all_rows(spark):
     assert {(r[0], *map(int, r[1])): r[2] for r in got} == want
 
 
+def test_a_tree_of_counts_is_the_tree_of_rows(spark):
+    """Leaves have as many rows as asked for, and rows predict what MLlib's tree of the rows predicts."""
+    rng = np.random.default_rng(5)
+    made = [(float(a), float(b), float((a > 4) ^ (b > 2) if rng.random() < 0.9 else rng.random() < 0.5)) for a, b in zip(rng.integers(0, 9, 4000),
+        rng.integers(0, 5, 4000), strict=True)]
+    rows = spark.createDataFrame(made, "a double, b double, y double").withColumn("x", F.array("a", "b"))
+    counts = trees.bin_counts(rows, ["a", "b", "y"], trees.bin_cuts(rows, 2), {"n": F.lit(1)}, ["a"], 0, 1)
+    said = {(r["a"], r["b"]): r["prediction"] for r in trees.counted_tree(counts, "y", "n", 3, 300, 1).transform(counts).collect()}
+    plain = DecisionTreeClassifier(labelCol="y", maxDepth=3, minInstancesPerNode=300, seed=1).fit(rows.withColumn("features", array_to_vector("x")))
+    assert said == {(r["a"], r["b"]): r["prediction"] for r in plain.transform(rows.withColumn("features", array_to_vector("x"))).collect()}
+    assert trees.counted_tree(counts, "y", "n", 3, 2001, 1).numNodes == 1
+    report = {r["class"]: r["support"] for r in evaluation.class_report(counts.select("y", "n"), "y", "y", "n").collect()}
+    assert report == {c: sum(v[2] == c for v in made) for c in (0.0, 1.0)}
+
+
+def test_forest_importance_reads_no_rows_in_its_fits(spark, sf_dir, monkeypatch):
+    """The forest is fit on counts, and its importances are of all features."""
+    sizes = []
+    whole = trees.bagged_trees
+    monkeypatch.setattr(trees, "bagged_trees", lambda counts, *a, **k: sizes.append(counts.agg(F.count("*"), F.sum("n")).first()) or whole(counts, *a, **k))
+    rows = {r["feature"]: r["importance"] for r in registry.queries()["ml25_forest_importance"](spark, sf_dir).collect()}
+    assert list(rows) == ["l_quantity", "l_discount", "bwd", "l_linenumber", "dst_port"] and sum(rows.values()) == pytest.approx(1)
+    assert len(sizes) == 1 and sizes[0][1] == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() > sizes[0][0]
+
+
 def test_explanations_read_rows_a_bounded_number_of_times(spark, table, monkeypatch):
     """However many groups there are, forests are fit on counts of bins, not on rows; and they don't depend on the partitions."""
     sizes = []
