@@ -91,6 +91,20 @@ def test_rules_fire_at_their_default_limits(spark):
     assert not any(r["rule_win_combo"] for r in noisy.collect())
 
 
+def test_window_rules_make_each_window_once(spark):
+    """The limits and the rules read the same windows, whose graphs are the costly part."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    shape = "window_id long, attack_ratio double, reciprocity double, hub_out_ratio double, hub_in_ratio double, frag_ratio double, largest_cc_ratio double"
+    df = spark.createDataFrame([(w, 0.0, 0.5, 0.1, 0.1, 0.2, 0.9) for w in range(40)], shape).mapInArrow(count, shape)
+    assert len(topology.window_rules(df).collect()) == 40 and made.value == 40
+
+
 def test_components_move_a_few_times_the_edges(spark, monkeypatch):
     """A chain of 3,000 nodes in mixed order and a random graph against a plain search; what the rounds keep is bounded by the edges."""
     import random
