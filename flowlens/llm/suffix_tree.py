@@ -144,14 +144,20 @@ def _pack(x: np.ndarray, ordered: bool = False) -> bytes:
     if x.dtype == np.float64:
         x = np.where(np.isnan(x), np.iinfo(np.int64).min, np.rint(np.nan_to_num(x) * 2.0**31)).astype(np.int64)
     x = np.diff(x, prepend=x.dtype.type(0)) if ordered else x
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    each = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize)
+    planes = np.empty(each.shape[::-1], np.uint8)
+    for k in range(len(planes)):  # faster than a transposition
+        planes[k] = each[:, k]
     return np.int64(x.size).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind: type, ordered: bool = False) -> np.ndarray:
     size, width, fixed = int(np.frombuffer(data, np.int64, 1)[0]), np.dtype(kind).itemsize, np.dtype(kind) == np.float64
     planes = pa.decompress(data[8:], size * width, codec="zstd", asbytes=True)
-    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(np.int64 if fixed else kind).ravel()
+    x = np.empty(size, np.int64 if fixed else kind)
+    each = x.view(np.uint8).reshape(size, width)
+    for k, plane in enumerate(np.frombuffer(planes, np.uint8).reshape(width, size)):
+        each[:, k] = plane
     if fixed:
         return np.where(x == np.iinfo(np.int64).min, np.nan, x / 2.0**31)
     return np.cumsum(x, dtype=kind) if ordered else x
@@ -225,6 +231,30 @@ def _distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     return value[new], place[new], which
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order of 64-bit keys. Positions are sorted with the keys' upper bits, which is faster than sorting them apart; where these
+    leave the order open, the keys are sorted whole."""
+    n = len(keys)
+    room = np.uint64(max(1, (n - 1).bit_length())) if n else np.uint64(1)
+    low = (np.uint64(1) << room) - np.uint64(1)
+    away = keys - keys.min() if n else keys  # a bucket's keys share their first bits
+    up = np.uint64(64 - max(1, int(away.max()).bit_length())) if n else np.uint64(0)
+    order = (np.sort(((away << up) & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    placed = keys[order]
+    return np.argsort(keys, kind="stable") if (placed[1:] < placed[:-1]).any() else order
+
+
+def _values(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit keys in order, and the number of each key among them."""
+    order = _order(keys)
+    placed = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = placed[1:] != placed[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return placed[new], which
+
+
 def _before(x: np.ndarray, first) -> np.ndarray:
     """What the token before has; the first token gets `first`."""
     out = np.empty_like(x)
@@ -288,12 +318,12 @@ def _replay(chunk: dict, answers: dict[int, np.ndarray], model: Model):
             asked = np.flatnonzero(at >= 1)
         else:  # the others can't occur often enough
             asked = np.flatnonzero(may & (at >= level) & (of_context >= least) & (n >= least))
-        width = len(words)
-        codes, first, which = _distinct((context[asked] * width + token[asked]).astype(np.uint64), int(len(keys) * width).bit_length())
-        of_gram = (codes // np.uint64(width)).astype(np.int64)
-        made = mix(mix(keys[of_gram]) + words[(codes % np.uint64(width)).astype(np.int64)])
+        room = max(1, (len(words) - 1).bit_length())
+        codes, first, which = _distinct(((context[asked] << room) | token[asked]).astype(np.uint64), max(1, (len(keys) - 1).bit_length()) + room)
+        of_gram = (codes >> np.uint64(room)).astype(np.int64)
+        made = mix(mix(keys[of_gram]) + words[(codes & np.uint64((1 << room) - 1)).astype(np.int64)])
         sent = model.sent(made)
-        by_key = np.argsort(sent)
+        by_key = _order(sent)
         if 2 * level - 1 not in answers:
             return [*asks, (2 * level - 1, sent[by_key], np.bincount(which, train[asked], len(codes)).astype(np.uint32)[by_key])]
         found = np.empty(len(codes), np.int64)
@@ -358,7 +388,7 @@ def _carry_on(row: dict, count: np.ndarray | None, backs: np.ndarray | None, mod
         return model.sent(keys), np.bincount(which, x["train"][asked], len(keys)).astype(np.uint32)
     n = np.zeros(len(gram), np.int64)
     n[asked] = (count >> 1)[which]
-    contexts, of = np.unique(x["context"], return_inverse=True)
+    contexts, of = _values(x["context"])
     if backs is None:
         mine = (count & 1 == 1) & (count >> 1 >= model.least)
         own = asked[first[mine]]
@@ -400,14 +430,15 @@ def _answer(buckets: int, divergence: float):
     def run(group: pa.Table) -> pa.Table:
         group, number = group.sort_by("chunk"), group.column("bucket")[0].as_py() // buckets
         held = [_unpack(x, np.uint64, True) for x in group.column("keys").to_pylist()]
-        keys, which = np.unique(np.concatenate(held), return_inverse=True)
+        keys, which = _values(np.concatenate(held))
         parts, sums = group.column("parts").to_pylist(), [0, 0, 0, 0]
         if number == 0 or number % 2:
             n = np.concatenate([_unpack(x, np.uint32) for x in parts]).astype(np.int64)
             total = np.bincount(which, n, len(keys)).astype(np.int64)
-            has = np.flatnonzero(n)
-            answer = 2 * total[which]
-            answer[has[np.unique(which[has], return_index=True)[1]]] += 1
+            has = np.flatnonzero(n)[::-1]
+            answer, owner = 2 * total[which], np.full(len(keys), -1)
+            owner[which[has]] = has  # the first stays
+            answer[owner[owner >= 0]] += 1
             sums = [0, 0, 0, 0] if number else [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
         else:
             terms = np.concatenate([_unpack(x, np.float64) for x in parts]).reshape(-1, 3)

@@ -298,3 +298,24 @@ def test_sql(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
     assert sorted(df.columns) == names
     assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted((tuple(r[k] for k in order) for r in rel.fetchall()), key=str)
+
+
+def test_orders_and_packs_of_keys():
+    """Keys are ordered whole where their upper bits are equal, and arrays come back as they were packed."""
+    from flowlens.llm import suffix_tree
+
+    rng = np.random.default_rng(0)
+    wide = rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)
+    near = np.uint64(2**63) + rng.permutation(3000).astype(np.uint64)
+    sets = [np.zeros(0, np.uint64), np.zeros(3, np.uint64), np.array([7], np.uint64), wide, near, np.concatenate([wide, near, wide[::-1]]), near[rng.integers(0, 50, 999)]]
+    for keys in sets:
+        assert (suffix_tree._order(keys) == np.argsort(keys, kind="stable")).all()
+        values, which = suffix_tree._values(keys)
+        want, place = np.unique(keys, return_inverse=True)
+        assert (values == want).all() and (which == place).all()
+        assert (suffix_tree._unpack(suffix_tree._pack(np.sort(keys), True), np.uint64, True) == np.sort(keys)).all()
+    for kind in (bool, np.uint32, np.int64):
+        x = rng.integers(0, 2, 100).astype(kind)
+        assert (suffix_tree._unpack(suffix_tree._pack(x), kind) == x).all() and len(suffix_tree._unpack(suffix_tree._pack(x[:0]), kind)) == 0
+    terms = np.column_stack([np.arange(4.0), [0.5, np.nan, 0, 1], np.arange(4.0) / 4])
+    assert np.array_equal(suffix_tree._unpack(suffix_tree._pack(terms), np.float64), terms.ravel(), equal_nan=True)
