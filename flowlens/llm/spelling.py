@@ -9,6 +9,7 @@ Words meet by equal bands and length, and, as few bands are told apart by short
 of a word leaves the other half as it is. Every word has six keys for words of its own length and six for longer and for shorter
 ones; no pair is missed, and each pair is taken at one of its keys only. What is left is verified letter by letter. All of this is
 joins on hashes of (length, bands, half): no block is held by one task, and adaptive execution splits a key that many words share.
+All joins are sort-merge joins by hint: Spark sizes rows after an explode as if there were one for each word, and would broadcast them.
 
 Counting: tasks count runs text by text and hand on partial counts; a word that a third of all rows have is one row of each task.
 """
@@ -126,7 +127,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = F.when(agree[0], 0).when(agree[1], 1).when(agree[2], 2)
     mine = F.floor(F.col("x.part") / 2) == first  # of two bands that agree the first one counts; two halves can't both be equal
     replaced = x.join(
-        y,
+        y.hint("merge"),
         (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.word") < F.col("y.word"))
         & (F.col("x.size") == F.col("y.size")) & (flips(0) + flips(1) + flips(2) == 2) & mine
         & (F.levenshtein("x.word", "y.word", 1) == 1),
@@ -140,7 +141,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left_equal = left(F.col("x.word"), h) == left(F.col("y.word"), h)
     in_band = reduce(lambda a, b: a | b, [(F.floor(F.col("x.part") / 2) == k) & (flips(k) == 1) for k in range(BANDS)])
     added = x.join(
-        y,
+        y.hint("merge"),
         (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.size") == F.col("y.size") - 1)
         & (flips(0) + flips(1) + flips(2) == 1) & in_band & (by_left | ~left_equal)
         & (F.levenshtein("x.word", "y.word", 1) == 1),
@@ -164,7 +165,7 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("down"), "other")).alias("best"))
     strong = -F.col("best.down") >= ratio * F.col("n")
     formed = save(
-        words.join(best, "word", "left").select(
+        words.join(best.hint("merge"), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, F.col("best.other")).alias("form"), F.when(strong, -F.col("best.down")).alias("form_n")
         ),
         "forms",
@@ -175,14 +176,14 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     held: DataFrame | None = None
     while True:
         far = roots.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        after = save(roots.join(far, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
+        after = save(roots.join(far.hint("merge"), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
         moved = after.where("moved").limit(1).count()
         if held is not None:
             drop(held)
         held, roots = after, after.select("word", "root")
         if not moved:
             break
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, letters: int = 5, least: int = 3, every: int = 97) -> DataFrame:

@@ -124,6 +124,19 @@ def test_a_chain_of_forms(spark):
     assert set(got.values()) == {"bbbbbbbbbb"}
 
 
+def test_variants_broadcast_no_words(spark, monkeypatch):
+    """However small Spark takes the words to be, none of the joins on them or on their keys is a broadcast."""
+    plans = []
+    save = spelling.save
+    monkeypatch.setattr(spelling, "save", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, name))
+    words = spark.createDataFrame([("letter", 9), ("lettr", 4), ("lotter", 1)], "word string, n long")
+    out = spelling.group_variants(words)
+    assert {r["word"]: r["root"] for r in out.collect()} == {"letter": "letter", "lettr": "letter", "lotter": "letter"}
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (spelling.near_pairs(words), out)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in queries.op12_language_id(spark, "/root/testdata/sf0.01").collect()}
